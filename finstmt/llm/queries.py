@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import warc_store
+from . import line_quality, warc_store
 
 QUERIES = {
+    "op6_line_frequency": line_quality.op6_line_frequency,
     "op8_warc_content_store": warc_store.op8_warc_content_store,
 }
 ORACLES = {
+    "op6_line_frequency": line_quality.OP6_SQL,
     "op8_warc_content_store": warc_store.OP8_SQL,
 }
