@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_quality, warc_store
+from . import line_quality, near_dup, warc_store
 
 QUERIES = {
     "op6_line_frequency": line_quality.op6_line_frequency,
     "op8_warc_content_store": warc_store.op8_warc_content_store,
+    "op9_odd_sketch_near_dup": near_dup.op9_odd_sketch_near_dup,
 }
 ORACLES = {
     "op6_line_frequency": line_quality.OP6_SQL,
     "op8_warc_content_store": warc_store.OP8_SQL,
+    "op9_odd_sketch_near_dup": near_dup.OP9_SQL,
 }
