@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_quality, near_dup, warc_store
+from . import decontaminate, line_quality, near_dup, warc_store
 
 QUERIES = {
+    "op5_fm_index": decontaminate.op5_fm_index,
     "op6_line_frequency": line_quality.op6_line_frequency,
     "op8_warc_content_store": warc_store.op8_warc_content_store,
     "op9_odd_sketch_near_dup": near_dup.op9_odd_sketch_near_dup,
 }
 ORACLES = {
+    "op5_fm_index": decontaminate.OP5_SQL,
     "op6_line_frequency": line_quality.OP6_SQL,
     "op8_warc_content_store": warc_store.OP8_SQL,
     "op9_odd_sketch_near_dup": near_dup.OP9_SQL,
