@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_quality, near_dup, warc_store
+from . import decontaminate, line_quality, near_dup, packing, token_rollup, warc_store
 
 QUERIES = {
+    "op1_token_rollup": token_rollup.op1_token_rollup,
+    "op4_hilbert_packing": packing.op4_hilbert_packing,
     "op5_fm_index": decontaminate.op5_fm_index,
     "op6_line_frequency": line_quality.op6_line_frequency,
     "op8_warc_content_store": warc_store.op8_warc_content_store,
