@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_quality, near_dup, packing, quality_vote, token_rollup, toxicity, warc_store
+from . import decontaminate, line_quality, near_dup, packing, pii, quality_vote, token_rollup, toxicity, warc_store
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
     "op2_pu_toxicity": toxicity.op2_pu_toxicity,
+    "op3_bootstrapped_pii": pii.op3_bootstrapped_pii,
     "op4_hilbert_packing": packing.op4_hilbert_packing,
     "op5_fm_index": decontaminate.op5_fm_index,
     "op6_line_frequency": line_quality.op6_line_frequency,
