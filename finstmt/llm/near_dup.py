@@ -36,9 +36,11 @@ from . import shared
 LIMIT = (85, 100)
 BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 1024
-#: Estimates this far below the limit (five standard deviations of SAMPLES samples) are dropped.
-MARGIN = 0.13
+BIN_BITS, SKETCH_BITS = 10, 2048
+BINS = 1 << BIN_BITS
+#: Estimates this far below the limit are dropped: five standard deviations of BINS samples, and one and a half
+#: shingles, which small sets may lose to a shared bin.
+MARGIN, LOST = 0.065, 1.5
 STAR_BANDS = 8
 BLOCK = 1024
 _EVEN, _ODD = (np.random.default_rng(9).integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.random.default_rng(10).integers(1, 2**63, SAMPLES, dtype=np.uint64))
@@ -87,16 +89,36 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(m: np.ndarray) -> bytes:
-    """Each sample flips the bit that it hashes to."""
-    at = _mix(m + np.arange(SAMPLES, dtype=np.uint64) * _W[2]) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def odd_sketch(s: np.ndarray) -> bytes:
+    """The smallest hash of each of BINS bins is a MinHash sample (of one permutation) and flips the bit that
+    it hashes to. In front: the set's size and the number of bins in use."""
+    bins = s >> np.uint64(64 - BIN_BITS)
+    sample = s[np.concatenate([[True], bins[1:] != bins[:-1]])]
+    at = (_mix(sample + _W[2]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8))
+    return np.array([len(s), len(sample)], "<u4").tobytes() + bits.tobytes()
 
 
-def estimate(differing: np.ndarray) -> np.ndarray:
-    """Similarity from the population count of an XOR: 1 + m / (4 k) ln(1 - 2 z / m)."""
-    left = np.maximum(1 - 2 * np.asarray(differing, float) / SKETCH_BITS, 1e-9)
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(left)
+def sketches(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+
+
+def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarities of sketches (rows of x and y), and how far they may be off.
+
+    The XOR's population count z gives the number of differing samples, -m/2 ln(1 - 2z/m), and so the number
+    of equal ones; their share of the bins that either set uses is the similarity.
+    """
+    z = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(axis=1, dtype=np.int64)
+    differing = -SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * z / SKETCH_BITS, 1e-9))
+    (n_x, used_x), (n_y, used_y) = (((v[:, 0] & np.uint64(0xFFFFFFFF)).astype(float), (v[:, 0] >> np.uint64(32)).astype(float)) for v in (x, y))
+    equal = np.maximum(used_x + used_y - differing, 0) / 2
+    in_use = lambda n: -BINS * np.expm1(n * np.log1p(-1 / BINS))
+    scale = (used_x + used_y) / (in_use(n_x) + in_use(n_y))
+    j = np.full(len(z), LIMIT[0] / LIMIT[1])
+    for _ in range(4):
+        j = np.clip(equal / (in_use((n_x + n_y) / (1 + j)) * scale), 0, 1)
+    return j, MARGIN + LOST / np.maximum(n_x, n_y)
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +131,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["n"].append(len(s))
             out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             out["bands"].append(band_keys(m) if len(s) else [])
-            out["sketch"].append(odd_sketch(m) if len(s) else None)
+            out["sketch"].append(odd_sketch(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("fp"), pa.array(out["n"], pa.int64()), pa.array(out["digest"], pa.binary()), pa.array(out["bands"], pa.list_(pa.int64())), pa.array(out["sketch"], pa.binary())],
             ["doc_id", "fp", "n", "digest", "bands", "sketch"],
@@ -125,8 +147,8 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches don't rule them out."""
     for b in batches:
         if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-            near = estimate(np.bitwise_count(x ^ y).sum(axis=1)) >= LIMIT[0] / LIMIT[1] - MARGIN
+            j, off = estimate(*(sketches(b.column(c).to_pylist()) for c in ("sketch_a", "sketch_b")))
+            near = j >= LIMIT[0] / LIMIT[1] - off
             yield b.select(["a", "b"]).filter(pa.array(near))
 
 
@@ -141,14 +163,17 @@ def star_pairs(classes: DataFrame) -> DataFrame:
 
 
 def _between(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Candidate pairs of one block pair: different components, near by sketch.
+    """Candidate pairs of one block pair: different components, near by sketch, and this bucket the first
+    that they share.
 
     Of the pairs between two components that are surely above the limit, the nearest is enough; those in
     doubt all go on.
     """
-    i, j = key[1].as_py(), key[2].as_py()
+    band, i, j = (k.as_py() for k in key)
     names, comps, blocks = (group.column(c).to_pylist() for c in ("digest", "label", "block"))
-    sk = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(names), -1)
+    sk, limit = sketches(group.column("sketch").to_pylist()), LIMIT[0] / LIMIT[1]
+    bands = np.array(group.column("bands").to_pylist(), np.int64)
+    before = np.argmax(bands[:1] == band)  # a band's keys are its own, so this is its number
     ids = np.unique(np.array(comps, object), return_inverse=True)[1]
     left = np.flatnonzero([b == i for b in blocks])
     right = left if i == j else np.flatnonzero([b == j for b in blocks])
@@ -156,13 +181,15 @@ def _between(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     sure: dict[tuple[int, int], tuple[float, bytes, bytes]] = {}
     for x in left:
         ys = right[(right > x) & (ids[right] != ids[x])] if i == j else right[ids[right] != ids[x]]
-        e = estimate(np.bitwise_count(sk[x] ^ sk[ys]).sum(axis=1))
-        for k in np.flatnonzero(e >= LIMIT[0] / LIMIT[1] - MARGIN):
-            y = ys[k]
+        e, off = estimate(sk[x : x + 1], sk[ys])
+        near = e >= limit - off
+        ys, e, off = ys[near], e[near], off[near]
+        first = ~(bands[ys, :before] == bands[x, :before]).any(axis=1)
+        for y, near_by, doubt in zip(ys[first], e[first], off[first], strict=True):
             pair = (min(names[x], names[y]), max(names[x], names[y]))
-            if e[k] >= LIMIT[0] / LIMIT[1] + MARGIN:
+            if near_by >= limit + doubt:
                 at = (min(ids[x], ids[y]), max(ids[x], ids[y]))
-                sure[at] = max(sure.get(at, (0.0, b"", b"")), (e[k], *pair))
+                sure[at] = max(sure.get(at, (0.0, b"", b"")), (near_by, *pair))
             else:
                 found.append(pair)
     found += [v[1:] for v in sure.values()]
@@ -178,7 +205,7 @@ def cross_pairs(classes: DataFrame, labels: DataFrame, block: int = BLOCK) -> Da
     dealt = member.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     keyed = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "label")
-    keyed = keyed.join(classes.select("digest", "sketch"), "digest")
+    keyed = keyed.join(classes.select("digest", "bands", "sketch"), "digest")
     return keyed.groupBy("band", "i", "j").applyInArrow(_between, "a binary, b binary").distinct()
 
 
