@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_quality, near_dup, packing, pii, quality_vote, token_rollup, toxicity, warc_store
+from . import decontaminate, license_scan, line_quality, near_dup, packing, pii, quality_vote, token_rollup, toxicity, warc_store
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_hilbert_packing": packing.op4_hilbert_packing,
     "op5_fm_index": decontaminate.op5_fm_index,
     "op6_line_frequency": line_quality.op6_line_frequency,
+    "op7_rare_token_licenses": license_scan.op7_rare_token_licenses,
     "op8_warc_content_store": warc_store.op8_warc_content_store,
     "op9_odd_sketch_near_dup": near_dup.op9_odd_sketch_near_dup,
     "op10_neighbour_vote": quality_vote.op10_neighbour_vote,
