@@ -35,7 +35,8 @@ BLOCK_BYTES = 32 << 20
 SHARD = 1 << 20
 SAMPLE = 16
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words as they stand in a text that is not lower-cased yet.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 END, GAP, FIRST = 0, 1, 2  # symbols: end of a shard, anything that is in no window, the first word
 SPANS = "array<struct<first:bigint,last:bigint>>"
@@ -261,7 +262,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = SIZ
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"n_words bigint, spans {SPANS}, items array<string>"])
     if n_blocks == 1:
         return docs.mapInArrow(_scan(send(0), names), schema)
-    rows = shared.settle(docs.withColumn("_rid", F.monotonically_increasing_id()), "scan-docs")
+    rows = shared.settle(docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), "text"), "scan-docs")
     found = [shared.settle(rows.mapInArrow(_scan(send(k), ["_rid"]), f"_rid bigint, n_words bigint, spans {SPANS}, items array<string>"), f"scan-{k}") for k in range(n_blocks)]
     every = found[0]
     for more in found[1:]:
@@ -269,7 +270,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = SIZ
     merge = F.pandas_udf(_merged, SPANS)
     per_row = every.groupBy("_rid").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     per_row = per_row.withColumn("spans", merge("spans"))
-    return rows.join(per_row, "_rid").select(*names, "n_words", "spans", "items")
+    return rows.join(per_row, "_rid").select("_row.*", "n_words", "spans", "items")
 
 
 def cut(text: str, spans: list, known: set[bytes], size: int = SIZE) -> str:
@@ -290,26 +291,26 @@ def cut(text: str, spans: list, known: set[bytes], size: int = SIZE) -> str:
         spans = _merged(pd.Series([spans]))[0]
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """docs with the merged spans cut out of ``text``; documents without a hit are not touched.
+def remove_spans(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """documents with the merged spans cut out of ``text``; those without a hit are not touched.
 
-    Only windows of a document's own items are looked for again where the rest of its text meets.
+    Only windows of a document's own hits are looked for again where the rest of its text meets.
     """
-    columns = docs.columns
-    found = scan(docs, benchmark, columns, size)
+    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    found = scan(rows, benchmark, ["row", "text"], size)
 
     @F.pandas_udf("string")
     def cleaned(text: pd.Series, spans: pd.Series) -> pd.Series:
         def one(t: str, s) -> str:
+            if not len(s):
+                return t
             ws = shared.alnum_words(t)
             known = {b" ".join(ws[i : i + size]) for x in s for i in range(x["first"], max(x["first"], x["last"] - size + 1) + 1)}
             return cut(t, list(s), known, size)
 
-        return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)])
+        return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    hit = F.size("spans") > 0
-    changed = found.where(hit).withColumn("text", cleaned("text", "spans"))
-    return found.where(~hit).select(columns).unionByName(changed.select(columns))
+    return found.withColumn("text", cleaned("text", "spans")).select(*shared.with_text(documents.columns))
 
 
 def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

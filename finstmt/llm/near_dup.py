@@ -260,7 +260,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document."""
+    """doc_id, fp (hash of the text), n_shingles, component_id, kept for each document."""
     docs = shared.pick(documents, doc_id="bigint", text="string").withColumn("fp", F.xxhash64("text"))
     rows = shared.settle(sketched(docs), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
@@ -276,11 +276,23 @@ def find(documents: DataFrame) -> DataFrame:
     lowest = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = of.join(lowest, "label").select("digest", "component_id")
     own = F.coalesce(F.col("component_id"), F.col("doc_id"))
-    return rows.join(of, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return rows.join(of, "digest", "left").select("doc_id", "fp", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """documents without those that are not kept; of repeated rows of a kept one, one stays."""
+    key = [F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_fp")]
+    kept = find(documents).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n"))
+    kept = shared.settle(kept, "kept")
+    rows = documents.select(F.struct("*").alias("row"), *key)
+    among = lambda which: rows["_id"].eqNullSafe(which["_id"]) & rows["_fp"].eqNullSafe(which["_fp"])
+    once, more = kept.where("_n = 1"), shared.settle(kept.where("_n > 1"), "kept-repeated")
+    single, repeated = rows.join(once, among(once), "left_semi"), rows.join(more, among(more), "left_semi").dropDuplicates(["_id", "_fp"])
+    return single.unionByName(repeated).select("row.*")
 
 
 def op9_odd_sketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(shared.table(spark, sf_dir, "documents"))
+    return find(shared.table(spark, sf_dir, "documents")).drop("fp")
 
 
 OP9_SQL = r"""

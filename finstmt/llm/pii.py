@@ -184,27 +184,27 @@ def _with_added(base: pd.Series, added: pd.Series) -> pd.Series:
     return pd.Series([one(b, m) for b, m in zip(base, added, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def _masked(text: pd.Series, spans: pd.Series) -> pd.Series:
+    def one(t: str | None, joined: str | None) -> str | None:
+        if not joined or not t:
+            return t
+        out, done = [], 0
+        for s, e, k in sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in joined.split(","))):
+            if e > done:
+                out += [t[done:s], f"<{k}>"] if s >= done else []
+                done = e
+        return "".join([*out, t[done:]])
+
+    return pd.Series([one(t, j) for t, j in zip(text, spans, strict=True)], dtype=object)
+
+
 def redact(documents: DataFrame) -> DataFrame:
     """documents with every span's text replaced by its kind in angle brackets; other columns stay."""
-    columns = documents.columns
-    rows = shared.settle(documents.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
-    spans = extract(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "spans").where("spans <> ''")
-
-    @F.pandas_udf("string")
-    def masked(text: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(t: str, joined: str | None) -> str:
-            if not joined:
-                return t
-            out, done = [], 0
-            for s, e, k in sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in joined.split(","))):
-                if e > done:
-                    out += [t[done:s], f"<{k}>"] if s >= done else []
-                    done = e
-            return "".join([*out, t[done:]])
-
-        return pd.Series([one(t, j) for t, j in zip(text, spans, strict=True)], dtype=object)
-
-    return rows.join(spans, "_row", "left").withColumn("text", F.when(F.col("spans").isNotNull(), masked("text", "spans")).otherwise(F.col("text"))).select(columns)
+    rows = documents.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = shared.settle(rows, "pii-docs")
+    spans = extract(rows.select(F.col("n").alias("doc_id"), "text")).select(F.col("doc_id").alias("n"), "spans").where("spans <> ''")
+    return rows.join(spans, "n", "left").withColumn("text", _masked("text", "spans")).select(*shared.with_text(documents.columns))
 
 
 def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

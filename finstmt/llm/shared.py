@@ -6,7 +6,7 @@ import string
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII letters to lower case, nothing else changed.
@@ -63,3 +63,10 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     Extra columns, whatever their names, do not go further.
     """
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()))
+
+
+def with_text(columns: list[str]) -> list[Column]:
+    """The columns of struct ``row`` with ``text`` in place of its own; n_chars, where a text has changed, follows."""
+    same = F.col("text").eqNullSafe(F.col("row.text"))
+    put = {"text": F.col("text"), "n_chars": F.when(same, F.col("row.n_chars")).otherwise(F.length("text"))}
+    return [put.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns]

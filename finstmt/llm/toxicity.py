@@ -215,6 +215,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """documents that score below the threshold, columns as they were."""
+    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return scored(rows, learn(documents, labels)).where(F.col("score") < threshold).select("row.*")
+
+
 def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = shared.table(spark, sf_dir, "documents")
     model = learn(documents, shared.table(spark, sf_dir, "labels"))
