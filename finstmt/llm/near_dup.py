@@ -5,8 +5,8 @@ class. Classes that share a MinHash band are candidates; odd sketches of their M
 whose XOR counts the differing samples) estimate the similarity and drop candidates that are clearly below
 the limit; the rest is confirmed on the full sets, read again from the texts.
 
-No bucket is expanded into all its pairs. First each member of a bucket is held against the bucket's
-smallest member only, and links found that way make components. Then only buckets in which more than one
+No bucket is expanded into all its pairs. First each member of a bucket is held against the bucket's hub
+only, and links found that way make components. Then only buckets in which more than one
 component is left are compared, between components, in blocks of at most ``2 * BLOCK`` members; a larger
 bucket is dealt out as pairs of blocks, so none of its pairs is skipped.
 
@@ -41,7 +41,6 @@ BINS = 1 << BIN_BITS
 #: Estimates this far below the limit are dropped: five standard deviations of BINS samples, and one and a half
 #: shingles, which small sets may lose to a shared bin.
 MARGIN, LOST = 0.065, 1.5
-STAR_BANDS = 8
 BLOCK = 1024
 _EVEN, _ODD = (np.random.default_rng(9).integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.random.default_rng(10).integers(1, 2**63, SAMPLES, dtype=np.uint64))
 _W = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -152,11 +151,23 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["a", "b"]).filter(pa.array(near))
 
 
-def star_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): each class against the smallest class of its bucket, for the first STAR_BANDS bands."""
-    member = classes.select("digest", F.explode(F.slice("bands", 1, STAR_BANDS)).alias("band"))
-    hub = member.groupBy("band").agg(F.min("digest").alias("a"), F.count("*").alias("size")).where("size > 1").select("band", "a")
-    pairs = member.join(hub, "band").where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """(digest, band, size) of the buckets that hold more than one class."""
+    member = classes.select("digest", F.explode("bands").alias("band"))
+    size = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    return member.join(size, "band").select("digest", "band", "size")
+
+
+def star_pairs(classes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(a, b): each class against the hub of its bucket.
+
+    The hub is the member that meets most others over all bands, as the original of edited copies does: the
+    copies are nearer to it than to each other.
+    """
+    crowd = buckets.groupBy("digest").agg(F.sum("size").alias("met"))
+    member = buckets.join(crowd, "digest")
+    hub = member.groupBy("band").agg(F.max(F.struct("met", "digest"))["digest"].alias("a"))
+    pairs = buckets.select("digest", "band").join(hub, "band").where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
     sk = classes.select("digest", "sketch")
     both = pairs.join(sk.toDF("a", "sketch_a"), "a").join(sk.toDF("b", "sketch_b"), "b")
     return both.mapInArrow(_screen, "a binary, b binary")
@@ -196,10 +207,9 @@ def _between(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
 
-def cross_pairs(classes: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+def cross_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b) from all bands, for buckets that hold more than one component."""
-    own = classes.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    member = own.select("digest", "label", F.explode("bands").alias("band"))
+    member = buckets.select("digest", "band").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     mixed = member.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     mixed = mixed.select("band", F.ceil(F.col("size") / block).cast("int").alias("n_blocks"))
     dealt = member.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int"))
@@ -268,9 +278,10 @@ def find(documents: DataFrame) -> DataFrame:
     classes = some.groupBy("digest").agg(first).select("digest", "first.doc_id", "first.fp")
     firsts = some.join(classes.withColumnRenamed("doc_id", "key_id").withColumnRenamed("digest", "class"), (F.col("digest") == F.col("class")) & F.col("doc_id").eqNullSafe(F.col("key_id")) & (some["fp"] == classes["fp"]))
     classes = shared.settle(firsts.select("digest", "doc_id", some["fp"], "bands", "sketch").dropDuplicates(["digest"]), "classes")
-    links = confirmed(star_pairs(classes), classes, docs, "star")
+    buckets = shared.settle(shared_bands(classes), "buckets")
+    links = confirmed(star_pairs(classes, buckets), classes, docs, "star")
     labels = shared.settle(components(links), "labels")
-    more = confirmed(cross_pairs(classes, labels), classes, docs, "cross")
+    more = confirmed(cross_pairs(classes, buckets, labels), classes, docs, "cross")
     labels = shared.settle(components(links.union(more)), "labels")
     of = classes.join(labels, "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), "doc_id")
     lowest = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -371,7 +371,7 @@ def test_small_blocks_find_the_same_pairs(spark):
     docs = shared.pick(frame(spark, rows), doc_id="bigint", text="string").withColumn("fp", F.xxhash64("text"))
     classes = near_dup.sketched(docs).where("n > 0").dropDuplicates(["digest"]).cache()
     labels = spark.createDataFrame([], "digest binary, label binary")
-    whole, dealt = ({(bytes(r.a), bytes(r.b)) for r in near_dup.cross_pairs(classes, labels, n).collect()} for n in (1024, 5))
+    whole, dealt = ({(bytes(r.a), bytes(r.b)) for r in near_dup.cross_pairs(classes, near_dup.shared_bands(classes), labels, n).collect()} for n in (1024, 5))
     assert whole and whole == dealt
 
 
