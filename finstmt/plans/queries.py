@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, catalog, text, units
-from ..operators import accounts, compare, report, resolve, results
-from . import adapter, oracle
+from ..operators import accounts, compare, depreciation, documents, report, resolve, results
+from . import adapter, oracle, oracle_docs
 
 KEYS = ["corp", "year"]
 
@@ -165,8 +165,53 @@ def rate_window(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("w.start").alias("window_start"), "n_calls", (F.col("n_calls") > 15).alias("over_limit"))
 
 
+def section_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.sections(adapter.nodes(spark, sf)).select(*KEYS, "pos", "section", documents.classify(F.col("rows")).alias("by_labels"))
+
+
+def scope_infer(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.division(adapter.nodes(spark, sf))
+
+
+def current_column(spark: SparkSession, sf: str) -> DataFrame:
+    t = documents.with_current_column(adapter.nodes(spark, sf).where("kind = 'table'"), True)
+    return t.select(*KEYS, "pos", "cur", documents.column_label(F.col("rows"), F.col("cur")).alias("column_label"))
+
+
+def doc_extract(spark: SparkSession, sf: str) -> DataFrame:
+    t = documents.with_units(documents.sections(adapter.nodes(spark, sf)))
+    return documents.extract(t, catalog.items(spark)).select(*KEYS, "item", "value", "confidence", "unit")
+
+
+def cf_tables(spark: SparkSession, sf: str) -> DataFrame:
+    n = adapter.nodes(spark, sf)
+    return depreciation.cash_flow_tables(n, documents.division(n), strict=True).select(*KEYS, "pos", "matched")
+
+
+def cf_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    n = adapter.nodes(spark, sf)
+    return depreciation.cash_flow_buckets(documents.with_units(depreciation.cash_flow_tables(n, documents.division(n), strict=True)))
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    n = adapter.nodes(spark, sf)
+    return depreciation.notes_candidates(n, documents.division(n), strict=True)
+
+
+def notes_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _candidates(spark, sf).select(*KEYS, "pos", "table_no")
+
+
+def position_verify(spark: SparkSession, sf: str) -> DataFrame:
+    slots = spark.createDataFrame([("depr", 3), ("rou", 5), ("amort", 6)], "slot string, row_no int")
+    row = F.when((F.col("slot") == "depr") & (F.col("year") % 3 == 0), 99).otherwise(F.col("row_no"))
+    chosen = _facts(spark, sf).crossJoin(F.broadcast(slots)).select(*KEYS, "slot", F.lit(1).alias("table_no"), row.alias("row_no"), (F.col("year") % 4 == 0).alias("combined"))
+    return depreciation.verify_selection(documents.with_units(_candidates(spark, sf)), chosen)
+
+
 QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
     amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window,
+    section_assign, scope_infer, current_column, doc_extract, cf_tables, cf_buckets, notes_candidates, position_verify,
 )}
-ORACLES = {k: oracle.SQL[k] for k in QUERIES if k in oracle.SQL}
+ORACLES = oracle.SQL | oracle_docs.SQL
