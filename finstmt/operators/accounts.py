@@ -39,21 +39,21 @@ def extract(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
     """
     amount = amounts.account_amount(F.col("thstrm_amount"))
     named = rows.select(*KEYS, "pos", text.trim(F.coalesce("account_id", F.lit(""))).alias("id"), text.nospace(F.coalesce("account_nm", F.lit(""))).alias("nm"), "currency", amount.alias("amount")).where("amount is not null")
-    each = named.join(F.broadcast(catalogue.withColumnRenamed("account_id", "want")), F.lit(True))
     by_id = F.col("id") == F.col("want")
     word = F.get(F.filter("keywords", lambda k: F.col("nm").contains(k)), F.lit(0))
-    fine = ~F.exists("excluded", lambda x: F.col("nm").contains(x))
-    match = F.when(by_id, F.struct(F.lit(1).alias("stage"), "pos")).when(word.isNotNull() & fine, F.struct(F.lit(2).alias("stage"), "pos"))
-    each = each.select(*KEYS, "item", match.alias("at"), word.alias("keyword"), "amount", "negated", "currency").where("at is not null")
+    by_name = F.exists("keywords", lambda k: F.col("nm").contains(k)) & ~F.exists("excluded", lambda x: F.col("nm").contains(x))
+    each = named.join(F.broadcast(catalogue.withColumnRenamed("account_id", "want")), F.coalesce(by_id, F.lit(False)) | by_name)
+    match = F.struct(F.when(by_id, 1).otherwise(2).alias("stage"), "pos")
+    each = each.select(*KEYS, "item", match.alias("at"), word.alias("keyword"), "amount", "negated", "currency")
     first = each.groupBy(*KEYS, "item").agg(F.min_by(F.struct("at", "keyword", "amount", "negated", "currency"), "at").alias("m"))
     m = F.col("m")
-    by_name = m["at"]["stage"] == 2
-    turned = by_name & F.array_contains(m["negated"], m["keyword"]) & (m["amount"] > 0)
+    named_so = m["at"]["stage"] == 2
+    turned = named_so & F.array_contains(m["negated"], m["keyword"]) & (m["amount"] > 0)
     money = F.upper(text.trim(F.coalesce(m["currency"], F.lit("KRW"))))
     return first.select(
         *KEYS, "item", F.when(turned, -m["amount"]).otherwise(m["amount"]).alias("value"),
-        F.when(by_name, "account_nm").otherwise("account_id").alias("method"), F.when(by_name, m["keyword"]).alias("keyword"),
-        F.when(by_name | ~money.isin("KRW", ""), "low_confidence").otherwise("verified").alias("confidence"),
+        F.when(named_so, "account_nm").otherwise("account_id").alias("method"), F.when(named_so, m["keyword"]).alias("keyword"),
+        F.when(named_so | ~money.isin("KRW", ""), "low_confidence").otherwise("verified").alias("confidence"),
     )
 
 
