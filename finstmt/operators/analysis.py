@@ -39,7 +39,7 @@ def analyze(names: DataFrame, years: DataFrame, registry: DataFrame, filings: Da
     divisions = reports.select(*KEYS, "path").join(by_rows, KEYS, "left").join(of_doc, KEYS, "left").select(*KEYS, "path", F.coalesce("fs_div", "doc_div").alias("fs_div"), "scope", (F.col("fs_div").isNull() & F.col("doc_div").isNotNull()).alias("from_document"))
     from_document = own_nodes.join(divisions.where("from_document").select(*KEYS), KEYS, "left_semi")
     found = accounts.extract(a_rows, catalogue).select(*KEYS, "item", "value").unionByName(
-        documents.extract(documents.with_units(documents.sections(from_document)), catalogue).select(*KEYS, "item", "value")
+        documents.extract(documents.with_units(documents.statement_tables(from_document)), catalogue).select(*KEYS, "item", "value")
     )
     wide = results.wide(found, KEYS)
     scoped = divisions.select(*KEYS, "fs_div", "scope")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import amounts, catalog, text
+from ..functions import amounts, catalog, text, units
 from .documents import KEYS, with_current_column
 
 
@@ -142,6 +142,15 @@ def notes_candidates(nodes: DataFrame, divisions: DataFrame, strict: bool) -> Da
     return t.withColumn("table_no", F.row_number().over(Window.partitionBy(*KEYS).orderBy("pos")))
 
 
+def selection_text(tables: DataFrame) -> DataFrame:
+    """keys and one text: candidates (with unit and table_no) and their rows with the numbers to choose by."""
+    title = section_title(F.coalesce("prev_texts", F.array().cast("array<string>")))
+    head = F.array(F.concat(F.lit("[TABLE T"), F.col("table_no").cast("string"), F.lit("]")), F.concat(F.lit("[SECTION] "), F.when(title == "", "-").otherwise(title)), F.concat(F.lit("[UNIT] "), units.name(F.col("unit"))))
+    lines = F.transform("rows", lambda r, i: F.concat(F.lit("[ROW R"), (i + 1).cast("string"), F.lit("] "), F.array_join(r, " | ")))
+    block = tables.select(*KEYS, F.struct("table_no", F.array_join(F.concat(head, lines), "\n").alias("block")).alias("b"))
+    return block.groupBy(*KEYS).agg(F.sort_array(F.collect_list("b")).alias("b")).select(*KEYS, F.array_join(F.col("b.block"), "\n\n").alias("text"))
+
+
 def verify_selection(tables: DataFrame, selection: DataFrame) -> DataFrame:
     """keys, depr, rou, amort, combined of the positions that a model chose, if the labels there allow it.
 

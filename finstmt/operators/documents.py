@@ -34,6 +34,14 @@ def classify(rows: Column) -> Column:
     return F.when(among(catalog.BS_WORDS), "BS").when(among(catalog.IS_WORDS), "IS").otherwise("unknown")
 
 
+def statement_tables(nodes: DataFrame) -> DataFrame:
+    """sections(); where titles give a document neither BS nor IS, its tables by their labels as well."""
+    titled = sections(nodes)
+    known = titled.where("section in ('BS', 'IS')").select(*KEYS).distinct()
+    rest = nodes.where("kind = 'table'").join(known, KEYS, "left_anti").withColumn("section", classify(F.col("rows"))).where("section <> 'unknown'")
+    return titled.unionByName(rest.select(titled.columns))
+
+
 def _cells(row: Column) -> Column:
     return F.slice(row, 2, F.greatest(F.size(row) - 1, F.lit(0)))
 
@@ -125,3 +133,19 @@ def with_units(tables: DataFrame) -> DataFrame:
     texts = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in columns else F.array().cast("array<string>")
     u = units.of_table(texts("prev_texts"), texts("parent_prev_texts"), texts("head_tr_texts"), F.col("rows"))
     return tables.withColumn("_u", u).select(*columns, "_u.unit", "_u.unit_confidence")
+
+
+def text_bundle(nodes: DataFrame, most: int = 8000) -> DataFrame:
+    """keys and one text: tables of BS, IS and CF with their unit, a line for each row that has a label and
+    values, cut at ``most`` characters."""
+    t = with_units(statement_tables(nodes).where("section in ('BS', 'IS', 'CF')"))
+    inside = F.coalesce(units.first_in(F.flatten(F.slice("rows", 1, 5))), F.lit(1)).cast("bigint")
+    unit = F.when(F.col("unit") == 1, inside).otherwise(F.col("unit"))
+    name = F.transform("rows", lambda r: text.label(F.coalesce(F.get(r, F.lit(0)), F.lit(""))))
+    values = F.transform("rows", lambda r: F.array_join(F.filter(_cells(r), lambda c: text.trim(c) != ""), " | "))
+    line = F.filter(F.zip_with(name, values, lambda n, v: F.when((n != "") & (v != ""), F.concat(n, F.lit(": "), v))), lambda x: x.isNotNull())
+    head = F.concat(F.lit("["), "section", F.lit("] (단위: "), units.name(unit), F.lit(")"))
+    order = F.array_position(F.array(F.lit("BS"), F.lit("IS"), F.lit("CF")), F.col("section"))
+    block = t.select(*KEYS, F.struct(order.alias("order"), "pos", F.array_join(F.concat(F.array(head), line), "\n").alias("block")).alias("b"))
+    whole = block.groupBy(*KEYS).agg(F.sort_array(F.collect_list("b")).alias("b"))
+    return whole.select(*KEYS, F.left(F.array_join(F.col("b.block"), "\n"), F.lit(most)).alias("text"))

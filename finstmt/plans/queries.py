@@ -179,7 +179,7 @@ def current_column(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_extract(spark: SparkSession, sf: str) -> DataFrame:
-    t = documents.with_units(documents.sections(adapter.nodes(spark, sf)))
+    t = documents.with_units(documents.statement_tables(adapter.nodes(spark, sf)))
     return documents.extract(t, catalog.items(spark)).select(*KEYS, "item", "value", "confidence", "unit")
 
 
@@ -209,9 +209,17 @@ def position_verify(spark: SparkSession, sf: str) -> DataFrame:
     return depreciation.verify_selection(documents.with_units(_candidates(spark, sf)), chosen)
 
 
+def doc_text_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.text_bundle(adapter.nodes(spark, sf))
+
+
+def notes_text_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    return depreciation.selection_text(documents.with_units(_candidates(spark, sf)))
+
+
 QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
     amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window,
-    section_assign, scope_infer, current_column, doc_extract, cf_tables, cf_buckets, notes_candidates, position_verify,
+    section_assign, scope_infer, current_column, doc_extract, cf_tables, cf_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
 )}
 ORACLES = oracle.SQL | oracle_docs.SQL
