@@ -297,7 +297,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -
     Only windows of a document's own hits are looked for again where the rest of its text meets.
     """
     rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    found = scan(rows, benchmark, ["row", "text"], size)
+    found = scan(rows, benchmark, ["row"], size).withColumn("text", F.col("row.text").cast("string"))
 
     @F.pandas_udf("string")
     def cleaned(text: pd.Series, spans: pd.Series) -> pd.Series:

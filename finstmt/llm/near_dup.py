@@ -1,6 +1,6 @@
 """MinHash near-duplicates with odd sketches.
 
-A document's set holds its distinct 3-word shingles (as 64-bit hashes). Documents of equal sets form one
+A document's set holds its distinct word shingles (as 64-bit hashes). Documents of equal sets form one
 class. Classes that share a MinHash band are candidates; odd sketches of their MinHash samples (bit parities
 whose XOR counts the differing samples) estimate the similarity and drop candidates that are clearly below
 the limit; the rest is confirmed on the full sets, read again from the texts.
@@ -10,11 +10,9 @@ only, and links found that way make components. Then only buckets in which more
 component is left are compared, between components, in blocks of at most ``2 * BLOCK`` members; a larger
 bucket is dealt out as pairs of blocks, so none of its pairs is skipped.
 
-Two documents at the limit of 0.85 share no band with a probability of (1 - 0.85^6)^32 = 3e-7.
-
 Cases
 - null text or no words: empty set, n_shingles 0, linked with nothing (not even with other empty ones).
-- one or two words: the whole sequence is the only shingle.
+- fewer words than a shingle has: the whole sequence is the only shingle.
 - repeated rows: the same document once more, each with its row; kept where doc_id = component_id.
 - a null doc_id never becomes a component_id unless its component has no other; kept is then true for it.
 - very long texts are read whole; extra columns are ignored; empty table: no rows.
@@ -24,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +32,32 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-LIMIT = (85, 100)
-BANDS, ROWS = 32, 6
-SAMPLES = BANDS * ROWS
+@dataclass(frozen=True)
+class Rule:
+    """What is near: shingles of ``words`` words, linked where num / den of their union is shared.
+
+    Two sets at the limit share no band with a probability of (1 - limit^rows)^bands.
+    """
+
+    words: int = 5
+    num: int = 80
+    den: int = 100
+    bands: int = 40
+    rows: int = 5
+
+    @property
+    def limit(self) -> float:
+        return self.num / self.den
+
+
+#: The usual rule (1e-7), and that of the contract of op9 (3e-7).
+USUAL, CONTRACT = Rule(), Rule(words=3, num=85, bands=32, rows=6)
 BIN_BITS, SKETCH_BITS = 10, 2048
 BINS = 1 << BIN_BITS
 #: Estimates this far below the limit are dropped: five standard deviations of BINS samples, and one and a half
 #: shingles, which small sets may lose to a shared bin.
-MARGIN, LOST = 0.065, 1.5
+MARGIN, LOST = 0.07, 1.5
 BLOCK = 1024
-_EVEN, _ODD = (np.random.default_rng(9).integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.random.default_rng(10).integers(1, 2**63, SAMPLES, dtype=np.uint64))
 _W = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -62,30 +77,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str | None, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 3-word shingles."""
+def _weights(n: int) -> np.ndarray:
+    """Odd factors of the words of a shingle."""
+    return _mix(np.arange(1, n + 1, dtype=np.uint64) * _W[0]) | np.uint64(1)
+
+
+def shingles(text: str | None, hashes: dict, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles; of a shorter text, its whole sequence."""
     ws = shared.space_words(text)
     h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
     if len(h) == 0:
         return h
-    if len(h) < 3:
-        return _mix(np.array([sum((int(x) * (2 * i + 3) for i, x in enumerate(h)), len(h)) & (2**64 - 1)], np.uint64))
-    return np.unique(_mix(h[:-2] * _W[0] + h[1:-1] * _W[1] + h[2:] * _W[2]))
-
-
-def minhash(s: np.ndarray) -> np.ndarray:
-    best = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 512):
-        np.minimum(best, (s[i : i + 512, None] * _EVEN + _ODD).min(axis=0), out=best)
-    return best
-
-
-def band_keys(m: np.ndarray) -> np.ndarray:
-    rows = _mix(m).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _W[0]
-    for j in range(ROWS):
-        key = _mix(key + rows[:, j] * _W[1])
-    return key.view(np.int64)
+    size = min(words, len(h))
+    total = np.full(len(h) - size + 1, size, np.uint64)
+    for i, w in enumerate(_weights(size)):
+        total += h[i : len(h) - size + 1 + i] * w
+    return np.unique(_mix(total))
+
+
+class MinHash:
+    def __init__(self, rule: Rule):
+        self.rule, n = rule, rule.bands * rule.rows
+        self.times = np.random.default_rng(9).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.plus = np.random.default_rng(10).integers(1, 2**63, n, dtype=np.uint64)
+
+    def samples(self, s: np.ndarray) -> np.ndarray:
+        best = np.full(len(self.times), np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(s), 512):
+            np.minimum(best, (s[i : i + 512, None] * self.times + self.plus).min(axis=0), out=best)
+        return best
+
+    def bands(self, s: np.ndarray) -> np.ndarray:
+        """A key for each band, its own numbers."""
+        rows = _mix(self.samples(s)).reshape(self.rule.bands, self.rule.rows)
+        key = np.arange(1, self.rule.bands + 1, dtype=np.uint64) * _W[0]
+        for j in range(self.rule.rows):
+            key = _mix(key + rows[:, j] * _W[1])
+        return key.view(np.int64)
 
 
 def odd_sketch(s: np.ndarray) -> bytes:
@@ -114,41 +142,46 @@ def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     equal = np.maximum(used_x + used_y - differing, 0) / 2
     in_use = lambda n: -BINS * np.expm1(n * np.log1p(-1 / BINS))
     scale = (used_x + used_y) / (in_use(n_x) + in_use(n_y))
-    j = np.full(len(z), LIMIT[0] / LIMIT[1])
-    for _ in range(4):
+    j = np.full(len(z), 0.8)
+    for _ in range(5):
         j = np.clip(equal / (in_use((n_x + n_y) / (1 + j)) * scale), 0, 1)
     return j, MARGIN + LOST / np.maximum(n_x, n_y)
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
-    for b in batches:
-        out: dict[str, list] = {k: [] for k in ("n", "digest", "bands", "sketch")}
-        for text in b.column("text"):
-            s = shingles(text.as_py(), hashes)
-            m = minhash(s) if len(s) else None
-            out["n"].append(len(s))
-            out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            out["bands"].append(band_keys(m) if len(s) else [])
-            out["sketch"].append(odd_sketch(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("fp"), pa.array(out["n"], pa.int64()), pa.array(out["digest"], pa.binary()), pa.array(out["bands"], pa.list_(pa.int64())), pa.array(out["sketch"], pa.binary())],
-            ["doc_id", "fp", "n", "digest", "bands", "sketch"],
-        )
-
-
-def sketched(docs: DataFrame) -> DataFrame:
+def _sketch_rows(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, minhash = _Hashes(), MinHash(rule)
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("n", "digest", "bands", "sketch")}
+            for text in b.column("text"):
+                s = shingles(text.as_py(), hashes, rule.words)
+                out["n"].append(len(s))
+                out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                out["bands"].append(minhash.bands(s) if len(s) else [])
+                out["sketch"].append(odd_sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("fp"), pa.array(out["n"], pa.int64()), pa.array(out["digest"], pa.binary()), pa.array(out["bands"], pa.list_(pa.int64())), pa.array(out["sketch"], pa.binary())],
+                ["doc_id", "fp", "n", "digest", "bands", "sketch"],
+            )
+
+    return run
+
+
+def sketched(docs: DataFrame, rule: Rule) -> DataFrame:
     schema = "doc_id bigint, fp bigint, n bigint, digest binary, bands array<bigint>, sketch binary"
-    return docs.mapInArrow(_sketch_rows, schema)
+    return docs.mapInArrow(_sketch_rows(rule), schema)
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _screen(rule: Rule):
     """Pairs whose sketches don't rule them out."""
-    for b in batches:
-        if b.num_rows:
-            j, off = estimate(*(sketches(b.column(c).to_pylist()) for c in ("sketch_a", "sketch_b")))
-            near = j >= LIMIT[0] / LIMIT[1] - off
-            yield b.select(["a", "b"]).filter(pa.array(near))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                j, off = estimate(*(sketches(b.column(c).to_pylist()) for c in ("sketch_a", "sketch_b")))
+                yield b.select(["a", "b"]).filter(pa.array(j >= rule.limit - off))
+
+    return run
 
 
 def shared_bands(classes: DataFrame) -> DataFrame:
@@ -158,7 +191,7 @@ def shared_bands(classes: DataFrame) -> DataFrame:
     return member.join(size, "band").select("digest", "band", "size")
 
 
-def star_pairs(classes: DataFrame, buckets: DataFrame) -> DataFrame:
+def star_pairs(classes: DataFrame, buckets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): each class against the hub of its bucket.
 
     The hub is the member that meets most others over all bands, as the original of edited copies does: the
@@ -170,10 +203,10 @@ def star_pairs(classes: DataFrame, buckets: DataFrame) -> DataFrame:
     pairs = buckets.select("digest", "band").join(hub, "band").where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
     sk = classes.select("digest", "sketch")
     both = pairs.join(sk.toDF("a", "sketch_a"), "a").join(sk.toDF("b", "sketch_b"), "b")
-    return both.mapInArrow(_screen, "a binary, b binary")
+    return both.mapInArrow(_screen(rule), "a binary, b binary")
 
 
-def _between(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+def _between(rule: Rule, key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     """Candidate pairs of one block pair: different components, near by sketch, and this bucket the first
     that they share.
 
@@ -182,7 +215,7 @@ def _between(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     """
     band, i, j = (k.as_py() for k in key)
     names, comps, blocks = (group.column(c).to_pylist() for c in ("digest", "label", "block"))
-    sk, limit = sketches(group.column("sketch").to_pylist()), LIMIT[0] / LIMIT[1]
+    sk, limit = sketches(group.column("sketch").to_pylist()), rule.limit
     bands = np.array(group.column("bands").to_pylist(), np.int64)
     before = np.argmax(bands[:1] == band)  # a band's keys are its own, so this is its number
     ids = np.unique(np.array(comps, object), return_inverse=True)[1]
@@ -207,7 +240,7 @@ def _between(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
 
-def cross_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+def cross_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     """(a, b) from all bands, for buckets that hold more than one component."""
     member = buckets.select("digest", "band").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     mixed = member.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
@@ -216,24 +249,30 @@ def cross_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, block
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     keyed = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "label")
     keyed = keyed.join(classes.select("digest", "bands", "sketch"), "digest")
-    return keyed.groupBy("band", "i", "j").applyInArrow(_between, "a binary, b binary").distinct()
 
+    def between(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        return _between(rule, key, group)
+
+    return keyed.groupBy("band", "i", "j").applyInArrow(between, "a binary, b binary").distinct()
+
+
+def _confirm(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last = _Hashes(), {}
+        for b in batches:
+            fine = []
+            for a, ta, tb in zip(b.column("a").to_pylist(), b.column("text_a"), b.column("text_b"), strict=True):
+                if a not in last:  # the join brings a's pairs one after the other
+                    last = {a: shingles(ta.as_py(), hashes, rule.words)}
+                x, y = last[a], shingles(tb.as_py(), hashes, rule.words)
+                inter = len(np.intersect1d(x, y, assume_unique=True))
+                fine.append(rule.den * inter >= rule.num * (len(x) + len(y) - inter))
+            yield b.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, kept = _Hashes(), {}
-    num, den = LIMIT
-    for b in batches:
-        fine = []
-        for a, ta, tb in zip(b.column("a").to_pylist(), b.column("text_a"), b.column("text_b"), strict=True):
-            if a not in kept:
-                kept = {a: shingles(ta.as_py(), hashes)}
-            x, y = kept[a], shingles(tb.as_py(), hashes)
-            inter = len(np.intersect1d(x, y, assume_unique=True))
-            fine.append(den * inter >= num * (len(x) + len(y) - inter))
-        yield b.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+    return run
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule, name: str) -> DataFrame:
     """The pairs that hold on their full sets."""
     pairs = shared.settle(pairs, f"pairs-{name}")
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
@@ -241,7 +280,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str)
     texts = docs.join(source, docs["doc_id"].eqNullSafe(source["key_id"]) & (docs["fp"] == source["fp"])).select("digest", "text").dropDuplicates(["digest"])
     texts = shared.settle(texts, f"texts-{name}")
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return shared.settle(both.mapInArrow(_confirm, "a binary, b binary"), f"links-{name}")
+    return shared.settle(both.mapInArrow(_confirm(rule), "a binary, b binary"), f"links-{name}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,19 +308,19 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(edges.select(F.col("a").alias("digest"), F.col("a").alias("label")).distinct())
 
 
-def find(documents: DataFrame) -> DataFrame:
+def find(documents: DataFrame, rule: Rule = USUAL) -> DataFrame:
     """doc_id, fp (hash of the text), n_shingles, component_id, kept for each document."""
     docs = shared.pick(documents, doc_id="bigint", text="string").withColumn("fp", F.xxhash64("text"))
-    rows = shared.settle(sketched(docs), "sketches")
+    rows = shared.settle(sketched(docs, rule), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
     some = rows.where("n > 0")
     classes = some.groupBy("digest").agg(first).select("digest", "first.doc_id", "first.fp")
     firsts = some.join(classes.withColumnRenamed("doc_id", "key_id").withColumnRenamed("digest", "class"), (F.col("digest") == F.col("class")) & F.col("doc_id").eqNullSafe(F.col("key_id")) & (some["fp"] == classes["fp"]))
     classes = shared.settle(firsts.select("digest", "doc_id", some["fp"], "bands", "sketch").dropDuplicates(["digest"]), "classes")
     buckets = shared.settle(shared_bands(classes), "buckets")
-    links = confirmed(star_pairs(classes, buckets), classes, docs, "star")
+    links = confirmed(star_pairs(classes, buckets, rule), classes, docs, rule, "star")
     labels = shared.settle(components(links), "labels")
-    more = confirmed(cross_pairs(classes, buckets, labels), classes, docs, "cross")
+    more = confirmed(cross_pairs(classes, buckets, labels, rule), classes, docs, rule, "cross")
     labels = shared.settle(components(links.union(more)), "labels")
     of = classes.join(labels, "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), "doc_id")
     lowest = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -290,10 +329,10 @@ def find(documents: DataFrame) -> DataFrame:
     return rows.join(of, "digest", "left").select("doc_id", "fp", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, rule: Rule = USUAL) -> DataFrame:
     """documents without those that are not kept; of repeated rows of a kept one, one stays."""
     key = [F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_fp")]
-    kept = find(documents).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n"))
+    kept = find(documents, rule).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n"))
     kept = shared.settle(kept, "kept")
     rows = documents.select(F.struct("*").alias("row"), *key)
     among = lambda which: rows["_id"].eqNullSafe(which["_id"]) & rows["_fp"].eqNullSafe(which["_fp"])
@@ -303,7 +342,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
 
 def op9_odd_sketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(shared.table(spark, sf_dir, "documents")).drop("fp")
+    return find(shared.table(spark, sf_dir, "documents"), CONTRACT).drop("fp")
 
 
 OP9_SQL = r"""

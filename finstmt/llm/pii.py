@@ -201,10 +201,12 @@ def _masked(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 def redact(documents: DataFrame) -> DataFrame:
     """documents with every span's text replaced by its kind in angle brackets; other columns stay."""
-    rows = documents.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    rows = shared.settle(rows, "pii-docs")
+    rows = documents.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row"))
+    rows = shared.settle(rows, "pii-docs").withColumn("text", F.col("row.text").cast("string"))
     spans = extract(rows.select(F.col("n").alias("doc_id"), "text")).select(F.col("doc_id").alias("n"), "spans").where("spans <> ''")
-    return rows.join(spans, "n", "left").withColumn("text", _masked("text", "spans")).select(*shared.with_text(documents.columns))
+    found = rows.select("n", "row").join(spans, "n", "left").withColumn("text", F.col("row.text").cast("string"))
+    masked = F.when(F.col("spans").isNotNull(), _masked("text", "spans")).otherwise(F.col("text"))
+    return found.withColumn("text", masked).select(*shared.with_text(documents.columns))
 
 
 def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,31 +198,31 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     return fit([np.array(x.as_py(), np.int64) for x in table.column("at")], table.column("y").to_numpy() == 1, prior)
 
 
-def _score(model):
+def _score(model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         known = _Stems(m.wanted)
         for b in batches:
             sums = np.array([sum(m.weights.get(f, 0.0) for f in features(t.as_py(), known)) for t in b.column("text")], float)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.scores(sums), pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(m.scores(sums), pa.float64())], [*keep, "score"])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (which has ``text``) with a score between 0 and 1."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
+def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of docs (which has ``text``) and a score between 0 and 1."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), keep), schema)
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents that score below the threshold, columns as they were."""
     rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return scored(rows, learn(documents, labels)).where(F.col("score") < threshold).select("row.*")
+    return scored(rows, learn(documents, labels), ["row"]).where(F.col("score") < threshold).select("row.*")
 
 
 def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = shared.table(spark, sf_dir, "documents")
     model = learn(documents, shared.table(spark, sf_dir, "labels"))
-    found = scored(shared.pick(documents, doc_id="bigint", text="string"), model)
+    found = scored(shared.pick(documents, doc_id="bigint", text="string"), model, ["doc_id"])
     return found.select("doc_id", labelled.held_out("doc_id", FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

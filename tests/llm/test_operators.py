@@ -94,7 +94,7 @@ def test_nnpu_risk_learns_from_positives_and_unlabelled_only():
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (4, None), (None, 1), (6, 0), (99, 1)], "doc_id bigint, toxic int")
     model = toxicity.learn(odd, labels)
-    assert len(toxicity.scored(shared.pick(odd, doc_id="bigint", text="string"), model).collect()) == len(odd_rows())
+    assert len(toxicity.scored(shared.pick(odd, doc_id="bigint", text="string"), model, ["doc_id"]).collect()) == len(odd_rows())
     assert toxicity.learn(odd, labels.limit(0)) is not None and toxicity.learn(none, labels).weights == {}
     assert toxicity.without_toxic(none, labels).columns == none.columns
 
@@ -322,17 +322,17 @@ def test_archive_of_nothing(spark):
 # 9 near-duplicates
 
 
-def brute_components(rows):
+def brute_components(rows, words=3, limit=85):
     sets = []
     for _, t, _ in rows:
         ws = SPACED.findall((t or "").translate(LOWER))
-        sets.append({tuple(ws[i : i + 3]) for i in range(len(ws) - 2)} if len(ws) > 2 else {tuple(ws)} - {()})
+        sets.append({tuple(ws[i : i + words]) for i in range(len(ws) - words + 1)} if len(ws) >= words else {tuple(ws)} - {()})
     label = list(range(len(rows)))
     find = lambda x: x if label[x] == x else find(label[x])
     for a in range(len(rows)):
         for b in range(a):
             n = len(sets[a] & sets[b])
-            if n and 100 * n >= 85 * len(sets[a] | sets[b]):
+            if n and 100 * n >= limit * len(sets[a] | sets[b]):
                 label[find(a)] = find(b)
     lowest = {}
     for x, (i, _, _) in enumerate(rows):
@@ -358,10 +358,11 @@ def group_rows():
     return odd_rows()[:9] + odd_rows()[10:] + rows
 
 
-def test_components_against_brute_force(spark, none):
+@pytest.mark.parametrize(("rule", "words", "limit"), [(near_dup.CONTRACT, 3, 85), (near_dup.USUAL, 5, 80)])
+def test_components_against_brute_force(spark, none, rule, words, limit):
     rows = group_rows()
-    out = rows_of(near_dup.find(frame(spark, rows)))
-    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(rows)
+    out = rows_of(near_dup.find(frame(spark, rows), rule))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(rows, words, limit)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
     assert near_dup.find(none).count() == 0
 
@@ -369,16 +370,16 @@ def test_components_against_brute_force(spark, none):
 def test_small_blocks_find_the_same_pairs(spark):
     rows = group_rows()
     docs = shared.pick(frame(spark, rows), doc_id="bigint", text="string").withColumn("fp", F.xxhash64("text"))
-    classes = near_dup.sketched(docs).where("n > 0").dropDuplicates(["digest"]).cache()
+    classes = near_dup.sketched(docs, near_dup.CONTRACT).where("n > 0").dropDuplicates(["digest"]).cache()
     labels = spark.createDataFrame([], "digest binary, label binary")
-    whole, dealt = ({(bytes(r.a), bytes(r.b)) for r in near_dup.cross_pairs(classes, near_dup.shared_bands(classes), labels, n).collect()} for n in (1024, 5))
+    whole, dealt = ({(bytes(r.a), bytes(r.b)) for r in near_dup.cross_pairs(classes, near_dup.shared_bands(classes), labels, near_dup.CONTRACT, n).collect()} for n in (1024, 5))
     assert whole and whole == dealt
 
 
 def test_one_of_each_group_stays(spark, odd, none):
     rows = group_rows() + [(8, odd_rows()[8][1], "b")]
     left = rows_of(near_dup.one_of_each(frame(spark, rows)))
-    want = {i for i, _, c in brute_components(rows) if i == c and i is not None}
+    want = {i for i, _, c in brute_components(rows, 5, 80) if i == c and i is not None}
     assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted(want)
     assert near_dup.one_of_each(none).count() == 0 and near_dup.one_of_each(odd).columns == odd.columns
 
