@@ -113,9 +113,9 @@ class Neighbours:
         return np.clip(np.where(total > 1e-9, (sim * self.y[at]).sum(axis=1) / np.maximum(total, 1e-9), self.y.mean()), 0, 1)
 
 
-def fit(texts: list[str | None], y: np.ndarray, by: np.ndarray, rank: int = RANK) -> Neighbours:
-    """Truncated SVD by a randomised range finder with power iterations."""
-    x = np.concatenate([np.zeros((0, TERMS), np.float32), *(weighted(counted(texts[i : i + BLOCK], t), by) for t in [_Terms()] for i in range(0, len(texts), BLOCK))])
+def fit(counts: np.ndarray, y: np.ndarray, by: np.ndarray, rank: int = RANK) -> Neighbours:
+    """Truncated SVD by a randomised range finder with power iterations; counts: a row of terms for each label."""
+    x = weighted(counts, by)
     q = np.random.default_rng(10).standard_normal((TERMS, rank + 16)).astype(np.float32)
     for _ in range(4):
         q = np.linalg.qr(x.T @ (x @ q))[0]
@@ -123,9 +123,24 @@ def fit(texts: list[str | None], y: np.ndarray, by: np.ndarray, rank: int = RANK
     return Neighbours(by, basis.astype(np.float32), _unit(x @ basis).astype(np.float32), y.astype(float))
 
 
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    terms = _Terms()
+    for b in batches:
+        rows = [x for _, block in _blocks(b, terms) for x in block]
+        at = [np.flatnonzero(x) for x in rows]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(rows, at, strict=True)], pa.list_(pa.float32())), b.column("y")], ["doc_id", "at", "n", "y"]
+        )
+
+
 def learn(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Neighbours:
-    found = labelled.sample(documents, labels, "quality", FOLDS, FOLD, most).toArrow().sort_by("doc_id")
-    return fit(found.column("text").to_pylist(), found.column("y").to_numpy(), idf(documents))
+    """Of the sample, term counts reach the driver (``most`` x TERMS at most), texts do not."""
+    sample = labelled.sample(documents, labels, "quality", FOLDS, FOLD, most).mapInArrow(_sparse, "doc_id bigint, at array<int>, n array<float>, y int")
+    found = sample.toArrow().sort_by("doc_id")
+    counts = np.zeros((found.num_rows, TERMS), np.float32)
+    for row, at, n in zip(counts, found.column("at"), found.column("n"), strict=True):
+        row[at.values.to_numpy()] = n.values.to_numpy()
+    return fit(counts, found.column("y").to_numpy(), idf(documents))
 
 
 def _vote(model):
