@@ -409,6 +409,13 @@ def test_quality_held_out(spark):
     assert (out.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in out.doc_id]).all()
 
 
+def test_quality_never_sees_labels_of_the_fold(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    lied = labels.withColumn("quality", F.when(labelled.held_out("doc_id", 5, 0), 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = quality_vote.learn(docs, labels), quality_vote.learn(docs, lied)
+    assert (one.y == two.y).all() and np.allclose(one.vectors, two.vectors, atol=1e-4)
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(6, 1), (4, 0), (9, 1), (None, 0), (20, None)], "doc_id bigint, quality int")
     docs = shared.pick(odd, doc_id="bigint", text="string")
