@@ -1,17 +1,21 @@
 """Licence scan by a positional index of rare tokens.
 
 Document frequencies of the templates' words are counted over all documents. The index posts, for each
-template, its ``POSTED`` words of highest inverse document frequency with their positions. A file looks up
-the ``LOOKED_UP`` rarest of these words that it holds; equal differences between its own and the posted
-positions are votes for a template at an offset. There the template is laid over the file: the share of its
-weight that agrees word by word is the score, and a label needs ``MIN_AGREED`` of it as well as the
-template's mandatory key phrases inside the covered words.
+template, its words of highest inverse document frequency with their positions: ``POSTED``, or as many more as
+it takes that no place agrees by ``MIN_AGREED`` without ``MIN_VOTES`` posted positions. A file looks up every
+posted word that it holds; equal differences between its own and the posted positions are votes for a template
+at an offset. There the template is laid over the file: the share of its weight that agrees word by word is the
+score, and a label needs ``MIN_AGREED`` of it as well as the template's mandatory key phrases inside the covered
+words. So every place that earns a label is found, however long the file and however many licences it holds.
 
 Base phrases are found in any place and always give their label.
 
 Cases
 - null or empty text: no words, no labels, score 0. Repeated rows: each is scanned alone.
-- equal frequencies: words in alphabetical order; equal offsets in score: the smallest.
+- equal frequencies: words in alphabetical order.
+- several places of one template: the best of those that earn the label, else the best of all. A score under
+  ``MIN_AGREED`` is that of the best place with enough votes.
+- a word of a template that alone weighs ``MIN_AGREED``: one vote is enough there.
 - a template at the very start or end of a file may be cut off; what is missing does not agree.
 - a null doc_id keeps its row. Empty table: no rows. Extra columns are ignored.
 """
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-POSTED, LOOKED_UP, MIN_VOTES, MIN_AGREED = 8, 8, 2, 0.6
+POSTED, MIN_VOTES, MIN_AGREED = 8, 2, 0.6
 
 # Phrases of the base scan and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -95,37 +99,39 @@ class Index:
         self.templates = [(label, shared.alnum_words(text), [shared.alnum_words(p) for p in phrases]) for label, text, phrases in templates]
         self.total = [sum(weights[w] for w in ws) for _, ws, _ in self.templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.needed: list[int] = []
         for k, (_, ws, _) in enumerate(self.templates):
-            for w in sorted(set(ws), key=lambda w: (-weights[w], w))[:POSTED]:
+            rarest = sorted(set(ws), key=lambda w: (-weights[w], w))
+            n = next((n for n in range(min(POSTED, len(rarest)), len(rarest) + 1) if self._sure(k, rarest[:n])), None)
+            self.needed.append(MIN_VOTES if n is not None else 1)
+            for w in rarest[:n]:
                 self.postings.setdefault(w, []).extend((k, i) for i, x in enumerate(ws) if x == w)
-        self.posted = frozenset(self.postings)
         self.base = [(shared.alnum_words(p), label) for p, label in BASE.items()]
 
+    def _sure(self, k: int, posted: list[bytes]) -> bool:
+        """Whether MIN_AGREED of template k cannot be reached with fewer than MIN_VOTES positions of these words."""
+        agree = sorted((self.weights[w] for w in self.templates[k][1] if w in posted), reverse=True)[: MIN_VOTES - 1]
+        rest = sum(self.weights[w] for w in self.templates[k][1] if w not in posted)
+        return rest + sum(agree) < (MIN_AGREED - 1e-9) * self.total[k]
+
     def base_places(self, ws: list[bytes], there: set[bytes]) -> list[tuple[int, str]]:
         return [(i, label) for phrase, label in self.base if there.issuperset(phrase) for i in _starts(ws, phrase)]
 
-    def matches(self, ws: list[bytes], there: set[bytes]) -> list[tuple[str, float]]:
-        """(label or '', agreement) of each template at its best offset; no label where a check fails."""
-        rare = sorted(self.posted & there, key=lambda w: (-self.weights[w], w))[:LOOKED_UP]
-        if not rare:
-            return []
-        votes: dict[tuple[int, int], int] = Counter()
-        for w in rare:
-            at = _starts(ws, [w])
-            for k, i in self.postings[w]:
-                votes.update((k, p - i) for p in at)
-        found: dict[int, tuple[float, bool]] = {}
-        for (k, offset), n in sorted(votes.items()):
+    def matches(self, ws: list[bytes]) -> list[tuple[str, float]]:
+        """(label or '', agreement) of each template at its best offset; no label where a check fails at all of them."""
+        votes: dict[tuple[int, int], int] = Counter((k, p - i) for p, w in enumerate(ws) if w in self.postings for k, i in self.postings[w])
+        found: dict[int, tuple[bool, float]] = {}
+        for (k, offset), n in votes.items():
             _, template, phrases = self.templates[k]
-            if n < MIN_VOTES:
+            if n < self.needed[k]:
                 continue
             laid = ws[max(offset, 0) : max(offset + len(template), 0)]
             shift = max(-offset, 0)
             agreed = sum(self.weights[t] for t, w in zip(template[shift:], laid, strict=False) if t == w) / self.total[k]
             last = min(len(ws), offset + len(template) + 2)
             fine = agreed >= MIN_AGREED and all(_starts(ws, p, max(offset - 2, 0), last) for p in phrases)
-            found[k] = max(found.get(k, (0.0, False)), (agreed, fine))
-        return [(self.templates[k][0] if fine else "", agreed) for k, (agreed, fine) in found.items()]
+            found[k] = max(found.get(k, (False, 0.0)), (fine, agreed))
+        return [(self.templates[k][0] if fine else "", agreed) for k, (fine, agreed) in found.items()]
 
 
 def _scan(index):
@@ -137,7 +143,7 @@ def _scan(index):
                 ws = shared.alnum_words(text.as_py())
                 there = set(ws)
                 places = ix.base_places(ws, there)
-                matched = ix.matches(ws, there)
+                matched = ix.matches(ws)
                 base = {label for _, label in places}
                 starts = [i for i, _ in places]
                 rows.append((

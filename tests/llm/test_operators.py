@@ -291,6 +291,31 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan(odd).count() == len(odd_rows()) and license_scan.scan(none).count() == 0
 
 
+def test_every_licence_of_a_file_is_found(spark):
+    text = {label: t for label, t, _ in license_scan.TEMPLATES}
+    text["apache"] = license_scan.TEMPLATES[1][1]
+    five = ["apache", "bsd", "isc", "mpl", "unlicense"]
+    files = [" and then ".join(text[k] for k in five), "\n\n".join(text.values())]
+    notice = text["isc"]
+    files.append(notice.replace("without fee", "without cost") + " as well as " + notice.replace("copyright", "usual").replace("use", "run"))
+    files += [notice.replace("without fee", "without cost"), text["gpl"] + " filler" * 20_000 + " " + text["bsd"]]
+    out = {r["doc_id"]: r for r in rows_of(license_scan.scan(frame(spark, [(i, t, "s") for i, t in enumerate(files)])))}
+    assert out[0]["labels"] == ",".join(five) and out[1]["labels"] == ",".join(sorted(text))
+    assert [out[k]["labels"] for k in (2, 3, 4)] == ["isc", "", "bsd,gpl"]
+
+
+def test_no_licence_place_lacks_votes():
+    r = random.Random(5)
+    vocabulary = sorted(license_scan._vocabulary(license_scan.TEMPLATES))
+    for weights in ({w: 1.0 for w in vocabulary}, {w: r.expovariate(1) + 1e-3 for w in vocabulary}):
+        ix = license_scan.Index(license_scan.TEMPLATES, weights)
+        for k, (label, ws, phrases) in enumerate(ix.templates):
+            for _ in range(30):
+                changed = [w if r.random() < 0.7 or any(w in p for p in phrases) else b"x" for w in ws]
+                if sum(weights[a] for a, b in zip(ws, changed, strict=True) if a == b) >= license_scan.MIN_AGREED * ix.total[k]:
+                    assert label in [found for found, _ in ix.matches([b"y"] * 3 + changed)], (k, changed)
+
+
 # 8 archive
 
 
