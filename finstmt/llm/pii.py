@@ -1,32 +1,39 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base spans come from fixed forms (email, ip, card, phone). They seed a bootstrap: every token that looks like
-an identifier is a slot with the words to its left as lexical patterns; patterns and instances make a graph
+Base spans come from fixed forms (email, ip, card, phone). They seed a bootstrap: every run of groups that looks
+like an identifier is a slot with the words to its left as lexical patterns; patterns and instances make a graph
 whose edges are (pattern, instance) pairs. Rounds of Spark joins score patterns by the instances they yield
 and instances by the patterns they stand in, starting from the seeds; slots that stand in a pattern of high
 confidence become spans of its kind, so that identifiers of no fixed form are found. Texts are read once:
 base spans and slots are written, and all rounds run over the slots.
 
-A pattern needs ``MIN_SUPPORT`` distinct instances, and a score of ``MIN_SCORE`` where each instance counts
-the confidence that it is of the pattern's kind. A new instance is as sure as its best pattern, lessened by
-``DECAY`` each round.
+A slot is a run of groups with a digit, joined by dots, hyphens, colons and the like; groups of digits or capitals
+also by single spaces and brackets ('(212) 555-0147'). Tokens around an @ and IPv6 addresses need no digit.
+
+A pattern needs ``MIN_SUPPORT`` distinct instances, and a score of ``MIN_SCORE``: the mean confidence that its
+instances are of the kind, over those known and those against it, which are known as another kind or cannot have
+the kind's form (a date is no phone number). Unknown instances of a possible form count for neither side; the
+known ones together need the confidence of the least pattern that none is unknown in, ``MIN_SUPPORT * MIN_SCORE``.
+A new instance is as sure as its best pattern, lessened by ``DECAY`` each round.
 
 Cases
 - null text: empty, no spans. Repeated rows: each is searched alone; equal instances count once in a pattern.
-- a token that overlaps a base span is never a slot of another kind; spans of one kind never overlap.
-- ties between kinds: the kind with the higher pattern score, then in the order of KINDS.
+- a group that overlaps a base span is never part of a slot of another kind; spans of one kind never overlap.
+- between kinds: one whose form the slot may have, then the higher pattern score, then the order of KINDS.
+- groups of one list, with single spaces between them, are one slot.
 - a null doc_id keeps its row. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +51,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-#: A slot: 6 to 64 signs of an identifier among which there is a digit, not inside a longer word.
-_SLOT = re.compile(r"(?<![\w@])(?=[\w.%+@/-]*[0-9])[A-Za-z0-9+](?:[\w.%+@/-]{4,62})[A-Za-z0-9](?![\w@])", re.ASCII)
+_MIN_SLOT = 6
+# A token with a digit, an @ or two colons in a row; the look-behind and possessive repeats keep it linear.
+_TOKEN = re.compile(r"(?<![\w.%+@/:-])[A-Za-z_.%+/-]*+(?::[A-Za-z_.%+/-]++)*+(?::?[0-9@]|::)[\w.%+@/:-]*+", re.ASCII)
+_DIGIT = re.compile(r"[0-9]")
+_HEX = re.compile(r"[0-9A-Fa-f]{0,4}")
+_ADDRESS = re.compile(r"[^@]+@[^@]+")
+#: Groups that go on over a space or bracket, and what may stand between them.
+_LOOSE, _BETWEEN = re.compile(r"[0-9A-Z.+/:-]+"), frozenset([" ", "(", ")", "[", "]", " (", ") ", " [", "] ", "-(", ")-", "]:", ".(", ")."])
+_BRACKETS = {")": "(", "]": "["}
+_DATE = re.compile(r"(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4})(?: [0-9:.]+)?")
+_NUMBER = re.compile(r"[0-9+ ()\[\]./-]+")
+_DOTTED = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?:[:/][0-9]+)?")
 _CONTEXT = re.compile(r"[^\W\d_]+|[:=#]")
 
 
@@ -98,26 +115,102 @@ def patterns_before(text: str, start: int) -> list[str]:
     return [" ".join(words[-k:]) for k in range(1, len(words) + 1)]
 
 
+def _groups(token: str, at: int) -> Iterator[tuple[int, int]]:
+    """The parts of a token, as places in the text, that are identifiers: pieces between colons stay joined."""
+    pieces = token.split(":")
+    hexes = len(pieces) > 2
+    start, first, last = at, None, at
+    for piece in [*pieces, None]:
+        if piece is not None and (_DIGIT.search(piece) or _ADDRESS.fullmatch(piece) or (hexes and _HEX.fullmatch(piece))) and not piece.startswith("@"):
+            first, last = start if first is None else first, start + len(piece)
+        elif first is not None:
+            run = token[first - at : last - at]
+            begin = len(run) - len(run.lstrip("_.%@/-:"))
+            end = len(run.rstrip("_.%+@/-:"))
+            # The two colons that an IPv6 address may begin or end with are its own.
+            begin -= 2 * run[:begin].endswith("::")
+            end += 2 * run[end:].startswith("::")
+            part = run[begin:end]
+            if _DIGIT.search(part) or "@" in part or (part.count(":") > 1 and part.strip(":")):
+                yield first + begin, first + end
+            first = None
+        start += len(piece or "") + 1
+
+
+def runs(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Where slots lie that overlap no base span."""
+    taken, i = sorted((s, e) for _, s, e in base), 0
+    start = end = None
+    opened: list[str] = []
+    loose = False
+    for m in _TOKEN.finditer(text):
+        for s, e in _groups(m[0], m.start()):
+            while i < len(taken) and taken[i][1] <= s:
+                i += 1
+            if i < len(taken) and taken[i][0] < e:
+                continue
+            goes_on = bool(_LOOSE.fullmatch(text, s, e))
+            if start is not None and loose and goes_on and s - end <= 2 and text[end:s] in _BETWEEN:
+                end = e
+                continue
+            if start is not None:
+                yield _bracketed(text, start, end)
+            start, end, loose = s, e, goes_on
+    if start is not None:
+        yield _bracketed(text, start, end)
+
+
+def _bracketed(text: str, start: int, end: int) -> tuple[int, int]:
+    """With the bracket before it that is closed inside, and the one after it that is opened inside."""
+    depth = {"(": 0, "[": 0}
+    for c in text[start:end]:
+        if c in depth:
+            depth[c] += 1
+        elif c in _BRACKETS:
+            depth[_BRACKETS[c]] -= 1
+    before = text[start - 1 : start]
+    after = text[end : end + 1]
+    start -= depth.get(before, 0) < 0
+    return start, end + (depth.get(_BRACKETS.get(after, ""), 0) > 0)
+
+
+def _ip_form(instance: str) -> bool:
+    if instance.count(":") < 2:
+        return bool(_DOTTED.fullmatch(instance))
+    try:
+        return bool(ipaddress.IPv6Address(instance.lstrip("[").split("]")[0].split("/")[0]))
+    except ValueError:
+        return False
+
+
+def form(instance: str) -> int:
+    """Bits of those of KINDS whose form it may have."""
+    digits = len(_NOT_DIGIT.sub("", instance))
+    number = bool(_NUMBER.fullmatch(instance)) and not _DATE.fullmatch(instance)
+    return sum(f << i for i, f in enumerate(["@" in instance, _ip_form(instance), number and 12 <= digits <= 19, number and 6 <= digits <= 15]))
+
+
+def may_be(kind: str) -> Column:
+    return F.col("form").bitwiseAND(1 << KINDS.index(kind)) > 0
+
+
+def _slot(kind: str | None, text: str, s: int, e: int, patterns: list[str]) -> dict:
+    own = 1 << KINDS.index(kind) if kind else 0
+    return {"kind": kind, "first": s, "last": e, "instance": xxhash.xxh64_intdigest(text[s:e]) - (1 << 63), "form": form(text[s:e]) | own, "patterns": patterns}
+
+
 def slots(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Base spans, and tokens that look like identifiers and overlap none, with their patterns."""
-    out, taken = [], sorted((s, e) for _, s, e in base)
-    for kind, s, e in base:
-        out.append({"kind": kind, "first": s, "last": e, "instance": xxhash.xxh64_intdigest(text[s:e]) - (1 << 63), "patterns": patterns_before(text, s)})
-    i = 0
-    for m in _SLOT.finditer(text):
-        s, e = m.span()
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        if i < len(taken) and taken[i][0] < e:
-            continue
-        patterns = patterns_before(text, s)
+    """Base spans, and runs that look like identifiers and overlap none, with their patterns."""
+    out = [_slot(kind, text, s, e, patterns_before(text, s)) for kind, s, e in base]
+    for s, e in runs(text, base):
+        patterns = patterns_before(text, s) if e - s >= _MIN_SLOT else []
         if patterns:
-            out.append({"kind": None, "first": s, "last": e, "instance": xxhash.xxh64_intdigest(m[0]) - (1 << 63), "patterns": patterns})
+            out.append(_slot(None, text, s, e, patterns))
     return out
 
 
-_SLOT_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))]))
-_SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, slots array<struct<kind:string,first:bigint,last:bigint,instance:bigint,patterns:array<string>>>"
+_SLOT_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("instance", pa.int64()), ("form", pa.int64()), ("patterns", pa.list_(pa.string()))]))
+_SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, slots array<struct<kind:string,first:bigint,last:bigint,instance:bigint,form:bigint,patterns:array<string>>>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,20 +233,25 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE, decay: float = DECAY) -> DataFrame:
     """(pattern, kind, score) of the accepted patterns.
 
-    edges: distinct (pattern, instance); seeds: distinct (instance, kind). In each round a pattern's score for
-    a kind is the mean confidence over its instances, of which unknown ones count 0; an instance's confidence
-    is 1 for a seed, else its best accepted pattern's score times ``decay``.
+    edges: distinct (pattern, instance, form); seeds: distinct (instance, kind). In each round a pattern's score
+    for a kind is the mean confidence over its instances that are known or against the kind; an instance's
+    confidence is 1 for a seed, else its best accepted pattern's score times ``decay``.
     """
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(~may_be(k)).alias(f"not_{k}") for k in KINDS)).where(F.col("n") >= min_support)
     graph = shared.settle(edges.join(sizes, "pattern"), "pii-graph")
-    known = seeds.select("instance", "kind", F.lit(1.0).alias("confidence"))
-    accepted = None
-    for k in range(rounds):
-        score = graph.join(known, "instance").groupBy("pattern", "kind").agg((F.sum("confidence") / F.first("n")).alias("score"))
-        accepted = shared.settle(score.where(F.col("score") >= min_score), f"pii-patterns-{k}")
-        if k + 1 < rounds:
+    sure = seeds.select("instance", "kind", F.lit(1.0).alias("confidence"))
+    known, accepted = sure, None
+    for r in range(rounds):
+        by_kind = known.groupBy("instance").agg(*(F.max(F.when(F.col("kind") == k, F.col("confidence"))).alias(k) for k in KINDS))
+        met = graph.join(by_kind, "instance").groupBy("pattern")
+        # Against a kind: all that cannot be of it. Of those that can, only the known ones, of whatever kind, are counted.
+        sums = [F.struct(F.lit(k).alias("kind"), F.coalesce(F.sum(k), F.lit(0.0)).alias("sum"), (F.first(f"not_{k}") + F.count_if(may_be(k))).alias("of")).alias(k) for k in KINDS]
+        each = met.agg(*sums).select("pattern", F.explode(F.array(*KINDS)).alias("s")).select("pattern", "s.*")
+        score = each.where(F.col("sum") >= min_support * min_score).select("pattern", "kind", (F.col("sum") / F.col("of")).alias("score"))
+        accepted = shared.settle(score.where(F.col("score") >= min_score), f"pii-patterns-{r}")
+        if r + 1 < rounds:
             new = graph.join(accepted, "pattern").select("instance", "kind", (F.col("score") * decay).alias("confidence"))
-            known = seeds.select("instance", "kind", F.lit(1.0).alias("confidence")).union(new).groupBy("instance", "kind").agg(F.max("confidence").alias("confidence"))
+            known = sure.union(new)
     return accepted
 
 
@@ -162,12 +260,13 @@ def extract(documents: DataFrame, min_support: int = MIN_SUPPORT, min_score: flo
     docs = shared.pick(documents, doc_id="bigint", text="string")
     read = shared.settle(docs.mapInArrow(_read, _SCHEMA).withColumn("rid", F.monotonically_increasing_id()), "pii-slots")
     each = read.select("rid", F.explode("slots").alias("s")).select("rid", "s.*")
-    edges = each.select(F.explode("patterns").alias("pattern"), "instance").distinct()
+    edges = each.select(F.explode("patterns").alias("pattern"), "instance", "form").groupBy("pattern", "instance").agg(F.bit_or("form").alias("form"))
     seeds = each.where("kind is not null").select("instance", "kind").distinct()
     accepted = score_patterns(edges, seeds, min_support=min_support, min_score=min_score)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("order")
-    slot = each.where("kind is null").select("rid", "first", "last", F.explode("patterns").alias("pattern"))
-    best = slot.join(accepted, "pattern").groupBy("rid", "first", "last").agg(F.max(F.struct("score", -order, "kind")).alias("best"))
+    fits = F.coalesce(*(F.when(F.col("kind") == k, may_be(k)) for k in KINDS)).alias("fits")
+    slot = each.where("kind is null").select("rid", "first", "last", "form", F.explode("patterns").alias("pattern"))
+    best = slot.join(accepted, "pattern").groupBy("rid", "first", "last").agg(F.max(F.struct(fits, "score", -order, "kind")).alias("best"))
     added = best.groupBy("rid").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "first", "last")).alias("added"))
     return read.drop("slots").join(added, "rid", "left").withColumn("spans", _with_added("base", "added"))
 

@@ -135,6 +135,37 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(out[i]["spans"] == out[i]["base"] for i in range(20))
 
 
+def test_slots_are_whole_identifiers():
+    found = lambda t: [t[x["first"] : x["last"]] for x in pii.slots(t, pii.base_spans(t))]
+    key = "k" * 100 + "7"
+    for one in ["020 7946 0958", "(212) 555-0147", "4111 1111 1111 1112", "2001:db8::1", "fe80::dead:beef", "jane.doe@localhost", key]:
+        assert found(f"see phone {one}, and (at last: {one}) go") == [one, one], one
+    assert found("std::vector of a: b, room 12, 3 men, @name1234 and see 555-0199-77 today") == ["555-0199-77"]
+    for t in ["a" * 300_000, "1" * 300_000, "1." * 150_000, "1:" * 150_000, "a:" * 150_000, "1 " * 150_000, "(1" * 150_000, "a@" * 150_000, "a." * 150_000 + "1"]:
+        assert len(found("x " + t)) <= 150_000
+
+
+def test_patterns_discover_local_and_spaced_identifiers(spark):
+    r = random.Random(1)
+    cards = [c for c in ("".join(r.choice("0123456789") for _ in range(16)) for _ in range(400)) if pii._luhn(c)][:8]
+    texts = [f"our phone +44 20 7946 1{i:03d} now" for i in range(8)] + [f"paid with card {c} now" for c in cards]
+    texts += [f"from host 10.0.0.{i} now" for i in range(8)] + [f"write mail user{i}@example.com now" for i in range(8)]
+    texts += [f"until +44 20 7946 2{i:03d} now" for i in range(8)] + [f"until 2024-01-{i:02d} now" for i in range(10, 30)]
+    n = len(texts)
+    new = [("phone", "020 7946 0958"), ("phone", "(212) 555-0147"), ("card", "4111 1111 1111 1112"), ("ip", "2001:db8::1"), ("email", "jane.doe@localhost")]
+    before = {"phone": "phone", "card": "card", "ip": "host", "email": "mail"}
+    texts += [f"{before[k]} {one} end" for k, one in new] + [f"phone 020 7946 1{i:03d} end" for i in range(12)]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    out = {x["doc_id"]: x for x in rows_of(pii.extract(docs))}
+    for i, (k, one) in enumerate(new, n):
+        at = texts[i].index(one)
+        assert out[i]["spans"] == f"{k}:{at}:{at + len(one)}" and out[i]["base"] == "", texts[i]
+    assert all(out[i]["spans"] == "phone:6:19" for i in range(n + len(new), len(texts)))
+    assert all(out[i]["spans"] == out[i]["base"] for i in range(n))
+    masked = {x["doc_id"]: x["text"] for x in rows_of(pii.redact(docs))}
+    assert [masked[n + i] for i in range(len(new))] == [f"{before[k]} <{k}> end" for k, _ in new]
+
+
 def test_pii_odd_rows(spark, odd, none):
     out = rows_of(pii.extract(odd))
     assert len(out) == len(odd_rows()) and pii.extract(none).count() == 0
