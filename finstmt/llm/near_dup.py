@@ -308,8 +308,8 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(edges.select(F.col("a").alias("digest"), F.col("a").alias("label")).distinct())
 
 
-def find(documents: DataFrame, rule: Rule = USUAL) -> DataFrame:
-    """doc_id, fp (hash of the text), n_shingles, component_id, kept for each document."""
+def labelled(documents: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, fp (hash of the text), n, label of the group (null: an empty set) and its smallest doc_id."""
     docs = shared.pick(documents, doc_id="bigint", text="string").withColumn("fp", F.xxhash64("text"))
     rows = shared.settle(sketched(docs, rule), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
@@ -324,15 +324,26 @@ def find(documents: DataFrame, rule: Rule = USUAL) -> DataFrame:
     labels = shared.settle(components(links.union(more)), "labels")
     of = classes.join(labels, "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), "doc_id")
     lowest = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = of.join(lowest, "label").select("digest", "component_id")
+    of = of.join(lowest, "label").select("digest", "label", "component_id")
+    return rows.join(of, "digest", "left").select("doc_id", "fp", "n", "label", "component_id")
+
+
+def find(documents: DataFrame, rule: Rule = USUAL) -> DataFrame:
+    """doc_id, fp (hash of the text), n_shingles, component_id, kept for each document."""
     own = F.coalesce(F.col("component_id"), F.col("doc_id"))
-    return rows.join(of, "digest", "left").select("doc_id", "fp", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return labelled(documents, rule).select("doc_id", "fp", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def one_of_each(documents: DataFrame, rule: Rule = USUAL) -> DataFrame:
-    """documents without those that are not kept; of repeated rows of a kept one, one stays."""
+    """One document of each group, that of the smallest doc_id (null last), then of the smallest text hash.
+
+    Documents without words are near nothing: of these only repeated rows go.
+    """
     key = [F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_fp")]
-    kept = find(documents, rule).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n"))
+    each = labelled(documents, rule).groupBy("label", "doc_id", "fp").agg(F.count("*").alias("n"))
+    alone = F.when(F.col("label").isNull(), F.struct("doc_id", "fp")).alias("alone")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")).alias("first")
+    kept = each.groupBy("label", alone).agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp"), F.col("first.n").alias("_n"))
     kept = shared.settle(kept, "kept")
     rows = documents.select(F.struct("*").alias("row"), *key)
     among = lambda which: rows["_id"].eqNullSafe(which["_id"]) & rows["_fp"].eqNullSafe(which["_fp"])

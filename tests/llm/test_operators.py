@@ -440,6 +440,15 @@ def test_one_of_each_group_stays(spark, odd, none):
     assert near_dup.one_of_each(none).count() == 0 and near_dup.one_of_each(odd).columns == odd.columns
 
 
+def test_one_row_of_a_group_without_own_ids_stays(spark, none):
+    a, b, c = (prose(seed, 120) for seed in (71, 72, 73))
+    rows = [(None, a, "s"), (None, edited(a, 1, 1), "s"), (None, edited(a, 1, 2), "s"), (5, b, "s"), (5, edited(b, 1, 3), "s"), (9, b, "s"), (None, edited(b, 1, 4), "s"), (None, c, "s"), (3, edited(c, 1, 5), "s")]
+    rows += [(None, "", "s"), (None, "", "s"), (7, " ", "s"), (8, "", "s")]
+    left = rows_of(near_dup.one_of_each(frame(spark, rows)))
+    assert Counter(r["doc_id"] for r in left) == {None: 2, 5: 1, 3: 1, 7: 1, 8: 1}
+    assert sum(r["text"] == "" and r["doc_id"] is None for r in left) == 1
+
+
 def test_estimates_are_close():
     r = np.random.default_rng(0)
     for n in (10, 100, 1000, 10_000):
