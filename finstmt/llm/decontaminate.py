@@ -294,7 +294,8 @@ def cut(text: str, spans: list, known: set[bytes], size: int = SIZE) -> str:
 def remove_spans(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """documents with the merged spans cut out of ``text``; those without a hit are not touched.
 
-    Only windows of a document's own hits are looked for again where the rest of its text meets.
+    Documents that were cut are scanned again for all windows until none is hit, as a window may also arise
+    where the rest of a text meets. Each round writes its documents, the later ones only those that were cut.
     """
     rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     found = scan(rows, benchmark, ["row"], size).withColumn("text", F.col("row.text").cast("string"))
@@ -310,7 +311,16 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -
 
         return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    return found.withColumn("text", cleaned("text", "spans")).select(*shared.with_text(documents.columns))
+    hit = F.size("spans") > 0
+    now = shared.settle(found.select("row", F.when(hit, cleaned("text", "spans")).alias("text"), hit.alias("hit")), "cut-0")
+    done = now.where("not hit").withColumn("text", F.col("row.text").cast("string"))
+    rounds = 0
+    while not (again := now.where("hit")).isEmpty():
+        rounds += 1
+        found = scan(again.select("row", "text"), benchmark, ["row", "text"], size)
+        now = shared.settle(found.select("row", cleaned("text", "spans").alias("text"), hit.alias("hit")), f"cut-{rounds}")
+        done = done.union(now.where("not hit"))
+    return done.select(*shared.with_text(documents.columns))
 
 
 def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

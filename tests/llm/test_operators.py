@@ -271,6 +271,17 @@ def test_spans_are_cut_and_nothing_else(spark, odd, none):
     assert decontaminate.remove_spans(odd, bench.limit(0)).count() == len(odd_rows())
 
 
+def test_windows_that_arise_by_cutting_are_cut(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(10)) for x in "abc")
+    items = [(1, a), (2, b), (3, c), (4, "uno dos")]
+    within = lambda inner, outer: " ".join([*outer.split()[:5], inner, *outer.split()[5:]])
+    texts = [f"x {within(a, b)} y", f"x {within(within(a, b), c)} y", f"x uno {a} dos y", f"x {a} y", "x uno y dos"]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    out = {r["doc_id"]: r["text"].split() for r in rows_of(decontaminate.remove_spans(docs, bench))}
+    assert out == {0: ["x", "y"], 1: ["x", "y"], 2: ["x", "y"], 3: ["x", "y"], 4: ["x", "uno", "y", "dos"]}
+
+
 # 6 line frequency
 
 
