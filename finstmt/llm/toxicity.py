@@ -3,16 +3,21 @@
 A linear classifier over hashed words and word stems (present, twice, three times) is trained in numpy from confirmed toxic examples and
 unlabelled text. With class prior p, the risk is p R+(positives) + max(0, R-(unlabelled) - p R-(positives));
 where the difference falls below zero its gradient is reversed (Kiryo et al. 2017). Steps are proximal
-AdaGrad with an L1 penalty, which leaves the few words that tell. Scores are logistic, fitted on folds that
-the weights have not seen.
+AdaGrad with an L1 penalty, which leaves the few words that tell.
 
-Training takes at most ``MOST`` labelled rows outside the held-out fold: their toxic ones as positives, all
-their texts as the unlabelled set. The class prior is the share of toxic labels outside the fold.
+No label but "toxic" is read. The class prior, where it is not given, is estimated from the scores of parts that
+the weights have not seen: the least ratio of the unlabelled share to the positives' share above a score, with
+its margin of error (Garg et al. 2021). The slope of the score minimises the same
+risk on those parts, and its mean over unlabelled text is the prior.
+
+Training takes about ``MOST_POSITIVE`` toxic documents outside the held-out fold, and as unlabelled text about
+``MOST_UNLABELLED`` of all documents outside it.
 
 Cases
 - null or empty text: the score of a document without words.
-- no positives at all: every score is 0, nothing is predicted toxic.
-- repeated rows and ties: each row is scored alone. A null doc_id is not held out. Extra columns are ignored.
+- no positives at all, or no other text: every score is 0, nothing is predicted toxic.
+- repeated rows and ties: each row is scored alone; in the unlabelled set equal rows count once.
+- very long texts are read whole. A null doc_id is not held out. Extra columns are ignored.
 - empty table: no rows.
 """
 
@@ -35,7 +40,8 @@ THRESHOLD = 0.7
 BITS = 20
 STEMS = (4, 5, 6, 7)
 LEVELS = 3
-MOST, MOST_FEATURES = 16_384, 4096
+MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 8_192, 16_384, 4_096
+PARTS, FIRST_PRIOR = 4, 0.2
 
 
 def stems(word: bytes) -> tuple[int, ...]:
@@ -53,7 +59,7 @@ class _Stems(dict):
         self.wanted = wanted
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > shared.REMEMBERED:
             self.clear()
         t = self[word] = tuple(x for x in stems(word) if self.wanted is None or x in self.wanted)
         return t
@@ -84,20 +90,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def gradient(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the risk by the scores of positives and of unlabelled text; where the estimated risk of negatives falls
+    below zero, the gradient that brings it back."""
+    gu, gp_minus, gp_plus = _sigmoid(zu) / len(zu), -prior * _sigmoid(zp) / len(zp), -prior * _sigmoid(-zp) / len(zp)
+    if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean():
+        return gp_plus + gp_minus, gu
+    return -gp_minus, -gu
+
+
 def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, width: int, steps: int = 150, rate: float = 0.3) -> tuple[np.ndarray, float]:
-    """Weights and offset of the non-negative risk estimator with logistic loss."""
+    """Weights and offset of the non-negative risk estimator with logistic loss, the mean of the second half of the steps."""
     p, u = Rows(positives), Rows(unlabelled)
     w, b = np.zeros(width), float(np.log(prior / (1 - prior)))
     squares, b_square = np.full(width, 1e-8), 1e-8
     l1 = prior * np.sqrt(0.05 / p.n)
-    for _ in range(steps):
+    mean_w, mean_b, counted = np.zeros(width), 0.0, steps - steps // 2
+    for k in range(steps):
         zp, zu = p.dot(w) + b, u.dot(w) + b
-        excess = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gu, gp_minus, gp_plus = _sigmoid(zu) / u.n, -prior * _sigmoid(zp) / p.n, -prior * _sigmoid(-zp) / p.n
-        if excess >= 0:
-            on_p, on_u = gp_plus + gp_minus, gu
-        else:
-            on_p, on_u = -gp_minus, -gu
+        on_p, on_u = gradient(zp, zu, prior)
         g, gb = p.back(on_p, width) + u.back(on_u, width), on_p.sum() + on_u.sum()
         squares += g * g
         b_square += gb * gb
@@ -105,19 +116,43 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
         w -= step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
         b -= rate * gb / np.sqrt(b_square)
-    return w, b
-
-
-def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method, slightly regularised."""
-    a, b = 1.0, 0.0
-    x = np.stack([z, np.ones_like(z)], axis=1)
-    for _ in range(30):
-        s = _sigmoid(a * z + b)
-        h = (x * (s * (1 - s))[:, None]).T @ x + np.diag([1e-2, 1e-4])
-        step = np.linalg.solve(h, x.T @ (s - y) + np.array([1e-2 * (a - 1), 0]))
-        a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -2, 2))
-    return max(a, 1e-3), b
+        if k >= steps // 2:
+            mean_w, mean_b = mean_w + w / counted, mean_b + b / counted
+    return mean_w, mean_b
+
+
+def scale(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and offset of the logistic score, from scores of positives and unlabelled text alone.
+
+    The slope is that of the least non-negative risk over a grid of slopes and middles; the offset then makes the
+    mean score of unlabelled text the prior.
+    """
+    soft, best = lambda x: np.logaddexp(0, x), (np.inf, 1.0)
+    middles = np.unique(np.quantile(np.concatenate([zp, zu]), np.linspace(0, 1, 65)))
+    for a in 0.25 * 2 ** np.arange(0, 6.5, 0.5):
+        for m in middles:
+            xp, xu = a * (zp - m), a * (zu - m)
+            best = min(best, (prior * soft(-xp).mean() + max(0.0, soft(xu).mean() - prior * soft(xp).mean()), a))
+    a = float(best[1])
+    low, high = -100.0 * a, 100.0 * a
+    for _ in range(80):
+        b = (low + high) / 2
+        low, high = (low, b) if _sigmoid(a * zu + b).mean() > prior else (b, high)
+    return a, b
+
+
+def prior_of(zp: np.ndarray, zu: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives in the unlabelled text, from scores that training has not seen.
+
+    Above any score the unlabelled text holds at least prior times the positives' share; the ratio is taken
+    where it is least with both shares' margins of error (Dvoretzky, Kiefer and Wolfowitz) at ``doubt``.
+    """
+    at = np.unique(zp)
+    above = lambda z: 1 - np.searchsorted(np.sort(z), at, "left") / len(z)
+    p, u = above(zp), above(zu)
+    margin = sum(np.sqrt(np.log(4 / doubt) / (2 * len(z))) for z in (zp, zu))
+    best = np.argmin((u + margin) / p)
+    return float(np.clip(u[best] / p[best], 1 / (len(zu) + 1), 0.95))
 
 
 class Model:
@@ -132,22 +167,27 @@ class Model:
 NEVER = Model({}, 0.0, 0.0, -50.0)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, parts: int = 3) -> Model:
-    """Train on all rows; the score scale comes from parts that were left out in turn."""
-    if y.sum() == 0 or not 0 < prior < 1:
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], part_p: np.ndarray, part_u: np.ndarray, prior: float | None = None) -> Model:
+    """Train on all rows; prior and scale come from parts that were left out in turn (a document's rows are of one part)."""
+    if not positives or not unlabelled:
         return NEVER
-    used, at = np.unique(np.concatenate([*rows, np.zeros(0, np.int32)]), return_inverse=True)
-    split = np.split(at, np.cumsum([len(r) for r in rows])[:-1])
-    fitted = lambda on: train([split[i] for i in on if y[i]], [split[i] for i in on], prior, len(used))
-    everyone, z = np.arange(len(rows)), np.zeros(len(rows))
-    left_out = everyone % parts
-    for k in range(parts):
-        on = everyone[left_out != k]
-        if y[on].sum():
-            w, b = fitted(on)
-            z[left_out == k] = Rows([split[i] for i in everyone[left_out == k]]).dot(w) + b
-    slope, shift = _logistic(z, y)
-    w, b = fitted(everyone)
+    every = [*positives, *unlabelled]
+    used, at = np.unique(np.concatenate([*every, np.zeros(0, np.int64)]), return_inverse=True)
+    split = np.split(at, np.cumsum([len(r) for r in every])[:-1])
+    p, u = split[: len(positives)], split[len(positives) :]
+    zp, zu, given = np.zeros(len(p)), np.zeros(len(u)), prior
+    for prior in (given or FIRST_PRIOR, given):
+        prior = prior or prior_of(zp, zu)
+        for k in range(PARTS):
+            on_p, on_u = [r for r, i in zip(p, part_p, strict=True) if i != k], [r for r, i in zip(u, part_u, strict=True) if i != k]
+            if on_p and on_u:
+                w, b = train(on_p, on_u, prior, len(used))
+                for z, rows, part in ((zp, p, part_p), (zu, u, part_u)):
+                    out = np.flatnonzero(part == k)
+                    z[out] = Rows([rows[i] for i in out]).dot(w) + b
+    prior = given or prior_of(zp, zu)
+    slope, shift = scale(zp, zu, prior)
+    w, b = train(p, u, prior, len(used))
     keep = np.flatnonzero(w)
     return Model(dict(zip(used[keep].tolist(), w[keep].tolist(), strict=True)), b, slope, shift)
 
@@ -155,24 +195,21 @@ def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, parts: int = 3) ->
 def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, among, positive = _Stems(), Counter(), Counter()
     for b in batches:
-        for text, y in zip(b.column("text"), b.column("y").to_pylist(), strict=True):
-            found = features(text.as_py(), known)
-            among.update(found)
-            if y == 1:
-                positive.update(found)
-    names = list(among)
+        for text, y in zip(b.column("text"), b.column("positive").to_pylist(), strict=True):
+            (positive if y else among).update(features(text.as_py(), known))
+    names = [*among, *(f for f in positive if f not in among)]
     columns = [names, [among[f] for f in names], [positive[f] for f in names]]
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["feature", "n", "n_positive"])
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["feature", "n", "k"])
 
 
 def selected(sample: DataFrame, most: int = MOST_FEATURES) -> list[int]:
-    """The features whose share among the positives differs most from their share among all, in deviations."""
-    size = sample.agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("p")).first()
-    if not size.p:
+    """The features whose share among the positives differs most from their share in unlabelled text, in deviations."""
+    size = sample.agg(F.count_if(~F.col("positive")).alias("n"), F.count_if("positive").alias("p")).first()
+    if not size.p or not size.n:
         return []
-    counts = sample.mapInArrow(_support, "feature bigint, n bigint, n_positive bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_positive").alias("k"))
-    share = F.col("n") / size.n
-    z = (F.col("k") / size.p - share) / F.sqrt(share * (1 - share) / size.p + 1e-9)
+    counts = shared.in_batches(sample, _support, "feature bigint, n bigint, k bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    share = F.least((F.col("n") + 0.5) / (size.n + 1), F.lit(0.9999))
+    z = (F.col("k") / size.p - share) / F.sqrt(share * (1 - share) / size.p)
     strong = counts.where("k >= 3 or n >= 50").select("feature", F.abs(z).alias("z")).where("z > 2")
     return sorted(r.feature for r in strong.orderBy(F.desc("z"), "feature").limit(most).collect())
 
@@ -183,19 +220,27 @@ def _reduced(chosen):
         known = _Stems({f // 4 for f in wanted})
         for b in batches:
             rows = [[f for f in features(t.as_py(), known) if f in wanted] for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.int64())), b.column("y")], ["doc_id", "at", "y"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("part"), pa.array(rows, pa.list_(pa.int64())), b.column("positive")], ["h", "part", "at", "positive"])
 
     return run
 
 
-def learn(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
-    """The model of the labels outside the held-out fold."""
-    fair = shared.pick(labels, doc_id="bigint", toxic="int").where(~labelled.held_out("doc_id", FOLDS, FOLD))
-    prior = fair.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    sample = shared.settle(labelled.sample(documents, labels, "toxic", FOLDS, FOLD, most), "toxic-sample")
+def learn(documents: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = MOST_POSITIVE, unlabelled: int = MOST_UNLABELLED) -> Model:
+    """The model of the toxic documents outside the held-out fold and of unlabelled text.
+
+    Of the sample, the chosen features' numbers reach the driver (MOST_FEATURES a row at most), texts do not.
+    """
+    toxic = labelled.sample(documents, labels, "toxic", FOLDS, FOLD, positives, only=1).select("doc_id", "text", F.lit(True).alias("positive"))
+    rest = labelled.unlabelled(documents, FOLDS, FOLD, unlabelled).select("doc_id", "text", F.lit(False).alias("positive"))
+    number = toxic.unionByName(rest).withColumn("h", F.xxhash64("doc_id", "text")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    sample = shared.settle(number, "toxic-sample")
     chosen = documents.sparkSession.sparkContext.broadcast(selected(sample))
-    table = sample.mapInArrow(_reduced(chosen), "doc_id bigint, at array<bigint>, y int").toArrow().sort_by("doc_id")
-    return fit([np.array(x.as_py(), np.int64) for x in table.column("at")], table.column("y").to_numpy() == 1, prior)
+    table = shared.in_batches(sample, _reduced(chosen), "h bigint, part int, at array<bigint>, positive boolean").toArrow().sort_by([("h", "ascending")])
+    is_p, part = (table.column(c).to_numpy() for c in ("positive", "part"))
+    rows = [np.array(x.as_py(), np.int64) for x in table.column("at")]
+    pick = lambda which: [r for r, w in zip(rows, which, strict=True) if w]
+    shared.discard(sample)
+    return fit(pick(is_p), pick(~is_p), part[is_p], part[~is_p], prior)
 
 
 def _score(model, keep: list[str]):
@@ -212,7 +257,7 @@ def _score(model, keep: list[str]):
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of docs (which has ``text``) and a score between 0 and 1."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), keep), schema)
+    return shared.in_batches(docs, _score(docs.sparkSession.sparkContext.broadcast(model), keep), schema)
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
