@@ -3,18 +3,23 @@
 A document's set holds its distinct word shingles (as 64-bit hashes). Documents of equal sets form one
 class. Classes that share a MinHash band are candidates; odd sketches of their MinHash samples (bit parities
 whose XOR counts the differing samples) estimate the similarity and drop candidates that are clearly below
-the limit; the rest is confirmed on the full sets, read again from the texts.
+the limit (``Rule.margin`` of 1 turns this screen off); the rest is confirmed on the full sets, read again
+from the texts. A class is known by a number, that of one of its rows.
 
 No bucket is expanded into all its pairs. First each member of a bucket is held against the bucket's hub
-only, and links found that way make components. Then only buckets in which more than one
-component is left are compared, between components, in blocks of at most ``2 * BLOCK`` members; a larger
-bucket is dealt out as pairs of blocks, so none of its pairs is skipped.
+only, and links found that way make components. Then only what lies outside a bucket's largest component is
+compared, with all that is of another component, in blocks of about ``BLOCK`` members; a larger bucket is dealt
+out as pairs of blocks, so none of its pairs is skipped. Of the pairs between two components that are surely
+above the limit only the nearest is confirmed; should it fail, all pairs of these components are.
+
+Hubs, large bands and large components may hold any share of the rows: their joins are spread over parts.
 
 Cases
 - null text or no words: empty set, n_shingles 0, linked with nothing (not even with other empty ones).
 - fewer words than a shingle has: the whole sequence is the only shingle.
 - repeated rows: the same document once more, each with its row; kept where doc_id = component_id.
-- a null doc_id never becomes a component_id unless its component has no other; kept is then true for it.
+- a null doc_id never becomes a component_id unless its component has no other; of a component without any
+  doc_id one row is kept.
 - very long texts are read whole; extra columns are ignored; empty table: no rows.
 """
 
@@ -36,7 +41,8 @@ from . import shared
 class Rule:
     """What is near: shingles of ``words`` words, linked where num / den of their union is shared.
 
-    Two sets at the limit share no band with a probability of (1 - limit^rows)^bands.
+    Two sets at the limit share no band with a probability of (1 - limit^rows)^bands. Estimates by sketch this
+    ``margin`` below the limit are dropped: five standard deviations of BINS samples.
     """
 
     words: int = 5
@@ -44,6 +50,7 @@ class Rule:
     den: int = 100
     bands: int = 40
     rows: int = 5
+    margin: float = 0.07
 
     @property
     def limit(self) -> float:
@@ -54,9 +61,8 @@ class Rule:
 USUAL, CONTRACT = Rule(), Rule(words=3, num=85, bands=32, rows=6)
 BIN_BITS, SKETCH_BITS = 10, 2048
 BINS = 1 << BIN_BITS
-#: Estimates this far below the limit are dropped: five standard deviations of BINS samples, and one and a half
-#: shingles, which small sets may lose to a shared bin.
-MARGIN, LOST = 0.07, 1.5
+#: Shingles that small sets may lose to a shared bin; estimates may be off by that besides the margin.
+LOST = 1.5
 BLOCK = 1024
 _W = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -65,7 +71,7 @@ class _Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > shared.REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -130,7 +136,7 @@ def sketches(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
 
 
-def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimate(x: np.ndarray, y: np.ndarray, margin: float = Rule.margin) -> tuple[np.ndarray, np.ndarray]:
     """Estimated similarities of sketches (rows of x and y), and how far they may be off.
 
     The XOR's population count z gives the number of differing samples, -m/2 ln(1 - 2z/m), and so the number
@@ -145,7 +151,7 @@ def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     j = np.full(len(z), 0.8)
     for _ in range(5):
         j = np.clip(equal / (in_use((n_x + n_y) / (1 + j)) * scale), 0, 1)
-    return j, MARGIN + LOST / np.maximum(n_x, n_y)
+    return j, margin + LOST / np.maximum(n_x, n_y)
 
 
 def _sketch_rows(rule: Rule):
@@ -169,7 +175,7 @@ def _sketch_rows(rule: Rule):
 
 def sketched(docs: DataFrame, rule: Rule) -> DataFrame:
     schema = "doc_id bigint, fp bigint, n bigint, digest binary, bands array<bigint>, sketch binary"
-    return docs.mapInArrow(_sketch_rows(rule), schema)
+    return shared.in_batches(docs, _sketch_rows(rule), schema)
 
 
 def _screen(rule: Rule):
@@ -178,17 +184,24 @@ def _screen(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                j, off = estimate(*(sketches(b.column(c).to_pylist()) for c in ("sketch_a", "sketch_b")))
+                j, off = estimate(*(sketches(b.column(c).to_pylist()) for c in ("sketch_a", "sketch_b")), rule.margin)
                 yield b.select(["a", "b"]).filter(pa.array(j >= rule.limit - off))
 
     return run
 
 
 def shared_bands(classes: DataFrame) -> DataFrame:
-    """(digest, band, size) of the buckets that hold more than one class."""
-    member = classes.select("digest", F.explode("bands").alias("band"))
-    size = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    return member.join(size, "band").select("digest", "band", "size")
+    """(c, band, size) of the buckets that hold more than one class."""
+    member = classes.select("c", F.explode("bands").alias("band"))
+    sizes = shared.settle(member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band-sizes")
+    return shared.join_counted(member, sizes, ["band"], "size")
+
+
+def with_hub(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    """pairs (a, b, n, the number of a's pairs) with ``value`` of both from side (c, value), as value_a and value_b."""
+    both = pairs.join(side.toDF("b", f"{value}_b"), "b")
+    hubs = pairs.select("a", "n").distinct().join(side.toDF("a", f"{value}_a"), "a")
+    return shared.join_spread(both, hubs, "a", "n", "b")
 
 
 def star_pairs(classes: DataFrame, buckets: DataFrame, rule: Rule) -> DataFrame:
@@ -197,63 +210,78 @@ def star_pairs(classes: DataFrame, buckets: DataFrame, rule: Rule) -> DataFrame:
     The hub is the member that meets most others over all bands, as the original of edited copies does: the
     copies are nearer to it than to each other.
     """
-    crowd = buckets.groupBy("digest").agg(F.sum("size").alias("met"))
-    member = buckets.join(crowd, "digest")
-    hub = member.groupBy("band").agg(F.max(F.struct("met", "digest"))["digest"].alias("a"))
-    pairs = buckets.select("digest", "band").join(hub, "band").where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
-    sk = classes.select("digest", "sketch")
-    both = pairs.join(sk.toDF("a", "sketch_a"), "a").join(sk.toDF("b", "sketch_b"), "b")
-    return both.mapInArrow(_screen(rule), "a binary, b binary")
+    crowd = buckets.groupBy("c").agg(F.sum("size").alias("met"))
+    hub = buckets.join(crowd, "c").groupBy("band").agg(F.max(F.struct("met", "c"))["c"].alias("a"), F.max("size").alias("size"))
+    met = shared.join_spread(buckets, hub, "band", "size", "c").where("c <> a")
+    pairs = shared.numbered(shared.settle(met.select("a", F.col("c").alias("b")).distinct(), "stars"), "a")
+    return shared.in_batches(with_hub(pairs, classes.select("c", "sketch"), "sketch"), _screen(rule), "a bigint, b bigint")
+
 
+PAIR = "a bigint, b bigint, label_a bigint, label_b bigint, sure boolean"
 
-def _between(rule: Rule, key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Candidate pairs of one block pair: different components, near by sketch, and this bucket the first
-    that they share.
 
-    Of the pairs between two components that are surely above the limit, the nearest is enough; those in
-    doubt all go on.
+def _between(rule: Rule, every: bool, key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Candidate pairs of one block pair: of different components, and near by sketch.
+
+    Of the pairs between two components that are surely above the limit, the nearest is enough unless ``every``
+    is asked for; those in doubt all go on.
     """
-    band, i, j = (k.as_py() for k in key)
-    names, comps, blocks = (group.column(c).to_pylist() for c in ("digest", "label", "block"))
+    i, j = (k.as_py() for k in key[1:])
+    names, labels, blocks = (group.column(c).to_numpy() for c in ("c", "label", "block"))
     sk, limit = sketches(group.column("sketch").to_pylist()), rule.limit
-    bands = np.array(group.column("bands").to_pylist(), np.int64)
-    before = np.argmax(bands[:1] == band)  # a band's keys are its own, so this is its number
-    ids = np.unique(np.array(comps, object), return_inverse=True)[1]
-    left = np.flatnonzero([b == i for b in blocks])
-    right = left if i == j else np.flatnonzero([b == j for b in blocks])
-    found: list[tuple[bytes, bytes]] = []
-    sure: dict[tuple[int, int], tuple[float, bytes, bytes]] = {}
+    left = np.flatnonzero(blocks == i)
+    right = left if i == j else np.flatnonzero(blocks == j)
+    found: list[tuple] = []
+    nearest: dict[tuple[int, int], tuple] = {}
     for x in left:
-        ys = right[(right > x) & (ids[right] != ids[x])] if i == j else right[ids[right] != ids[x]]
-        e, off = estimate(sk[x : x + 1], sk[ys])
+        ys = right[(right > x) & (labels[right] != labels[x])] if i == j else right[labels[right] != labels[x]]
+        e, off = estimate(sk[x : x + 1], sk[ys], rule.margin)
         near = e >= limit - off
-        ys, e, off = ys[near], e[near], off[near]
-        first = ~(bands[ys, :before] == bands[x, :before]).any(axis=1)
-        for y, near_by, doubt in zip(ys[first], e[first], off[first], strict=True):
-            pair = (min(names[x], names[y]), max(names[x], names[y]))
-            if near_by >= limit + doubt:
-                at = (min(ids[x], ids[y]), max(ids[x], ids[y]))
-                sure[at] = max(sure.get(at, (0.0, b"", b"")), (near_by, *pair))
+        for y, near_by, doubt in zip(ys[near].tolist(), e[near].tolist(), off[near].tolist(), strict=True):
+            lo, hi = (x, y) if names[x] < names[y] else (y, x)
+            pair = (int(names[lo]), int(names[hi]), int(labels[lo]), int(labels[hi]))
+            if every or near_by < limit + doubt:
+                found.append((*pair, False))
             else:
-                found.append(pair)
-    found += [v[1:] for v in sure.values()]
-    return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
-
-
-def cross_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
-    """(a, b) from all bands, for buckets that hold more than one component."""
-    member = buckets.select("digest", "band").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    mixed = member.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    mixed = mixed.select("band", F.ceil(F.col("size") / block).cast("int").alias("n_blocks"))
-    dealt = member.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    keyed = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "label")
-    keyed = keyed.join(classes.select("digest", "bands", "sketch"), "digest")
+                at = (min(pair[2:]), max(pair[2:]))
+                nearest[at] = max(nearest.get(at, (0.0,)), (near_by, pair))
+    found += [(*pair, True) for _, pair in nearest.values()]
+    columns = list(zip(*found, strict=True)) or [[]] * 5
+    kinds = [pa.int64()] * 4 + [pa.bool_()]
+    return pa.table({n: pa.array(v, t) for n, v, t in zip(("a", "b", "label_a", "label_b", "sure"), columns, kinds, strict=True)})
+
+
+def dealt_blocks(buckets: DataFrame, labels: DataFrame, block: int = BLOCK, only: DataFrame | None = None) -> DataFrame:
+    """(band, i, j, block, c, label): who meets in block pair (i, j) of a bucket that holds more than one component."""
+    member = buckets.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    if only is not None:
+        member = member.join(only, "label", "left_semi")
+    member = shared.settle(member.select("band", "c", "label", "size"), "members")
+    each = member.groupBy("band", "label").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    whole = each.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.max("size").alias("size"))
+    out, top = F.col("all") - F.col("top.n"), F.col("top.n")
+    mixed = whole.where(out > 0).select("band", F.col("top.label").alias("top"), F.ceil(out / block).cast("int").alias("n_out"), F.ceil(top / block).cast("int").alias("n_top"), "size")
+    dealt = shared.join_spread(member, shared.settle(mixed, "mixed"), "band", "size", "c")
+    # Blocks of the outside come first, 0 to n_out - 1; those of the largest component meet only them.
+    outside = F.col("label") != F.col("top")
+    block_of = F.pmod(F.xxhash64("c"), F.when(outside, F.col("n_out")).otherwise(F.col("n_top"))) + F.when(outside, 0).otherwise(F.col("n_out"))
+    partners = F.sequence(F.lit(0), F.col("n_out") - 1 + F.when(outside, F.col("n_top")).otherwise(0))
+    dealt = dealt.select("band", "c", "label", block_of.cast("int").alias("block"), F.explode(partners).alias("other"))
+    return dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "label")
+
+
+def cross_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, rule: Rule, block: int = BLOCK, only: DataFrame | None = None) -> DataFrame:
+    """(a, b, label_a, label_b, sure) from all bands, for buckets that hold more than one component.
+
+    only: (label); nothing but pairs between these components, and then every one of them.
+    """
+    keyed = dealt_blocks(buckets, labels, block, only).join(classes.select("c", "sketch"), "c")
+    every = only is not None
 
     def between(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return _between(rule, key, group)
+        return _between(rule, every, key, group)
 
-    return keyed.groupBy("band", "i", "j").applyInArrow(between, "a binary, b binary").distinct()
+    return keyed.groupBy("band", "i", "j").applyInArrow(between, PAIR).distinct()
 
 
 def _confirm(rule: Rule):
@@ -274,64 +302,84 @@ def _confirm(rule: Rule):
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule, name: str) -> DataFrame:
     """The pairs that hold on their full sets."""
-    pairs = shared.settle(pairs, f"pairs-{name}")
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    source = classes.join(wanted, "digest").select("digest", "fp", F.col("doc_id").alias("key_id"))
-    texts = docs.join(source, docs["doc_id"].eqNullSafe(source["key_id"]) & (docs["fp"] == source["fp"])).select("digest", "text").dropDuplicates(["digest"])
+    pairs = shared.numbered(shared.settle(pairs, f"pairs-{name}"), "a")
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    source = classes.join(wanted, "c").select("c", "fp", F.col("doc_id").alias("key_id"))
+    texts = docs.join(source, docs["doc_id"].eqNullSafe(source["key_id"]) & (docs["fp"] == source["fp"])).select("c", "text").dropDuplicates(["c"])
     texts = shared.settle(texts, f"texts-{name}")
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return shared.settle(both.mapInArrow(_confirm(rule), "a binary, b binary"), f"links-{name}")
+    links = shared.settle(shared.in_batches(with_hub(pairs, texts, "text"), _confirm(rule), "a bigint, b bigint"), f"links-{name}")
+    shared.discard(texts)
+    return links
+
+
+def cross_links(classes: DataFrame, buckets: DataFrame, labels: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): the labels of components between which a pair holds on its full sets."""
+    found = shared.settle(cross_pairs(classes, buckets, labels, rule), "cross")
+    links = confirmed(found.select("a", "b").distinct(), classes, docs, rule, "cross")
+    of = ["label_a", "label_b"]
+    held = found.join(links, ["a", "b"]).select(*of).distinct()
+    failed = found.where("sure").select(*of).distinct().join(held, of, "left_anti")
+    if not failed.isEmpty():
+        only = failed.select(F.col("label_a").alias("label")).union(failed.select("label_b")).distinct()
+        every = cross_pairs(classes, buckets, labels, rule, only=only).select("a", "b", *of).distinct()
+        every = shared.settle(every.join(found, ["a", "b"], "left_anti"), "again")
+        held = held.union(every.join(confirmed(every.select("a", "b"), classes, docs, rule, "again"), ["a", "b"]).select(*of))
+    return shared.settle(held.toDF("a", "b").distinct(), "cross-links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(digest, label) of every linked class; label: the smallest class in reach.
+    """(c, label) of every linked class; label: the smallest class in reach.
 
-    Alternating rounds hang each node's larger neighbours, then its smaller ones, on its smallest
-    neighbour until nothing changes; each round is a table, its edges at most as many as the links.
+    Alternating rounds hang each node's larger neighbours, then its smaller ones, on its smallest neighbour, until
+    all that is left is stars; each round is a table, its edges at most as many as the links.
     """
     edges = shared.settle(links.select("a", "b").where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
+    n = edges.count()
+    while n:
         around = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = around.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        low = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = shared.join_counted(around, low, ["a"], total=2 * n).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         large = shared.settle(large, "large-star")
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        m = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(m, "u").select(F.col("m").alias("a"), "v").where("a <> v").select("a", F.col("v").alias("b")).union(m.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
-        edges = shared.settle(small, "small-star")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
+        m = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        up = shared.join_counted(down, m, ["u"], total=2 * n).where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        before, edges = edges, shared.settle(up.union(m.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct(), "small-star")
+        shared.discard(before, large)
+        # Stars: no node hangs on two others, or on one that hangs itself.
+        ends = edges.select(F.col("a").alias("c"), F.lit(0).alias("hangs")).union(edges.select("b", F.lit(1)))
+        each = ends.groupBy("c").agg(F.sum("hangs").alias("on"), F.min("hangs").alias("least"))
+        more = each.agg(F.count_if((F.col("on") > 1) | ((F.col("on") > 0) & (F.col("least") == 0)))).first()[0]
+        if not more:
             break
-        seen = now
-    stars = edges.select(F.col("b").alias("digest"), F.col("a").alias("label"))
-    return stars.union(edges.select(F.col("a").alias("digest"), F.col("a").alias("label")).distinct())
+    stars = edges.select(F.col("b").alias("c"), F.col("a").alias("label"))
+    return stars.union(edges.select(F.col("a").alias("c"), F.col("a").alias("label")).distinct())
 
 
 def labelled(documents: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, fp (hash of the text), n, label of the group (null: an empty set) and its smallest doc_id."""
+    """rid, doc_id, fp (hash of the text), n, label of the group (null: an empty set) and its smallest doc_id."""
     docs = shared.pick(documents, doc_id="bigint", text="string").withColumn("fp", F.xxhash64("text"))
-    rows = shared.settle(sketched(docs, rule), "sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
+    rows = shared.settle(sketched(docs, rule).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     some = rows.where("n > 0")
-    classes = some.groupBy("digest").agg(first).select("digest", "first.doc_id", "first.fp")
-    firsts = some.join(classes.withColumnRenamed("doc_id", "key_id").withColumnRenamed("digest", "class"), (F.col("digest") == F.col("class")) & F.col("doc_id").eqNullSafe(F.col("key_id")) & (some["fp"] == classes["fp"]))
-    classes = shared.settle(firsts.select("digest", "doc_id", some["fp"], "bands", "sketch").dropDuplicates(["digest"]), "classes")
+    sets = shared.settle(some.groupBy("digest").agg(F.min("rid").alias("c"), F.min("doc_id").alias("low"), F.count("*").alias("copies")), "sets")
+    classes = shared.settle(some.withColumnRenamed("rid", "c").join(sets.select("c"), "c").select("c", "doc_id", "fp", "bands", "sketch"), "classes")
     buckets = shared.settle(shared_bands(classes), "buckets")
     links = confirmed(star_pairs(classes, buckets, rule), classes, docs, rule, "star")
     labels = shared.settle(components(links), "labels")
-    more = confirmed(cross_pairs(classes, buckets, labels, rule), classes, docs, rule, "cross")
-    labels = shared.settle(components(links.union(more)), "labels")
-    of = classes.join(labels, "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), "doc_id")
-    lowest = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = of.join(lowest, "label").select("digest", "label", "component_id")
-    return rows.join(of, "digest", "left").select("doc_id", "fp", "n", "label", "component_id")
+    between = components(cross_links(classes, buckets, labels, docs, rule)).toDF("label", "merged")
+    of = sets.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")).join(shared.small(between), "label", "left")
+    of = shared.settle(of.select("digest", F.coalesce("merged", "label").alias("label"), "low", "copies"), "classed")
+    lowest = of.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    of = shared.settle(shared.join_counted(of, lowest, ["label"], total=of.count()).select("digest", "label", "component_id", "copies"), "grouped")
+    rows = shared.join_counted(rows.select("rid", "doc_id", "fp", "n", "digest"), of, ["digest"], "copies", how="left")
+    return rows.select("rid", "doc_id", "fp", "n", "label", "component_id")
 
 
 def find(documents: DataFrame, rule: Rule = USUAL) -> DataFrame:
     """doc_id, fp (hash of the text), n_shingles, component_id, kept for each document."""
-    own = F.coalesce(F.col("component_id"), F.col("doc_id"))
-    return labelled(documents, rule).select("doc_id", "fp", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    lowest = F.col("doc_id") == F.col("component_id")
+    without_ids = F.col("component_id").isNull() & F.col("label").isNotNull()
+    kept = F.when(without_ids, F.col("rid") == F.col("label")).otherwise(F.col("label").isNull() | F.coalesce(lowest, F.lit(False)))
+    return labelled(documents, rule).select("doc_id", "fp", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def one_of_each(documents: DataFrame, rule: Rule = USUAL) -> DataFrame:
