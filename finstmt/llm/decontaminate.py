@@ -1,11 +1,12 @@
 """Benchmark decontamination with an FM-index for each shard of training text.
 
 Windows of ``size`` consecutive words of the benchmark items (an item of fewer words is one window) are
-searched in every document. Each batch of documents becomes word ids over the alphabet of the windows;
-maximal runs whose neighbouring words all stand side by side in some window (nothing outside them can hold a
-window) make shards of at most ``SHARD`` symbols. A shard gets a suffix array, its Burrows-Wheeler transform
-as a wavelet matrix, and sampled suffix positions; all windows are searched backwards at once, occurrences
-are located by walking to a sampled position, and the spans found are merged.
+searched in every document. Each batch of documents becomes a sequence of word numbers, all of whose words are
+indexed in shards of ``SHARD`` symbols (with the reach of a window more, so none is missed where shards meet).
+A shard gets a suffix array, its Burrows-Wheeler transform as a wavelet matrix, and sampled suffix positions;
+all windows are searched backwards at once, occurrences are located by walking to a sampled position, and the
+spans found are merged. Words that are in no window, which no search can ask for, are indexed in their places
+under ``OTHERS`` symbols in turn.
 
 The windows are dealt into blocks of bounded bytes; one block at a time is sent to the tasks, so the
 benchmark may grow. A usual benchmark is one block.
@@ -14,11 +15,13 @@ Cases
 - null text or no words: n_words 0, nothing hit. An item without words (or null) has no window.
 - items that share an id count once, a null item_id counts as ''.
 - repeated rows: each row has its own result. Extra columns are kept or dropped as ``keep`` says.
+- very long texts are indexed whole, in as many shards as they take.
 - empty documents: no rows; empty benchmark: nothing is hit.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -32,13 +35,14 @@ from . import shared
 
 SIZE = 10
 BLOCK_BYTES = 32 << 20
-SHARD = 1 << 20
+SHARD = 1 << 18
 SAMPLE = 16
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words as they stand in a text that is not lower-cased yet.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-END, GAP, FIRST = 0, 1, 2  # symbols: end of a shard, anything that is in no window, the first word
+END, GAP, FIRST = 0, 1, 2  # symbols: end of a shard, end of a text, the first word of a window
+OTHERS = 1 << 8  # symbols of words that are in no window
 SPANS = "array<struct<first:bigint,last:bigint>>"
 
 
@@ -46,20 +50,22 @@ class WaveletMatrix:
     """Rank over a sequence of small integers, a bit plane a level."""
 
     def __init__(self, seq: np.ndarray, sigma: int):
-        self.levels = []
+        self.levels, seq = [], seq.astype(np.int32)
         for bit in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
-            ones = (seq >> bit) & 1
-            zeros_before = np.concatenate([[0], np.cumsum(1 - ones)]).astype(np.int32)
+            zero = (seq & (1 << bit)) == 0
+            zeros_before = np.zeros(len(seq) + 1, np.int32)
+            np.cumsum(zero, out=zeros_before[1:])
             self.levels.append((bit, zeros_before))
-            seq = np.concatenate([seq[ones == 0], seq[ones == 1]])
+            seq = np.concatenate([seq[zero], seq[~zero]])
 
-    def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
-        """How often symbol[k] stands before position upto[k]."""
-        start, end = np.zeros_like(upto), upto
+    def rank(self, symbol: np.ndarray, *upto: np.ndarray) -> list[np.ndarray]:
+        """How often symbol[k] stands before position x[k], for each x of upto."""
+        places = [np.zeros_like(upto[0]), *upto]
         for bit, zeros in self.levels:
             one, n_zeros = ((symbol >> bit) & 1).astype(bool), zeros[-1]
-            start, end = (np.where(one, n_zeros + x - zeros[x], zeros[x]) for x in (start, end))
-        return end - start
+            before = [zeros[x] for x in places]
+            places = [np.where(one, n_zeros + x - z, z) for x, z in zip(places, before, strict=True)]
+        return [x - places[0] for x in places[1:]]
 
     def access(self, at: np.ndarray) -> np.ndarray:
         symbol = np.zeros_like(at)
@@ -71,18 +77,20 @@ class WaveletMatrix:
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """By prefix doubling; s ends with its only END."""
-    n, k, rank = len(s), 1, np.unique(s, return_inverse=True)[1].astype(np.int64)
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum(np.diff(key[order]) != 0)
-        rank, k = new, 2 * k
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
+    """By prefix doubling of those suffixes that are not told apart yet; s ends with its only END."""
+    order = np.argsort(s, kind="stable")
+    rank = np.zeros(len(s), np.int64)
+    at, first, k = np.arange(len(s)), s[order], 1  # places in order, and what is equal within a group
+    while len(at):
+        new = np.concatenate([[True], first[1:] != first[:-1]])
+        rank[order[at]] = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+        alone = new & np.concatenate([new[1:], [True]])
+        at = at[~alone]
+        suffix = order[at]
+        key = rank[suffix] * (len(s) + 1) + rank[np.minimum(suffix + k, len(s) - 1)]
+        by = np.argsort(key, kind="stable")
+        order[at], first, k = suffix[by], key[by], 2 * k
+    return order
 
 
 class FMIndex:
@@ -96,20 +104,23 @@ class FMIndex:
         self.samples = sa[self.sampled]
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pattern, lo, hi) of the patterns that occur. Patterns are right-aligned rows."""
-        alive, width = np.arange(len(patterns)), patterns.shape[1]
-        lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), self.n, np.int64)
-        done = [(alive[:0], lo[:0], hi[:0])]
-        for step in range(width):
+        """(pattern, lo, hi) of the patterns that occur. Patterns are right-aligned rows of at least one symbol."""
+        width, last = patterns.shape[1], patterns[:, -1]
+        lo, hi = self.before[last], self.before[last + 1]
+        alive = np.flatnonzero(lo < hi)
+        lo, hi, done = lo[alive], hi[alive], []
+        for step in range(1, width + 1):
             over = lengths[alive] == step
             if over.any():
                 done.append((alive[over], lo[over], hi[over]))
                 alive, lo, hi = alive[~over], lo[~over], hi[~over]
+            if not len(alive):
+                break
             c = patterns[alive, width - 1 - step]
-            lo, hi = (self.before[c] + self.wavelet.rank(c, x) for x in (lo, hi))
+            lo, hi = (self.before[c] + x for x in self.wavelet.rank(c, lo, hi))
             there = lo < hi
             alive, lo, hi = alive[there], lo[there], hi[there]
-        done.append((alive, lo, hi))
+        done.append((alive[:0], lo[:0], hi[:0]))
         return tuple(np.concatenate(x) for x in zip(*done, strict=True))  # type: ignore[return-value]
 
     def locate(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,71 +134,46 @@ class FMIndex:
             at[todo[hit]] = self.samples[self.sample_rank[row[hit]]] + steps
             todo, row = todo[~hit], row[~hit]
             c = self.wavelet.access(row)
-            row, steps = self.before[c] + self.wavelet.rank(c, row), steps + 1
+            row, steps = self.before[c] + self.wavelet.rank(c, row)[0], steps + 1
         return which, at
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        return GAP
-
-
 class Windows:
     """A block of windows with their items, ready to be searched."""
 
     def __init__(self, rows: list[tuple[str, list[str]]]):
         split = [w.encode().split(b" ") for w, _ in rows]
-        self.ids = _Ids((w, i) for i, w in enumerate(sorted({w for ws in split for w in ws}), FIRST))
-        self.sigma = FIRST + len(self.ids)
+        self.ids = {w: i for i, w in enumerate(sorted({w for ws in split for w in ws}), FIRST)}
+        self.sigma = FIRST + len(self.ids) + OTHERS
         self.lengths = np.array([len(ws) for ws in split], np.int64)
         self.patterns = np.zeros((len(split), int(self.lengths.max(initial=1))), np.int64)
         for row, ws in zip(self.patterns, split, strict=True):
             row[len(row) - len(ws) :] = [self.ids[w] for w in ws]
         self.items = [items for _, items in rows]
-        pairs = [p for ws in split for p in zip(map(self.ids.get, ws), map(self.ids.get, ws[1:]), strict=False)]
-        self.beside = np.zeros(1 << 22, bool)
-        if pairs:
-            self.beside[self._cell(*np.array(pairs, np.int64).T)] = True
-        self.single = np.zeros(self.sigma, bool)
-        self.single[self.patterns[self.lengths == 1, -1]] = True
 
-    def _cell(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        code = a.astype(np.uint64) * np.uint64(self.sigma) + b.astype(np.uint64)
-        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+    def numbered(self, texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of all texts, each followed by GAP; words of each text)."""
+        parts, counts, ends = [], [], itertools.repeat(END)
+        for text in texts:
+            ws = shared.alnum_words(text.as_py())
+            counts.append(len(ws))
+            parts += [np.fromiter(map(self.ids.get, ws, ends), np.int32, len(ws)), np.array([GAP], np.int32)]
+        a = np.concatenate([np.zeros(0, np.int32), *parts])
+        other = np.flatnonzero(a == END)
+        a[other] = self.sigma - 1 - other % OTHERS
+        return a, np.array(counts, np.int64)
 
     def find(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position in a) of every occurrence; a holds ids of whole texts, each followed by GAP."""
+        """(window, position in a) of every occurrence; a holds numbers of whole texts, each followed by GAP."""
         none = np.zeros(0, np.int64)
-        if not len(self.lengths) or len(a) < 2:
-            return none, none
-        linked = self.beside[self._cell(a[:-1], a[1:])] & (a[:-1] != GAP) & (a[1:] != GAP)
-        edge = np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8))
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a run is a[first..last]
-        long = last - first + 1 >= self.lengths.min()
-        first, last = first[long], last[long]
-        if self.single.any():
-            alone = self.single[a] & ~np.concatenate([linked, [False]]) & ~np.concatenate([[False], linked])
-            alone = np.flatnonzero(alone)
-            first, last = np.concatenate([first, alone]), np.concatenate([last, alone])
-        found, size, begin = [(none, none)], last - first + 2, 0
-        total = np.cumsum(size)
-        while begin < len(first):
-            done = total[begin - 1] if begin else 0
-            stop = max(begin + 1, int(np.searchsorted(total, done + SHARD, "right")))
-            found.append(self._in_shard(a, first[begin:stop], size[begin:stop]))
-            begin = stop
+        found, reach = [(none, none)], self.patterns.shape[1] - 1
+        for begin in range(0, len(a) if len(self.lengths) else 0, SHARD):
+            index = FMIndex(np.append(a[begin : begin + SHARD + reach], END), self.sigma)
+            which, lo, hi = index.search(self.patterns, self.lengths)
+            k, at = index.locate(lo, hi)
+            found.append((which[k], at + begin))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
 
-    def _in_shard(self, a: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        stop = np.cumsum(size)
-        source = np.arange(stop[-1]) - np.repeat(stop - size, size) + np.repeat(first, size)
-        s = np.append(a[np.minimum(source, len(a) - 1)], END)
-        s[stop - 1] = GAP
-        index = FMIndex(s, self.sigma)
-        which, lo, hi = index.search(self.patterns, self.lengths)
-        k, at = index.locate(lo, hi)
-        return which[k], source[at]
-
 
 def spans_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last word of each run of hit words."""
@@ -199,24 +185,18 @@ def _scan(block, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = block.value
         for b in batches:
-            parts, counts = [], []
-            for text in b.column("text"):
-                ws = shared.alnum_words(text.as_py())
-                counts.append(len(ws))
-                parts += [np.fromiter(map(windows.ids.__getitem__, ws), np.int32, len(ws)), np.array([GAP], np.int32)]
-            n = np.array(counts, np.int64)
+            a, n = windows.numbered(b.column("text"))
             start = np.cumsum(n + 1) - (n + 1)
-            a = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             which, at = windows.find(a)
             change = np.zeros(len(a) + 1, np.int64)
             np.add.at(change, at, 1)
             np.add.at(change, at + windows.lengths[which], -1)
             first, last = spans_of(np.cumsum(change[:-1]) > 0)
             doc = np.searchsorted(start, first, "right") - 1
-            spans: list[list] = [[] for _ in counts]
+            spans: list[list] = [[] for _ in n]
             for d, f, e in zip(doc.tolist(), (first - start[doc]).tolist(), (last - start[doc]).tolist(), strict=True):
                 spans[d].append({"first": f, "last": e})
-            items: list[set] = [set() for _ in counts]
+            items: list[set] = [set() for _ in n]
             for d, w in np.unique(np.stack([np.searchsorted(start, at, "right") - 1, which]), axis=1).T.tolist():
                 items[d].update(windows.items[w])
             span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -261,9 +241,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = SIZ
     names = [f.name for f in kept]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"n_words bigint, spans {SPANS}, items array<string>"])
     if n_blocks == 1:
-        return docs.mapInArrow(_scan(send(0), names), schema)
+        return shared.in_batches(docs, _scan(send(0), names), schema)
     rows = shared.settle(docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), "text"), "scan-docs")
-    found = [shared.settle(rows.mapInArrow(_scan(send(k), ["_rid"]), f"_rid bigint, n_words bigint, spans {SPANS}, items array<string>"), f"scan-{k}") for k in range(n_blocks)]
+    found = []
+    for k in range(n_blocks):
+        block = send(k)
+        found.append(shared.settle(shared.in_batches(rows, _scan(block, ["_rid"]), f"_rid bigint, n_words bigint, spans {SPANS}, items array<string>"), f"scan-{k}"))
+        block.destroy()
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
@@ -292,7 +276,7 @@ def cut(text: str, spans: list, known: set[bytes], size: int = SIZE) -> str:
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """documents with the merged spans cut out of ``text``; those without a hit are not touched.
+    """documents with the merged spans cut out of ``text``; those without a hit are not touched, nulls stay null.
 
     Documents that were cut are scanned again for all windows until none is hit, as a window may also arise
     where the rest of a text meets. Each round writes its documents, the later ones only those that were cut.
