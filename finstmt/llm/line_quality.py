@@ -1,15 +1,16 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Each document gets the base counts of its own text. Its lines are normalised (lower case, digit runs to one
-0, white space to one space) and hashed; for each host the distinct documents that hold a line are counted,
-lines in more than ``max_docs`` of them are removed, and a document of which more than ``max_removed`` of the
-line characters go is depleted and rejected.
+0, white space to one space) and hashed; for each host the distinct documents (by doc_id) that hold a line are
+counted, lines in more than ``max_docs`` of them are removed, and a document of which more than ``max_removed`` of
+the line characters go is depleted and rejected. Counts are summed before they are shuffled, and lines that very
+many documents hold are broadcast, so the commonest line of the largest host meets in no single task.
 
 Cases
 - null or empty text: no words, all counts 0, base_failed, not kept.
-- documents with equal text on one host (copies, repeated rows) are one distinct document for the counts;
-  each still gets a row.
-- a null source is the host ''. A null doc_id stays null and has its row.
+- rows that share a doc_id on one host are one document for the counts; each still gets a row. Copies under
+  doc_ids of their own are documents of their own. A row without doc_id is one, too, and keeps its null.
+- a null source is the host ''. Very long texts are read whole; a line may be of any length.
 - empty table: no rows. Extra columns are ignored.
 """
 
@@ -71,7 +72,6 @@ def base_counts(documents: DataFrame) -> DataFrame:
     n_words, repeated = long(F.size("words")), F.col("n_repeat_words")
     return counted.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", "host",
-        F.xxhash64("text").alias("text_hash"), F.length("text").alias("text_len"),
         n_words.alias("n_words"),
         long(F.length(F.array_join("words", ""))).alias("word_chars"),
         long(F.regexp_count("text", F.lit(SYMBOL))).alias("n_symbols"),
@@ -83,22 +83,22 @@ def base_counts(documents: DataFrame) -> DataFrame:
 
 
 def line_frequency(counted: DataFrame, max_docs: int) -> DataFrame:
-    """(host, h) of the lines above the limit."""
-    distinct = counted.groupBy("host", "text_hash", "text_len").agg(F.min("rid").alias("rid")).select("rid")
-    each = counted.join(distinct, "rid", "left_semi").select("host", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
-    return each.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select("host", "h")
+    """(host, h, n_docs) of the lines above the limit."""
+    who = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("rid")).alias("rid"))
+    each = counted.select("host", who.alias("who"), F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).distinct()
+    return each.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
 def score(documents: DataFrame, max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED) -> DataFrame:
     """Base counts, n_removed_chars, n_line_chars and the verdict ``kept``."""
     counted = shared.settle(base_counts(documents), "line-quality")
-    common = line_frequency(counted, max_docs)
-    removed = counted.select("rid", "host", F.explode("lines").alias("x")).select("rid", "host", "x.h", "x.c").join(common, ["host", "h"])
-    removed = removed.groupBy("rid").agg(F.sum("c").alias("n_removed_chars"))
+    common = shared.settle(line_frequency(counted, max_docs), "common-lines")
+    each = counted.select("rid", "host", F.explode("lines").alias("x")).select("rid", "host", "x.h", "x.c")
+    removed = shared.join_counted(each, common, ["host", "h"], "n_docs").groupBy("rid").agg(F.sum("c").alias("n_removed_chars"))
     total = F.aggregate(F.col("lines.c"), F.lit(0).cast("bigint"), lambda a, x: a + x)
     gone = F.coalesce("n_removed_chars", F.lit(0).cast("bigint"))
     return counted.join(removed, "rid", "left").select(
-        *(c for c in counted.columns if c not in ("rid", "host", "text_hash", "text_len", "lines")),
+        *(c for c in counted.columns if c not in ("rid", "host", "lines")),
         gone.alias("n_removed_chars"), total.alias("n_line_chars"),
         (~F.col("base_failed") & (gone <= max_removed * total)).alias("kept"),
     )
@@ -125,11 +125,11 @@ WITH d AS (
 ), l AS (
   SELECT rid, unnest(ls) AS line FROM w
 ), ln AS (
-  SELECT l.rid, host, text, length(line) AS c,
+  SELECT l.rid, host, coalesce('id ' || doc_id, 'row ' || l.rid) AS who, length(line) AS c,
     trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS nl
   FROM l JOIN d USING (rid)
 ), common AS (
-  SELECT host, nl FROM ln GROUP BY host, nl HAVING count(DISTINCT text) > 10
+  SELECT host, nl FROM ln GROUP BY host, nl HAVING count(DISTINCT who) > 10
 ), rm AS (
   SELECT rid, sum(c) AS n_removed_chars FROM ln JOIN common USING (host, nl) GROUP BY rid
 ), tot AS (
