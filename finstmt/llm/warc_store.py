@@ -1,7 +1,8 @@
 """Content-addressed WARC archive.
 
 Payload bytes are stored once for each SHA-256 digest (``payloads``), record headers are stored byte for
-byte in a table of their own (``headers``), and original records come back by a join on the digest.
+byte in a table of their own (``headers``), and original records come back by a join on the digest. Both tables
+know how many records a digest has: one that very many records share (an empty or error page) is dealt out.
 
 Cases
 - null payload: empty payload (0 bytes), stored under the digest of nothing.
@@ -9,6 +10,7 @@ Cases
 - equal larger payloads: the rows with the smallest id are responses, the others revisits of that id;
   a repeated row (same id, same payload) is a response again. A null id counts after every number; a group
   of null ids only holds responses.
+- very long payloads are stored and hashed whole.
 - null url: an empty target; CR and LF in a url are percent-encoded, so that a header stays well formed.
 - empty table: empty archive. Extra columns are ignored.
 """
@@ -62,37 +64,45 @@ def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = MIN_REVI
     small = shared.settle(body.select("page_id", "url", "digest", F.octet_length("payload").cast("bigint").alias("n_bytes"), F.xxhash64("payload").alias("check")), "warc-meta")
     same = (F.min("n_bytes") == F.max("n_bytes")) & (F.min("check") == F.max("check"))
     groups = small.groupBy("digest").agg(
-        F.min("page_id").alias("first_id"), F.when(same, F.lit(True)).otherwise(F.raise_error("one digest for two payloads").cast("boolean")).alias("verified")
+        F.min("page_id").alias("first_id"), F.count("*").alias("copies"), F.when(same, F.lit(True)).otherwise(F.raise_error("one digest for two payloads").cast("boolean")).alias("verified")
     ).where("verified")
+    groups = shared.settle(groups, "warc-digests")
     refers = F.when((F.col("n_bytes") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    records = small.join(groups, "digest").withColumn("refers_to", refers)
-    records.select("page_id", "digest", headers_of(records, date).alias("header")).write.option("compression", "zstd").parquet(f"{root}/headers")
-    body.select("digest", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{root}/payloads")
+    records = shared.join_counted(small, groups, ["digest"], "copies").withColumn("refers_to", refers)
+    headers = records.select(F.monotonically_increasing_id().alias("n"), "page_id", "digest", "copies", headers_of(records, date).alias("header"))
+    headers.write.option("compression", "zstd").parquet(f"{root}/headers")
+    payloads = body.groupBy("digest").agg(F.count("*").alias("copies"), F.first("payload").alias("payload"))
+    payloads.write.option("compression", "zstd").parquet(f"{root}/payloads")
+    shared.discard(small, groups)
 
 
 def read_archive(spark: SparkSession, root: str) -> DataFrame:
-    """The original records: page_id, header, payload (the full one, for revisits too), record.
+    """page_id, record, payload of every record.
 
-    ``record`` is the record as WARC has it: a revisit's block is empty.
+    ``record`` is the original record as WARC has it, header, block and end (a revisit's block is empty);
+    ``payload`` is the full one, for a revisit that of the response it refers to.
     """
     headers, payloads = spark.read.parquet(f"{root}/headers"), spark.read.parquet(f"{root}/payloads")
-    end = F.lit(CRLF + CRLF).cast("binary")
-    text = F.col("header").cast("string")
-    block = F.when(text.contains(f"WARC-Type: revisit{CRLF}"), F.lit("").cast("binary")).otherwise(F.col("payload"))
-    return headers.join(payloads, "digest").select("page_id", "header", "payload", F.concat("header", block, end).alias("record"))
+    both = shared.join_spread(headers, payloads, "digest", "copies", "n")
+    revisit = F.col("header").cast("string").contains(f"WARC-Type: revisit{CRLF}")
+    block = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
+    return both.select("page_id", F.concat("header", block, F.lit(CRLF + CRLF).cast("binary")).alias("record"), "payload")
 
 
 def parse(records: DataFrame) -> DataFrame:
-    """Fields read from the header bytes, checked against the payload bytes; a mismatch fails the job."""
-    text = F.col("header").cast("string")
-    field = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    digest = field(r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n")
-    fine = digest == F.sha2("payload", 256)
+    """Fields read from the bytes of the records; the job fails if a record's length, block or digest is wrong."""
+    head = F.substring_index(F.col("record").cast("string"), CRLF + CRLF, 1)
+    fields = F.concat(head, F.lit(CRLF))
+    field = lambda pattern: F.nullif(F.regexp_extract(fields, pattern, 1), F.lit(""))
+    kind, digest = field(r"\r\nWARC-Type: (\w+)\r\n"), field(r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n")
+    start, length = F.octet_length(head) + 4, field(r"\r\nContent-Length: ([0-9]+)\r\n").cast("int")
+    block = F.when(kind == "revisit", F.col("payload")).otherwise(F.substring(F.col("record"), start + 1, length))
+    fine = (F.octet_length("record") == start + length + 4) & (block == F.col("payload")) & (digest == F.sha2(block, 256))
     return records.select(
         "page_id",
-        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        F.when(fine, digest).otherwise(F.raise_error("payload does not match its digest")).alias("payload_digest"),
-        field(r"\r\nWARC-Type: (\w+)\r\n").alias("record_type"),
+        F.octet_length(block).cast("bigint").alias("payload_bytes"),
+        F.when(fine, digest).otherwise(F.raise_error("a record does not match its length or digest")).alias("payload_digest"),
+        kind.alias("record_type"),
         field(r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n").cast("bigint").alias("refers_to"),
     )
 
