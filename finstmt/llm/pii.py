@@ -3,7 +3,7 @@
 Base spans come from fixed forms (email, ip, card, phone). They seed a bootstrap: every run of groups that looks
 like an identifier is a slot with the words to its left as lexical patterns; patterns and instances make a graph
 whose edges are (pattern, instance) pairs. Rounds of Spark joins score patterns by the instances they yield
-and instances by the patterns they stand in, starting from the seeds; slots that stand in a pattern of high
+and instances by the patterns they stand in, starting from the seeds, until no pattern is new; slots that stand in a pattern of high
 confidence become spans of its kind, so that identifiers of no fixed form are found. Texts are read once:
 base spans and slots are written, and all rounds run over the slots.
 
@@ -14,10 +14,12 @@ A pattern needs ``MIN_SUPPORT`` distinct instances, and a score of ``MIN_SCORE``
 instances are of the kind, over those known and those against it, which are known as another kind or cannot have
 the kind's form (a date is no phone number). Unknown instances of a possible form count for neither side; the
 known ones together need the confidence of the least pattern that none is unknown in, ``MIN_SUPPORT * MIN_SCORE``.
-A new instance is as sure as its best pattern, lessened by ``DECAY`` each round.
+A new instance is as sure as its best pattern, lessened by ``DECAY`` each round; a pattern, once accepted, stays.
+A pattern that very many instances share (':') meets in no single task: its sums are formed before the shuffle, and
+what is known of accepted patterns is broadcast where it is small.
 
 Cases
-- null text: empty, no spans. Repeated rows: each is searched alone; equal instances count once in a pattern.
+- null text: empty, no spans. Very long texts are searched whole. Repeated rows: each is searched alone; equal instances count once in a pattern.
 - a group that overlaps a base span is never part of a slot of another kind; spans of one kind never overlap.
 - between kinds: one whose form the slot may have, then the higher pattern score, then the order of KINDS.
 - groups of one list, with single spaces between them, are one slot.
@@ -26,6 +28,7 @@ Cases
 
 from __future__ import annotations
 
+import bisect
 import ipaddress
 import re
 from collections.abc import Iterator
@@ -41,7 +44,6 @@ from . import shared
 
 KINDS = ("email", "ip", "card", "phone")
 LEFT_WORDS = 2
-ROUNDS = 3
 MIN_SUPPORT, MIN_SCORE, DECAY = 5, 0.8, 0.9
 
 # Fixed forms. Possessive repeats and the look-behind only save time: they find the same spans.
@@ -64,6 +66,7 @@ _DATE = re.compile(r"(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0
 _NUMBER = re.compile(r"[0-9+ ()\[\]./-]+")
 _DOTTED = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?:[:/][0-9]+)?")
 _CONTEXT = re.compile(r"[^\W\d_]+|[:=#]")
+_NEAR = 64
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -108,11 +111,22 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def patterns_before(text: str, start: int) -> list[str]:
-    """Lexical patterns: the last word or sign on the left, and the last LEFT_WORDS together."""
-    left = text[max(0, start - 64) : start].lower()
-    words = _CONTEXT.findall(left)[-LEFT_WORDS:]
-    return [" ".join(words[-k:]) for k in range(1, len(words) + 1)]
+class Contexts:
+    """Lexical patterns on the left of places in a text."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, None
+
+    def before(self, start: int) -> list[str]:
+        """The last word or sign on the left, and the last LEFT_WORDS together."""
+        words = [m[0] for m in _CONTEXT.finditer(self.text, max(0, start - _NEAR), start)][1 if start > _NEAR else 0 :]
+        if len(words) < LEFT_WORDS and start > _NEAR:  # they lie further off, or the first may be cut
+            if self.words is None:
+                self.words = [m.span() for m in _CONTEXT.finditer(self.text)]
+            last = bisect.bisect_left(self.words, (start, 0))
+            words = [self.text[s : min(e, start)] for s, e in self.words[max(0, last - LEFT_WORDS) : last]]
+        words = [w.lower() for w in words[-LEFT_WORDS:]]
+        return [" ".join(words[-k:]) for k in range(1, len(words) + 1)]
 
 
 def _groups(token: str, at: int) -> Iterator[tuple[int, int]]:
@@ -201,9 +215,10 @@ def _slot(kind: str | None, text: str, s: int, e: int, patterns: list[str]) -> d
 
 def slots(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     """Base spans, and runs that look like identifiers and overlap none, with their patterns."""
-    out = [_slot(kind, text, s, e, patterns_before(text, s)) for kind, s, e in base]
+    at = Contexts(text)
+    out = [_slot(kind, text, s, e, at.before(s)) for kind, s, e in base]
     for s, e in runs(text, base):
-        patterns = patterns_before(text, s) if e - s >= _MIN_SLOT else []
+        patterns = at.before(s) if e - s >= _MIN_SLOT else []
         if patterns:
             out.append(_slot(None, text, s, e, patterns))
     return out
@@ -230,43 +245,50 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE, decay: float = DECAY) -> DataFrame:
+def score_patterns(edges: DataFrame, seeds: DataFrame, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE, decay: float = DECAY) -> DataFrame:
     """(pattern, kind, score) of the accepted patterns.
 
-    edges: distinct (pattern, instance, form); seeds: distinct (instance, kind). In each round a pattern's score
-    for a kind is the mean confidence over its instances that are known or against the kind; an instance's
-    confidence is 1 for a seed, else its best accepted pattern's score times ``decay``.
+    edges: distinct (pattern, instance, form), settled; seeds: distinct (instance, kind). In each round a pattern's
+    score for a kind is the mean confidence over its instances that are known or against the kind; an instance's
+    confidence is 1 for a seed, else its best accepted pattern's score times ``decay``. A pattern keeps its best
+    score, so rounds end: each but the last accepts a pattern for one more kind.
     """
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(~may_be(k)).alias(f"not_{k}") for k in KINDS)).where(F.col("n") >= min_support)
-    graph = shared.settle(edges.join(sizes, "pattern"), "pii-graph")
+    sizes = shared.settle(sizes, "pii-sizes")
+    graph = shared.settle(shared.join_counted(edges, sizes, ["pattern"]).select("pattern", "instance", "form"), "pii-graph")
     sure = seeds.select("instance", "kind", F.lit(1.0).alias("confidence"))
-    known, accepted = sure, None
-    for r in range(rounds):
+    known, accepted, n = sure, None, 0
+    while True:
         by_kind = known.groupBy("instance").agg(*(F.max(F.when(F.col("kind") == k, F.col("confidence"))).alias(k) for k in KINDS))
         met = graph.join(by_kind, "instance").groupBy("pattern")
         # Against a kind: all that cannot be of it. Of those that can, only the known ones, of whatever kind, are counted.
-        sums = [F.struct(F.lit(k).alias("kind"), F.coalesce(F.sum(k), F.lit(0.0)).alias("sum"), (F.first(f"not_{k}") + F.count_if(may_be(k))).alias("of")).alias(k) for k in KINDS]
-        each = met.agg(*sums).select("pattern", F.explode(F.array(*KINDS)).alias("s")).select("pattern", "s.*")
-        score = each.where(F.col("sum") >= min_support * min_score).select("pattern", "kind", (F.col("sum") / F.col("of")).alias("score"))
-        accepted = shared.settle(score.where(F.col("score") >= min_score), f"pii-patterns-{r}")
-        if r + 1 < rounds:
-            new = graph.join(accepted, "pattern").select("instance", "kind", (F.col("score") * decay).alias("confidence"))
-            known = sure.union(new)
-    return accepted
+        sums = [x for k in KINDS for x in (F.coalesce(F.sum(k), F.lit(0.0)).alias(f"sum_{k}"), F.count_if(may_be(k)).alias(f"known_{k}"))]
+        each = [F.struct(F.lit(k).alias("kind"), F.col(f"sum_{k}").alias("sum"), (F.col(f"not_{k}") + F.col(f"known_{k}")).alias("of")) for k in KINDS]
+        scored = met.agg(*sums).join(sizes, "pattern").select("pattern", F.explode(F.array(*each)).alias("s")).select("pattern", "s.*")
+        score = scored.where(F.col("sum") >= min_support * min_score).select("pattern", "kind", (F.col("sum") / F.col("of")).alias("score")).where(F.col("score") >= min_score)
+        if accepted is not None:
+            score = score.union(accepted).groupBy("pattern", "kind").agg(F.max("score").alias("score"))
+        accepted = shared.settle(score, "pii-patterns")
+        before, n = n, accepted.count()
+        if n == before:
+            return accepted
+        new = graph.join(shared.small(accepted), "pattern").select("instance", "kind", (F.col("score") * decay).alias("confidence"))
+        known = sure.union(new)
 
 
 def extract(documents: DataFrame, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, base counts, ``base`` and ``spans`` (all spans, joined), with ``rid`` a number for the row."""
     docs = shared.pick(documents, doc_id="bigint", text="string")
-    read = shared.settle(docs.mapInArrow(_read, _SCHEMA).withColumn("rid", F.monotonically_increasing_id()), "pii-slots")
+    read = shared.settle(shared.in_batches(docs, _read, _SCHEMA).withColumn("rid", F.monotonically_increasing_id()), "pii-slots")
     each = read.select("rid", F.explode("slots").alias("s")).select("rid", "s.*")
     edges = each.select(F.explode("patterns").alias("pattern"), "instance", "form").groupBy("pattern", "instance").agg(F.bit_or("form").alias("form"))
-    seeds = each.where("kind is not null").select("instance", "kind").distinct()
+    edges = shared.settle(edges, "pii-edges")
+    seeds = shared.settle(each.where("kind is not null").select("instance", "kind").distinct(), "pii-seeds")
     accepted = score_patterns(edges, seeds, min_support=min_support, min_score=min_score)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("order")
     fits = F.coalesce(*(F.when(F.col("kind") == k, may_be(k)) for k in KINDS)).alias("fits")
     slot = each.where("kind is null").select("rid", "first", "last", "form", F.explode("patterns").alias("pattern"))
-    best = slot.join(accepted, "pattern").groupBy("rid", "first", "last").agg(F.max(F.struct(fits, "score", -order, "kind")).alias("best"))
+    best = slot.join(shared.small(accepted), "pattern").groupBy("rid", "first", "last").agg(F.max(F.struct(fits, "score", -order, "kind")).alias("best"))
     added = best.groupBy("rid").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "first", "last")).alias("added"))
     return read.drop("slots").join(added, "rid", "left").withColumn("spans", _with_added("base", "added"))
 
@@ -312,3 +334,26 @@ def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(shared.table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base"), 256).alias("base_sha256"), "spans")
 
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_bootstrapped_pii that SQL can express: the counts of the base forms."""
+    return op3_bootstrapped_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in KINDS))
+
+
+BASE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), f AS (
+  SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+    regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+    list_filter(list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: len(x) BETWEEN 16 AND 19) AS cards,
+    list_transform(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g'))) AS phones
+  FROM d
+)
+SELECT doc_id, CAST(n_email AS BIGINT) AS n_email,
+  CAST(len(list_filter(ips, lambda x: list_max(list_transform(string_split(x, '.'), lambda p: CAST(p AS HUGEINT))) <= 255)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(cards, lambda x: list_sum(list_transform(range(1, len(x) + 1),
+    lambda i: CASE WHEN i % 2 = 1 THEN CAST(x[len(x) - i + 1] AS INT) ELSE (2 * CAST(x[len(x) - i + 1] AS INT)) // 10 + (2 * CAST(x[len(x) - i + 1] AS INT)) % 10 END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(phones, lambda n: n BETWEEN 8 AND 15)) AS BIGINT) AS n_phone
+FROM f
+"""
