@@ -11,9 +11,9 @@ words. So every place that earns a label is found, however long the file and how
 Base phrases are found in any place and always give their label.
 
 Cases
-- null or empty text: no words, no labels, score 0. Repeated rows: each is scanned alone.
+- null or empty text: no words, no labels, score 0. Very long texts are scanned whole. Repeated rows: each is scanned alone.
 - equal frequencies: words in alphabetical order.
-- several places of one template: the best of those that earn the label, else the best of all. A score under
+- several places of one template, of equal agreement or not: the best of those that earn the label, else the best of all. A score under
   ``MIN_AGREED`` is that of the best place with enough votes.
 - a word of a template that alone weighs ``MIN_AGREED``: one vote is enough there.
 - a template at the very start or end of a file may be cut off; what is missing does not agree.
@@ -37,22 +37,35 @@ POSTED, MIN_VOTES, MIN_AGREED = 8, 2, 0.6
 # Phrases of the base scan and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Label, opening words or usual notice of a licence, mandatory key phrases.
+# Label, a notice or one paragraph of a licence's text, mandatory key phrases. A licence of several
+# paragraphs has one template for each that is its own.
 TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0", ["apache license", "version 2 0"]),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", ["apache license", "in compliance with the license"]),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ["as is basis without warranties or conditions of any kind"]),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ["redistributions of source code must retain the above copyright notice"]),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ["redistributions in binary form must reproduce the above copyright notice"]),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.", ["procurement of substitute goods or services"]),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:", ["any person or organization obtaining a copy", "covered by this license"]),
     ("cc-by", "Licensed under CC BY 4.0", ["cc by 4 0"]),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc 4 0"]),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["cc by sa 4 0"]),
     ("gpl", "This work is licensed under the GNU General Public License, version 3", ["gnu general public license"]),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version", ["general public license", "free software foundation"]),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", ["for any purpose with or without fee is hereby granted"]),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see", ["gnu general public license along with this program"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["for any purpose with or without fee is hereby granted"]),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", ["the author disclaims all warranties with regard to this software"]),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ["lesser general public license"]),
     ("mit", "Released under the MIT License", ["mit license"]),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", ["permission is hereby granted free of charge", "without restriction"]),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", ["permission is hereby granted free of charge", "without restriction"]),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file", ["mozilla public license"]),
-    ("unlicense", "This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ["shall be included in all copies or substantial portions of the software"]),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ["mozilla public license"]),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software"]),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ["anyone is free to copy", "as a compiled binary"]),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", ["in no event will the authors be held liable"]),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", ["to alter it and redistribute it freely"]),
 ]
 
 
@@ -74,7 +87,7 @@ def _document_counts(vocabulary: set[bytes]):
 
 def idf(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, float]:
     """Of the vocabulary's words over all documents; one row for each word reaches the driver."""
-    rows = docs.select("text").mapInArrow(_document_counts(vocabulary), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = shared.in_batches(docs.select("text"), _document_counts(vocabulary), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = {r.word: r.n for r in rows}
     return {w: float(np.log1p((1 + df.get(None, 0)) / (1 + df.get(w.decode(), 0)))) for w in vocabulary}
 
@@ -163,8 +176,29 @@ def scan(documents: DataFrame, templates: list[tuple[str, str, list[str]]] = TEM
     docs = shared.pick(documents, doc_id="bigint", text="string")
     index = Index(templates, idf(docs, _vocabulary(templates)))
     schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
-    return docs.mapInArrow(_scan(documents.sparkSession.sparkContext.broadcast(index)), schema)
+    return shared.in_batches(docs, _scan(documents.sparkSession.sparkContext.broadcast(index)), schema)
 
 
 def op7_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(shared.table(spark, sf_dir, "documents"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7_rare_token_licenses that SQL can express: the base phrases."""
+    return op7_rare_token_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), phrase(ws, label) AS (
+  VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')
+), place AS (
+  SELECT rid, label, p - 1 AS p FROM (SELECT rid, d.ws, phrase.ws AS ph, label, unnest(range(1, len(d.ws) + 1)) AS p FROM d, phrase) WHERE ws[p:p + len(ph) - 1] = ph
+), found AS (
+  SELECT rid, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY rid
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
+FROM d LEFT JOIN found USING (rid)
+"""
