@@ -8,7 +8,7 @@ token ids are written once and joined to their places.
 Cases
 - null or empty text: the end id alone, one piece of one id.
 - equal keys (copies, ties, repeated rows): ordered by row number, so one key may span partitions.
-- a document longer than a sequence: several pieces. A null doc_id keeps its pieces.
+- a document longer than a sequence: several pieces, however long it is. A null doc_id keeps its pieces.
 - empty table: no rows. Extra columns are ignored.
 """
 
@@ -29,6 +29,8 @@ from . import shared, tokens
 LENGTH = 1024
 END_ID = 0
 DIMS, BITS = 4, 10
+#: Documents of one range of the curve at most, about; smaller tables have a range for each shuffle partition.
+RANGE = 1_000_000
 
 
 def _directions(dims: int) -> np.ndarray:
@@ -84,7 +86,7 @@ def _encode(dims: int, end: int):
 
 def encoded(docs: DataFrame, dims: int = DIMS, end: int = END_ID) -> DataFrame:
     """One row for each document: doc_id, ids (two bytes each), n, place (the projected vector)."""
-    return docs.mapInArrow(_encode(dims, end), "doc_id bigint, ids binary, n bigint, place array<double>")
+    return shared.in_batches(docs, _encode(dims, end), "doc_id bigint, ids binary, n bigint, place array<double>")
 
 
 def with_key(docs: DataFrame, dims: int = DIMS, bits: int = BITS) -> DataFrame:
@@ -113,9 +115,9 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def places(keyed: DataFrame) -> DataFrame:
     """(rid, place): where each document begins when all are laid end to end along the curve."""
     spark = keyed.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // RANGE))
     order = keyed.repartitionByRange(parts, "key", "rid").sortWithinPartitions("key", "rid")
-    order = shared.settle(order.mapInArrow(_running, "rid bigint, part int, start bigint, n bigint"), "pack-order")
+    order = shared.settle(shared.in_batches(order, _running, "rid bigint, part int, start bigint, n bigint"), "pack-order")
     totals = order.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row for each partition
     before = np.cumsum([0, *(r.n for r in totals)]).tolist()
     offsets = spark.createDataFrame([(r.part, b) for r, b in zip(totals, before, strict=False)], "part int, before bigint")
@@ -149,7 +151,7 @@ def pack(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = shared.settle(encoded(docs).withColumn("rid", F.monotonically_increasing_id()), "pack-ids")
     where = places(with_key(docs))
     placed = docs.select("rid", "doc_id", "ids").join(where, "rid").select("doc_id", "ids", "place")
-    return placed.mapInArrow(_cut(length), ", ".join(f"{c} bigint" for c in PIECE))
+    return shared.in_batches(placed, _cut(length), ", ".join(f"{c} bigint" for c in PIECE))
 
 
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
