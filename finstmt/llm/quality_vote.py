@@ -2,13 +2,13 @@
 
 Tokens and their shapes are hashed to term counts, weighted by log counts and inverse document frequencies
 (counted over all documents), and projected to ``RANK`` dimensions by a truncated singular value
-decomposition of the labelled sample. The sample's vectors are broadcast (``MOST`` x ``RANK`` floats at most);
+decomposition of the labelled sample. The sample's vectors are broadcast (about ``MOST`` x ``RANK`` floats);
 every document is held against all of them by exact cosine products, a block at a time, and its ``NEAREST``
 neighbours vote with their similarity as weight.
 
 Cases
 - null or empty text: no terms, no similarity; the score is the mean label of the sample.
-- no labels: every score is 0.5. Equal similarities: the sample's earlier row (by id) first.
+- very long texts are read whole. No labels: every score is 0.5. Equal similarities: the sample's earlier row (by id) first.
 - repeated rows: each row is scored alone. A null doc_id is not held out. Extra columns are ignored.
 - empty table: no rows.
 """
@@ -46,7 +46,7 @@ class _Terms(dict):
     """(word term, shape term) of a token, remembered up to a bound."""
 
     def __missing__(self, token: bytes) -> tuple[int, int]:
-        if len(self) > 500_000:
+        if len(self) > shared.REMEMBERED:
             self.clear()
         half = TERMS // 2
         word = FIRST + xxhash.xxh32_intdigest(token.translate(shared.LOWER)) % (half - FIRST)
@@ -84,7 +84,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def idf(docs: DataFrame) -> np.ndarray:
     """Over all documents; a row for each term reaches the driver."""
-    rows = docs.select("text").mapInArrow(_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = shared.in_batches(docs.select("text"), _frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = {r.term: r.n for r in rows}
     seen = np.array([df.get(t, 0) for t in range(TERMS)], float)
     return np.log((1 + df.get(-1, 0)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
@@ -134,8 +134,8 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Neighbours:
-    """Of the sample, term counts reach the driver (``most`` x TERMS at most), texts do not."""
-    sample = labelled.sample(documents, labels, "quality", FOLDS, FOLD, most).mapInArrow(_sparse, "doc_id bigint, at array<int>, n array<float>, y int")
+    """Of the sample, term counts reach the driver (a row of TERMS for each labelled id), texts do not."""
+    sample = shared.in_batches(labelled.sample(documents, labels, "quality", FOLDS, FOLD, most), _sparse, "doc_id bigint, at array<int>, n array<float>, y int")
     found = sample.toArrow().sort_by("doc_id")
     counts = np.zeros((found.num_rows, TERMS), np.float32)
     for row, at, n in zip(counts, found.column("at"), found.column("n"), strict=True):
@@ -154,7 +154,7 @@ def _vote(model):
 
 
 def scored(docs: DataFrame, model: Neighbours) -> DataFrame:
-    return docs.mapInArrow(_vote(docs.sparkSession.sparkContext.broadcast(model)), "doc_id bigint, score double")
+    return shared.in_batches(docs, _vote(docs.sparkSession.sparkContext.broadcast(model)), "doc_id bigint, score double")
 
 
 def op10_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:

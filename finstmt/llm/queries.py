@@ -15,10 +15,17 @@ QUERIES = {
     "op8_warc_content_store": warc_store.op8_warc_content_store,
     "op9_odd_sketch_near_dup": near_dup.op9_odd_sketch_near_dup,
     "op10_neighbour_vote": quality_vote.op10_neighbour_vote,
+    # Columns of the queries above that SQL can express by themselves.
+    "license_base": license_scan.license_base,
+    "pii_base": pii.pii_base,
+    "token_words": token_rollup.token_words,
 }
 ORACLES = {
     "op5_fm_index": decontaminate.OP5_SQL,
     "op6_line_frequency": line_quality.OP6_SQL,
     "op8_warc_content_store": warc_store.OP8_SQL,
     "op9_odd_sketch_near_dup": near_dup.OP9_SQL,
+    "license_base": license_scan.BASE_SQL,
+    "pii_base": pii.BASE_SQL,
+    "token_words": token_rollup.WORDS_SQL,
 }

@@ -10,7 +10,9 @@ Cases
 - null or empty text: a document of 0 tokens. Null source or lang: groups of their own.
 - repeated rows: each is a document that adds its count. A null doc_id counts too, but can be neither
   revised nor deleted by id.
-- an empty batch can be committed; no batches: no totals. Extra columns are ignored.
+- very long texts are counted whole.
+- an empty batch can be committed; before the first batch, or of an empty table, there are no totals. Extra columns
+  are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counts(documents: DataFrame) -> DataFrame:
     """doc_id, source, lang, bpe and words: one reading of the texts for both tokenizers."""
     docs = shared.pick(documents, doc_id="bigint", source="string", lang="string", text="string")
-    return docs.mapInArrow(_count, "doc_id bigint, source string, lang string, bpe bigint, words bigint")
+    return shared.in_batches(docs, _count, "doc_id bigint, source string, lang string, bpe bigint, words bigint")
 
 
 def signed(rows: DataFrame, sign: int) -> DataFrame:
@@ -53,6 +55,12 @@ def revised(old: DataFrame, new: DataFrame) -> DataFrame:
     return signed(old, -1).unionByName(signed(new, 1))
 
 
+def create(spark: SparkSession, root: str) -> None:
+    """An empty rollup; ``totals`` works from here on."""
+    spark.createDataFrame([], f"{DELTA}, batch string, attempt string").write.mode("append").parquet(f"{root}/deltas")
+    spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{root}/manifest")
+
+
 def commit(spark: SparkSession, root: str, batch: str, changes: DataFrame) -> None:
     """Add a batch of signed rows once, however often it is sent."""
     attempt = uuid.uuid4().hex
@@ -72,17 +80,31 @@ def totals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals over all documents that have a token, after these batches: every document is inserted with its
-    word count under both tokenizer versions, the subword counts are revised to exact ones, documents
-    without tokens are deleted, and the revision is sent a second time, which changes nothing."""
+    """Totals over all documents, after these batches: every document is inserted with its word count under both
+    tokenizer versions; the subword counts are revised to exact ones; documents without any subword are deleted and
+    inserted again; and the revision is sent a second time, which changes nothing."""
     root = shared.new_path(spark, "token-rollup")
+    create(spark, root)
     found = shared.settle(counts(shared.table(spark, sf_dir, "documents")), "token-counts")
     rows = lambda version, n: found.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(n).alias("n_tokens"))
     bpe, words = "byte_bpe_50k", "white_space"
     commit(spark, root, "1-load", signed(rows(bpe, "words").union(rows(words, "words")), 1))
     revision = revised(rows(bpe, "words"), rows(bpe, "bpe"))
     commit(spark, root, "2-exact", revision)
-    none = lambda version, n: rows(version, n).where("n_tokens = 0")
-    commit(spark, root, "3-without-tokens", signed(none(bpe, "bpe").union(none(words, "words")), -1))
+    without = rows(bpe, "bpe").where("n_tokens = 0")
+    commit(spark, root, "3-take-out", signed(without, -1))
+    commit(spark, root, "4-put-back", signed(without, 1))
     commit(spark, root, "2-exact", revision)
     return totals(spark, root)
+
+
+def token_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1_token_rollup that SQL can express: totals of the white-space tokenizer."""
+    return op1_token_rollup(spark, sf_dir).where("tokenizer = 'white_space'")
+
+
+WORDS_SQL = r"""
+SELECT source, lang, 'white_space' AS tokenizer, count(*) AS n_docs,
+  CAST(sum(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS BIGINT) AS n_tokens
+FROM documents GROUP BY source, lang
+"""
