@@ -230,6 +230,7 @@ def _merged(spans: pd.Series) -> pd.Series:
     return spans.map(one)
 
 
+@shared.sized
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns ``keep`` of docs (which has ``text``), n_words, spans (hit words, merged) and items (ids)."""
     spark = docs.sparkSession
@@ -275,6 +276,7 @@ def cut(text: str, spans: list, known: set[bytes], size: int = SIZE) -> str:
         spans = _merged(pd.Series([spans]))[0]
 
 
+@shared.sized
 def remove_spans(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """documents with the merged spans cut out of ``text``; those without a hit are not touched, nulls stay null.
 

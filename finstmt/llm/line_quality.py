@@ -89,6 +89,7 @@ def line_frequency(counted: DataFrame, max_docs: int) -> DataFrame:
     return each.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
+@shared.sized
 def score(documents: DataFrame, max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED) -> DataFrame:
     """Base counts, n_removed_chars, n_line_chars and the verdict ``kept``."""
     counted = shared.settle(base_counts(documents), "line-quality")

@@ -9,8 +9,10 @@ from the texts. A class is known by a number, that of one of its rows.
 No bucket is expanded into all its pairs. First each member of a bucket is held against the bucket's hub
 only, and links found that way make components. Then only what lies outside a bucket's largest component is
 compared, with all that is of another component, in blocks of about ``BLOCK`` members; a larger bucket is dealt
-out as pairs of blocks, so none of its pairs is skipped. Of the pairs between two components that are surely
-above the limit only the nearest is confirmed; should it fail, all pairs of these components are.
+out as pairs of blocks, so none of its pairs is skipped. Of two components' pairs in a block pair the nearest few
+are confirmed first. Block pairs that left out others, and still hold more than one component after that, are gone
+through once more with the full sets in place of sketches, pair by pair within their task, so the number of rows
+never follows the number of pairs.
 
 Hubs, large bands and large components may hold any share of the rows: their joins are spread over parts.
 
@@ -42,7 +44,8 @@ class Rule:
     """What is near: shingles of ``words`` words, linked where num / den of their union is shared.
 
     Two sets at the limit share no band with a probability of (1 - limit^rows)^bands. Estimates by sketch this
-    ``margin`` below the limit are dropped: five standard deviations of BINS samples.
+    ``margin`` below the limit are dropped: five standard deviations of BINS samples. Of two components' pairs in
+    a block pair the ``nearest`` are confirmed first, and ``most_pairs`` of all.
     """
 
     words: int = 5
@@ -51,6 +54,8 @@ class Rule:
     bands: int = 40
     rows: int = 5
     margin: float = 0.07
+    nearest: int = 4
+    most_pairs: int = 4096
 
     @property
     def limit(self) -> float:
@@ -63,7 +68,7 @@ BIN_BITS, SKETCH_BITS = 10, 2048
 BINS = 1 << BIN_BITS
 #: Shingles that small sets may lose to a shared bin; estimates may be off by that besides the margin.
 LOST = 1.5
-BLOCK = 1024
+BLOCK = 512
 _W = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -204,58 +209,88 @@ def with_hub(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
     return shared.join_spread(both, hubs, "a", "n", "b")
 
 
-def star_pairs(classes: DataFrame, buckets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): each class against the hub of its bucket.
+def star_pairs(classes: DataFrame, buckets: DataFrame, rule: Rule, hubs: int = 2) -> DataFrame:
+    """(a, b): each class against hubs of its buckets, the ``hubs`` that it shares most bands with.
 
-    The hub is the member that meets most others over all bands, as the original of edited copies does: the
+    A bucket's hub is the member that meets most others over all bands, as the original of edited copies does: the
     copies are nearer to it than to each other.
     """
     crowd = buckets.groupBy("c").agg(F.sum("size").alias("met"))
     hub = buckets.join(crowd, "c").groupBy("band").agg(F.max(F.struct("met", "c"))["c"].alias("a"), F.max("size").alias("size"))
-    met = shared.join_spread(buckets, hub, "band", "size", "c").where("c <> a")
-    pairs = shared.numbered(shared.settle(met.select("a", F.col("c").alias("b")).distinct(), "stars"), "a")
+    met = shared.join_spread(buckets, hub, "band", "size", "c").where("c <> a").groupBy("c", "a").agg(F.count("*").alias("bands"))
+    best = met.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("bands", "a")), asc=False), 1, hubs).alias("best"))  # a row for each band at most
+    pairs = best.select(F.explode("best.a").alias("a"), F.col("c").alias("b"))
+    pairs = shared.numbered(shared.settle(pairs, "stars"), "a")
     return shared.in_batches(with_hub(pairs, classes.select("c", "sketch"), "sketch"), _screen(rule), "a bigint, b bigint")
 
 
-PAIR = "a bigint, b bigint, label_a bigint, label_b bigint, sure boolean"
-
-
-def _between(rule: Rule, every: bool, key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Candidate pairs of one block pair: of different components, and near by sketch.
-
-    Of the pairs between two components that are surely above the limit, the nearest is enough unless ``every``
-    is asked for; those in doubt all go on.
-    """
-    i, j = (k.as_py() for k in key[1:])
-    names, labels, blocks = (group.column(c).to_numpy() for c in ("c", "label", "block"))
-    sk, limit = sketches(group.column("sketch").to_pylist()), rule.limit
+def _near(rule: Rule, i: int, j: int, group: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(x, ys, estimates): members of block i with those of block j that are of other components and near by sketch."""
+    labels, blocks = (group.column(c).to_numpy() for c in ("label", "block"))
+    sk = sketches(group.column("sketch").to_pylist())
     left = np.flatnonzero(blocks == i)
     right = left if i == j else np.flatnonzero(blocks == j)
-    found: list[tuple] = []
-    nearest: dict[tuple[int, int], tuple] = {}
-    for x in left:
+    for x in left.tolist():
         ys = right[(right > x) & (labels[right] != labels[x])] if i == j else right[labels[right] != labels[x]]
-        e, off = estimate(sk[x : x + 1], sk[ys], rule.margin)
-        near = e >= limit - off
-        for y, near_by, doubt in zip(ys[near].tolist(), e[near].tolist(), off[near].tolist(), strict=True):
-            lo, hi = (x, y) if names[x] < names[y] else (y, x)
-            pair = (int(names[lo]), int(names[hi]), int(labels[lo]), int(labels[hi]))
-            if every or near_by < limit + doubt:
-                found.append((*pair, False))
-            else:
-                at = (min(pair[2:]), max(pair[2:]))
-                nearest[at] = max(nearest.get(at, (0.0,)), (near_by, pair))
-    found += [(*pair, True) for _, pair in nearest.values()]
-    columns = list(zip(*found, strict=True)) or [[]] * 5
-    kinds = [pa.int64()] * 4 + [pa.bool_()]
-    return pa.table({n: pa.array(v, t) for n, v, t in zip(("a", "b", "label_a", "label_b", "sure"), columns, kinds, strict=True)})
+        if len(ys):
+            e, off = estimate(sk[x : x + 1], sk[ys], rule.margin)
+            near = e >= rule.limit - off
+            yield x, ys[near], e[near]
+
 
+PAIR = "a bigint, b bigint, label_a bigint, label_b bigint, band bigint, i int, j int"
 
-def dealt_blocks(buckets: DataFrame, labels: DataFrame, block: int = BLOCK, only: DataFrame | None = None) -> DataFrame:
+
+def _between(rule: Rule, key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Candidate pairs of one block pair, of each two components the nearest; one row without a pair if there are others."""
+    band, i, j = (k.as_py() for k in key)
+    names, labels = (group.column(c).to_numpy() for c in ("c", "label"))
+    best: dict[tuple[int, int], list[tuple]] = {}
+    n, others = 0, False
+    for x, ys, e in _near(rule, i, j, group):
+        for y, near_by in zip(ys.tolist(), e.tolist(), strict=True):
+            lo, hi = (x, y) if names[x] < names[y] else (y, x)
+            pair = (near_by, int(names[lo]), int(names[hi]), int(labels[lo]), int(labels[hi]))
+            at = (min(pair[3:]), max(pair[3:]))
+            mine = best.get(at, [])
+            if len(mine) < rule.nearest and n < rule.most_pairs:
+                best.setdefault(at, mine).append(pair)
+                n += 1
+            else:
+                others = True
+                if mine and pair > min(mine):
+                    mine[mine.index(min(mine))] = pair
+    found = [pair[1:] for mine in best.values() for pair in mine] + [(None,) * 4] * others
+    columns = [*zip(*found, strict=True)] or [[]] * 4
+    here = [[k] * len(found) for k in (band, i, j)]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2
+    return pa.table({n: pa.array(v, t) for n, v, t in zip(("a", "b", "label_a", "label_b", "band", "i", "j"), [*columns, *here], kinds, strict=True)})
+
+
+def _exact(rule: Rule, key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """(a, b): labels of components of one block pair that are linked on their members' full sets, each new link once."""
+    labels = group.column("label").to_pylist()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
+    root = {label: label for label in labels}
+    found = []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x, ys, _ in _near(rule, key[1].as_py(), key[2].as_py(), group):
+        for y in ys.tolist():
+            p, q = top(labels[x]), top(labels[y])
+            if p != q and _linked(rule, sets[x], sets[y]):
+                root[max(p, q)] = min(p, q)
+                found.append((labels[x], labels[y]))
+    return pa.table({n: pa.array([f[k] for f in found], pa.int64()) for k, n in enumerate("ab")})
+
+
+def dealt_blocks(buckets: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
     """(band, i, j, block, c, label): who meets in block pair (i, j) of a bucket that holds more than one component."""
-    member = buckets.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    if only is not None:
-        member = member.join(only, "label", "left_semi")
+    member = buckets.join(labels, "c")
     member = shared.settle(member.select("band", "c", "label", "size"), "members")
     each = member.groupBy("band", "label").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     whole = each.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.max("size").alias("size"))
@@ -270,18 +305,18 @@ def dealt_blocks(buckets: DataFrame, labels: DataFrame, block: int = BLOCK, only
     return dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "label")
 
 
-def cross_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, rule: Rule, block: int = BLOCK, only: DataFrame | None = None) -> DataFrame:
-    """(a, b, label_a, label_b, sure) from all bands, for buckets that hold more than one component.
-
-    only: (label); nothing but pairs between these components, and then every one of them.
-    """
-    keyed = dealt_blocks(buckets, labels, block, only).join(classes.select("c", "sketch"), "c")
-    every = only is not None
+def cross_pairs(classes: DataFrame, dealt: DataFrame, rule: Rule) -> DataFrame:
+    """PAIR rows from all bands, for buckets that hold more than one component."""
 
     def between(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return _between(rule, every, key, group)
+        return _between(rule, key, group)
+
+    return dealt.join(classes.select("c", "sketch"), "c").groupBy("band", "i", "j").applyInArrow(between, PAIR)
 
-    return keyed.groupBy("band", "i", "j").applyInArrow(between, PAIR).distinct()
+
+def _linked(rule: Rule, x: np.ndarray, y: np.ndarray) -> bool:
+    inter = len(np.intersect1d(x, y, assume_unique=True))
+    return rule.den * inter >= rule.num * (len(x) + len(y) - inter)
 
 
 def _confirm(rule: Rule):
@@ -292,39 +327,64 @@ def _confirm(rule: Rule):
             for a, ta, tb in zip(b.column("a").to_pylist(), b.column("text_a"), b.column("text_b"), strict=True):
                 if a not in last:  # the join brings a's pairs one after the other
                     last = {a: shingles(ta.as_py(), hashes, rule.words)}
-                x, y = last[a], shingles(tb.as_py(), hashes, rule.words)
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                fine.append(rule.den * inter >= rule.num * (len(x) + len(y) - inter))
+                fine.append(_linked(rule, last[a], shingles(tb.as_py(), hashes, rule.words)))
             yield b.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     return run
 
 
+def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(c, text) of the classes in wanted (c, each once)."""
+    source = classes.join(wanted, "c").select("c", "fp", F.col("doc_id").alias("key_id"))
+    return docs.join(source, docs["doc_id"].eqNullSafe(source["key_id"]) & (docs["fp"] == source["fp"])).select("c", "text").dropDuplicates(["c"])
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule, name: str) -> DataFrame:
     """The pairs that hold on their full sets."""
     pairs = shared.numbered(shared.settle(pairs, f"pairs-{name}"), "a")
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    source = classes.join(wanted, "c").select("c", "fp", F.col("doc_id").alias("key_id"))
-    texts = docs.join(source, docs["doc_id"].eqNullSafe(source["key_id"]) & (docs["fp"] == source["fp"])).select("c", "text").dropDuplicates(["c"])
-    texts = shared.settle(texts, f"texts-{name}")
+    texts = shared.settle(texts_of(wanted, classes, docs), f"texts-{name}")
     links = shared.settle(shared.in_batches(with_hub(pairs, texts, "text"), _confirm(rule), "a bigint, b bigint"), f"links-{name}")
     shared.discard(texts)
     return links
 
 
+def _sets(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            sets = [shingles(t.as_py(), hashes, rule.words).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("c"), pa.array(sets, pa.binary())], ["c", "set"])
+
+    return run
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (c, label) after the links between labels (a, b)."""
+    merged = components(links).toDF("label", "merged")
+    return shared.settle(labels.join(shared.small(merged), "label", "left").select("c", F.coalesce("merged", "label").alias("label")), "labels")
+
+
 def cross_links(classes: DataFrame, buckets: DataFrame, labels: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): the labels of components between which a pair holds on its full sets."""
-    found = shared.settle(cross_pairs(classes, buckets, labels, rule), "cross")
-    links = confirmed(found.select("a", "b").distinct(), classes, docs, rule, "cross")
-    of = ["label_a", "label_b"]
-    held = found.join(links, ["a", "b"]).select(*of).distinct()
-    failed = found.where("sure").select(*of).distinct().join(held, of, "left_anti")
-    if not failed.isEmpty():
-        only = failed.select(F.col("label_a").alias("label")).union(failed.select("label_b")).distinct()
-        every = cross_pairs(classes, buckets, labels, rule, only=only).select("a", "b", *of).distinct()
-        every = shared.settle(every.join(found, ["a", "b"], "left_anti"), "again")
-        held = held.union(every.join(confirmed(every.select("a", "b"), classes, docs, rule, "again"), ["a", "b"]).select(*of))
-    return shared.settle(held.toDF("a", "b").distinct(), "cross-links")
+    """labels (c, label of every class) after all links between components that share a bucket."""
+    dealt = shared.settle(dealt_blocks(buckets, labels), "dealt")
+    found = shared.settle(cross_pairs(classes, dealt, rule), "cross")
+    pairs = found.where("a is not null").select("a", "b", "label_a", "label_b").distinct()
+    links = confirmed(pairs.select("a", "b"), classes, docs, rule, "cross")
+    after = relabelled(labels, pairs.join(links, ["a", "b"]).select("label_a", "label_b").distinct().toDF("a", "b"))
+    again = found.where("a is null").select("band", "i", "j")
+    if again.isEmpty():
+        return after
+    rest = shared.settle(dealt.drop("label").join(shared.small(again), ["band", "i", "j"], "left_semi").join(after, "c"), "rest")
+    mixed = rest.groupBy("band", "i", "j").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    rest = shared.settle(rest.join(mixed, ["band", "i", "j"], "left_semi"), "rest-mixed")
+    sets = shared.settle(shared.in_batches(texts_of(rest.select("c").distinct(), classes, docs), _sets(rule), "c bigint, set binary"), "sets-rest")
+
+    def exact(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        return _exact(rule, key, group)
+
+    whole = rest.join(classes.select("c", "sketch"), "c").join(sets, "c").groupBy("band", "i", "j").applyInArrow(exact, "a bigint, b bigint")
+    return relabelled(after, shared.settle(whole.distinct(), "links-rest"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -355,6 +415,7 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(edges.select(F.col("a").alias("c"), F.col("a").alias("label")).distinct())
 
 
+@shared.sized
 def labelled(documents: DataFrame, rule: Rule) -> DataFrame:
     """rid, doc_id, fp (hash of the text), n, label of the group (null: an empty set) and its smallest doc_id."""
     docs = shared.pick(documents, doc_id="bigint", text="string").withColumn("fp", F.xxhash64("text"))
@@ -364,10 +425,9 @@ def labelled(documents: DataFrame, rule: Rule) -> DataFrame:
     classes = shared.settle(some.withColumnRenamed("rid", "c").join(sets.select("c"), "c").select("c", "doc_id", "fp", "bands", "sketch"), "classes")
     buckets = shared.settle(shared_bands(classes), "buckets")
     links = confirmed(star_pairs(classes, buckets, rule), classes, docs, rule, "star")
-    labels = shared.settle(components(links), "labels")
-    between = components(cross_links(classes, buckets, labels, docs, rule)).toDF("label", "merged")
-    of = sets.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")).join(shared.small(between), "label", "left")
-    of = shared.settle(of.select("digest", F.coalesce("merged", "label").alias("label"), "low", "copies"), "classed")
+    own = sets.select("c").join(components(links), "c", "left").select("c", F.coalesce("label", "c").alias("label"))
+    labels = cross_links(classes, buckets, shared.settle(own, "labels"), docs, rule)
+    of = shared.settle(sets.join(labels, "c").select("digest", "label", "low", "copies"), "classed")
     lowest = of.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
     of = shared.settle(shared.join_counted(of, lowest, ["label"], total=of.count()).select("digest", "label", "component_id", "copies"), "grouped")
     rows = shared.join_counted(rows.select("rid", "doc_id", "fp", "n", "digest"), of, ["digest"], "copies", how="left")
@@ -382,6 +442,7 @@ def find(documents: DataFrame, rule: Rule = USUAL) -> DataFrame:
     return labelled(documents, rule).select("doc_id", "fp", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept"))
 
 
+@shared.sized
 def one_of_each(documents: DataFrame, rule: Rule = USUAL) -> DataFrame:
     """One document of each group, that of the smallest doc_id (null last), then of the smallest text hash.
 

@@ -145,6 +145,7 @@ def _cut(length: int):
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+@shared.sized
 def pack(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row for each piece of a document."""
     docs = shared.pick(documents, doc_id="bigint", text="string")

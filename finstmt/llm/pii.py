@@ -276,6 +276,7 @@ def score_patterns(edges: DataFrame, seeds: DataFrame, min_support: int = MIN_SU
         known = sure.union(new)
 
 
+@shared.sized
 def extract(documents: DataFrame, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, base counts, ``base`` and ``spans`` (all spans, joined), with ``rid`` a number for the row."""
     docs = shared.pick(documents, doc_id="bigint", text="string")
@@ -320,6 +321,7 @@ def _masked(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([one(t, j) for t, j in zip(text, spans, strict=True)], dtype=object)
 
 
+@shared.sized
 def redact(documents: DataFrame) -> DataFrame:
     """documents with every span's text replaced by its kind in angle brackets; other columns stay."""
     rows = documents.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import re
 import string
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +26,11 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 #: Rows of one key that may meet in one task; and how many keys may be heavier than that and so be broadcast.
 HEAVY, MOST_HEAVY = 1_000, 100_000
 
+#: Documents whose share of a settled table one task writes.
+ROWS_A_TASK = 20_000
+
 _own_dir: list[str] = []
+_tasks: ContextVar[int | None] = ContextVar("tasks", default=None)
 
 
 def alnum_words(text: str | None) -> list[bytes]:
@@ -56,6 +63,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/finstmt-{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def about(documents: DataFrame) -> Iterator[None]:
+    """Inside, settled tables are written by as many tasks as these documents take (and cores there are), not by one
+    for each shuffle partition: a table that is small beside them is a few files."""
+    needed = -(-documents.count() // ROWS_A_TASK)
+    before = _tasks.set(max(documents.sparkSession.sparkContext.defaultParallelism, needed))
+    try:
+        yield
+    finally:
+        _tasks.reset(before)
+
+
+def sized(f: Callable) -> Callable:
+    """f(documents, ...) inside about(documents)."""
+
+    @functools.wraps(f)
+    def run(documents: DataFrame, *args, **named):
+        with about(documents):
+            return f(documents, *args, **named)
+
+    return run
+
+
 def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
@@ -63,8 +93,8 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     written, cannot change between two readings of them.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    path, tasks = new_path(spark, name), _tasks.get()
+    (df.coalesce(tasks) if tasks else df).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -225,6 +225,7 @@ def _reduced(chosen):
     return run
 
 
+@shared.sized
 def learn(documents: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = MOST_POSITIVE, unlabelled: int = MOST_UNLABELLED) -> Model:
     """The model of the toxic documents outside the held-out fold and of unlabelled text.
 

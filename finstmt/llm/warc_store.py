@@ -52,6 +52,7 @@ def headers_of(records: DataFrame, date: str) -> Column:
     ).cast("binary")
 
 
+@shared.sized
 def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write ``root/headers`` and ``root/payloads`` from pages (page_id, url, html).
 
