@@ -27,8 +27,6 @@ LABEL_STEPS = (
 
 #: A row label's leading number, (가) or 가. with what follows it.
 ROW_PREFIX = rf"^(?:[\(\[]?[0-9①-⑳]{{1,3}}[\)\]]?[\.{WS_SET}]*|\({WS}*[가나다라마바사아자차카타파하]{WS}*\)[\.{WS_SET}]*|[가나다라마바사아자차카타파하][\.\)][\.{WS_SET}]*)"
-#: A prefix takes at least one character, and longer chains than this do not occur in a label.
-MOST_PREFIXES = 12
 
 
 def trim(c: Column) -> Column:
@@ -59,7 +57,9 @@ def _without_prefix(c: Column) -> Column:
 def row_label(c: Column) -> Column:
     """A row's name for the depreciation rules: prefixes go until none is left, but never the whole label."""
     start = trim(F.translate(c, " 　 ", ""))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_PREFIXES)), start, lambda acc, _: _without_prefix(acc))
+    # A prefix takes at least one character, so there are no more of them than the label has characters.
+    steps = F.sequence(F.lit(1), F.greatest(F.length(start), F.lit(1)))
+    return F.aggregate(steps, start, lambda acc, _: _without_prefix(acc))
 
 
 def nospace(c: Column) -> Column:

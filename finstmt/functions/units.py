@@ -10,6 +10,7 @@ from .text import WS, contains_any
 # Unit names and their multipliers.
 UNITS = {"원": 1, "천원": 1_000, "백만원": 1_000_000, "억원": 100_000_000}
 _TOKEN = rf"천{WS}*원|백{WS}*만{WS}*원|억{WS}*원"
+# How captions state a unit.
 STRICT = rf"(?i)(?:단위|금액{WS}*단위){WS}*[:：]?{WS}*[\(\[]?{WS}*({_TOKEN}|원|KRW){WS}*[\)\]]?"
 LOOSE = rf"단위.{{0,12}}?({_TOKEN})"
 

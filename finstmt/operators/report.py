@@ -52,4 +52,4 @@ def write_report(results: DataFrame, keys: list[str], root: str) -> None:
 
 def write_trace(traces: DataFrame, root: str) -> None:
     """Trace lines (keys, pos, line) as text files by company and year."""
-    traces.orderBy("corp", "year", "pos").select("corp", "year", F.col("line").alias("value")).write.mode("overwrite").partitionBy("corp", "year").text(root)
+    traces.repartition("corp", "year").sortWithinPartitions("corp", "year", "pos").select("corp", "year", F.col("line").alias("value")).write.mode("overwrite").partitionBy("corp", "year").text(root)

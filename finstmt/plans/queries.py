@@ -49,7 +49,9 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def company_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return report.pivot_years(account_extract(spark, sf), list(range(1995, 2002)))
+    """A column for each year that the data have."""
+    years = [r.year for r in adapter.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year")).distinct().collect()]
+    return report.pivot_years(account_extract(spark, sf), sorted(years))
 
 
 def fs_div_infer(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,6 +115,7 @@ def row_label_normalize(spark: SparkSession, sf: str) -> DataFrame:
 def unit_detect(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id") % 8
     x = F.when(n == 0, "(단위: 백만원)").when(n == 1, "금액 단위 ： [천 원]").when(n == 2, "단위는 미화 기준 억원").when(n == 3, "(단위:krw)").when(n == 4, "단위 원").when(n == 5, F.col("text")).when(n == 6, "단위: 달러").otherwise("백만원")
+    x = F.when(n == 5, x).otherwise(F.concat(x, F.lit(" "), F.coalesce("text", F.lit(""))))
     return adapter.table(spark, sf, "documents").select("doc_id", units.in_text(x).cast("bigint").alias("unit"))
 
 
