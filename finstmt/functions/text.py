@@ -90,3 +90,8 @@ def json_block(c: Column) -> Column:
     """The body of the first fenced block, if there is one, else the whole text."""
     body = F.regexp_extract(c, r"(?s)```(?:json)?[\x09-\x0D\x20]*(.*?)[\x09-\x0D\x20]*```", 1)
     return F.when(body != "", body).otherwise(trim(c))
+
+
+def reply(c: Column, schema: str = "map<string,string>") -> Column:
+    """A model's reply as values by name, out of its first fenced block or the whole text; null where that is no JSON object."""
+    return F.from_json(json_block(c), schema)

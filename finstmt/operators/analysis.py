@@ -11,21 +11,41 @@ KEYS = ["corp", "year"]
 FALLBACK = "사업보고서 본문 파싱으로 추출 (XBRL 미등록)"
 
 
-def _depreciation(nodes: DataFrame, divisions: DataFrame, strict: bool, selection: DataFrame | None) -> DataFrame:
+def _tables(nodes: DataFrame, divisions: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
+    """Cash-flow buckets and the candidates of the notes."""
     cf = depreciation.cash_flow_buckets(documents.with_units(depreciation.cash_flow_tables(nodes, divisions, strict)))
+    return cf, documents.with_units(depreciation.notes_candidates(nodes, divisions, strict))
+
+
+def depreciation_of(nodes: DataFrame, divisions: DataFrame, strict: bool, selection: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """keys, depr, rou, amort, combined, source of a filing's document.
+
+    members: nodes of all documents of the filing's archive, one after the other (documents.merged_members). They are
+    read where the first document gives neither an amount nor a candidate; of their cash flow only a complete result
+    counts (depreciation with amortisation or combined), else their candidates stand for the selection.
+    """
+    cf, candidates = _tables(nodes, divisions, strict)
+    some = F.coalesce("depr", "rou", "amort").isNotNull()
+    if members is not None:
+        found = cf.where(some).select(*KEYS).union(candidates.select(*KEYS)).distinct()
+        again, more = _tables(members.join(found, KEYS, "left_anti").select(*nodes.columns), divisions, strict)
+        complete = F.col("depr").isNotNull() & (F.col("amort").isNotNull() | F.col("combined"))
+        again = again.where(complete)
+        cf = cf.where(some).unionByName(again)
+        candidates = candidates.unionByName(more.join(again.select(*KEYS), KEYS, "left_anti"))
     if selection is None:
-        return cf
-    candidates = documents.with_units(depreciation.notes_candidates(nodes, divisions, strict))
-    return depreciation.merged(cf, depreciation.verify_selection(candidates, selection)).drop("source")
+        return cf.withColumn("source", F.when(some, "cf").otherwise("error"))
+    return depreciation.merged(cf, depreciation.verify_selection(candidates, selection))
 
 
-def analyze(names: DataFrame, years: DataFrame, registry: DataFrame, filings: DataFrame, rows: DataFrame, nodes: DataFrame, catalogue: DataFrame, overrides: DataFrame | None = None, selection: DataFrame | None = None) -> DataFrame:
+def analyze(names: DataFrame, years: DataFrame, registry: DataFrame, filings: DataFrame, rows: DataFrame, nodes: DataFrame, catalogue: DataFrame, overrides: DataFrame | None = None, selection: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """name, year, corp, status (ok, no_corp, ambiguous_corp, no_report, error), path, fs_div, the items, EBITDA,
     checks, is_valid, flags and remarks.
 
     names (name) meet every year; rows are account rows, nodes document nodes, both by corp and year. A filing
     of type A001 is path A: account rows, or, where it has none, its document; others are path B. Without a
-    selection relation the notes give nothing.
+    selection relation the notes give nothing. members: nodes of whole archives, see depreciation_of(); depr_source says
+    whether depreciation comes from the cash flow, the notes or both.
     """
     grid = resolve.resolve(names, registry, overrides).crossJoin(F.broadcast(years)).withColumnRenamed("corp_code", "corp")
     reports = resolve.choose_report(filings, grid.where("status = 'ok'").select(*KEYS).distinct()).withColumn("path", F.when(F.col("kind") == "A001", "A").otherwise("B"))
@@ -43,9 +63,15 @@ def analyze(names: DataFrame, years: DataFrame, registry: DataFrame, filings: Da
     )
     wide = results.wide(found, KEYS)
     scoped = divisions.select(*KEYS, "fs_div", "scope")
-    of_path = lambda p: own_nodes.join(divisions.where(F.col("path") == p).select(*KEYS), KEYS, "left_semi").select(*nodes.columns)
-    depr = _depreciation(of_path("A"), scoped, True, selection).unionByName(_depreciation(of_path("B"), scoped, False, selection))
-    checked = results.validated(results.positive_costs(results.overlay(wide, depr, KEYS)).withColumn("ebitda", results.ebitda()))
+
+    def of_path(p: str) -> DataFrame:
+        mine = divisions.where(F.col("path") == p).select(*KEYS)
+        own, all_members = (None if d is None else d.join(mine, KEYS, "left_semi").select(*nodes.columns) for d in (own_nodes, members))
+        return depreciation_of(own, scoped, p == "A", selection, all_members)
+
+    depr = of_path("A").unionByName(of_path("B"))
+    checked = results.validated(results.positive_costs(results.overlay(wide, depr.drop("source"), KEYS)).withColumn("ebitda", results.ebitda()))
+    checked = checked.join(depr.select(*KEYS, F.col("source").alias("depr_source")), KEYS, "left")
     out = grid.join(reports.select(*KEYS, "path", "rcept_no", "report_nm"), KEYS, "left").join(divisions.drop("path", "scope"), KEYS, "left").join(checked, KEYS, "left")
     status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("path").isNull(), "no_report").when(F.col("is_valid").isNull(), "error").otherwise("ok")
     fell_back = (F.col("path") == "A") & F.col("from_document")

@@ -24,6 +24,17 @@ def compare(items: DataFrame, opinion: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("disagree", disagrees(F.col("ours"), F.col("theirs")))
 
 
+def whole(v: Column) -> Column:
+    """Without decimals, halves to even; a dash for null."""
+    r = F.bround(v, 0)
+    return F.when(v.isNull(), "-").when((r == 0) & (v < 0), "-0").otherwise(r.cast("decimal(38,0)").cast("string"))
+
+
+def disagreement(a: Column, b: Column) -> Column:
+    """The text of a disagreement: both values, whole."""
+    return F.concat(whole(a), F.lit(" vs "), whole(b))
+
+
 def adjudicate(compared: DataFrame, verdict: DataFrame, keys: list[str]) -> DataFrame:
     """Final values: ours where both agree, else the verdict; an unreadable verdict gives theirs, and a null
     never displaces a value of ours. verdict: keys, item, answer (text as the model gave it)."""

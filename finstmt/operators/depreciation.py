@@ -74,13 +74,22 @@ def cash_flow_buckets(tables: DataFrame) -> DataFrame:
 
 
 def signals(rows: Column) -> Column:
-    """(exact, combined): a row that is exactly depreciation, or combined with amortisation, has a number."""
+    """(exact, amort, combined, pair): a row with a number that is exactly depreciation, exactly amortisation, or both
+    in one; pair: the first two stand apart in one table."""
     num = lambda r: F.exists(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda c: amounts.note_amount(c).isNotNull())
     name = lambda r: text.row_label(F.coalesce(F.get(r, F.lit(0)), F.lit("")))
     both = lambda l: l.contains("감가상각비") & l.contains("무형자산상각비")  # noqa: E731, E741
     exact = F.exists(rows, lambda r: name(r).isin(*catalog.EXACT_DEPR) & num(r))
+    amort = F.exists(rows, lambda r: name(r).isin(*catalog.EXACT_AMORT) & num(r))
     combined = F.exists(rows, lambda r: both(name(r)) & ~name(r).contains("누계") & num(r))
-    return F.struct(exact.alias("exact"), combined.alias("combined"))
+    return F.struct(exact.alias("exact"), amort.alias("amort"), combined.alias("combined"), (exact & amort).alias("pair"))
+
+
+def separate_pairs(tables: DataFrame) -> DataFrame:
+    """keys and the candidates (with table_no), as T1, T2, that state depreciation and amortisation in rows of their own."""
+    name = F.struct("table_no", F.concat(F.lit("T"), F.col("table_no").cast("string")).alias("name"))
+    found = tables.where(signals(F.col("rows"))["pair"]).groupBy(*KEYS).agg(F.sort_array(F.collect_list(name)).alias("t"))
+    return found.select(*KEYS, F.array_join("t.name", ", ").alias("pairs"))
 
 
 def section_title(previous: Column) -> Column:

@@ -149,3 +149,12 @@ def text_bundle(nodes: DataFrame, most: int = 8000) -> DataFrame:
     block = t.select(*KEYS, F.struct(order.alias("order"), "pos", F.array_join(F.concat(F.array(head), line), "\n").alias("block")).alias("b"))
     whole = block.groupBy(*KEYS).agg(F.sort_array(F.collect_list("b")).alias("b"))
     return whole.select(*KEYS, F.left(F.array_join(F.col("b.block"), "\n"), F.lit(most)).alias("text"))
+
+
+def merged_members(nodes: DataFrame) -> DataFrame:
+    """Nodes of all documents of an archive as those of one: ``pos`` goes on from member to member (``member``: 0 the
+    largest file). Only archives of several members."""
+    w = Window.partitionBy(*KEYS)
+    several = nodes.withColumn("_most", F.max("member").over(w)).where("_most > 0")
+    at = (F.row_number().over(w.orderBy("member", "pos")) - 1).cast("int")
+    return several.withColumn("pos", at).drop("_most", "member")

@@ -194,3 +194,16 @@ SQL = {
     "ordered_distinct": """WITH p AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first FROM orders GROUP BY ALL) SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY first) AS priorities FROM p GROUP BY o_custkey""",
     "rate_window": """SELECT time_bucket(INTERVAL '60 seconds', ts) AS window_start, count(*) AS n_calls, count(*) > 15 AS over_limit FROM events GROUP BY 1""",
 }
+
+SQL["disagreement_texts"] = f"{COMPARED} SELECT corp, year, item, coalesce(format('{{:.0f}}', ours), '-') || ' vs ' || coalesce(format('{{:.0f}}', theirs), '-') AS text FROM cmp WHERE disagree"
+SQL["reply_values"] = f"""WITH facts AS ({adapter.FACTS}) SELECT corp, year, k < 3 AS parsed, CAST(CASE k WHEN 0 THEN qty WHEN 1 THEN tax END AS DOUBLE) AS depr,
+  CAST(CASE k WHEN 1 THEN 1 WHEN 2 THEN rev END AS DOUBLE) AS amort FROM facts"""
+SQL["status_texts"] = f"""WITH facts AS ({adapter.FACTS}), s AS (
+  SELECT corp, year, year % 4 AS n, ['ok', 'no_corp', 'ambiguous_corp', 'no_report', 'error'][k + 1] AS state, ['', '유사: A', '보고서 탐색 오류: x', '재무데이터 추출 오류: y'][year % 4 + 1] AS message FROM facts)
+SELECT corp, year, state, CASE state
+    WHEN 'ok' THEN '데이터 추출 성공. 사용 보고서: ' || CASE WHEN n = 1 THEN '-' ELSE '사업보고서' END || ', 경로 ' || CASE WHEN n < 2 THEN 'A' ELSE 'B' END || ', 재무제표 기준 ' || CASE WHEN n IN (0, 2) THEN '연결' ELSE '별도' END || '.'
+    WHEN 'no_report' THEN year || ' 사업연도 기준 사업보고서, 연결감사보고서, 감사보고서를 순서대로 찾았지만 사용 가능한 보고서를 찾지 못했습니다.'
+    WHEN 'no_corp' THEN CASE n WHEN 0 THEN '기업명을 찾지 못했습니다.' ELSE message END || CASE WHEN n = 1 THEN '. 입력한 이름과 정확히 일치하는 DART 기업명이 없어 자동 선택하지 않았습니다. 동명이인이나 유사 상호가 많을 수 있으니 정식 법인명으로 다시 조회해 주세요.' ELSE '. DART 기업코드 목록에서 정확 일치 기업명을 찾지 못했습니다.' END
+    WHEN 'ambiguous_corp' THEN CASE n WHEN 0 THEN '동일 기업명이 여러 개 존재합니다.' ELSE message END || ' DART에 같은 이름의 법인이 다수 등록되어 있어 재무데이터를 특정할 수 없습니다.'
+    ELSE CASE n WHEN 0 THEN '분석 중 오류가 발생했습니다.' WHEN 2 THEN message || '. DART 공시 목록 조회 단계에서 실패했습니다.' WHEN 3 THEN message || '. 보고서는 찾았지만 재무 항목 추출 단계에서 실패했습니다.' ELSE message END END AS text,
+  CASE WHEN state <> 'ok' THEN message WHEN n = 0 THEN '✓ 통과' WHEN n = 1 THEN '✗ 검증실패' ELSE '검증정보 없음' END AS status FROM s"""

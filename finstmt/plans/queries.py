@@ -220,9 +220,43 @@ def notes_text_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return depreciation.selection_text(documents.with_units(_candidates(spark, sf)))
 
 
+def depreciation_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every table what it says of depreciation."""
+    s = depreciation.signals(F.col("rows"))
+    return adapter.nodes(spark, sf).where("kind = 'table'").select(*KEYS, "pos", *(s[c].alias(c) for c in ("exact", "amort", "combined", "pair")))
+
+
+def separate_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return depreciation.separate_pairs(_candidates(spark, sf))
+
+
+def disagreement_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _compared(spark, sf).where("disagree").select(*KEYS, "item", compare.disagreement(F.col("ours"), F.col("theirs")).alias("text"))
+
+
+REPLY = "CASE k WHEN 0 THEN concat('{\"depr\": ', qty, ', \"amort\": null}') WHEN 1 THEN concat('Here: ```json\n{\"depr\": ', tax, ', \"amort\": 1}\n``` done') WHEN 2 THEN concat('```\n{\"amort\": ', rev, '}```') WHEN 3 THEN concat('{\"depr\": ', qty) ELSE 'no reply' END"
+
+
+def reply_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Values out of replies of all kinds: bare, fenced, cut off and plain talk."""
+    said = _facts(spark, sf).select(*KEYS, text.reply(F.expr(REPLY)).alias("r"))
+    return said.select(*KEYS, F.col("r").isNotNull().alias("parsed"), F.col("r")["depr"].try_cast("double").alias("depr"), F.col("r")["amort"].try_cast("double").alias("amort"))
+
+
+def status_texts(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("year") % 4
+    state = F.element_at(F.array(*map(F.lit, ("ok", "no_corp", "ambiguous_corp", "no_report", "error"))), F.col("k") + 1)
+    message = F.when(n == 0, "").when(n == 1, "유사: A").when(n == 2, "보고서 탐색 오류: x").otherwise("재무데이터 추출 오류: y")
+    f = _facts(spark, sf).withColumns({"state": state, "message": message, "path": F.when(n < 2, "A").otherwise("B"), "nm": F.when(n != 1, "사업보고서")})
+    division = report.division_name(F.col("path"), F.when(n == 0, "CFS").otherwise("OFS"), F.when(n == 2, "audit_consol").otherwise("audit_separate"))
+    text_of = report.processing(F.col("state"), F.col("message"), F.col("nm"), F.col("path"), division, F.col("year"))
+    return f.select(*KEYS, "state", text_of.alias("text"), report.status(F.col("state"), F.col("message"), F.when(n == 0, True).when(n == 1, False)).alias("status"))
+
+
 QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
     amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window,
     section_assign, scope_infer, current_column, doc_extract, cf_tables, cf_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
+    depreciation_signals, separate_pairs, disagreement_texts, reply_values, status_texts,
 )}
 ORACLES = oracle.SQL | oracle_docs.SQL

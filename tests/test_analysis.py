@@ -33,3 +33,14 @@ def test_details(spark):
     got = rows(one.select(*KEYS, "detail", details.final(F.col("detail"), F.lit(None).cast("double")).alias("gone"), details.final(F.col("detail"), F.lit(3.0)).alias("new")))[0]
     assert got["detail"]["source"]["rcept_no"] == "r9" and got["detail"]["source"]["source_type"] == "document_xml" and got["detail"]["confidence"] == "verified"
     assert got["gone"]["confidence"] == "missing" and got["new"]["confidence"] == "unverified_ai_value" and got["new"]["value"] == 3.0
+
+
+def test_other_members_of_the_archive_where_the_first_gives_nothing(spark):
+    first = spark.createDataFrame([("b", 2022, 0, "title", "1. 개요", None, None), ("c", 2022, 0, "title", "1. 개요", None, None)], nodes_of(spark, path_b()).select(*KEYS, "pos", "kind", "title_text", "rows", "prev_texts").schema)
+    second = nodes_of(spark, path_b()).withColumn("corp", F.lit("b")).select(*first.columns)
+    merged = documents.merged_members(first.withColumn("member", F.lit(0)).unionByName(second.withColumn("member", F.lit(1))))
+    assert [r["pos"] for r in merged.orderBy("pos").collect()] == list(range(second.count() + 1)) and merged.where("corp = 'c'").isEmpty()
+    divisions = spark.createDataFrame([("b", 2022, "CFS", True), ("c", 2022, "CFS", True)], "corp string, year int, fs_div string, scope boolean")
+    alone = rows(analysis.depreciation_of(second, divisions, False))
+    assert rows(analysis.depreciation_of(first, divisions, False)) == []
+    assert rows(analysis.depreciation_of(first, divisions, False, members=merged)) == alone and alone[0]["depr"] is not None
