@@ -19,15 +19,16 @@ def wide(items: DataFrame, keys: list[str]) -> DataFrame:
 def overlay(items: DataFrame, depreciation: DataFrame, keys: list[str]) -> DataFrame:
     """Depreciation values (depr, rou, amort, combined) replace those of the statement where they are set.
 
-    A combined amount stands in depr; the other two are then null and ``remarks`` says so.
+    A combined amount stands in depr; the other two are then null and ``remarks`` says so. Where depreciation has a
+    ``source`` it is kept as depr_source.
     """
-    d = depreciation.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("depr", "rou", "amort")), F.col("combined").alias("_combined"))
+    d = depreciation.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("depr", "rou", "amort")), F.col("combined").alias("_combined"), *(F.col(c).alias("depr_source") for c in depreciation.columns if c == "source"))
     both = items.join(d, keys, "left")
     combined = F.coalesce("_combined", F.lit(False))
     put = {c: F.coalesce(f"_{c}", c) for c in ("depr", "rou", "amort")}
     put |= {c: F.when(~combined, put[c]) for c in ("rou", "amort")}
     note = F.when(combined, F.lit("감가상각비란에 '감가상각비 및 무형자산상각비' 합산액 기입 (원본에서 분리 불가)"))
-    return both.select(*keys, *(put.get(c, F.col(c)).alias(c) for c in items.columns if c not in keys), note.alias("remarks"))
+    return both.select(*keys, *(put.get(c, F.col(c)).alias(c) for c in items.columns if c not in keys), note.alias("remarks"), *(c for c in d.columns if c == "depr_source"))
 
 
 def positive_costs(items: DataFrame) -> DataFrame:

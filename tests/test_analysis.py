@@ -19,7 +19,7 @@ def test_all_at_once(spark):
     out = {r["name"]: r for r in rows(analysis.analyze(names, years, reg, filings, acct, nodes, catalog.items(spark)))}
     assert {n: r["status"] for n, r in out.items()} == {"Acme": "ok", "Beta": "ok", "Dup": "ambiguous_corp", "none": "no_corp", "Idle": "no_report", "Paper": "ok"}
     assert (out["Acme"]["ebitda"], out["Acme"]["path"], out["Acme"]["fs_div"], out["Acme"]["remarks"]) == (1e11, "A", "CFS", None)
-    assert (out["Beta"]["ebitda"], out["Beta"]["path"], out["Beta"]["fs_div"]) == (1.55e11, "B", "CFS")
+    assert (out["Beta"]["ebitda"], out["Beta"]["path"], out["Beta"]["fs_div"], out["Beta"]["depr_source"]) == (1.55e11, "B", "CFS", "cf")
     assert (out["Paper"]["ebitda"], out["Paper"]["path"], out["Paper"]["remarks"]) == (1.55e11, "A", analysis.FALLBACK)
 
 
