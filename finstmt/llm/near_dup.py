@@ -107,23 +107,28 @@ def shingles(text: str | None, hashes: dict, words: int) -> np.ndarray:
 
 
 class MinHash:
+    """Samples are 32-bit: halves the work, and sets share one by chance with a probability of about their size / 2^32."""
+
     def __init__(self, rule: Rule):
         self.rule, n = rule, rule.bands * rule.rows
-        self.times = np.random.default_rng(9).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.plus = np.random.default_rng(10).integers(1, 2**63, n, dtype=np.uint64)
+        self.times = np.random.default_rng(9).integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.plus = np.random.default_rng(10).integers(0, 2**32, n, dtype=np.uint32)
 
     def samples(self, s: np.ndarray) -> np.ndarray:
-        best = np.full(len(self.times), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(s), 512):
-            np.minimum(best, (s[i : i + 512, None] * self.times + self.plus).min(axis=0), out=best)
+        best = np.full(len(self.times), np.iinfo(np.uint32).max, np.uint32)
+        x = s.astype(np.uint32)[:, None]
+        for i in range(0, len(x), 256):
+            hashed = x[i : i + 256] * self.times
+            hashed += self.plus
+            np.minimum(best, hashed.min(axis=0), out=best)
         return best
 
-    def bands(self, s: np.ndarray) -> np.ndarray:
-        """A key for each band, its own numbers."""
-        rows = _mix(self.samples(s)).reshape(self.rule.bands, self.rule.rows)
+    def bands(self, samples: np.ndarray) -> np.ndarray:
+        """A key for each set (row of samples) and band, the band's own numbers."""
+        rows = _mix(samples.astype(np.uint64)).reshape(-1, self.rule.bands, self.rule.rows)
         key = np.arange(1, self.rule.bands + 1, dtype=np.uint64) * _W[0]
         for j in range(self.rule.rows):
-            key = _mix(key + rows[:, j] * _W[1])
+            key = _mix(key + rows[:, :, j] * _W[1])
         return key.view(np.int64)
 
 
@@ -163,15 +168,20 @@ def _sketch_rows(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = _Hashes(), MinHash(rule)
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("n", "digest", "bands", "sketch")}
+            out: dict[str, list] = {k: [] for k in ("n", "digest", "sketch")}
+            samples = []
             for text in b.column("text"):
                 s = shingles(text.as_py(), hashes, rule.words)
                 out["n"].append(len(s))
                 out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                out["bands"].append(minhash.bands(s) if len(s) else [])
                 out["sketch"].append(odd_sketch(s) if len(s) else None)
+                if len(s):
+                    samples.append(minhash.samples(s))
+            keys = minhash.bands(np.stack(samples)) if samples else np.zeros(0, np.int64)
+            ends = np.cumsum([0, *(n > 0 for n in out["n"])]) * rule.bands
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("fp"), pa.array(out["n"], pa.int64()), pa.array(out["digest"], pa.binary()), pa.array(out["bands"], pa.list_(pa.int64())), pa.array(out["sketch"], pa.binary())],
+                [b.column("doc_id"), b.column("fp"), pa.array(out["n"], pa.int64()), pa.array(out["digest"], pa.binary()), bands, pa.array(out["sketch"], pa.binary())],
                 ["doc_id", "fp", "n", "digest", "bands", "sketch"],
             )
 
