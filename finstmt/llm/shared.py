@@ -98,6 +98,12 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, documents: DataFrame) -> DataFrame:
+    """df, of about a row for each of documents, in as many partitions as settle takes: its writer makes few files."""
+    with about(documents):
+        return df.coalesce(_tasks.get())
+
+
 def discard(*settled: DataFrame) -> None:
     """Remove the tables of settled frames that no later frame reads."""
     for df in settled:
