@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,21 +103,29 @@ def with_key(docs: DataFrame, dims: int = DIMS, bits: int = BITS) -> DataFrame:
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, total = TaskContext.get().partitionId(), 0
+    """Sums from the begin of each range. One task may hold several ranges, one after the other."""
+    now, total = None, 0
     for b in batches:
-        n = b.column("n").to_numpy()
-        start = total + np.cumsum(n) - n
-        total += int(n.sum())
-        yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(np.full(len(n), part, np.int32)), pa.array(start, pa.int64()), b.column("n")], ["rid", "part", "start", "n"])
+        n, part = b.column("n").to_numpy(), b.column("part").to_numpy()
+        before = np.cumsum(n) - n
+        first = np.flatnonzero(np.diff(part, prepend=part[:1] - 1))  # where a range begins in this batch
+        base = before[first]
+        if len(first) and part[0] == now:
+            base[0] -= total
+        start = before - np.repeat(base, np.diff(first, append=len(n)))
+        if len(n):
+            now, total = part[-1], int(start[-1] + n[-1])
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("part"), pa.array(start, pa.int64()), b.column("n")], ["rid", "part", "start", "n"])
 
 
 def places(keyed: DataFrame) -> DataFrame:
     """(rid, place): where each document begins when all are laid end to end along the curve."""
     spark = keyed.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // RANGE))
-    order = keyed.repartitionByRange(parts, "key", "rid").sortWithinPartitions("key", "rid")
+    # A range's number is taken from its own partition: the task may have gathered several of them.
+    order = keyed.repartitionByRange(parts, "key", "rid").sortWithinPartitions("key", "rid").withColumn("part", F.spark_partition_id())
     order = shared.settle(shared.in_batches(order, _running, "rid bigint, part int, start bigint, n bigint"), "pack-order")
-    totals = order.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row for each partition
+    totals = order.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row for each range
     before = np.cumsum([0, *(r.n for r in totals)]).tolist()
     offsets = spark.createDataFrame([(r.part, b) for r, b in zip(totals, before, strict=False)], "part int, before bigint")
     return order.join(F.broadcast(offsets), "part").select("rid", (F.col("before") + F.col("start")).alias("place"))

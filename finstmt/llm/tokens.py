@@ -10,21 +10,21 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
+#: A fixed value: the JSON file's special token, whose string in a text is this id, as it is for that file's own tokenizer.
+SPECIAL = {"<|endoftext|>": 50256}
 BPE_JSON, BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 @functools.lru_cache(4)
 def _json(path: str) -> Tokenizer:
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # the strings of special tokens are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 @functools.lru_cache(4)
 def _ranks(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def ids(text: str | None, ranks: str | None = None, slow: str | None = None) -> list[int]:
@@ -36,7 +36,7 @@ def ids(text: str | None, ranks: str | None = None, slow: str | None = None) ->
     if not text:
         return []
     try:
-        return _ranks(ranks or public_tokenizers.path(BPE_RANKS)).encode_ordinary(text)
+        return _ranks(ranks or public_tokenizers.path(BPE_RANKS)).encode(text, allowed_special="all")
     except BaseException as e:
         if type(e).__name__ != "PanicException":  # the library's panics are no Exceptions and cannot be imported
             raise

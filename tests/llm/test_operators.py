@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +330,32 @@ def test_pieces(spark, odd, none):
     assert packing.pack(odd).agg(F.sum("length")).first()[0] == sum(len(tokens.ids(t)) + 1 for _, t, _ in odd_rows())
 
 
+@pytest.mark.parametrize("parts", [4, 7, 200])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_pieces_under_any_number_of_partitions(spark, parts, adaptive):
+    texts = [(i, prose(i % 50, 5 + 37 * i % 400)) for i in range(400)]
+    texts[7] = (7, prose(7, 9_000))
+    docs = frame(spark, [(i, t, "s") for i, t in texts]).repartition(6)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        check_pieces(rows_of(packing.pack(docs)), texts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_running_sums_begin_anew_with_each_range():
+    rng = np.random.default_rng(1)
+    part, n = np.repeat([2, 3, 7, 8], [5, 1, 0, 9]), rng.integers(1, 50, 15)
+    want = np.concatenate([np.cumsum(n[part == p]) - n[part == p] for p in (2, 3, 8)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(15)), pa.array(part.astype("int32")), pa.array(n)], ["rid", "part", "n"])
+    for cuts in ([0, 15], [0, 3, 3, 5, 6, 9, 15], list(range(16))):
+        out = packing._running(batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+        assert np.concatenate([b.column("start").to_numpy() for b in out]).tolist() == want.tolist()
+
+
 def test_sequences_follow_the_curve(spark):
     docs = shared.pick(frame(spark, [(i, prose(i % 40, 20 + i % 7), "s") for i in range(300)]), doc_id="bigint", text="string")
     docs = shared.settle(packing.encoded(docs).withColumn("rid", F.monotonically_increasing_id()), "t")
