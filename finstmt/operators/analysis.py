@@ -2,40 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.settled import settle
 from . import accounts, depreciation, documents, resolve, results
 
 KEYS = ["corp", "year"]
 FALLBACK = "사업보고서 본문 파싱으로 추출 (XBRL 미등록)"
+AMOUNTS = ("depr", "rou", "amort")
+
+
+def _some() -> Column:
+    return F.coalesce(*AMOUNTS).isNotNull()
+
+
+def _complete() -> Column:
+    return F.col("depr").isNotNull() & (F.col("amort").isNotNull() | F.coalesce("combined", F.lit(False)))
+
+
+@dataclass
+class Stages:
+    """What the evaluation of depreciation found on its way, settled. ``documents``: keys, fs_div, scope, n_members of
+    every filing; ``again``: the same, with the scope of the merged members, of those that were evaluated once more."""
+
+    documents: DataFrame
+    cash_flow: DataFrame
+    candidates: DataFrame
+    again: DataFrame | None = None
+    cash_flow_again: DataFrame | None = None
+    candidates_again: DataFrame | None = None
 
+    def accepted(self) -> tuple[DataFrame, DataFrame]:
+        """(cash-flow amounts, candidates of the notes) that count. Of merged members a cash flow counts only if it is
+        complete: depreciation with amortisation or combined; else their candidates do."""
+        cf, candidates = self.cash_flow.where(_some()), self.candidates
+        if self.again is not None:
+            complete = self.cash_flow_again.where(_complete())
+            cf = cf.unionByName(complete)
+            candidates = candidates.unionByName(self.candidates_again.join(complete.select(*KEYS), KEYS, "left_anti"))
+        return cf, candidates
 
-def _tables(nodes: DataFrame, divisions: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
-    """Cash-flow buckets and the candidates of the notes."""
+
+def _evaluated(nodes: DataFrame, divisions: DataFrame, strict: bool, name: str) -> tuple[DataFrame, DataFrame]:
+    """Cash-flow buckets and the candidates of the notes, settled."""
     cf = depreciation.cash_flow_buckets(documents.with_units(depreciation.cash_flow_tables(nodes, divisions, strict)))
-    return cf, documents.with_units(depreciation.notes_candidates(nodes, divisions, strict))
+    return settle(cf, f"{name}-cash-flow"), settle(documents.with_units(depreciation.notes_candidates(nodes, divisions, strict)), f"{name}-notes")
 
 
-def depreciation_of(nodes: DataFrame, divisions: DataFrame, strict: bool, selection: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
-    """keys, depr, rou, amort, combined, source of a filing's document.
+def stages(nodes: DataFrame, divisions: DataFrame, strict: bool, members: DataFrame | None = None) -> Stages:
+    """Evaluate the first document of every filing (nodes; divisions: keys, fs_div, scope), and all members of an archive
+    (documents.merged_members) as one document where the first gave neither an amount nor a candidate.
 
-    members: nodes of all documents of the filing's archive, one after the other (documents.merged_members). They are
-    read where the first document gives neither an amount nor a candidate; of their cash flow only a complete result
-    counts (depreciation with amortisation or combined), else their candidates stand for the selection.
+    The first pass is settled, so that the second is planned over, and reads, only the filings that failed. What a
+    document's scope is, the second pass infers anew from all members.
     """
-    cf, candidates = _tables(nodes, divisions, strict)
-    some = F.coalesce("depr", "rou", "amort").isNotNull()
-    if members is not None:
-        found = cf.where(some).select(*KEYS).union(candidates.select(*KEYS)).distinct()
-        again, more = _tables(members.join(found, KEYS, "left_anti").select(*nodes.columns), divisions, strict)
-        complete = F.col("depr").isNotNull() & (F.col("amort").isNotNull() | F.col("combined"))
-        again = again.where(complete)
-        cf = cf.where(some).unionByName(again)
-        candidates = candidates.unionByName(more.join(again.select(*KEYS), KEYS, "left_anti"))
+    cf, candidates = _evaluated(nodes, divisions.select(*KEYS, "fs_div", "scope"), strict, "first")
+    if members is None:
+        return Stages(divisions.select(*KEYS, "fs_div", "scope", F.lit(1).alias("n_members")), cf, candidates)
+    found = cf.where(_some()).select(*KEYS).union(candidates.select(*KEYS)).distinct()
+    left = settle(members.join(found, KEYS, "left_anti").select(*nodes.columns), "again-nodes")
+    again = divisions.select(*KEYS, "fs_div").join(documents.division(left).select(*KEYS, "scope"), KEYS)
+    again = settle(again, "again-scope")
+    return Stages(divisions.select(*KEYS, "fs_div", "scope"), cf, candidates, again, *_evaluated(left, again, strict, "again"))
+
+
+def depreciation_of(nodes: DataFrame, divisions: DataFrame, strict: bool, selection: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """keys, depr, rou, amort, combined, source (cf, notes, cf+notes, error) of filings that gave an amount or a
+    candidate; see stages(). Without a selection the notes give nothing."""
+    return result_of(stages(nodes, divisions, strict, members), selection)
+
+
+def result_of(found: Stages, selection: DataFrame | None = None) -> DataFrame:
+    cf, candidates = found.accepted()
     if selection is None:
-        return cf.withColumn("source", F.when(some, "cf").otherwise("error"))
-    return depreciation.merged(cf, depreciation.verify_selection(candidates, selection))
+        return cf.withColumn("source", F.lit("cf"))
+    asked = selection.join(candidates.select(*KEYS).distinct(), KEYS, "left_semi")
+    return depreciation.merged(cf, depreciation.verify_selection(candidates, asked))
 
 
 def analyze(names: DataFrame, years: DataFrame, registry: DataFrame, filings: DataFrame, rows: DataFrame, nodes: DataFrame, catalogue: DataFrame, overrides: DataFrame | None = None, selection: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
@@ -57,6 +102,7 @@ def analyze(names: DataFrame, years: DataFrame, registry: DataFrame, filings: Da
     said = F.when(F.col("kind_of") == "audit_consol", "CFS").when(F.col("kind_of") == "audit_separate", "OFS").otherwise(F.col("fs_div"))
     of_doc = of_doc.select(*KEYS, said.alias("doc_div"), "scope")
     divisions = reports.select(*KEYS, "path").join(by_rows, KEYS, "left").join(of_doc, KEYS, "left").select(*KEYS, "path", F.coalesce("fs_div", "doc_div").alias("fs_div"), "scope", (F.col("fs_div").isNull() & F.col("doc_div").isNotNull()).alias("from_document"))
+    divisions = settle(divisions, "divisions")
     from_document = own_nodes.join(divisions.where("from_document").select(*KEYS), KEYS, "left_semi")
     found = accounts.extract(a_rows, catalogue).select(*KEYS, "item", "value").unionByName(
         documents.extract(documents.with_units(documents.statement_tables(from_document)), catalogue).select(*KEYS, "item", "value")

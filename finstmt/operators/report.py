@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amounts, catalog
+from . import trace
 
 SHOWN = [n for n in catalog.NAMES if n != "amort"] + ["amort"]
 
@@ -77,6 +78,9 @@ def write_report(results: DataFrame, keys: list[str], root: str) -> None:
     results.write.mode("overwrite").parquet(f"{root}/results")
 
 
-def write_trace(traces: DataFrame, root: str) -> None:
-    """Trace lines (keys, pos, line) as text files by company and year."""
-    traces.repartition("corp", "year").sortWithinPartitions("corp", "year", "pos").select("corp", "year", F.col("line").alias("value")).write.mode("overwrite").partitionBy("corp", "year").text(root)
+def write_trace(events: DataFrame, root: str) -> dict[str, int]:
+    """Lines of trace.events() as one text file for each company and year, and how many events of each tag there were."""
+    seen, counts = trace.counted(events)
+    spread = trace.lines(seen).repartition("corp", "year").sortWithinPartitions("corp", "year", "pos")
+    spread.select("corp", "year", F.col("line").alias("value")).write.mode("overwrite").partitionBy("corp", "year").text(root)
+    return counts.get

@@ -120,3 +120,27 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, nodes_sql(duck=False))
+
+
+#: Which member of a filing's archive a node lies in: the document alone; a cover and the rest; all but the cash flow and
+#: the cash flow; or covers only.
+MEMBERS = """
+SELECT corp, year, CASE layout WHEN 1 THEN CAST(pos >= 2 AS INT) WHEN 2 THEN CAST(pos IN (6, 7) AS INT) WHEN 3 THEN pos ELSE 0 END AS member, pos, kind, title_text, rows, prev_texts
+FROM (SELECT node.*, CASE WHEN (qty + year) % 7 < 3 THEN 0 ELSE (qty + year) % 7 - 3 END AS layout FROM node JOIN (SELECT corp AS c, year AS y, qty DIV 10000 AS qty FROM facts) AS f ON corp = c AND year = y) AS laid
+WHERE layout < 3 OR pos < 2
+"""
+#: The division that a filing is asked for: mostly that of its document.
+DIVISIONS = "SELECT corp, year, CASE WHEN k = 4 OR (k = 2 AND year % 2 = 0) THEN 'OFS' ELSE 'CFS' END AS fs_div FROM facts"
+
+
+def members_sql(duck: bool) -> str:
+    return MEMBERS.replace(" DIV ", " // ") if duck else MEMBERS
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of archives: member (0: the largest document) and the columns of nodes()."""
+    return _over(spark, sf_dir, f", node AS ({nodes_sql(duck=False)}) {members_sql(duck=False)}")
+
+
+def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, DIVISIONS)

@@ -175,7 +175,7 @@ SQL = {
     "unit_detect": f"""WITH t AS (SELECT doc_id, text, CASE doc_id % 8 WHEN 0 THEN '(단위: 백만원)' WHEN 1 THEN '금액 단위 ： [천 원]' WHEN 2 THEN '단위는 미화 기준 억원' WHEN 3 THEN '(단위:krw)' WHEN 4 THEN '단위 원' WHEN 5 THEN text WHEN 6 THEN '단위: 달러' ELSE '백만원' END AS x FROM documents),
       s AS (SELECT doc_id, CASE doc_id % 8 WHEN 5 THEN x ELSE x || ' ' || coalesce(text, '') END AS x FROM t)
       SELECT doc_id, CAST({unit('x')} AS BIGINT) AS unit FROM s""",
-    "registry_search": """WITH names AS (SELECT DISTINCT s_name AS name FROM supplier UNION SELECT DISTINCT s_name[1:17] FROM supplier UNION SELECT 'nobody'),
+    "registry_search": """WITH names AS (SELECT DISTINCT s_name AS name FROM supplier UNION SELECT DISTINCT s_name[1:17] FROM supplier UNION SELECT DISTINCT right(s_name, 3) FROM supplier UNION SELECT unnest(['nobody', 'S', '', '#00', 'upplier#000'])),
       reg AS (SELECT s_suppkey AS pos, 'C' || s_suppkey AS corp_code, s_name AS corp_name FROM supplier UNION ALL SELECT s_suppkey + 100000, 'D' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 10 = 3),
       ex AS (SELECT name, count(*) AS n, min_by(corp_code, pos) AS code FROM names JOIN reg ON name = corp_name GROUP BY name),
       h AS (SELECT name, array_to_string(list(corp_name ORDER BY pos)[1:3], '|') AS hints FROM names JOIN reg ON contains(corp_name, name) GROUP BY name)

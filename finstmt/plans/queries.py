@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, catalog, text, units
-from ..operators import accounts, compare, depreciation, documents, report, resolve, results
-from . import adapter, oracle, oracle_docs
+from ..operators import accounts, analysis, compare, depreciation, documents, report, resolve, results, trace
+from ..sources.settled import settle
+from . import adapter, oracle, oracle_analysis, oracle_docs
 
 KEYS = ["corp", "year"]
 
@@ -121,7 +122,8 @@ def unit_detect(spark: SparkSession, sf: str) -> DataFrame:
 
 def registry_search(spark: SparkSession, sf: str) -> DataFrame:
     s = adapter.table(spark, sf, "supplier")
-    names = s.select(F.col("s_name").alias("name")).union(s.select(F.left("s_name", F.lit(17)))).union(spark.createDataFrame([("nobody",)], "name string")).distinct()
+    some = spark.createDataFrame([("nobody",), ("S",), ("",), ("#00",), ("upplier#000",)], "name string")
+    names = s.select(F.col("s_name").alias("name")).union(s.select(F.left("s_name", F.lit(17)))).union(s.select(F.right("s_name", F.lit(3)))).union(some).distinct()
     key = F.col("s_suppkey")
     reg = s.select(key.alias("pos"), F.concat(F.lit("C"), key).alias("corp_code"), F.col("s_name").alias("corp_name"))
     reg = reg.union(s.where("s_suppkey % 10 = 3").select(key + 100000, F.concat(F.lit("D"), key), "s_name"))
@@ -206,10 +208,36 @@ def notes_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def position_verify(spark: SparkSession, sf: str) -> DataFrame:
+    return depreciation.verify_selection(documents.with_units(_candidates(spark, sf)), _choice(spark, sf))
+
+
+def _choice(spark: SparkSession, sf: str) -> DataFrame:
+    """What a model would choose: rows of the first candidate."""
     slots = spark.createDataFrame([("depr", 3), ("rou", 5), ("amort", 6)], "slot string, row_no int")
     row = F.when((F.col("slot") == "depr") & (F.col("year") % 3 == 0), 99).otherwise(F.col("row_no"))
-    chosen = _facts(spark, sf).crossJoin(F.broadcast(slots)).select(*KEYS, "slot", F.lit(1).alias("table_no"), row.alias("row_no"), (F.col("year") % 4 == 0).alias("combined"))
-    return depreciation.verify_selection(documents.with_units(_candidates(spark, sf)), chosen)
+    return _facts(spark, sf).crossJoin(F.broadcast(slots)).select(*KEYS, "slot", F.lit(1).alias("table_no"), row.alias("row_no"), (F.col("year") % 4 == 0).alias("combined"))
+
+
+def _stages(spark: SparkSession, sf: str) -> analysis.Stages:
+    all_nodes = settle(adapter.members(spark, sf), "members")
+    first = all_nodes.where("member = 0").drop("member")
+    divisions = adapter.divisions(spark, sf).join(documents.division(first).drop("fs_div"), KEYS)
+    return analysis.stages(first, settle(divisions, "divisions"), True, documents.merged_members(all_nodes))
+
+
+def depreciation_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """Depreciation of every filing, from its first document or else all members of its archive, and how it was found."""
+    found = _stages(spark, sf)
+    result = settle(analysis.result_of(found, _choice(spark, sf)), "depreciation")
+    n = found.accepted()[1].groupBy(*KEYS).agg(F.count("*").alias("n"))
+    done = F.coalesce(F.col("depr").isNotNull() & (F.col("amort").isNotNull() | F.col("combined")) & (F.col("source") == "cf"), F.lit(False))
+    out = found.documents.select(*KEYS).join(result, KEYS, "left").join(n, KEYS, "left").join(found.again.select(*KEYS, F.lit(True).alias("again")), KEYS, "left")
+    return out.select(*KEYS, *analysis.AMOUNTS, F.coalesce("combined", F.lit(False)).alias("combined"), F.coalesce("source", F.lit("error")).alias("source"), F.when(done, 0).otherwise(F.coalesce("n", F.lit(0))).alias("n_candidates"), F.coalesce("again", F.lit(False)).alias("again"))
+
+
+def trace_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What the evaluation of every filing's depreciation did, line by line."""
+    return trace.lines(trace.events(_stages(spark, sf), True, _choice(spark, sf)))
 
 
 def doc_text_bundle(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,6 +285,6 @@ QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
     amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window,
     section_assign, scope_infer, current_column, doc_extract, cf_tables, cf_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
-    depreciation_signals, separate_pairs, disagreement_texts, reply_values, status_texts,
+    depreciation_signals, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines,
 )}
-ORACLES = oracle.SQL | oracle_docs.SQL
+ORACLES = oracle.SQL | oracle_docs.SQL | oracle_analysis.SQL

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from finstmt.functions import catalog
-from finstmt.operators import accounts, analysis, details, documents
+from finstmt.operators import accounts, analysis, details, documents, trace
 
 from .test_statements import ACCOUNT, KEYS, PATH_A, nodes_of, path_b, rows
 
@@ -44,3 +44,67 @@ def test_other_members_of_the_archive_where_the_first_gives_nothing(spark):
     alone = rows(analysis.depreciation_of(second, divisions, False))
     assert rows(analysis.depreciation_of(first, divisions, False)) == []
     assert rows(analysis.depreciation_of(first, divisions, False, members=merged)) == alone and alone[0]["depr"] is not None
+
+
+NODE = "corp string, year int, member int, pos int, kind string, title_text string, rows array<array<string>>, prev_texts array<string>"
+
+
+def archives(spark):
+    """a: all in one document; b: a cover, then consolidated statements and notes; c: a cover alone; d: notes first, cash flow apart."""
+    cover, cash = ("title", "1. 개요", None), ("title", "연결현금흐름표", None)
+    flow = ("table", None, [["구분", "당기"], ["감가상각비", "5"], ["무형자산상각비", "6"]])
+    notes = [("title", "3. 연결재무제표 주석", None), ("table", None, [["구분", "당기"], ["감가상각비", "77"], ["무형자산상각비", "8"]])]
+    balance = [("title", "연결재무상태표", None), ("table", None, [["자산총계", "9"]])]
+    docs = {"a": [[*balance, cash, flow, *notes]], "b": [[cover], [*balance, *notes]], "c": [[cover], [cover]], "d": [notes, [*balance, cash, flow]], "e": [[cover], [*balance, cash, flow]]}
+    found = [(c, 2022, m, i, k, t, r, []) for c, members in docs.items() for m, nodes in enumerate(members) for i, (k, t, r) in enumerate(nodes)]
+    return spark.createDataFrame(found, NODE)
+
+
+def evaluated(spark, fs_div):
+    nodes = archives(spark)
+    first = nodes.where("member = 0").drop("member")
+    divisions = documents.division(first).select(*KEYS, F.lit(fs_div).alias("fs_div"), "scope")
+    return analysis.stages(first, divisions, True, documents.merged_members(nodes))
+
+
+def choice(spark):
+    slots = [("depr", 2), ("amort", 3)]
+    return spark.createDataFrame([(c, 2022, s, 1, r, False) for c in "abcde" for s, r in slots], "corp string, year int, slot string, table_no int, row_no int, combined boolean")
+
+
+def test_stages_of_depreciation(spark):
+    found = evaluated(spark, "CFS")
+    assert {r["corp"]: r["scope"] for r in rows(found.again)} == {"b": True, "c": None, "e": True}
+    got = {r["corp"]: (r["depr"], r["amort"], r["source"]) for r in rows(analysis.result_of(found, choice(spark)))}
+    assert got == {"a": (5.0, 6.0, "cf"), "b": (77.0, 8.0, "notes"), "d": (77.0, 8.0, "notes"), "e": (5.0, 6.0, "cf")}
+    assert {r["corp"] for r in rows(analysis.result_of(found))} == {"a", "e"}
+
+
+def test_scope_of_merged_members_is_their_own(spark):
+    """Asked for separate statements, consolidated notes of a second member are no candidates."""
+    found = evaluated(spark, "OFS")
+    assert "b" not in {r["corp"] for r in rows(found.candidates_again)}
+    assert {r["corp"]: r["source"] for r in rows(analysis.result_of(found, choice(spark)))}.get("b") is None
+
+
+def test_trace_tells_the_steps_in_order(spark):
+    found = evaluated(spark, "CFS")
+    seen, counts = trace.counted(trace.events(found, True, choice(spark)))
+    told = {}
+    for r in sorted(rows(trace.lines(seen)), key=lambda r: (r["corp"], r["pos"])):
+        told.setdefault(r["corp"], []).append(r["line"])
+    assert [x.split("]")[0][1:] for x in told["a"]] == ["START", "LOAD", "CF", "FINAL"]
+    assert [x.split("]")[0][1:] for x in told["b"]] == ["START", "LOAD", "CF", "NOTES", "RETRY", "CF", "RETRY", "NOTES", "NOTES", "FINAL"]
+    assert told["b"][4].endswith("document_scope=True") and told["b"][-3] == "[NOTES] T1 [SEPARATE_PAIR] title=- / labels=구분, 감가상각비, 무형자산상각비"
+    assert told["c"][-1] == "[FINAL] source=error, combined=False, 감가상각비=None, 사용권자산상각비=None, 무형자산상각비=None"
+    assert told["d"][-1] == "[FINAL] source=notes, combined=False, 감가상각비=77.0, 사용권자산상각비=None, 무형자산상각비=8.0"
+    assert counts.get["events"] == sum(map(len, told.values())) and counts.get["FINAL"] == counts.get["START"] == 5
+
+
+def test_trace_is_written_by_filing(spark, tmp_path):
+    from finstmt.operators import report
+
+    counts = report.write_trace(trace.events(evaluated(spark, "CFS"), True, choice(spark)), str(tmp_path))
+    text = [f.read_text() for f in (tmp_path / "corp=a" / "year=2022").glob("*.txt")]
+    assert len(text) == 1 and text[0].splitlines()[0] == "[START] fs_div=CFS, strict_scope=True" and len(text[0].splitlines()) == 4
+    assert counts["START"] == 5
