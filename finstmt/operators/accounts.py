@@ -30,22 +30,29 @@ def choose_division(available: DataFrame) -> DataFrame:
     return once.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
-def extract(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """keys, item, value, method, keyword, confidence for each of the items found.
+#: What a row tells of itself besides its match; columns that rows lack are null.
+ORIGIN = ("thstrm_amount", "fs_div", "sj_div", "account_id", "account_nm", "currency", "thstrm_nm", "ord")
+
+
+def extract(rows: DataFrame, catalogue: DataFrame, origin: bool = False) -> DataFrame:
+    """keys, item, value, method, keyword, confidence for each of the items found; with ``origin`` also the fields of
+    the matching row, which go through the aggregation with it, ``currency_code`` and whether its sign was ``turned``.
 
     First by account id, then by name: the first row, and in it the first keyword that the name holds, that
     has an amount and no excluding word. The catalogue is small and broadcast; each row is compared with its
     keywords where it is read, and one aggregation picks the first match of every item.
     """
     amount = amounts.account_amount(F.col("thstrm_amount"))
-    named = rows.select(*KEYS, "pos", text.trim(F.coalesce("account_id", F.lit(""))).alias("id"), text.nospace(F.coalesce("account_nm", F.lit(""))).alias("nm"), "currency", amount.alias("amount")).where("amount is not null")
+    of_row = [F.struct(*((F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in ORIGIN)).alias("origin")] if origin else []
+    extra = ["origin"] if origin else []
+    named = rows.select(*KEYS, "pos", text.trim(F.coalesce("account_id", F.lit(""))).alias("id"), text.nospace(F.coalesce("account_nm", F.lit(""))).alias("nm"), "currency", amount.alias("amount"), *of_row).where("amount is not null")
     by_id = F.col("id") == F.col("want")
     word = F.get(F.filter("keywords", lambda k: F.col("nm").contains(k)), F.lit(0))
     by_name = F.exists("keywords", lambda k: F.col("nm").contains(k)) & ~F.exists("excluded", lambda x: F.col("nm").contains(x))
     each = named.join(F.broadcast(catalogue.withColumnRenamed("account_id", "want")), F.coalesce(by_id, F.lit(False)) | by_name)
     match = F.struct(F.when(by_id, 1).otherwise(2).alias("stage"), "pos")
-    each = each.select(*KEYS, "item", match.alias("at"), word.alias("keyword"), "amount", "negated", "currency")
-    first = each.groupBy(*KEYS, "item").agg(F.min_by(F.struct("at", "keyword", "amount", "negated", "currency"), "at").alias("m"))
+    each = each.select(*KEYS, "item", match.alias("at"), word.alias("keyword"), "amount", "negated", "currency", *extra)
+    first = each.groupBy(*KEYS, "item").agg(F.min_by(F.struct("at", "keyword", "amount", "negated", "currency", *extra), "at").alias("m"))
     m = F.col("m")
     named_so = m["at"]["stage"] == 2
     turned = named_so & F.array_contains(m["negated"], m["keyword"]) & (m["amount"] > 0)
@@ -54,6 +61,7 @@ def extract(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
         *KEYS, "item", F.when(turned, -m["amount"]).otherwise(m["amount"]).alias("value"),
         F.when(named_so, "account_nm").otherwise("account_id").alias("method"), F.when(named_so, m["keyword"]).alias("keyword"),
         F.when(named_so | ~money.isin("KRW", ""), "low_confidence").otherwise("verified").alias("confidence"),
+        *([m["origin"].alias("origin"), F.when(money == "", None).otherwise(money).alias("currency_code"), turned.alias("turned")] if origin else []),
     )
 
 

@@ -104,14 +104,26 @@ def column_label(rows: Column, at: Column) -> Column:
     return F.when(F.size(kept) > 0, F.array_join(kept, " / "))
 
 
-def extract(tables: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """keys, item, value, confidence, unit, table_pos, row_id, row_label, column_id.
+ORIGIN = ("statement", "table_no", "normalized_label", "column_label", "unit_confidence", "raw_value", "known", "numeric", "forced", "turned")
+
+
+def extract(tables: DataFrame, catalogue: DataFrame, origin: bool = False) -> DataFrame:
+    """keys, item, value, confidence, unit, table_pos, row_id, row_label, column_id; with ``origin`` also statement,
+    table_no (from 1, in the statement's section), normalized_label, column_label, unit_confidence, raw_value (the
+    cell's text), and whether the current column was ``known``, the cell ``numeric``, the sign made ``forced``
+    (positive) or ``turned``.
 
     tables: sections() with unit and unit_confidence. Tables and rows in order, the first whose label is a
     keyword of an item of the section and that has a value. In the current column, if known and there, a
     text counts as 0; else the first number outside note columns. Costs of sales are made positive.
     """
-    seen = with_current_column(tables).select(*KEYS, "pos", "section", "unit", "unit_confidence", "cur", F.transform(F.get("rows", F.lit(0)), lambda c: F.regexp_replace(c, f"{text.WS}+", "").contains("주석")).alias("notes"), F.posexplode("rows").alias("row_id", "row"))
+    before = []
+    if origin:  # what a column is called is found once for a table, for all of its columns
+        tables = tables.withColumn("table_no", F.row_number().over(Window.partitionBy(*KEYS, "section").orderBy("pos")))
+        columns = F.sequence(F.lit(0), F.greatest(F.array_max(F.transform("rows", F.size)) - 1, F.lit(0)))
+        tables = tables.withColumn("column_labels", F.transform(columns, lambda j: column_label(F.col("rows"), j)))
+        before = ["table_no", "column_labels"]
+    seen = with_current_column(tables).select(*KEYS, *before, "pos", "section", "unit", "unit_confidence", "cur", F.transform(F.get("rows", F.lit(0)), lambda c: F.regexp_replace(c, f"{text.WS}+", "").contains("주석")).alias("notes"), F.posexplode("rows").alias("row_id", "row"))
     named = seen.withColumn("label", text.label(F.coalesce(F.get("row", F.lit(0)), F.lit(""))))
     words = catalogue.select("item", F.col("statement").alias("section"), "negated", F.explode("keywords").alias("label"))
     hit = named.join(F.broadcast(words), ["section", "label"]).withColumn("here", amounts.cell_amount(F.get("row", F.col("cur"))))
@@ -120,11 +132,18 @@ def extract(tables: DataFrame, catalogue: DataFrame) -> DataFrame:
     hit = hit.withColumn("first", F.get(numbers, F.lit(0)))
     first = F.col("first")
     value = F.when(known, F.coalesce("here", F.lit(0.0))).otherwise(first["v"]) * F.col("unit")
-    value = F.when((F.col("item") == "cogs") & (value < 0), -value).otherwise(value)
-    value = F.when(F.array_contains("negated", F.col("label")) & (value > 0), -value).otherwise(value)
+    forced = (F.col("item") == "cogs") & (value < 0)
+    value = F.when(forced, -value).otherwise(value)
+    turned = F.array_contains("negated", F.col("label")) & (value > 0)
+    value = F.when(turned, -value).otherwise(value)
     sure = known & F.col("here").isNotNull() & (F.col("unit_confidence") != "assumed_won")
-    out = hit.select(*KEYS, "item", "pos", "row_id", value.alias("value"), F.when(sure, "verified").otherwise("low_confidence").alias("confidence"), "unit", F.get("row", F.lit(0)).alias("row_label"), F.when(known, F.col("cur")).otherwise(first["j"]).alias("column_id"))
-    best = out.where("value is not null").groupBy(*KEYS, "item").agg(F.min_by(F.struct("value", "confidence", "unit", F.col("pos").alias("table_pos"), "row_id", "row_label", "column_id"), F.struct("pos", "row_id")).alias("m"))
+    column = F.when(known, F.col("cur")).otherwise(first["j"])
+    fields = [
+        F.col("section").alias("statement"), F.col("table_no"), F.col("label").alias("normalized_label"), F.get("column_labels", column).alias("column_label"), F.col("unit_confidence"), F.get("row", column).alias("raw_value"),
+        known.alias("known"), F.when(known, F.col("here").isNotNull()).otherwise(True).alias("numeric"), forced.alias("forced"), turned.alias("turned"),
+    ] if origin else []
+    out = hit.select(*KEYS, "item", "pos", "row_id", value.alias("value"), F.when(sure, "verified").otherwise("low_confidence").alias("confidence"), "unit", F.get("row", F.lit(0)).alias("row_label"), column.alias("column_id"), *fields)
+    best = out.where("value is not null").groupBy(*KEYS, "item").agg(F.min_by(F.struct("value", "confidence", "unit", F.col("pos").alias("table_pos"), "row_id", "row_label", "column_id", *(c for c in out.columns if c in ORIGIN)), F.struct("pos", "row_id")).alias("m"))
     return best.select(*KEYS, "item", "m.*")
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import adapter
-from .oracle import trim
-from .oracle_docs import _SAYS, BUCKETS, DIVISION, NODES, NOTES
+from .oracle import ACCOUNTS, CATALOGUE, COMPARED, cell_amount, gone, label, trim
+from .oracle_docs import _NUMBERS, _SAYS, BUCKETS, DIVISION, NODES, NOTES, ROWS, SECTIONS, UNITS, current
 from .oracle_docs import SQL as DOCS
 
 _VERIFY = DOCS["position_verify"].split(DIVISION + ", ", 1)[1]
@@ -62,3 +62,42 @@ EVENTS = " UNION ALL ".join([
     f"SELECT corp, year, 10 AS o, 0 AS sub, '[FINAL] source=' || source || ', combined=' || {_told('combined')} || ', ' || {_SHOWN} AS line FROM ended",
 ])
 SQL["trace_lines"] = f"{STAGES}, ev AS ({EVENTS}) SELECT corp, year, CAST(row_number() OVER (PARTITION BY corp, year ORDER BY o, sub) AS INT) AS pos, line FROM ev"
+
+_NO_SOURCE = ["ord", "table_id", "row_id", "row_label", "normalized_row_label", "unit_confidence"]
+#: Details of account rows: the row of the match once more, by its place.
+OF_ROWS = """det AS (
+  SELECT f.corp, f.year, f.item, f.amount AS value, a.thstrm_amount AS raw_value, 1 AS unit_multiplier, CASE WHEN stage = 2 OR a.currency <> 'KRW' THEN 'low_confidence' ELSE 'verified' END AS confidence, 'extracted' AS value_state,
+    array_to_string(list_filter([CASE stage WHEN 1 THEN 'matched_by_account_id' ELSE 'matched_by_account_nm' END, 'matched_keyword:' || keyword, CASE WHEN stage = 2 AND list_contains(negated, keyword) AND f.amount < 0 AND NOT starts_with(trim(a.thstrm_amount), '-') THEN 'negated_by_label' END,
+      CASE WHEN a.currency <> 'KRW' THEN 'non_krw_currency:' || a.currency END], lambda x: x IS NOT NULL), ',') AS flags,
+    'dart_api' AS source_type, nullif(trim(a.fs_div), '') AS fs_div, nullif(trim(a.sj_div), '') AS statement, nullif(trim(a.account_id), '') AS account_id, nullif(trim(a.account_nm), '') AS account_nm, a.currency, 'thstrm_amount' AS column_id, '당기' AS column_label
+  FROM found f JOIN acct a USING (corp, year, pos) JOIN (SELECT item, negated FROM cat) USING (item)
+), ad AS (
+  SELECT x.corp, x.year, x.item, value, raw_value, unit_multiplier, coalesce(confidence, 'missing') AS confidence, coalesce(value_state, 'missing') AS value_state, coalesce(flags, 'not_found') AS flags, 'dart_api' AS source_type, fs_div, d.statement, account_id, account_nm, currency, column_id, column_label
+  FROM (SELECT corp, year, item FROM facts, cat) x LEFT JOIN det d USING (corp, year, item)
+)"""
+_BLANK = ", ".join(f"NULL AS {c}" for c in _NO_SOURCE)
+_COLUMN = f"(SELECT string_agg(c, ' / ' ORDER BY o) FROM (SELECT c, min(i) AS o FROM (SELECT i, {trim(gone('h.c', '[ ' + chr(9) + ']+', ' '))} AS c FROM hc h WHERE h.corp = w.corp AND h.year = w.year AND h.pos = w.pos AND h.j = w.col) WHERE c <> '' AND {cell_amount('c')} IS NULL GROUP BY c))"
+OF_CELLS = f"""sec0 AS (SELECT *, row_number() OVER (PARTITION BY corp, year, section ORDER BY pos) AS table_no FROM sec), tab AS (SELECT * FROM sec0), {UNITS}, {current(False)}, {ROWS},
+kw AS (SELECT item, statement, negated, unnest(keywords) AS word FROM cat),
+m AS (SELECT tr.*, table_no, section, item, negated, word, {cell_amount('r[cur + 1]')} AS here, cur IS NOT NULL AND cur < len(r) AS known,
+  list_filter({_NUMBERS(cell_amount)}, lambda z: NOT contains({gone('coalesce(head[z.j + 1], chr(32))', '[ ' + chr(9) + ']+')}, '주석'))[1] AS fst FROM tr JOIN tab USING (corp, year, pos) JOIN kw ON statement = section AND word = {label('r[1]')}),
+v AS (SELECT *, CASE WHEN known THEN coalesce(here, 0) ELSE fst.v END * unit AS v0, CASE WHEN known THEN cur ELSE fst.j END AS col FROM m),
+w AS (SELECT *, item = 'cogs' AND v0 < 0 AS forced, list_contains(negated, word) AND v0 > 0 AS turned FROM (SELECT *, row_number() OVER (PARTITION BY corp, year, item ORDER BY pos, row_no) AS o FROM v WHERE v0 IS NOT NULL) WHERE o = 1),
+dd AS (SELECT corp, year, item, CASE WHEN forced OR turned THEN -v0 ELSE v0 END AS value, r[col + 1] AS raw_value, unit AS unit_multiplier, CASE WHEN known AND here IS NOT NULL AND sure <> 'assumed_won' THEN 'verified' ELSE 'low_confidence' END AS confidence,
+  CASE WHEN known AND here IS NULL THEN 'zero_assumed_from_non_numeric_current_cell' ELSE 'extracted' END AS value_state,
+  array_to_string(list_filter(['matched_by_normalized_label', CASE WHEN known AND here IS NULL THEN 'non_numeric_current_cell_zero_assumed' END, CASE WHEN NOT known THEN 'current_column_not_detected' END, CASE WHEN NOT known THEN 'first_numeric_column_used' END,
+    CASE WHEN forced THEN 'force_positive' END, CASE WHEN turned THEN 'negated_by_label' END, CASE WHEN sure = 'assumed_won' THEN 'unit_assumed_won' END], lambda x: x IS NOT NULL), ',') AS flags,
+  section || table_no AS table_id, 'R' || row_no AS row_id, r[1] AS row_label, word AS normalized_row_label, 'C' || (col + 1) AS column_id, {_COLUMN} AS column_label, sure AS unit_confidence FROM w)"""
+SQL["item_details"] = f"""WITH {ACCOUNTS}, node AS ({adapter.nodes_sql(duck=True)}), {CATALOGUE}, {COMPARED.split(CATALOGUE + ', ')[1].split(', opinion AS')[0]}, {OF_ROWS}, {SECTIONS}, {OF_CELLS}
+SELECT corp, year, item, 'accounts' AS origin, value, raw_value, unit_multiplier, confidence, value_state, flags, source_type, fs_div, statement, account_id, account_nm, currency, column_id, column_label, {_BLANK} FROM ad
+UNION ALL SELECT x.corp, x.year, x.item, 'document', value, raw_value, unit_multiplier, coalesce(confidence, 'missing'), coalesce(value_state, 'missing'), coalesce(flags, 'not_found'), 'document_xml', NULL, x.statement, NULL, NULL, NULL, column_id, column_label,
+  NULL, table_id, row_id, row_label, normalized_row_label, unit_confidence FROM (SELECT corp, year, item, statement FROM facts, cat) x LEFT JOIN dd USING (corp, year, item)"""
+_SAID = "coalesce(format('{:.0f}', ours), '-') || ' vs ' || coalesce(format('{:.0f}', theirs), '-')"
+SQL["final_details"] = f"""{COMPARED}, {OF_ROWS}, fin AS (SELECT corp, year, item, ours, theirs, CASE WHEN disagree AND item = 'assets' AND year % 3 = 0 THEN NULL WHEN NOT disagree THEN ours WHEN item = 'revenue' THEN coalesce(theirs, ours) WHEN item = 'gross' THEN ours
+    WHEN theirs IS NULL THEN ours ELSE coalesce(theirs * 2, ours) END AS final FROM cmp),
+  j AS (SELECT ad.*, ours, theirs, final, f.item IS NULL OR (value IS NULL AND final IS NULL) OR coalesce(abs(value - final) <= greatest(1, abs(value), abs(final)) * 1e-12, false) AS same FROM ad LEFT JOIN fin f USING (corp, year, item))
+SELECT corp, year, item, CASE WHEN same THEN value ELSE final END AS value, CASE WHEN same THEN raw_value END AS raw_value, CASE WHEN same THEN unit_multiplier END AS unit_multiplier,
+  CASE WHEN same THEN confidence WHEN final IS NULL THEN 'missing' ELSE 'unverified_ai_value' END AS confidence, CASE WHEN same THEN value_state WHEN final IS NULL THEN 'missing' ELSE 'extracted' END AS value_state,
+  CASE WHEN same THEN flags WHEN final IS NULL THEN 'final_value_removed_by_ai_comparison' ELSE 'ai_numeric_without_source' END AS flags, CASE WHEN same THEN 'dart_api' ELSE 'ai_comparison' END AS source_type,
+  {', '.join(f'CASE WHEN same THEN {c} END AS {c}' for c in ('fs_div', 'statement', 'account_id', 'account_nm', 'currency', 'column_id'))}, CASE WHEN NOT same THEN 'adjudicated' END AS ai_source,
+  CASE WHEN NOT same AND final IS NOT NULL THEN {_SAID} END AS disagreement, corp || '-' || year AS rcept_no, '사업보고서' AS report_nm, 'A' AS path, 'annual' AS report_type FROM j"""

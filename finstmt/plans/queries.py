@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, catalog, text, units
-from ..operators import accounts, analysis, compare, depreciation, documents, report, resolve, results, trace
+from ..operators import accounts, analysis, compare, depreciation, details, documents, report, resolve, results, trace
 from ..sources.settled import settle
 from . import adapter, oracle, oracle_analysis, oracle_docs
 
@@ -240,6 +240,37 @@ def trace_lines(spark: SparkSession, sf: str) -> DataFrame:
     return trace.lines(trace.events(_stages(spark, sf), True, _choice(spark, sf)))
 
 
+def _account_details(spark: SparkSession, sf: str) -> DataFrame:
+    found = details.of_accounts(accounts.extract(adapter.accounts(spark, sf), catalog.items(spark), origin=True))
+    return details.every_item(found, _facts(spark, sf), KEYS, "dart_api")
+
+
+def _shown(found: DataFrame, *keys: str) -> DataFrame:
+    """Details as columns."""
+    d = F.col("detail")
+    fields = [d[c].alias(c) for c in ("value", "raw_value", "unit_multiplier", "confidence", "value_state")]
+    return found.select(*keys, "item", *fields, F.array_join(d["flags"], ",").alias("flags"), *(d["source"][c].alias(c) for c in details.SOURCE))
+
+
+def item_details(spark: SparkSession, sf: str) -> DataFrame:
+    """All twelve items of every filing with the cells they come from: of its account rows, and of its document."""
+    tables = documents.with_units(documents.statement_tables(adapter.nodes(spark, sf)))
+    of_doc = details.of_documents(documents.extract(tables, catalog.items(spark), origin=True))
+    both = _account_details(spark, sf).unionByName(details.every_item(of_doc, _facts(spark, sf), KEYS, "document_xml").withColumn("origin", F.lit("document")), allowMissingColumns=True)
+    shown = _shown(both.withColumn("origin", F.coalesce("origin", F.lit("accounts"))), *KEYS, "origin")
+    return shown.drop("depreciation_source", "ai_source", "disagreement", "previous_source", "rcept_no", "report_nm", "path", "report_type")
+
+
+def final_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Details of account rows after the comparison with a second opinion, with their report."""
+    both = ai_compare(spark, sf).withColumn("value", F.when(F.col("disagree") & (F.col("item") == "assets") & (F.col("year") % 3 == 0), None).otherwise(F.col("final")))
+    joined = _account_details(spark, sf).join(both.select(*KEYS, "item", "value", "ours", "theirs", F.lit(True).alias("compared")), [*KEYS, "item"], "left")
+    told = details.final(F.col("detail"), F.col("value"), F.lit("adjudicated"), compare.disagreement(F.col("ours"), F.col("theirs")))
+    chosen = F.when(F.col("compared"), told).otherwise(F.col("detail"))
+    report_of = {"rcept_no": F.concat("corp", F.lit("-"), "year"), "report_nm": F.lit("사업보고서"), "path": F.lit("A"), "report_type": F.lit("annual")}
+    return _shown(joined.withColumn("detail", details.annotate(chosen, **report_of)), *KEYS).drop("ord", "table_id", "row_id", "row_label", "normalized_row_label", "unit_confidence", "depreciation_source", "column_label", "previous_source")
+
+
 def doc_text_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return documents.text_bundle(adapter.nodes(spark, sf))
 
@@ -285,6 +316,6 @@ QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
     amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window,
     section_assign, scope_infer, current_column, doc_extract, cf_tables, cf_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
-    depreciation_signals, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines,
+    depreciation_signals, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines, item_details, final_details,
 )}
 ORACLES = oracle.SQL | oracle_docs.SQL | oracle_analysis.SQL

@@ -24,15 +24,48 @@ def test_all_at_once(spark):
 
 
 def test_details(spark):
-    acct = spark.createDataFrame([("a", 2022, 0, "", "결손금", "BS", "CFS", "5", "KRW"), ("a", 2022, 1, "ifrs-full_Assets", "자산", "BS", "CFS", "7", "USD")], ACCOUNT)
-    d = {r["item"]: r["detail"] for r in rows(details.of_accounts(accounts.extract(acct, catalog.items(spark))))}
-    assert d["retained"]["flags"] == ["matched_by_account_nm", "matched_keyword:결손금", "negated_by_label"] and d["retained"]["value"] == -5
-    assert d["assets"]["confidence"] == "low_confidence"
-    found = details.of_documents(documents.extract(documents.with_units(documents.sections(nodes_of(spark, path_b()))), catalog.items(spark)))
+    more = "thstrm_nm string, ord string"
+    acct = spark.createDataFrame([("a", 2022, 0, "", " 결손금 ", "BS", "CFS", " 5 ", "KRW", None, "1"), ("a", 2022, 1, "ifrs-full_Assets", "자산", "BS", " ", "7", "USD", " 제 3 기 ", None)], f"{ACCOUNT}, {more}")
+    d = {r["item"]: r["detail"] for r in rows(details.of_accounts(accounts.extract(acct, catalog.items(spark), origin=True)))}
+    assert d["retained"]["flags"] == ["matched_by_account_nm", "matched_keyword:결손금", "negated_by_label"] and (d["retained"]["value"], d["retained"]["raw_value"]) == (-5, " 5 ")
+    assert d["assets"]["confidence"] == "low_confidence" and d["assets"]["flags"] == ["matched_by_account_id", "non_krw_currency:USD"]
+    s = d["assets"]["source"]
+    assert (s["column_label"], s["fs_div"], s["account_nm"], s["ord"], d["retained"]["source"]["column_label"], d["retained"]["source"]["ord"]) == ("제 3 기", None, "자산", None, "당기", "1")
+
+
+def test_details_of_cells(spark):
+    tables = documents.with_units(documents.sections(nodes_of(spark, path_b())))
+    found = details.of_documents(documents.extract(tables, catalog.items(spark), origin=True))
+    assert [tuple(r) for r in found.drop("detail").select(*KEYS, "item", "value").orderBy("item").collect()] == [tuple(r) for r in documents.extract(tables, catalog.items(spark)).select(*KEYS, "item", "value").orderBy("item").collect()]
     one = found.where("item = 'assets'").withColumn("detail", details.annotate(F.col("detail"), rcept_no=F.lit("r9"), source_type=F.lit("other")))
-    got = rows(one.select(*KEYS, "detail", details.final(F.col("detail"), F.lit(None).cast("double")).alias("gone"), details.final(F.col("detail"), F.lit(3.0)).alias("new")))[0]
-    assert got["detail"]["source"]["rcept_no"] == "r9" and got["detail"]["source"]["source_type"] == "document_xml" and got["detail"]["confidence"] == "verified"
-    assert got["gone"]["confidence"] == "missing" and got["new"]["confidence"] == "unverified_ai_value" and got["new"]["value"] == 3.0
+    d = F.col("detail")
+    got = rows(one.select("detail", details.final(d, F.lit(None).cast("double")).alias("gone"), details.final(d, F.lit(3.0), F.lit("adjudicated"), F.lit("1 vs 3")).alias("new"), details.final(d, d["value"]).alias("same")))[0]
+    s = got["detail"]["source"]
+    assert s["rcept_no"] == "r9" and s["source_type"] == "document_xml" and s["table_id"] == "BS1" and got["detail"]["raw_value"] and got["same"] == got["detail"]
+    assert got["gone"]["confidence"] == "missing" and got["gone"]["value_state"] == "missing" and '"table_id":"BS1"' in got["gone"]["source"]["previous_source"]
+    assert got["new"]["confidence"] == "unverified_ai_value" and got["new"]["value"] == 3.0 and got["new"]["source"]["disagreement"] == "1 vs 3" and got["new"]["raw_value"] is None
+
+
+def test_cells_that_are_no_numbers_and_columns_that_are_not_known(spark):
+    body = lambda rs: "<TABLE>" + "".join("<TR>" + "".join(f"<TD>{c}</TD>" for c in r) + "</TR>" for r in rs) + "</TABLE>"
+    text = "<TITLE>재무상태표</TITLE>" + body([["과목", "당기", "전기"], ["자산총계", "-", "5"]]) + body([["과목", "주석", "금액"], ["부채총계", "3", "(8)"], ["결손금", "1", "9"]]) + "<TITLE>손익계산서</TITLE>" + body([["과목", "당기"], ["매출원가", "(7)"]])
+    found = details.of_documents(documents.extract(documents.with_units(documents.sections(nodes_of(spark, text))), catalog.items(spark), origin=True))
+    d = {r["item"]: r["detail"] for r in rows(found)}
+    assert (d["assets"]["value"], d["assets"]["raw_value"], d["assets"]["value_state"]) == (0.0, "-", "zero_assumed_from_non_numeric_current_cell")
+    assert d["assets"]["flags"] == ["matched_by_normalized_label", "non_numeric_current_cell_zero_assumed", "unit_assumed_won"] and d["assets"]["source"]["column_label"] == "당기 / -"
+    s = d["liabilities"]["source"]
+    assert (s["table_id"], s["row_id"], s["column_id"], s["column_label"], d["liabilities"]["value"]) == ("BS2", "R2", "C3", "금액", -8.0) and "first_numeric_column_used" in d["liabilities"]["flags"]
+    assert d["retained"]["value"] == -9.0 and "negated_by_label" in d["retained"]["flags"] and d["cogs"]["value"] == 7.0 and "force_positive" in d["cogs"]["flags"]
+    every = details.every_item(found, spark.createDataFrame([("c", 2022), ("none", 2022)], "corp string, year int"), KEYS, "document_xml")
+    assert every.count() == 24 and {r["corp"]: details_ok for r in rows(details.values(every, KEYS).withColumn("ok", details.successful(F.col("items")))) for details_ok in [r["ok"]]} == {"c": True, "none": False}
+    missing = rows(every.where("corp = 'none' and item = 'depr'"))[0]["detail"]
+    assert (missing["value_state"], missing["flags"], missing["source"]["statement"]) == ("missing", ["not_found"], "CF")
+
+
+def test_details_of_depreciation(spark):
+    got = details.of_depreciation(spark.createDataFrame([("c", 2022, 5.0, None, None, True, "cf", "CFS")], "corp string, year int, depr double, rou double, amort double, combined boolean, source string, fs_div string"), KEYS)
+    d = {r["item"]: r["detail"] for r in rows(got)}
+    assert d["depr"]["flags"] == ["depreciation_position_in_trace", "combined_depreciation_and_amortization"] and d["depr"]["source"]["depreciation_source"] == "cf" and d["rou"]["confidence"] == "missing"
 
 
 def test_other_members_of_the_archive_where_the_first_gives_nothing(spark):
