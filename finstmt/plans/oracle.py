@@ -207,3 +207,11 @@ SELECT corp, year, state, CASE state
     WHEN 'ambiguous_corp' THEN CASE n WHEN 0 THEN '동일 기업명이 여러 개 존재합니다.' ELSE message END || ' DART에 같은 이름의 법인이 다수 등록되어 있어 재무데이터를 특정할 수 없습니다.'
     ELSE CASE n WHEN 0 THEN '분석 중 오류가 발생했습니다.' WHEN 2 THEN message || '. DART 공시 목록 조회 단계에서 실패했습니다.' WHEN 3 THEN message || '. 보고서는 찾았지만 재무 항목 추출 단계에서 실패했습니다.' ELSE message END END AS text,
   CASE WHEN state <> 'ok' THEN message WHEN n = 0 THEN '✓ 통과' WHEN n = 1 THEN '✗ 검증실패' ELSE '검증정보 없음' END AS status FROM s"""
+
+#: Call by call: the state after each is the begin of its window and the calls in it.
+SQL["call_waits"] = """WITH RECURSIVE c AS MATERIALIZED (SELECT event_type AS caller, event_id AS call_id, epoch_us(ts) // 600 AS t, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 600, event_id) AS o FROM events),
+  s AS (SELECT caller, call_id, o, t AS began, 1 AS n, 0.0::DOUBLE AS wait_s FROM c WHERE o = 1
+    UNION ALL
+    SELECT c.caller, c.call_id, c.o, CASE WHEN c.t - began >= 60000000 THEN c.t WHEN n >= 15 THEN c.t + 30000000 ELSE began END, CASE WHEN c.t - began >= 60000000 OR n >= 15 THEN 1 ELSE n + 1 END,
+      CASE WHEN c.t - began < 60000000 AND n >= 15 THEN 30.0 ELSE 0.0 END::DOUBLE FROM s JOIN c ON c.caller = s.caller AND c.o = s.o + 1)
+  SELECT caller, call_id, wait_s FROM s"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, catalog, text, units
-from ..operators import accounts, analysis, compare, depreciation, details, documents, report, resolve, results, trace
+from ..operators import accounts, analysis, calls, compare, depreciation, details, documents, report, resolve, results, trace
 from ..sources.settled import settle
 from . import adapter, oracle, oracle_analysis, oracle_docs
 
@@ -170,6 +170,13 @@ def rate_window(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("w.start").alias("window_start"), "n_calls", (F.col("n_calls") > 15).alias("over_limit"))
 
 
+def call_waits(spark: SparkSession, sf: str) -> DataFrame:
+    """How long every call waits under the exact rule. Callers are event types, so each holds a share of all calls; their time runs 600 times as fast."""
+    e = adapter.table(spark, sf, "events")
+    fast = F.timestamp_micros(F.expr("unix_micros(CAST(ts AS TIMESTAMP)) DIV 600"))
+    return calls.waits(e.select(F.col("event_type").alias("caller"), fast.alias("ts"), F.col("event_id").alias("call_id")))
+
+
 def section_assign(spark: SparkSession, sf: str) -> DataFrame:
     return documents.sections(adapter.nodes(spark, sf)).select(*KEYS, "pos", "section", documents.classify(F.col("rows")).alias("by_labels"))
 
@@ -314,7 +321,7 @@ def status_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
-    amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window,
+    amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window, call_waits,
     section_assign, scope_infer, current_column, doc_extract, cf_tables, cf_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
     depreciation_signals, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines, item_details, final_details,
 )}
