@@ -7,7 +7,10 @@ variant ``k`` (0 to 4) decides which ids are missing, which amounts are blank, a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import shred
 
 TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "events", "documents", "pages", "part")
 
@@ -144,3 +147,30 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, DIVISIONS)
+
+
+def _escaped(c: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def markup(of: DataFrame) -> DataFrame:
+    """rcept_no, member, content: the nodes of each company and year as one marked-up document, and a short cover."""
+    tagged = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
+    joined = lambda cs: F.array_join(cs, "")
+    before = joined(F.transform(F.reverse(F.coalesce("prev_texts", F.array().cast("array<string>"))), lambda t: tagged("P", _escaped(t))))
+    body = joined(F.transform("rows", lambda r: tagged("TR", joined(F.transform(r, lambda c: tagged("TD", _escaped(c)))))))
+    node = F.when(F.col("kind") == "title", tagged("TITLE", _escaped(F.col("title_text")))).otherwise(tagged("DIV", tagged("DIV", F.concat(before, tagged("TABLE", body)))))
+    whole = of.groupBy("corp", "year").agg(joined(F.sort_array(F.collect_list(F.struct("pos", node.alias("m"))))["m"]).alias("m"))
+    text = F.struct(F.lit("document.xml").alias("member"), tagged("BODY", F.col("m")).alias("content"))
+    cover = F.struct(F.lit("a-cover.xml").alias("member"), F.lit("<BODY><TITLE>1. 표지</TITLE></BODY>").alias("content"))
+    return whole.select(F.concat("corp", F.lit("~"), "year").alias("rcept_no"), F.explode(F.array(text, cover)).alias("d")).select("rcept_no", "d.member", F.encode("d.content", "UTF-8").alias("content"))
+
+
+def archived(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """nodes() once more, by way of ZIP archives in ``root``: written, read member by member, and shredded."""
+    shred.write_archives(markup(nodes(spark, sf_dir)), root)
+    largest = shred.archives(spark, root).where("rank = 1").select(F.col("rcept_no").alias("doc_id"), "content")
+    key = F.split("doc_id", "~")
+    return shred.nodes(largest).select(key[0].alias("corp"), key[1].cast("int").alias("year"), "*").drop("doc_id")

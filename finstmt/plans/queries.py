@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, catalog, text, units
 from ..operators import accounts, analysis, calls, compare, depreciation, details, documents, report, resolve, results, trace
-from ..sources.settled import settle
+from ..sources.settled import new_folder, settle
 from . import adapter, oracle, oracle_analysis, oracle_docs
 
 KEYS = ["corp", "year"]
@@ -195,6 +195,22 @@ def doc_extract(spark: SparkSession, sf: str) -> DataFrame:
     return documents.extract(t, catalog.items(spark)).select(*KEYS, "item", "value", "confidence", "unit")
 
 
+def _archived(spark: SparkSession, sf: str) -> DataFrame:
+    return settle(adapter.archived(spark, sf, new_folder(spark, "archives")), "archived-nodes")
+
+
+def archived_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_extract of documents that come out of archives and the shredder."""
+    t = documents.with_units(documents.statement_tables(_archived(spark, sf)))
+    return documents.extract(t, catalog.items(spark)).select(*KEYS, "item", "value", "confidence", "unit")
+
+
+def archived_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """cf_buckets of documents that come out of archives and the shredder."""
+    n = _archived(spark, sf)
+    return depreciation.cash_flow_buckets(documents.with_units(depreciation.cash_flow_tables(n, documents.division(n), strict=True)))
+
+
 def cf_tables(spark: SparkSession, sf: str) -> DataFrame:
     n = adapter.nodes(spark, sf)
     return depreciation.cash_flow_tables(n, documents.division(n), strict=True).select(*KEYS, "pos", "matched")
@@ -322,7 +338,8 @@ def status_texts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
     amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window, call_waits,
-    section_assign, scope_infer, current_column, doc_extract, cf_tables, cf_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
+    section_assign, scope_infer, current_column, doc_extract, archived_extract, cf_tables, cf_buckets, archived_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
     depreciation_signals, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines, item_details, final_details,
 )}
 ORACLES = oracle.SQL | oracle_docs.SQL | oracle_analysis.SQL
+ORACLES |= {"archived_extract": ORACLES["doc_extract"], "archived_buckets": ORACLES["cf_buckets"]}

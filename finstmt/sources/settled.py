@@ -23,9 +23,13 @@ def folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read from there: what follows is planned, and after a loss recomputed, from
     these files alone."""
-    path = f"{folder(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,18 +6,17 @@ spread over tasks by Spark; nothing of a document is kept beyond its own rows.
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import archive
+
 NODE = "doc_id string, pos int, kind string, title_text string, rows array<array<string>>, prev_texts array<string>, parent_prev_texts array<string>, head_tr_texts array<string>"
 CELLS = ("td", "th", "tu", "te")
-MOST_BYTES = 10 * 1024 * 1024
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -138,23 +137,15 @@ def nodes(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.col("content").cast("binary").alias("content")).mapInArrow(_shred, NODE)
 
 
-def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out: list[tuple] = []
-        for key, content in zip(b.column("rcept_no").to_pylist(), b.column("content"), strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    out += [(key, i.filename, i.file_size, z.read(i)) for i in z.infolist() if not i.is_dir()]
-            except zipfile.BadZipFile:
-                continue
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["rcept_no", "member", "size", "content"])
-
-
-def archives(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+def archives(spark: SparkSession, path: str, most_bytes: int = archive.MOST_BYTES, split_bytes: int = archive.SPLIT_BYTES) -> DataFrame:
     """Members of landed ZIP files (rcept_no from the file's name), largest first (``rank``); archives above
     the limit are left out, broken ones have no rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).where(F.col("length") <= most_bytes)
-    named = files.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("rcept_no"), "content")
-    members = named.mapInArrow(_unzip, "rcept_no string, member string, size bigint, content binary")
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("rcept_no").orderBy(F.desc("size"), "member")))
+    spark.dataSource.register(archive.FilingArchives)
+    return spark.read.format("filing_archives").option("maxBytes", most_bytes).option("splitBytes", split_bytes).load(path)
+
+
+def write_archives(members: DataFrame, path: str) -> None:
+    """ZIP files of members (rcept_no, member, content)."""
+    members.sparkSession.dataSource.register(archive.FilingArchives)
+    together = members.select("rcept_no", "member", F.col("content").cast("binary").alias("content")).repartition("rcept_no").sortWithinPartitions("rcept_no", "member")
+    together.write.format("filing_archives").mode("append").save(path)
