@@ -215,3 +215,11 @@ SQL["call_waits"] = """WITH RECURSIVE c AS MATERIALIZED (SELECT event_type AS ca
     SELECT c.caller, c.call_id, c.o, CASE WHEN c.t - began >= 60000000 THEN c.t WHEN n >= 15 THEN c.t + 30000000 ELSE began END, CASE WHEN c.t - began >= 60000000 OR n >= 15 THEN 1 ELSE n + 1 END,
       CASE WHEN c.t - began < 60000000 AND n >= 15 THEN 30.0 ELSE 0.0 END::DOUBLE FROM s JOIN c ON c.caller = s.caller AND c.o = s.o + 1)
   SELECT caller, call_id, wait_s FROM s"""
+SQL["newest_corrections"] = """SELECT corp, year, kind, rcept_no, report_nm, rcept_dt FROM (SELECT *, row_number() OVER (PARTITION BY corp, year, kind ORDER BY rcept_dt DESC, rcept_no DESC) AS o
+  FROM (SELECT 'C' || o_custkey AS corp, CAST(year(o_orderdate) AS INT) AS year, o_orderpriority AS kind, 'R' || o_orderkey AS rcept_no, o_orderstatus AS report_nm, strftime(o_orderdate, '%Y%m%d') AS rcept_dt FROM orders)) WHERE o = 1"""
+SQL["registry_as_of"] = """WITH v(code, taken) AS (VALUES ('A', TIMESTAMP '2024-01-05 00:00:00'), ('B', TIMESTAMP '2024-01-05 12:00:00'), ('C', TIMESTAMP '2024-01-12 06:00:00')),
+  e AS (SELECT event_id, ts, 'Supplier#' || lpad(CAST(user_id + 1 AS VARCHAR), 9, '0') AS name FROM events WHERE ts < TIMESTAMP '2024-01-20'),
+  d AS (SELECT e.*, code, taken FROM e ASOF LEFT JOIN v ON e.ts >= v.taken),
+  f AS (SELECT event_id, name, CASE WHEN ts < taken + INTERVAL 24 HOURS THEN taken END AS taken, CASE WHEN ts < taken + INTERVAL 24 HOURS THEN code END AS code FROM d)
+  SELECT event_id, name, strftime(taken, '%Y-%m-%d %H:%M') AS taken_at, CASE WHEN taken IS NOT NULL THEN CASE WHEN s_suppkey IS NULL OR (code = 'A' AND s_suppkey % 3 = 0) THEN 0 WHEN code = 'B' AND s_suppkey % 5 = 0 THEN 2 ELSE 1 END END AS n_exact,
+    CASE WHEN NOT (code = 'A' AND s_suppkey % 3 = 0) THEN code || s_suppkey END AS corp_code FROM f LEFT JOIN supplier ON s_name = name"""

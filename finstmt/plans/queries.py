@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, catalog, text, units
 from ..operators import accounts, analysis, calls, compare, depreciation, details, documents, report, resolve, results, trace
+from ..sources import registry
 from ..sources.settled import new_folder, settle
+from ..streaming import snapshot
 from . import adapter, oracle, oracle_analysis, oracle_docs
 
 KEYS = ["corp", "year"]
@@ -177,6 +179,31 @@ def call_waits(spark: SparkSession, sf: str) -> DataFrame:
     return calls.waits(e.select(F.col("event_type").alias("caller"), fast.alias("ts"), F.col("event_id").alias("call_id")))
 
 
+def newest_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest filing of each customer, year and type, out of a snapshot that four batches were merged into, one of them twice."""
+    o = adapter.table(spark, sf, "orders")
+    filed = F.date_format("o_orderdate", "yyyyMMdd")
+    all_of = o.select(F.concat(F.lit("C"), "o_custkey").alias("corp"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("kind"), F.concat(F.lit("R"), "o_orderkey").alias("rcept_no"), F.col("o_orderstatus").alias("report_nm"), filed.alias("rcept_dt"), "o_orderkey")
+    kept = snapshot.corrections(spark, new_folder(spark, "corrections"), 8)
+    for batch in (0, 1, 1, 2, 3):
+        kept.merge(all_of.where(F.col("o_orderkey") % 4 == batch), batch)
+    kept.vacuum()
+    return kept.read()
+
+
+def registry_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """For every event, what the registry said of a supplier at that time; three versions, each fresh for a day."""
+    s, root = adapter.table(spark, sf, "supplier"), new_folder(spark, "registry")
+    row = lambda code: s.select(F.concat(F.lit(code), "s_suppkey").alias("corp_code"), F.col("s_name").alias("corp_name"), F.col("s_suppkey").alias("pos"))
+    registry.take(row("A").where("pos % 3 <> 0"), "2024-01-05 00:00:00", root)
+    registry.take(row("B").unionByName(row("X").where("pos % 5 = 0").withColumn("pos", F.col("pos") + 100000)), "2024-01-05 12:00:00", root)
+    registry.take(row("C"), "2024-01-12 06:00:00", root)
+    e = adapter.table(spark, sf, "events").where("ts < '2024-01-20'")
+    name = F.concat(F.lit("Supplier#"), F.lpad((F.col("user_id") + 1).cast("string"), 9, "0"))
+    out = registry.as_of(e.select("event_id", name.alias("name"), F.col("ts").alias("at")), root)
+    return out.select("event_id", "name", F.date_format("taken_at", "yyyy-MM-dd HH:mm").alias("taken_at"), "n_exact", "corp_code")
+
+
 def section_assign(spark: SparkSession, sf: str) -> DataFrame:
     return documents.sections(adapter.nodes(spark, sf)).select(*KEYS, "pos", "section", documents.classify(F.col("rows")).alias("by_labels"))
 
@@ -337,7 +364,7 @@ def status_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
-    amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window, call_waits,
+    amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window, call_waits, newest_corrections, registry_as_of,
     section_assign, scope_infer, current_column, doc_extract, archived_extract, cf_tables, cf_buckets, archived_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
     depreciation_signals, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines, item_details, final_details,
 )}
