@@ -7,10 +7,12 @@ variant ``k`` (0 to 4) decides which ids are missing, which amounts are blank, a
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import shred
+from ..sources.settled import settle
 
 TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "events", "documents", "pages", "part")
 
@@ -111,18 +113,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def _over(spark: SparkSession, sf_dir: str, sql: str, facts: DataFrame | None = None) -> DataFrame:
+    """sql over the CTE facts: the given ones, or those of the tables."""
+    if facts is not None:
+        return spark.sql(f"WITH facts AS (SELECT * FROM {{known}}) {sql}", known=facts)
     named = {t: table(spark, sf_dir, t) for t in ("lineitem", "supplier")}
-    facts = FACTS.replace("lineitem", "{lineitem}").replace("JOIN supplier", "JOIN {supplier}")
-    return spark.sql(f"WITH facts AS ({facts}) {sql}", **named)
+    of_tables = FACTS.replace("lineitem", "{lineitem}").replace("JOIN supplier", "JOIN {supplier}")
+    return spark.sql(f"WITH facts AS ({of_tables}) {sql}", **named)
 
 
-def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, sf_dir, accounts_sql(duck=False))
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of every company and year, summed once, and spread by company and year: whatever a query makes of them
+    (rows, nodes, windows over a document) stays in place."""
+    return settle(_over(spark, sf_dir, "SELECT * FROM facts"), "facts").repartition("corp", "year")
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, sf_dir, nodes_sql(duck=False))
+def accounts(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    return _over(spark, sf_dir, accounts_sql(duck=False), facts)
+
+
+def nodes(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    return _over(spark, sf_dir, nodes_sql(duck=False), facts)
 
 
 #: Which member of a filing's archive a node lies in: the document alone; a cover and the rest; all but the cash flow and
@@ -140,13 +151,13 @@ def members_sql(duck: bool) -> str:
     return MEMBERS.replace(" DIV ", " // ") if duck else MEMBERS
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def members(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Nodes of archives: member (0: the largest document) and the columns of nodes()."""
-    return _over(spark, sf_dir, f", node AS ({nodes_sql(duck=False)}) {members_sql(duck=False)}")
+    return _over(spark, sf_dir, f", node AS ({nodes_sql(duck=False)}) {members_sql(duck=False)}", facts)
 
 
-def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, sf_dir, DIVISIONS)
+def divisions(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    return _over(spark, sf_dir, DIVISIONS, facts)
 
 
 def _escaped(c: Column) -> Column:
@@ -174,3 +185,21 @@ def archived(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     largest = shred.archives(spark, root).where("rank = 1").select(F.col("rcept_no").alias("doc_id"), "content")
     key = F.split("doc_id", "~")
     return shred.nodes(largest).select(key[0].alias("corp"), key[1].cast("int").alias("year"), "*").drop("doc_id")
+
+
+#: A page of two tables, the second one's cells spanning rows and columns; k decides what it says of its encoding.
+PAGE = """
+SELECT concat(corp, '~', year) AS doc_id, k, concat('<html><head>', CASE k WHEN 0 THEN '<meta charset="utf-8">' WHEN 1 THEN '<meta http-equiv="Content-Type" content="text/html; charset=euc-kr">' ELSE '' END, '</head><body>',
+  '<p>회사 개요</p><table><tr><td>상호<td>', replace(corp, chr(35), ' '), '</table><div><p>(단위: 천원)</p><table><tr><th rowspan=2>과목<th colspan="2">금액</th></tr><tr><th>당기<th>전기</tr>',
+  '<tr><td>자산 총계<td>', #qty * 3#, '<td rowspan="3">-</tr><tr><td>Ⅱ.부채총계<td>', #qty#, '</tr><tr><td>결손금<td>(', #tax#, ')</tr><tr><td colspan=3>주석</table></div></body></html>') AS page FROM facts
+"""
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content: pages in UTF-8 (k 0, 2, 4) or EUC-KR (1, 3), which some of them declare."""
+
+    @F.pandas_udf("binary")
+    def encoded(page: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([p.encode("euc-kr" if n in (1, 3) else "utf-8") for p, n in zip(page, k, strict=True)])
+
+    return _over(spark, sf_dir, _formatted(PAGE, SPARK_NUMBER)).select("doc_id", encoded("page", "k").alias("content"))

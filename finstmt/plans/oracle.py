@@ -223,3 +223,7 @@ SQL["registry_as_of"] = """WITH v(code, taken) AS (VALUES ('A', TIMESTAMP '2024-
   f AS (SELECT event_id, name, CASE WHEN ts < taken + INTERVAL 24 HOURS THEN taken END AS taken, CASE WHEN ts < taken + INTERVAL 24 HOURS THEN code END AS code FROM d)
   SELECT event_id, name, strftime(taken, '%Y-%m-%d %H:%M') AS taken_at, CASE WHEN taken IS NOT NULL THEN CASE WHEN s_suppkey IS NULL OR (code = 'A' AND s_suppkey % 3 = 0) THEN 0 WHEN code = 'B' AND s_suppkey % 5 = 0 THEN 2 ELSE 1 END END AS n_exact,
     CASE WHEN NOT (code = 'A' AND s_suppkey % 3 = 0) THEN code || s_suppkey END AS corp_code FROM f LEFT JOIN supplier ON s_name = name"""
+_N = lambda x: f"format('{{:,}}', {x})"
+SQL["html_tables"] = f"""WITH facts AS ({adapter.FACTS}) SELECT corp || '~' || year AS doc_id, r.t AS table_no, r.n AS row_no, r.c AS cells FROM (SELECT corp, year, unnest([{{'t': 1, 'n': 0, 'c': '상호|' || replace(corp, '#', ' ')}}, {{'t': 2, 'n': 0, 'c': '과목|금액|금액'}}, {{'t': 2, 'n': 1, 'c': '과목|당기|전기'}},
+  {{'t': 2, 'n': 2, 'c': '자산 총계|' || {_N('qty * 3')} || '|-'}}, {{'t': 2, 'n': 3, 'c': 'Ⅱ.부채총계|' || {_N('qty')} || '|-'}}, {{'t': 2, 'n': 4, 'c': '결손금|(' || {_N('tax')} || ')|-'}}, {{'t': 2, 'n': 5, 'c': '주석|주석|주석'}}]) AS r FROM facts)"""
+SQL["html_items"] = f"""WITH facts AS ({adapter.FACTS}) SELECT corp || '~' || year AS doc_id, r.i AS item, CAST(r.v AS DOUBLE) AS value FROM (SELECT corp, year, unnest([{{'i': 'assets', 'v': qty * 3000}}, {{'i': 'liabilities', 'v': qty * 1000}}, {{'i': 'retained', 'v': -tax * 1000}}]) AS r FROM facts)"""

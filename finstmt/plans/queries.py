@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, catalog, text, units
 from ..operators import accounts, analysis, calls, compare, depreciation, details, documents, report, resolve, results, trace
-from ..sources import registry
+from ..sources import html, registry
 from ..sources.settled import new_folder, settle
 from ..streaming import snapshot
 from . import adapter, oracle, oracle_analysis, oracle_docs
@@ -19,14 +19,19 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     return adapter._over(spark, sf, "SELECT * FROM facts")
 
 
+def _items(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
+    return accounts.extract(adapter.accounts(spark, sf, facts), catalog.items(spark))
+
+
 def account_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return accounts.extract(adapter.accounts(spark, sf), catalog.items(spark))
+    return _items(spark, sf)
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
     """Items of every company and year with depreciation laid over them and costs positive."""
-    wide = results.wide(account_extract(spark, sf), KEYS)
-    d = _facts(spark, sf).where("k < 4").selectExpr("corp", "year", "double(qty + 1) AS depr", "double(CASE WHEN k < 3 THEN -tax END) AS rou", "double(tax + 2) AS amort", "k = 1 AS combined")
+    facts = adapter.facts(spark, sf)
+    wide = results.wide(_items(spark, sf, facts), KEYS)
+    d = facts.where("k < 4").selectExpr("corp", "year", "double(qty + 1) AS depr", "double(CASE WHEN k < 3 THEN -tax END) AS rou", "double(tax + 2) AS amort", "k = 1 AS combined")
     return results.positive_costs(results.overlay(wide, d, KEYS)).withColumn("ebitda", results.ebitda())
 
 
@@ -65,32 +70,39 @@ def ai_text_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return accounts.text_bundle(adapter.accounts(spark, sf))
 
 
-def _opinion(spark: SparkSession, sf: str, items: DataFrame) -> DataFrame:
+def _opinion(facts: DataFrame, items: DataFrame) -> DataFrame:
     n, v = F.length("item") % 3, F.col("value")
     said = items.where("item <> 'gross'").select(*KEYS, "item", F.when(n == 0, v + 0.5).when((n == 1) & (F.col("year") % 2 == 0), v * 1.01).otherwise(v).alias("value"))
-    return said.union(_facts(spark, sf).where("k = 0").select(*KEYS, F.lit("rou"), F.lit(7.0)))
+    return said.union(facts.where("k = 0").select(*KEYS, F.lit("rou"), F.lit(7.0)))
 
 
-def _compared(spark: SparkSession, sf: str) -> DataFrame:
-    items = account_extract(spark, sf)
-    return compare.compare(items, _opinion(spark, sf, items), KEYS)
+def _compared(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
+    facts = adapter.facts(spark, sf) if facts is None else facts
+    items = _items(spark, sf, facts)
+    return compare.compare(items, _opinion(facts, items), KEYS)
 
 
-def ai_compare(spark: SparkSession, sf: str) -> DataFrame:
-    both = _compared(spark, sf)
+def _adjudicated(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
+    both = _compared(spark, sf, facts)
     answer = F.when(F.col("item") == "revenue", "unclear").when(F.col("item") == "gross", None).otherwise((F.col("theirs") * 2).cast("string"))
     verdict = both.where("disagree").select(*KEYS, "item", answer.alias("answer"))
     return compare.adjudicate(both, verdict, KEYS)
 
 
+def ai_compare(spark: SparkSession, sf: str) -> DataFrame:
+    return _adjudicated(spark, sf)
+
+
 def ai_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    asked = _facts(spark, sf).select(*KEYS, (F.col("k") != 3).alias("first_ok"), (F.col("k") != 2).alias("second_ok"))
-    return compare.outcome(_compared(spark, sf), asked, KEYS)
+    facts = adapter.facts(spark, sf)
+    asked = facts.select(*KEYS, (F.col("k") != 3).alias("first_ok"), (F.col("k") != 2).alias("second_ok"))
+    return compare.outcome(_compared(spark, sf, facts), asked, KEYS)
 
 
 def golden_diff(spark: SparkSession, sf: str) -> DataFrame:
-    items = account_extract(spark, sf)
-    return compare.golden_diff(items, _opinion(spark, sf, items), [*KEYS, "item"])
+    facts = adapter.facts(spark, sf)
+    items = _items(spark, sf, facts)
+    return compare.golden_diff(items, _opinion(facts, items), [*KEYS, "item"])
 
 
 def amount_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,12 +216,17 @@ def registry_as_of(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "name", F.date_format("taken_at", "yyyy-MM-dd HH:mm").alias("taken_at"), "n_exact", "corp_code")
 
 
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """For what goes through a document several times."""
+    return adapter.nodes(spark, sf, adapter.facts(spark, sf))
+
+
 def section_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.sections(adapter.nodes(spark, sf)).select(*KEYS, "pos", "section", documents.classify(F.col("rows")).alias("by_labels"))
+    return documents.sections(_nodes(spark, sf)).select(*KEYS, "pos", "section", documents.classify(F.col("rows")).alias("by_labels"))
 
 
 def scope_infer(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.division(adapter.nodes(spark, sf))
+    return documents.division(_nodes(spark, sf))
 
 
 def current_column(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,7 +235,7 @@ def current_column(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_extract(spark: SparkSession, sf: str) -> DataFrame:
-    t = documents.with_units(documents.statement_tables(adapter.nodes(spark, sf)))
+    t = documents.with_units(documents.statement_tables(_nodes(spark, sf)))
     return documents.extract(t, catalog.items(spark)).select(*KEYS, "item", "value", "confidence", "unit")
 
 
@@ -238,18 +255,28 @@ def archived_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return depreciation.cash_flow_buckets(documents.with_units(depreciation.cash_flow_tables(n, documents.division(n), strict=True)))
 
 
+def html_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables of pages in two encodings, row by row, with every cell in each place that it spans."""
+    t = html.tables(adapter.pages(spark, sf)).select("doc_id", "table_no", F.posexplode("rows").alias("row_no", "row"))
+    return t.select("doc_id", "table_no", "row_no", F.array_join("row", "|").alias("cells"))
+
+
+def html_items(spark: SparkSession, sf: str) -> DataFrame:
+    return html.items(html.tables(adapter.pages(spark, sf)), catalog.items(spark))
+
+
 def cf_tables(spark: SparkSession, sf: str) -> DataFrame:
-    n = adapter.nodes(spark, sf)
+    n = _nodes(spark, sf)
     return depreciation.cash_flow_tables(n, documents.division(n), strict=True).select(*KEYS, "pos", "matched")
 
 
 def cf_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    n = adapter.nodes(spark, sf)
+    n = _nodes(spark, sf)
     return depreciation.cash_flow_buckets(documents.with_units(depreciation.cash_flow_tables(n, documents.division(n), strict=True)))
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    n = adapter.nodes(spark, sf)
+def _candidates(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
+    n = _nodes(spark, sf) if facts is None else adapter.nodes(spark, sf, facts)
     return depreciation.notes_candidates(n, documents.division(n), strict=True)
 
 
@@ -258,27 +285,29 @@ def notes_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def position_verify(spark: SparkSession, sf: str) -> DataFrame:
-    return depreciation.verify_selection(documents.with_units(_candidates(spark, sf)), _choice(spark, sf))
+    facts = adapter.facts(spark, sf)
+    return depreciation.verify_selection(documents.with_units(_candidates(spark, sf, facts)), _choice(spark, facts))
 
 
-def _choice(spark: SparkSession, sf: str) -> DataFrame:
+def _choice(spark: SparkSession, facts: DataFrame) -> DataFrame:
     """What a model would choose: rows of the first candidate."""
     slots = spark.createDataFrame([("depr", 3), ("rou", 5), ("amort", 6)], "slot string, row_no int")
     row = F.when((F.col("slot") == "depr") & (F.col("year") % 3 == 0), 99).otherwise(F.col("row_no"))
-    return _facts(spark, sf).crossJoin(F.broadcast(slots)).select(*KEYS, "slot", F.lit(1).alias("table_no"), row.alias("row_no"), (F.col("year") % 4 == 0).alias("combined"))
+    return facts.crossJoin(F.broadcast(slots)).select(*KEYS, "slot", F.lit(1).alias("table_no"), row.alias("row_no"), (F.col("year") % 4 == 0).alias("combined"))
 
 
-def _stages(spark: SparkSession, sf: str) -> analysis.Stages:
-    all_nodes = settle(adapter.members(spark, sf), "members")
+def _stages(spark: SparkSession, sf: str, facts: DataFrame) -> analysis.Stages:
+    all_nodes = adapter.members(spark, sf, facts)
     first = all_nodes.where("member = 0").drop("member")
-    divisions = adapter.divisions(spark, sf).join(documents.division(first).drop("fs_div"), KEYS)
+    divisions = adapter.divisions(spark, sf, facts).join(documents.division(first).drop("fs_div"), KEYS)
     return analysis.stages(first, settle(divisions, "divisions"), True, documents.merged_members(all_nodes))
 
 
 def depreciation_analysis(spark: SparkSession, sf: str) -> DataFrame:
     """Depreciation of every filing, from its first document or else all members of its archive, and how it was found."""
-    found = _stages(spark, sf)
-    result = settle(analysis.result_of(found, _choice(spark, sf)), "depreciation")
+    facts = adapter.facts(spark, sf)
+    found = _stages(spark, sf, facts)
+    result = analysis.result_of(found, _choice(spark, facts))
     n = found.accepted()[1].groupBy(*KEYS).agg(F.count("*").alias("n"))
     done = F.coalesce(F.col("depr").isNotNull() & (F.col("amort").isNotNull() | F.col("combined")) & (F.col("source") == "cf"), F.lit(False))
     out = found.documents.select(*KEYS).join(result, KEYS, "left").join(n, KEYS, "left").join(found.again.select(*KEYS, F.lit(True).alias("again")), KEYS, "left")
@@ -287,12 +316,13 @@ def depreciation_analysis(spark: SparkSession, sf: str) -> DataFrame:
 
 def trace_lines(spark: SparkSession, sf: str) -> DataFrame:
     """What the evaluation of every filing's depreciation did, line by line."""
-    return trace.lines(trace.events(_stages(spark, sf), True, _choice(spark, sf)))
+    facts = adapter.facts(spark, sf)
+    return trace.lines(trace.events(_stages(spark, sf, facts), True, _choice(spark, facts)))
 
 
-def _account_details(spark: SparkSession, sf: str) -> DataFrame:
-    found = details.of_accounts(accounts.extract(adapter.accounts(spark, sf), catalog.items(spark), origin=True))
-    return details.every_item(found, _facts(spark, sf), KEYS, "dart_api")
+def _account_details(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
+    found = details.of_accounts(accounts.extract(adapter.accounts(spark, sf, facts), catalog.items(spark), origin=True))
+    return details.every_item(found, facts, KEYS, "dart_api")
 
 
 def _shown(found: DataFrame, *keys: str) -> DataFrame:
@@ -304,17 +334,19 @@ def _shown(found: DataFrame, *keys: str) -> DataFrame:
 
 def item_details(spark: SparkSession, sf: str) -> DataFrame:
     """All twelve items of every filing with the cells they come from: of its account rows, and of its document."""
-    tables = documents.with_units(documents.statement_tables(adapter.nodes(spark, sf)))
+    facts = adapter.facts(spark, sf)
+    tables = documents.with_units(documents.statement_tables(adapter.nodes(spark, sf, facts)))
     of_doc = details.of_documents(documents.extract(tables, catalog.items(spark), origin=True))
-    both = _account_details(spark, sf).unionByName(details.every_item(of_doc, _facts(spark, sf), KEYS, "document_xml").withColumn("origin", F.lit("document")), allowMissingColumns=True)
+    both = _account_details(spark, sf, facts).unionByName(details.every_item(of_doc, facts, KEYS, "document_xml").withColumn("origin", F.lit("document")), allowMissingColumns=True)
     shown = _shown(both.withColumn("origin", F.coalesce("origin", F.lit("accounts"))), *KEYS, "origin")
     return shown.drop("depreciation_source", "ai_source", "disagreement", "previous_source", "rcept_no", "report_nm", "path", "report_type")
 
 
 def final_details(spark: SparkSession, sf: str) -> DataFrame:
     """Details of account rows after the comparison with a second opinion, with their report."""
-    both = ai_compare(spark, sf).withColumn("value", F.when(F.col("disagree") & (F.col("item") == "assets") & (F.col("year") % 3 == 0), None).otherwise(F.col("final")))
-    joined = _account_details(spark, sf).join(both.select(*KEYS, "item", "value", "ours", "theirs", F.lit(True).alias("compared")), [*KEYS, "item"], "left")
+    facts = adapter.facts(spark, sf)
+    both = _adjudicated(spark, sf, facts).withColumn("value", F.when(F.col("disagree") & (F.col("item") == "assets") & (F.col("year") % 3 == 0), None).otherwise(F.col("final")))
+    joined = _account_details(spark, sf, facts).join(both.select(*KEYS, "item", "value", "ours", "theirs", F.lit(True).alias("compared")), [*KEYS, "item"], "left")
     told = details.final(F.col("detail"), F.col("value"), F.lit("adjudicated"), compare.disagreement(F.col("ours"), F.col("theirs")))
     chosen = F.when(F.col("compared"), told).otherwise(F.col("detail"))
     report_of = {"rcept_no": F.concat("corp", F.lit("-"), "year"), "report_nm": F.lit("사업보고서"), "path": F.lit("A"), "report_type": F.lit("annual")}
@@ -322,7 +354,7 @@ def final_details(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_text_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.text_bundle(adapter.nodes(spark, sf))
+    return documents.text_bundle(_nodes(spark, sf))
 
 
 def notes_text_bundle(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,7 +397,7 @@ def status_texts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
     amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window, call_waits, newest_corrections, registry_as_of,
-    section_assign, scope_infer, current_column, doc_extract, archived_extract, cf_tables, cf_buckets, archived_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
+    section_assign, scope_infer, current_column, doc_extract, archived_extract, html_tables, html_items, cf_tables, cf_buckets, archived_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
     depreciation_signals, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines, item_details, final_details,
 )}
 ORACLES = oracle.SQL | oracle_docs.SQL | oracle_analysis.SQL

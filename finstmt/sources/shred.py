@@ -17,14 +17,16 @@ from . import archive
 
 NODE = "doc_id string, pos int, kind string, title_text string, rows array<array<string>>, prev_texts array<string>, parent_prev_texts array<string>, head_tr_texts array<string>"
 CELLS = ("td", "th", "tu", "te")
+#: Elements of a table that a start tag ends where their own end tag is missing.
+ENDED_BY = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 class _Element:
-    __slots__ = ("tag", "children", "parent", "texts")
+    __slots__ = ("tag", "children", "parent", "texts", "attrs")
 
-    def __init__(self, tag: str, parent: _Element | None):
-        self.tag, self.parent, self.children, self.texts = tag, parent, [], []
+    def __init__(self, tag: str, parent: _Element | None, attrs: list | None = None):
+        self.tag, self.parent, self.children, self.texts, self.attrs = tag, parent, [], [], attrs
 
     def text(self) -> str:
         """All text below, each piece trimmed."""
@@ -56,12 +58,21 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "table" and self.at.tag == "p":  # a paragraph ends where a table begins
             self.at = self.at.parent
-        e = _Element(tag, self.at)
+        self._end_open(tag)
+        e = _Element(tag, self.at, attrs if tag in CELLS else None)
         self.at.children.append(e)
         self.at.texts.append(e)
         if tag not in VOID:
             self.at = e
 
+    def _end_open(self, tag: str) -> None:
+        """End the cells or the row, of the table at hand, that this start tag ends."""
+        e, ends = self.at, ENDED_BY.get(tag, ())
+        while e is not None and e.tag != "table" and ends:
+            if e.tag in ends:
+                self.at = e.parent
+            e = e.parent
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -92,16 +103,66 @@ def _rows(table: _Element) -> list[list[str]]:
     return [r for r in rows if any(r)]
 
 
-def shred(text: str) -> list[dict]:
-    """Titles and tables of a document in order."""
+def _read(text: str) -> _Element:
     tree = _Tree()
     try:
         tree.feed(text)
         tree.close()
     except (AssertionError, ValueError):  # what was read so far stays
         pass
+    return tree.root
+
+
+def _span(cell: _Element, name: str) -> int:
+    """A cell's rowspan or colspan: 1 where it is absent or no number, 1,000 at most, as browsers have it."""
+    value = next((v for k, v in cell.attrs or () if k == name), None) or ""
+    return max(1, min(int(value), 1000)) if value.strip().isascii() and value.strip().isdigit() else 1
+
+
+def _own(e: _Element, tags: tuple[str, ...]) -> Iterator[_Element]:
+    """Elements below e, but not those of tables within it."""
+    todo = list(reversed(e.children))
+    while todo:
+        x = todo.pop()
+        if x.tag in tags:
+            yield x
+        if x.tag != "table":
+            todo.extend(reversed(x.children))
+
+
+def grid(table: _Element) -> list[list[str]]:
+    """A table's rows with every cell in each place that it spans; rows end where their last cell does."""
+    rows: list[list[str]] = []
+    below: dict[int, tuple[int, str]] = {}  # column: rows that the cell above still takes, its text
+    for tr in _own(table, ("tr",)):
+        row: dict[int, str] = {}
+        left, below = below, {}
+
+        def put(at: int, n: int, text: str) -> None:
+            row[at] = text
+            if n > 1:
+                below[at] = (n - 1, text)
+
+        for at, (n, text) in left.items():
+            put(at, n, text)
+        at = 0
+        for cell in _own(tr, CELLS):
+            while at in row:
+                at += 1
+            text, deep = cell.text(), _span(cell, "rowspan")
+            for _ in range(_span(cell, "colspan")):
+                if at not in row:
+                    put(at, deep, text)
+                at += 1
+        rows.append([row.get(i, "") for i in range(max(row, default=-1) + 1)])
+    return rows
+
+
+def shred(text: str) -> list[dict]:
+    """Titles and tables of a document in order."""
+    root = _read(text)
     out: list[dict] = []
-    for e in tree.root.below("title", "table"):
+    for e in root.below("title", "table"):
         node = {"pos": len(out), "kind": e.tag, "title_text": None, "rows": None, "prev_texts": None, "parent_prev_texts": None, "head_tr_texts": None}
         if e.tag == "title":
             node["title_text"] = e.text()
