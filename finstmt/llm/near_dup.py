@@ -9,10 +9,11 @@ from the texts. A class is known by a number, that of one of its rows.
 No bucket is expanded into all its pairs. First each member of a bucket is held against the bucket's hub
 only, and links found that way make components. Then only what lies outside a bucket's largest component is
 compared, with all that is of another component, in blocks of about ``BLOCK`` members; a larger bucket is dealt
-out as pairs of blocks, so none of its pairs is skipped. Of two components' pairs in a block pair the nearest few
-are confirmed first. Block pairs that left out others, and still hold more than one component after that, are gone
-through once more with the full sets in place of sketches, pair by pair within their task, so the number of rows
-never follows the number of pairs.
+out as pairs of blocks, so none of its pairs is skipped, and a member of a bucket of n is copied n / BLOCK times. Of two
+components' pairs in a block pair the nearest few are confirmed first. Block pairs that left out others, and still hold
+more than one component after that, are dealt out once more in blocks of ``EXACT`` members and ``EXACT_BYTES`` of full
+sets, and gone through pair by pair within their task, so neither the number of rows follows the number of pairs nor
+a task's memory the length of the texts.
 
 Hubs, large bands and large components may hold any share of the rows: their joins are spread over parts.
 
@@ -68,7 +69,8 @@ BIN_BITS, SKETCH_BITS = 10, 2048
 BINS = 1 << BIN_BITS
 #: Shingles that small sets may lose to a shared bin; estimates may be off by that besides the margin.
 LOST = 1.5
-BLOCK = 512
+#: Members of a block that are compared by sketch (about 264 bytes each), and by full sets (8 bytes a shingle).
+BLOCK, EXACT, EXACT_BYTES = 4096, 512, 32 << 20
 _W = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -315,6 +317,20 @@ def dealt_blocks(buckets: DataFrame, labels: DataFrame, block: int = BLOCK) -> D
     return dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "label")
 
 
+def redealt(rest: DataFrame, members: int = EXACT, most_bytes: int = EXACT_BYTES) -> DataFrame:
+    """(of, i, j, block, c, label): the block pairs of rest (band, i, j, block, c, label, n shingles) as pairs of smaller
+    blocks. ``of`` is the pair that they come from."""
+    key = ["band", "i", "j"]
+    each = rest.groupBy(*key, "block").agg(F.greatest(F.count("*") / members, F.sum(F.col("n") * 8) / most_bytes).alias("parts"))
+    parts = each.groupBy(*key).agg(F.ceil(F.max("parts")).cast("int").alias("m"))
+    m, second = F.col("m"), F.col("block") != F.col("i")
+    block = F.pmod(F.xxhash64("c", F.lit(1)), m).cast("int") + F.when(second, m).otherwise(0)
+    # Blocks of the first are 0 to m - 1, those of the second m to 2m - 1; a block pair with itself has only the former.
+    others = F.when(second | (F.col("i") == F.col("j")), F.sequence(F.lit(0), m - 1)).otherwise(F.sequence(m, 2 * m - 1))
+    dealt = rest.join(parts, key).select(F.struct(*key).alias("of"), "c", "label", block.alias("block"), F.explode(others).alias("other"))
+    return dealt.select("of", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "label")
+
+
 def cross_pairs(classes: DataFrame, dealt: DataFrame, rule: Rule) -> DataFrame:
     """PAIR rows from all bands, for buckets that hold more than one component."""
 
@@ -387,13 +403,13 @@ def cross_links(classes: DataFrame, buckets: DataFrame, labels: DataFrame, docs:
         return after
     rest = shared.settle(dealt.drop("label").join(shared.small(again), ["band", "i", "j"], "left_semi").join(after, "c"), "rest")
     mixed = rest.groupBy("band", "i", "j").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    rest = shared.settle(rest.join(mixed, ["band", "i", "j"], "left_semi"), "rest-mixed")
+    rest = shared.settle(redealt(rest.join(mixed, ["band", "i", "j"], "left_semi").join(classes.select("c", "n"), "c")), "rest-mixed")
     sets = shared.settle(shared.in_batches(texts_of(rest.select("c").distinct(), classes, docs), _sets(rule), "c bigint, set binary"), "sets-rest")
 
     def exact(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         return _exact(rule, key, group)
 
-    whole = rest.join(classes.select("c", "sketch"), "c").join(sets, "c").groupBy("band", "i", "j").applyInArrow(exact, "a bigint, b bigint")
+    whole = rest.join(classes.select("c", "sketch"), "c").join(sets, "c").groupBy("of", "i", "j").applyInArrow(exact, "a bigint, b bigint")
     return relabelled(after, shared.settle(whole.distinct(), "links-rest"))
 
 
@@ -432,7 +448,7 @@ def labelled(documents: DataFrame, rule: Rule) -> DataFrame:
     rows = shared.settle(sketched(docs, rule).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     some = rows.where("n > 0")
     sets = shared.settle(some.groupBy("digest").agg(F.min("rid").alias("c"), F.min("doc_id").alias("low"), F.count("*").alias("copies")), "sets")
-    classes = shared.settle(some.withColumnRenamed("rid", "c").join(sets.select("c"), "c").select("c", "doc_id", "fp", "bands", "sketch"), "classes")
+    classes = shared.settle(some.withColumnRenamed("rid", "c").join(sets.select("c"), "c").select("c", "doc_id", "fp", "n", "bands", "sketch"), "classes")
     buckets = shared.settle(shared_bands(classes), "buckets")
     links = confirmed(star_pairs(classes, buckets, rule), classes, docs, rule, "star")
     own = sets.select("c").join(components(links), "c", "left").select("c", F.coalesce("label", "c").alias("label"))

@@ -669,6 +669,29 @@ def test_one_large_component_and_a_stranger_meet_once(spark):
     assert {c for cs in met.values() if n in cs for c in cs} == set(range(n + 1))
 
 
+def test_unlinked_members_of_one_band_are_dealt_out_in_few_rows(spark):
+    n = 5000
+    buckets = shared.settle(spark.range(n).select(F.col("id").alias("c"), F.lit(7).cast("bigint").alias("band"), F.lit(n).cast("bigint").alias("size")), "t")
+    dealt = near_dup.dealt_blocks(buckets, spark.range(n).select(F.col("id").alias("c"), F.col("id").alias("label")))
+    assert dealt.count() <= 3 * n and dealt.select("c").distinct().count() == n
+
+
+@pytest.mark.parametrize(("members", "most_bytes"), [(7, 1 << 20), (1000, 4000), (1000, 1 << 30)])
+def test_smaller_blocks_hold_every_pair_once(spark, members, most_bytes):
+    rows = [(9, i, j, b, 100 * b + k, 0, 50 * (k % 3)) for i, j in ((0, 0), (0, 1), (1, 1)) for b in {i, j} for k in range(30)]
+    rest = spark.createDataFrame(rows, "band bigint, i int, j int, block int, c bigint, label bigint, n bigint")
+    met, sizes = Counter(), Counter()
+    groups = {}
+    for r in near_dup.redealt(rest, members, most_bytes).collect():
+        groups.setdefault((tuple(r.of), r.i, r.j), []).append(r)
+        sizes[tuple(r.of), r.i, r.j, r.block] += 1
+    for (of, i, j), rs in groups.items():
+        left, right = ([r.c for r in rs if r.block == x] for x in (i, j))
+        met.update((of, frozenset((a, b))) for a in left for b in right if a < b or (i != j and a != b))
+    want = {((9, i, j), frozenset((a, b))) for i, j in ((0, 0), (0, 1), (1, 1)) for a in range(100 * i, 100 * i + 30) for b in range(100 * j, 100 * j + 30) if a != b}
+    assert met == Counter(dict.fromkeys(want, 1)) and max(sizes.values()) <= 30
+
+
 def test_components_where_every_key_is_heavy_and_without_the_screen(spark, monkeypatch):
     monkeypatch.setattr(shared, "HEAVY", 3)
     monkeypatch.setattr(shared, "MOST_HEAVY", 5)
@@ -679,7 +702,9 @@ def test_components_where_every_key_is_heavy_and_without_the_screen(spark, monke
 
 
 def test_no_link_is_lost_where_pairs_are_left_out(spark, monkeypatch):
-    """Without any star, and with a single pair of each block pair confirmed, the rest is found on full sets."""
+    """Without any star, and with a single pair of each block pair confirmed, the rest is found on full sets, in blocks of few bytes."""
+    whole = near_dup.redealt
+    monkeypatch.setattr(near_dup, "redealt", lambda rest: whole(rest, 10, 8000))
     monkeypatch.setattr(near_dup, "star_pairs", lambda classes, *_: classes.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0))
     rows = group_rows()
     out = rows_of(near_dup.find(frame(spark, rows), near_dup.Rule(words=3, num=85, bands=32, rows=6, nearest=1, most_pairs=1)))
