@@ -56,6 +56,36 @@ def test_attempts_without_manifest_do_not_count(spark):
     assert [r["n_tokens"] for r in rows_of(token_rollup.totals(spark, root))] == [5]
 
 
+def test_changes_by_document(spark):
+    schema = "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint"
+    old = [(1, "a", "en", "t", 5), (2, "a", "en", "t", 7), (3, "b", "en", "t", 9), (3, "b", "en", "t", 9), (None, "a", None, "t", 4), (5, "a", "en", "t", 1)]
+    new = [(1, "a", "en", "t", 5), (2, "a", "en", "t", 8), (3, "b", "en", "t", 9), (4, "c", "de", "t", 0), (None, "a", None, "t", 4), (5, "b", "en", "t", 1)]
+    got = sorted((r["source"], r["n_docs"], r["n_tokens"]) for r in rows_of(token_rollup.changes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema))))
+    assert got == sorted([("a", -1, -7), ("a", 1, 8), ("b", -1, -9), ("c", 1, 0), ("a", -1, -1), ("b", 1, 1)])
+
+
+def test_compaction_keeps_totals_and_what_was_sent(spark):
+    root = shared.new_path(spark, "t")
+    token_rollup.create(spark, root)
+    rows = lambda n: token_rollup.signed(spark.createDataFrame([("a", "en", "v", n)], "source string, lang string, tokenizer string, n_tokens bigint"), 1)
+    read = lambda: [(r["n_docs"], r["n_tokens"]) for r in rows_of(token_rollup.totals(spark, root))]
+    for i in range(4):
+        token_rollup.commit(spark, root, f"b{i}", rows(10**i))
+    token_rollup.commit(spark, root, "b1", rows(5))
+    assert read() == [(4, 1111)]
+    for n in (1, 1):  # a second compaction finds one batch
+        token_rollup.compact(spark, root)
+        assert read() == [(4, 1111)] and token_rollup.live(spark, root).count() == n
+    assert token_rollup.vacuum(spark, root) == 6 and token_rollup.vacuum(spark, root) == 0 and read() == [(4, 1111)]
+    token_rollup.commit(spark, root, "b2", rows(7))  # sent once more after it was covered
+    token_rollup.commit(spark, root, "b9", rows(20000))
+    assert read() == [(5, 21111)]
+    spark.createDataFrame([("x", "y")], token_rollup.COVERED).write.mode("append").parquet(f"{root}/covered")  # a compaction that was cut off
+    attempts = [r["attempt"] for r in rows_of(token_rollup.live(spark, root))]
+    spark.createDataFrame([(a, "cut-off") for a in attempts], token_rollup.COVERED).write.mode("append").parquet(f"{root}/covered")
+    assert read() == [(5, 21111)]
+
+
 def test_rollup_without_batches_and_without_documents(spark, none):
     root = shared.new_path(spark, "t")
     token_rollup.create(spark, root)
