@@ -10,6 +10,11 @@ words. So every place that earns a label is found, however long the file and how
 
 Base phrases are found in any place and always give their label.
 
+Templates are a parameter. ``of_texts`` makes them of whole licences (label, text): a text is cut into its paragraphs,
+and each paragraph that is long enough and has words of its own label's alone becomes a template, whose key phrase is
+cut from those words; ``scan(documents, TEMPLATES + of_texts(texts))`` then labels files that hold a licence itself. The
+repository carries the notices and short licences of ``TEMPLATES``, no bodies of long ones.
+
 Cases
 - null or empty text: no words, no labels, score 0. Very long texts are scanned whole. Repeated rows: each is scanned alone.
 - equal frequencies: words in alphabetical order.
@@ -22,6 +27,7 @@ Cases
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -69,6 +75,37 @@ TEMPLATES = [
 ]
 
 
+#: Words of a paragraph that can be a template, and of its key phrase.
+LEAST, KEY = 12, 5
+
+
+def of_texts(texts: list[tuple[str, str]], least: int = LEAST, key: int = KEY) -> list[tuple[str, str, list[str]]]:
+    """Templates of whole licences (label, text; several texts of a label are its versions).
+
+    A phrase of ``key`` words is a label's own if no text of another label holds it. A paragraph (separated by empty
+    lines) without such a phrase, or of fewer than ``least`` words, says nothing about its label and is left out; of its own
+    phrases the one whose words fewest texts hold, the first of equals, is mandatory. Texts and templates are held by
+    the driver, so they are a table of licences, not of files.
+    """
+    words = [(label, shared.alnum_words(text)) for label, text in texts]
+    holders: dict[tuple[bytes, ...], set[str]] = {}
+    spread = Counter(w for _, ws in words for w in set(ws))
+    for label, ws in words:
+        for i in range(len(ws) - key + 1):
+            holders.setdefault(tuple(ws[i : i + key]), set()).add(label)
+    out, seen = [], set()
+    for label, text in texts:
+        for paragraph in re.split(r"\n[ \t\r]*\n", text):
+            ws = shared.alnum_words(paragraph)
+            own = [p for i in range(len(ws) - key + 1) if holders[p := tuple(ws[i : i + key])] == {label}]
+            if len(ws) < least or not own or (label, tuple(ws)) in seen:
+                continue
+            seen.add((label, tuple(ws)))
+            rarest = min(own, key=lambda p: sum(spread[w] for w in p))
+            out.append((label, b" ".join(ws).decode(), [b" ".join(rarest).decode()]))
+    return out
+
+
 def _vocabulary(templates: list[tuple[str, str, list[str]]]) -> set[bytes]:
     return {w for _, text, _ in templates for w in shared.alnum_words(text)}
 

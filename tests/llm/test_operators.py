@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -585,6 +586,32 @@ def test_licences_against_brute_force():
     assert len(seen) >= 8
 
 
+def test_whole_licences_are_cut_into_templates(spark):
+    shared_part = "this paragraph of thirteen words or more stands in both of these licences"
+    text = lambda who: "\n\n".join([f"The {who} Licence", prose(len(who), 60).replace("\n", " "), shared_part, f"you may {who} do this {prose(len(who) + 7, 40)}".replace("\n", " "), f"{who} ends"])
+    texts = [("one", text("one")), ("three", text("three")), ("one", text("one"))]
+    made = license_scan.of_texts(texts)
+    assert Counter(label for label, _, _ in made) == {"one": 2, "three": 2} and not any("thirteen" in t for _, t, _ in made)
+    assert all(f" {k} " in f" {t} " and len(k.split()) == license_scan.KEY for _, t, (k,) in made)
+    files = [text("one"), f"{prose(50, 300)}\n{text('three').upper()}\n{prose(51, 300)}", text("one") + text("three"), shared_part * 3, prose(52, 400), text("one").split("\n\n")[1]]
+    out = {r["doc_id"]: r["labels"] for r in rows_of(license_scan.scan(frame(spark, [(i, t, "s") for i, t in enumerate(files)]), license_scan.TEMPLATES + made))}
+    assert out == {0: "one", 1: "three", 2: "one,three", 3: "", 4: "", 5: "one"}
+    assert license_scan.of_texts([]) == [] and license_scan.of_texts([("x", ""), ("y", "short")]) == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_bodies_of_known_licences(spark):
+    texts = {}
+    for label, name in (("apache", "Apache-2.0"), ("gpl", "GPL-3"), ("gpl", "GPL-2"), ("lgpl", "LGPL-3"), ("lgpl", "LGPL-2.1"), ("mpl", "MPL-2.0"), ("gfdl", "GFDL-1.3")):
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+            texts[name] = (label, f.read())
+    made = license_scan.of_texts(list(texts.values()))
+    names = sorted(texts)
+    halves = [(i, prose(i, 200) + texts[n][1][len(texts[n][1]) // 3 :], "s") for i, n in enumerate(names)]
+    out = {r["doc_id"]: r["labels"].split(",") for r in rows_of(license_scan.scan(frame(spark, [*halves, (99, prose(3, 500), "s")]), made))}
+    assert all(texts[n][0] in out[i] for i, n in enumerate(names)) and out[99] == [""]
+
+
 def test_no_licence_place_lacks_votes():
     r = random.Random(5)
     vocabulary = sorted(license_scan._vocabulary(license_scan.TEMPLATES))
