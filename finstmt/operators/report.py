@@ -55,10 +55,12 @@ def processing(state: Column, message: Column, report_nm: Column, path: Column,
 
 
 def summary(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys, every item and EBITDA as text in 억, status and detail."""
+    """Keys, every item and EBITDA as text in 억, status and detail; rows that came to nothing, by their ``state`` and
+    ``message`` where results have these, say why."""
     shown = [amounts.hundred_millions(F.col(c)).alias(c) for c in [*catalog.NAMES, "ebitda"]]
-    state = F.lit("ok")
-    return results.select(*keys, *shown, status(state, F.lit(""), F.col("is_valid")).alias("status"), detail(state, F.lit(""), F.col("flags")).alias("detail"))
+    told = lambda c, otherwise: F.coalesce(c, F.lit(otherwise)) if c in results.columns else F.lit(otherwise)
+    state, message = told("state", "ok"), told("message", "")
+    return results.select(*keys, *shown, status(state, message, F.col("is_valid")).alias("status"), detail(state, message, F.col("flags")).alias("detail"))
 
 
 def pivot_years(items: DataFrame, years: list[int]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources import shred
 from ..sources.settled import settle
+from . import oracle_words
 
 TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "events", "documents", "pages", "part")
 
@@ -78,10 +79,10 @@ def _formatted(text: str, how: str) -> str:
 SPARK_NUMBER, DUCK_NUMBER = "format_number({}, 0)", "format('{{:,}}', {})"
 
 
-def accounts_sql(duck: bool) -> str:
+def accounts_sql(duck: bool, accounts: list[tuple] = ACCOUNTS) -> str:
     """corp, year, pos, account_id, account_nm, sj_div, fs_div, thstrm_amount, currency over CTE facts."""
     rows = []
-    for r in ACCOUNTS:
+    for r in accounts:
         values = [_formatted(x, DUCK_NUMBER if duck else SPARK_NUMBER) for x in r]
         pairs = zip(_ACCOUNT_COLUMNS, values, strict=True)
         rows.append("{" + ", ".join(f"'{n}': {v}" for n, v in pairs) + "}" if duck else "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in pairs) + ")")
@@ -95,11 +96,11 @@ FROM (SELECT corp, year, k, {each} AS r FROM facts) AS t
 """
 
 
-def nodes_sql(duck: bool) -> str:
+def nodes_sql(duck: bool, nodes: list[tuple] = NODES) -> str:
     """doc_id (corp and year), pos, kind, title_text, rows, prev_texts over CTE facts."""
     number = DUCK_NUMBER if duck else SPARK_NUMBER
     out = []
-    for i, (kind, title, rows, before) in enumerate(NODES):
+    for i, (kind, title, rows, before) in enumerate(nodes):
         as_list = (lambda x: x) if duck else _spark_list
         none = "NULL::VARCHAR[][]" if duck else "CAST(NULL AS array<array<string>>)"
         no_text = "NULL::VARCHAR[]" if duck else "CAST(NULL AS array<string>)"
@@ -203,3 +204,50 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.Series([p.encode("euc-kr" if n in (1, 3) else "utf-8") for p, n in zip(page, k, strict=True)])
 
     return _over(spark, sf_dir, _formatted(PAGE, SPARK_NUMBER)).select("doc_id", encoded("page", "k").alias("content"))
+
+
+#: A small filing for each word w that any rule looks for: as title, label, caption, header and account, so that every
+#: word of every rule is met. The words are input here, taken from those of the SQL.
+WORD_ACCOUNTS = [
+    ("1", "w", "'기타'", "'BS'", "'10'"), ("2", "''", "w", "'BS'", "'20'"), ("3", "''", "w || '영업이익'", "'IS'", "'30'"), ("4", "''", "w || '당기순이익'", "'IS'", "'40'"),
+]
+WORD_NODES = [
+    ("title", "w", None, None),
+    ("table", None, "[['구분', '당기', '전기'], [w, '5', '6']]", "['단위: ' || w]"),
+    ("title", "'연결' || w", None, None),
+    ("table", None, "[['구분', '당기', '전기'], [w, '5', '6'], ['자산총계', '1', '2']]", "['x']"),
+    ("title", "'현금흐름표'", None, None),
+    ("table", None, "[['구분', '당기'], ['감가상각비', '7']]", "['x']"),
+    ("title", "w", None, None),
+    ("table", None, "[['구분', '당기'], [w, '8']]", "['1. 가']"),
+    ("title", "'주석'", None, None),
+    ("table", None, "[['구분', '당기'], ['감가상각비', '7']]", "['1. ' || w]"),
+    ("table", None, "[[w, '당기'], ['감가상각비', '7']]", "['2. 가나다']"),
+    ("table", None, "[['구분', '당기'], [w, '9'], ['감가상각비용', '-']]", "['3. 가나다']"),
+    ("title", "w", None, None),
+    ("table", None, "[['영업활동현금흐름', '당기'], ['감가상각비', '3']]", "['4. 가나다']"),
+]
+
+
+def words_sql(duck: bool) -> str:
+    """corp, year, k, w: for each part one of the words, in turn."""
+    w = oracle_words
+    ids = [i[3] for i in w.ITEMS if i[3]]
+    named = [x for i in w.ITEMS for part in i[4:] for x in part]
+    told = [*w.BS_WORDS, *w.IS_WORDS, *w.TOTALS, *w.STATEMENT_TITLES, *w.SCOPE_TITLES, *w.STATEMENT_ROOTS, *w.NOTES_ROOTS, *w.EXCLUDED_HEADERS, *w.PARTIAL_TITLES, *w.EXACT_DEPR, *w.EXACT_ROU, *w.EXACT_AMORT, *w.CF_MARKERS, *(a for a, _ in w.SECTIONS), *w.UNITS]
+    every = sorted({*ids, *named, *told})
+    listed = ", ".join(f"'{x}'" for x in every)
+    chosen = f"([{listed}])[p_partkey % {len(every)} + 1]" if duck else f"array({listed})[p_partkey % {len(every)}]"
+    return f"SELECT concat('W', p_partkey) AS corp, CAST(2000 AS INT) AS year, CAST(0 AS INT) AS k, {chosen} AS w FROM {'part' if duck else '{part}'}"
+
+
+def word_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(words_sql(duck=False), part=table(spark, sf_dir, "part"))
+
+
+def word_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, nodes_sql(False, WORD_NODES), word_facts(spark, sf_dir).repartition("corp", "year"))
+
+
+def word_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, accounts_sql(False, WORD_ACCOUNTS), word_facts(spark, sf_dir))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions import amounts, catalog, text, units
 from . import adapter
+from . import oracle_words as words
 
 ACCOUNTS = f"facts AS ({adapter.FACTS}), acct AS ({adapter.accounts_sql(duck=True)})"
 NODES = f"facts AS ({adapter.FACTS}), node AS ({adapter.nodes_sql(duck=True)})"
@@ -22,29 +22,29 @@ def gone(x: str, pattern: str, by: str = "") -> str:
 
 
 def trim(x: str) -> str:
-    return gone(x, f"^{text.WS}+|{text.WS}+$")
+    return gone(x, f"^{words.WS}+|{words.WS}+$")
 
 
 def label(x: str) -> str:
-    for step in text.LABEL_STEPS:
+    for step in words.LABEL_STEPS:
         x = gone(x, step)
     return x
 
 
 def title_core(x: str) -> str:
-    return gone(gone(x, f"{text.WS}+"), r"^[0-9\-]+\.")
+    return gone(gone(x, f"{words.WS}+"), r"^[0-9\-]+\.")
 
 
 def row_label(x: str) -> str:
     """Each prefix goes unless nothing would be left."""
     start = trim(f"translate({x}, ' 　 ', '')")
-    step = gone("a", text.ROW_PREFIX)
+    step = gone("a", words.ROW_PREFIX)
     fold = ", ".join(["'.'"] * 12)  # more prefixes than any label of these data has
     return f"list_reduce([{start}, {fold}], lambda a, b: CASE WHEN {step} = '' THEN a ELSE {step} END)"
 
 
 def number(x: str) -> str:
-    return f"CASE WHEN regexp_matches({x}, {quoted(amounts.NUMBER)}) THEN TRY_CAST({x} AS DOUBLE) END"
+    return f"CASE WHEN regexp_matches({x}, {quoted(words.NUMBER)}) THEN TRY_CAST({x} AS DOUBLE) END"
 
 
 def account_amount(x: str) -> str:
@@ -68,10 +68,10 @@ def note_amount(x: str) -> str:
 
 def unit(x: str) -> str:
     def value(pattern: str) -> str:
-        token = f"upper({gone(f'regexp_extract({x}, {quoted(pattern)}, 1)', f'{text.WS}+')})"
-        return f"CASE {token} WHEN 'KRW' THEN 1 " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in units.UNITS.items()) + " END"
+        token = f"upper({gone(f'regexp_extract({x}, {quoted(pattern)}, 1)', f'{words.WS}+')})"
+        return f"CASE {token} WHEN 'KRW' THEN 1 " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in words.UNITS.items()) + " END"
 
-    return f"coalesce({value(units.STRICT)}, {value(units.LOOSE)})"
+    return f"coalesce({value(words.STRICT)}, {value(words.LOOSE)})"
 
 
 def contains_any(x: str, words) -> str:
@@ -79,7 +79,7 @@ def contains_any(x: str, words) -> str:
 
 
 CATALOGUE = "cat(item, name, statement, want, keywords, excluded, negated, item_no) AS (VALUES " + ", ".join(
-    f"({quoted(i)}, {quoted(n)}, {quoted(s)}, {quoted(a) if a else 'NULL'}, {listed(k)}, {listed(x)}::VARCHAR[], {listed(g)}::VARCHAR[], {no})" for no, (i, n, s, a, k, x, g) in enumerate(catalog.ITEMS, 1)
+    f"({quoted(i)}, {quoted(n)}, {quoted(s)}, {quoted(a) if a else 'NULL'}, {listed(k)}, {listed(x)}::VARCHAR[], {listed(g)}::VARCHAR[], {no})" for no, (i, n, s, a, k, x, g) in enumerate(words.ITEMS, 1)
 ) + ")"
 
 EXTRACT = f"""
@@ -95,7 +95,7 @@ parsed AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY corp, year, item ORDER BY stage, pos, kw) AS n FROM cand) WHERE n = 1
 )"""
 
-WIDE = "wide AS (SELECT corp, year, " + ", ".join(f"max(amount) FILTER (WHERE item = '{i}') AS {i}" for i in catalog.NAMES) + " FROM found GROUP BY corp, year)"
+WIDE = "wide AS (SELECT corp, year, " + ", ".join(f"max(amount) FILTER (WHERE item = '{i}') AS {i}" for i in words.NAMES) + " FROM found GROUP BY corp, year)"
 
 #: Depreciation relation of the merge query: every second company has one, some of them combined.
 DEPRECIATION = "dep AS (SELECT corp, year, CAST(qty + 1 AS DOUBLE) AS d, CAST(CASE WHEN k < 3 THEN -tax END AS DOUBLE) AS r, CAST(tax + 2 AS DOUBLE) AS a, k = 1 AS combined FROM facts WHERE k < 4)"
@@ -145,8 +145,8 @@ SQL = {
     "account_extract": f"WITH {ACCOUNTS}, {CATALOGUE}, {EXTRACT} SELECT corp, year, item, amount AS value, CASE stage WHEN 1 THEN 'account_id' ELSE 'account_nm' END AS method, keyword, CASE WHEN stage = 2 OR currency <> 'KRW' THEN 'low_confidence' ELSE 'verified' END AS confidence FROM found",
     "depreciation_merge": f"{RESULTS} SELECT corp, year, cogs, depr, rou, amort, CASE WHEN combined THEN '감가상각비란에 ''감가상각비 및 무형자산상각비'' 합산액 기입 (원본에서 분리 불가)' END AS remarks FROM merged",
     "identity_checks": f"{RESULTS} SELECT corp, year, p1 AS balance_passed, p2 AS gross_passed, p3 AS operating_passed, CASE WHEN NOT skip1 THEN d1 END AS balance_diff, CASE WHEN NOT skip2 THEN d2 END AS gross_diff, is_valid, array_to_string(flags, ' / ') AS flags FROM flagged",
-    "summary_report": f"{RESULTS} SELECT corp, year, " + ", ".join(f"{eok(i)} AS {i}" for i in catalog.NAMES) + f", {eok('(' + EBITDA + ')')} AS ebitda, CASE WHEN is_valid THEN '✓ 통과' ELSE '✗ 검증실패' END AS status, CASE WHEN len(flags) = 0 THEN '실패한 검증은 없습니다.' ELSE array_to_string(flags, ' | ') END AS detail FROM flagged",
-    "run_metrics": f"{RESULTS} SELECT count(*) AS n_total, CAST(sum(" + " + ".join(f"CAST({i} IS NOT NULL AS INT)" for i in catalog.NAMES) + ") AS BIGINT) AS n_items, count(*) FILTER (WHERE is_valid) AS n_valid, count(*) FILTER (WHERE NOT is_valid) AS n_invalid FROM flagged",
+    "summary_report": f"{RESULTS} SELECT corp, year, " + ", ".join(f"{eok(i)} AS {i}" for i in words.NAMES) + f", {eok('(' + EBITDA + ')')} AS ebitda, CASE WHEN is_valid THEN '✓ 통과' ELSE '✗ 검증실패' END AS status, CASE WHEN len(flags) = 0 THEN '실패한 검증은 없습니다.' ELSE array_to_string(flags, ' | ') END AS detail FROM flagged",
+    "run_metrics": f"{RESULTS} SELECT count(*) AS n_total, CAST(sum(" + " + ".join(f"CAST({i} IS NOT NULL AS INT)" for i in words.NAMES) + ") AS BIGINT) AS n_items, count(*) FILTER (WHERE is_valid) AS n_valid, count(*) FILTER (WHERE NOT is_valid) AS n_invalid FROM flagged",
     "company_pivot": f"WITH {ACCOUNTS}, {CATALOGUE}, {EXTRACT} SELECT corp, item, " + ", ".join(f'max(amount) FILTER (WHERE year = {y}) AS "{y}"' for y in range(1995, 2002)) + " FROM found GROUP BY corp, item",
     "fs_div_infer": f"""WITH {ACCOUNTS}, d AS (SELECT corp, year, upper(trim(fs_div)) AS div, count(*) AS n, min(pos) AS first FROM acct GROUP BY ALL),
       b AS (SELECT corp, year, div FROM (SELECT *, row_number() OVER (PARTITION BY corp, year ORDER BY n DESC, first) AS r FROM d WHERE div IN ('CFS', 'OFS')) WHERE r = 1),
@@ -227,3 +227,8 @@ _N = lambda x: f"format('{{:,}}', {x})"
 SQL["html_tables"] = f"""WITH facts AS ({adapter.FACTS}) SELECT corp || '~' || year AS doc_id, r.t AS table_no, r.n AS row_no, r.c AS cells FROM (SELECT corp, year, unnest([{{'t': 1, 'n': 0, 'c': '상호|' || replace(corp, '#', ' ')}}, {{'t': 2, 'n': 0, 'c': '과목|금액|금액'}}, {{'t': 2, 'n': 1, 'c': '과목|당기|전기'}},
   {{'t': 2, 'n': 2, 'c': '자산 총계|' || {_N('qty * 3')} || '|-'}}, {{'t': 2, 'n': 3, 'c': 'Ⅱ.부채총계|' || {_N('qty')} || '|-'}}, {{'t': 2, 'n': 4, 'c': '결손금|(' || {_N('tax')} || ')|-'}}, {{'t': 2, 'n': 5, 'c': '주석|주석|주석'}}]) AS r FROM facts)"""
 SQL["html_items"] = f"""WITH facts AS ({adapter.FACTS}) SELECT corp || '~' || year AS doc_id, r.i AS item, CAST(r.v AS DOUBLE) AS value FROM (SELECT corp, year, unnest([{{'i': 'assets', 'v': qty * 3000}}, {{'i': 'liabilities', 'v': qty * 1000}}, {{'i': 'retained', 'v': -tax * 1000}}]) AS r FROM facts)"""
+SQL["word_items"] = SQL["account_extract"].replace(ACCOUNTS, f"facts AS ({adapter.words_sql(duck=True)}), acct AS ({adapter.accounts_sql(True, adapter.WORD_ACCOUNTS)})")
+_SHOWN = ", ".join(f"{eok(f'CASE WHEN ok THEN {i} END')} AS {i}" for i in words.NAMES)
+SQL["summary_states"] = f"""{RESULTS}, st AS (SELECT corp, year, ['ok', 'no_corp', 'ambiguous_corp', 'no_report', 'error', 'ok'][(k + year) % 6 + 1] AS state FROM facts), so AS (SELECT *, state = 'ok' AS ok FROM st)
+  SELECT so.corp, so.year, {_SHOWN}, {eok('CASE WHEN ok THEN ' + EBITDA + ' END')} AS ebitda, CASE WHEN NOT ok THEN '이유: ' || state WHEN is_valid THEN '✓ 통과' ELSE '✗ 검증실패' END AS status,
+    CASE WHEN NOT ok THEN '이유: ' || state WHEN len(flags) = 0 THEN '실패한 검증은 없습니다.' ELSE array_to_string(flags, ' | ') END AS detail FROM so JOIN flagged USING (corp, year)"""

@@ -27,9 +27,9 @@ def account_extract(spark: SparkSession, sf: str) -> DataFrame:
     return _items(spark, sf)
 
 
-def _merged(spark: SparkSession, sf: str) -> DataFrame:
+def _merged(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
     """Items of every company and year with depreciation laid over them and costs positive."""
-    facts = adapter.facts(spark, sf)
+    facts = adapter.facts(spark, sf) if facts is None else facts
     wide = results.wide(_items(spark, sf, facts), KEYS)
     d = facts.where("k < 4").selectExpr("corp", "year", "double(qty + 1) AS depr", "double(CASE WHEN k < 3 THEN -tax END) AS rou", "double(tax + 2) AS amort", "k = 1 AS combined")
     return results.positive_costs(results.overlay(wide, d, KEYS)).withColumn("ebitda", results.ebitda())
@@ -52,6 +52,15 @@ def summary_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.summary(results.validated(_merged(spark, sf)), KEYS)
 
 
+def summary_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of a run in which some companies were not found, not unique, without a report or failed."""
+    facts = adapter.facts(spark, sf)
+    state = F.element_at(F.array(*map(F.lit, ("ok", "no_corp", "ambiguous_corp", "no_report", "error", "ok"))), (F.col("k") + F.col("year")) % 6 + 1)
+    asked = facts.select(*KEYS, state.alias("state"), F.when(state == "ok", "").otherwise(F.concat(F.lit("이유: "), state)).alias("message"))
+    done = results.validated(_merged(spark, sf, facts)).join(asked.where("state = 'ok'").select(*KEYS), KEYS, "left_semi")
+    return report.summary(asked.join(done, KEYS, "left"), KEYS)
+
+
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return report.metrics(results.validated(_merged(spark, sf)))
 
@@ -221,8 +230,12 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return adapter.nodes(spark, sf, adapter.facts(spark, sf))
 
 
+def _sections(nodes: DataFrame) -> DataFrame:
+    return documents.sections(nodes).select(*KEYS, "pos", "section", documents.classify(F.col("rows")).alias("by_labels"))
+
+
 def section_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.sections(_nodes(spark, sf)).select(*KEYS, "pos", "section", documents.classify(F.col("rows")).alias("by_labels"))
+    return _sections(_nodes(spark, sf))
 
 
 def scope_infer(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,11 +278,14 @@ def html_items(spark: SparkSession, sf: str) -> DataFrame:
     return html.items(html.tables(adapter.pages(spark, sf)), catalog.items(spark))
 
 
-def cf_tables(spark: SparkSession, sf: str) -> DataFrame:
-    n = _nodes(spark, sf)
+def _cash_flow(n: DataFrame) -> DataFrame:
     return depreciation.cash_flow_tables(n, documents.division(n), strict=True).select(*KEYS, "pos", "matched")
 
 
+def cf_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return _cash_flow(_nodes(spark, sf))
+
+
 def cf_buckets(spark: SparkSession, sf: str) -> DataFrame:
     n = _nodes(spark, sf)
     return depreciation.cash_flow_buckets(documents.with_units(depreciation.cash_flow_tables(n, documents.division(n), strict=True)))
@@ -361,10 +377,45 @@ def notes_text_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return depreciation.selection_text(documents.with_units(_candidates(spark, sf)))
 
 
+def _signals(nodes: DataFrame) -> DataFrame:
+    s = depreciation.signals(F.col("rows"))
+    return nodes.where("kind = 'table'").select(*KEYS, "pos", *(s[c].alias(c) for c in ("exact", "amort", "combined", "pair")))
+
+
 def depreciation_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Of every table what it says of depreciation."""
-    s = depreciation.signals(F.col("rows"))
-    return adapter.nodes(spark, sf).where("kind = 'table'").select(*KEYS, "pos", *(s[c].alias(c) for c in ("exact", "amort", "combined", "pair")))
+    return _signals(adapter.nodes(spark, sf))
+
+
+def word_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The item rules over every account id, keyword and excluding word; as the next ones, so that each word of each list is met."""
+    return accounts.extract(adapter.word_accounts(spark, sf), catalog.items(spark))
+
+
+def word_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return _sections(adapter.word_nodes(spark, sf))
+
+
+def word_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.division(adapter.word_nodes(spark, sf))
+
+
+def word_cash_flow(spark: SparkSession, sf: str) -> DataFrame:
+    return _cash_flow(adapter.word_nodes(spark, sf))
+
+
+def word_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    n = adapter.word_nodes(spark, sf)
+    return depreciation.notes_candidates(n, documents.division(n), strict=True).select(*KEYS, "pos", "table_no")
+
+
+def word_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return _signals(adapter.word_nodes(spark, sf))
+
+
+def word_doc_items(spark: SparkSession, sf: str) -> DataFrame:
+    t = documents.with_units(documents.statement_tables(adapter.word_nodes(spark, sf)))
+    return documents.extract(t, catalog.items(spark)).select(*KEYS, "item", "value", "confidence", "unit")
 
 
 def separate_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -395,10 +446,10 @@ def status_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ebitda, account_extract, depreciation_merge, identity_checks, summary_report, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
+    ebitda, account_extract, depreciation_merge, identity_checks, summary_report, summary_states, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
     amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window, call_waits, newest_corrections, registry_as_of,
     section_assign, scope_infer, current_column, doc_extract, archived_extract, html_tables, html_items, cf_tables, cf_buckets, archived_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
-    depreciation_signals, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines, item_details, final_details,
+    depreciation_signals, word_items, word_sections, word_scopes, word_cash_flow, word_candidates, word_signals, word_doc_items, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines, item_details, final_details,
 )}
 ORACLES = oracle.SQL | oracle_docs.SQL | oracle_analysis.SQL
 ORACLES |= {"archived_extract": ORACLES["doc_extract"], "archived_buckets": ORACLES["cf_buckets"]}

@@ -10,6 +10,7 @@ import sys
 import duckdb
 import pytest
 
+from finstmt.functions import catalog
 from finstmt.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +42,16 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(names) == sorted(df.columns) and mine == theirs and mine
 
 
+@pytest.mark.parametrize(("words", "at", "name"), [("SCOPE_TITLES", 3, "word_scopes"), ("EXACT_DEPR", 1, "word_signals"), ("PARTIAL_TITLES", 5, "word_candidates"), ("STATEMENT_ROOTS", 9, "word_cash_flow"), ("BS_WORDS", 4, "word_sections")])
+def test_a_wrong_word_shows(spark, duck, monkeypatch, words, at, name):
+    """The SQL has words of its own."""
+    wrong = list(getattr(catalog, words))
+    wrong[at] += "가"
+    monkeypatch.setattr(catalog, words, wrong)
+    with pytest.raises(AssertionError):
+        test_query_equals_its_sql(spark, duck, name)
+
+
 def test_entry_works_without_the_optional_parts(tmp_path):
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     os.makedirs(tmp_path / "finstmt")
