@@ -232,3 +232,18 @@ _SHOWN = ", ".join(f"{eok(f'CASE WHEN ok THEN {i} END')} AS {i}" for i in words.
 SQL["summary_states"] = f"""{RESULTS}, st AS (SELECT corp, year, ['ok', 'no_corp', 'ambiguous_corp', 'no_report', 'error', 'ok'][(k + year) % 6 + 1] AS state FROM facts), so AS (SELECT *, state = 'ok' AS ok FROM st)
   SELECT so.corp, so.year, {_SHOWN}, {eok('CASE WHEN ok THEN ' + EBITDA + ' END')} AS ebitda, CASE WHEN NOT ok THEN '이유: ' || state WHEN is_valid THEN '✓ 통과' ELSE '✗ 검증실패' END AS status,
     CASE WHEN NOT ok THEN '이유: ' || state WHEN len(flags) = 0 THEN '실패한 검증은 없습니다.' ELSE array_to_string(flags, ' | ') END AS detail FROM so JOIN flagged USING (corp, year)"""
+SQL["text_functions"] = """WITH s AS (SELECT *, p_partkey % 6 AS n, CAST(p_size AS DOUBLE) AS z, round(CAST(p_retailprice AS DOUBLE)) AS p FROM part),
+  t AS (SELECT *, CASE n WHEN 0 THEN NULL WHEN 1 THEN p * 1e6 WHEN 2 THEN -p * 1e6 WHEN 3 THEN p ELSE z END AS a FROM s),
+  u AS (SELECT *, CASE n WHEN 4 THEN z * (1 + 1e-13) WHEN 5 THEN z + 0.01 ELSE a END AS b FROM t)
+  SELECT p_partkey, CASE WHEN a IS NULL THEN 'None' WHEN abs(a) >= 1e8 THEN format('{:,.1f}', a / 1e8) || '억' ELSE format('{:,.0f}', a) END AS short,
+    CASE WHEN a IS NULL OR b IS NULL THEN a IS NULL AND b IS NULL ELSE abs(a - b) <= greatest(1, abs(a), abs(b)) * 1e-12 END AS same,
+    CASE n WHEN 0 THEN 'trace' ELSE regexp_replace(p_name, '[ /:*?"<>|]+', '_', 'g') || '_' || regexp_replace(p_brand, '[ /:*?"<>|]+', '_', 'g') END AS file_part, trim(p_name) || '|' || trim(p_brand) || '|' || p_size AS lines FROM u"""
+SQL["division_choice"] = """SELECT corp, year, request_no, fs_div, answer FROM (SELECT o_custkey AS corp, CAST(year(o_orderdate) AS INT) AS year, o_orderkey AS request_no, CASE WHEN o_orderkey % 3 = 0 THEN 'CFS' ELSE 'OFS' END AS fs_div, o_orderpriority AS answer,
+  row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey % 3 <> 0, o_orderkey DESC) AS n FROM orders) WHERE n = 1"""
+SQL["candidate_info"] = """WITH r AS (SELECT 'N' || (c_nationkey % 7) || '-' || (c_custkey % 50) AS corp_name, c_custkey FROM customer)
+  SELECT corp_name, 'C' || c.c_custkey AS corp_code, CASE WHEN c.c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS induty_code, CASE WHEN c.c_custkey % 6 = 0 THEN c_name ELSE '' END AS ceo_nm, 'C' || min(c.c_custkey) OVER (PARTITION BY corp_name) AS first_code FROM r JOIN customer c USING (c_custkey)"""
+SQL["landed_accounts"] = SQL["account_extract"].replace(ACCOUNTS, f"facts AS ({adapter.FACTS}), all_of AS ({adapter.accounts_sql(duck=True)}), acct AS (SELECT a.* FROM all_of a JOIN facts USING (corp, year) WHERE k <> 2)")
+SQL["landed_registry"] = """SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS corp_code, s_name || ' & <x>' AS corp_name, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS stock_code, '20240101' AS modify_date,
+  CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0 THEN 'Y' ELSE '' END AS corp_cls, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0 THEN s_name ELSE '' END AS ceo_nm FROM supplier"""
+SQL["landed_filings"] = """SELECT corp, kind, CAST(n - 1 AS INT) AS pos, rcept_no, report_nm, rcept_dt FROM (SELECT 'C' || o_custkey AS corp, o_orderpriority AS kind, 'R' || o_orderkey AS rcept_no, o_orderstatus AS report_nm, strftime(o_orderdate, '%Y%m%d') AS rcept_dt,
+  row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n <= 2"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, catalog, text, units
 from ..operators import accounts, analysis, calls, compare, depreciation, details, documents, report, resolve, results, trace
-from ..sources import html, registry
+from ..sources import html, landed, registry
 from ..sources.settled import new_folder, settle
 from ..streaming import snapshot
 from . import adapter, oracle, oracle_analysis, oracle_docs
@@ -136,6 +136,67 @@ def row_label_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("p_partkey", text.row_label(F.col("x")).alias("label"))
 
 
+def text_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Short amounts, parts of file names, lines of an input field, and whether two numbers are the same."""
+    n, size = F.col("p_partkey") % 6, F.col("p_size").cast("double")
+    price = F.col("p_retailprice").cast("double")
+    amount = F.when(n == 0, None).when(n == 1, F.round(price) * 1e6).when(n == 2, -F.round(price) * 1e6).when(n == 3, F.round(price)).otherwise(size)
+    near = F.when(n == 4, size * (1 + 1e-13)).when(n == 5, size + 0.01).otherwise(amount)
+    name = F.concat(F.lit("._"), "p_name", F.lit(' /: *?"<>|'), "p_brand", F.lit("\t.."))
+    field = F.concat(F.lit(" "), "p_name", F.lit("\r\n\n  "), "p_brand", F.lit("　\r"), F.col("p_size").cast("string"), F.lit("\n "))
+    s = adapter.table(spark, sf, "part").select("p_partkey", amount.alias("a"), near.alias("b"), F.when(n == 0, "..").otherwise(name).alias("name"), field.alias("field"))
+    return s.select("p_partkey", amounts.short(F.col("a")).alias("short"), amounts.same(F.col("a"), F.col("b")).alias("same"), text.filename_part(F.col("name")).alias("file_part"), F.array_join(text.name_lines(F.col("field")), "|").alias("lines"))
+
+
+def division_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the answers to each customer and year's requests, the later of a division, and the consolidated one before the other."""
+    o = adapter.table(spark, sf, "orders")
+    answer = o.select(F.col("o_custkey").alias("corp"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("request_no"), F.when(F.col("o_orderkey") % 3 == 0, "CFS").otherwise("OFS").alias("fs_div"), F.col("o_orderpriority").alias("answer"))
+    return accounts.choose_division(answer)
+
+
+def candidate_info(spark: SparkSession, sf: str) -> DataFrame:
+    """Namesakes with their company details, where there are any, and the code that the name alone gives."""
+    c = adapter.table(spark, sf, "customer")
+    reg = c.select(F.concat(F.lit("N"), F.col("c_nationkey") % 7, F.lit("-"), F.col("c_custkey") % 50).alias("corp_name"), F.concat(F.lit("C"), "c_custkey").alias("corp_code"), F.col("c_custkey").alias("pos"))
+    info = c.where("c_custkey % 3 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("corp_code"), F.col("c_mktsegment").alias("induty_code"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("ceo_nm"))
+    told = resolve.with_company_info(reg, info)
+    code = resolve.first_code(reg.select(F.col("corp_name").alias("name")).distinct(), reg).withColumnsRenamed({"name": "corp_name", "corp_code": "first_code"})
+    return told.join(code, "corp_name").select("corp_name", "corp_code", "induty_code", "ceo_nm", "first_code")
+
+
+def landed_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """account_extract of responses that were landed as JSON; those of one variant failed and have no rows."""
+    root = new_folder(spark, "landed-accounts")
+    facts = adapter.facts(spark, sf)
+    rows = adapter.accounts(spark, sf, facts).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("pos", "account_id", "account_nm", "sj_div", "fs_div", "thstrm_amount", "currency"))).alias("list"))
+    status = F.when(F.col("k") == 2, "013").otherwise("000")
+    rows.join(facts.select(*KEYS, status.alias("status")), KEYS).select("status", *KEYS, "list").write.json(root)
+    return accounts.extract(landed.account_rows(spark, root, lines=True), catalog.items(spark))
+
+
+def landed_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """A registry landed as XML, with details of some companies landed as JSON."""
+    root = new_folder(spark, "landed-registry")
+    s = adapter.table(spark, sf, "supplier")
+    code = F.lpad(F.col("s_suppkey").cast("string"), 8, "0")
+    row = s.select(code.alias("corp_code"), F.concat(F.lit(" "), "s_name", F.lit(" & <x> ")).alias("corp_name"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey").cast("string")).alias("stock_code"), F.lit("20240101").alias("modify_date"))
+    row.write.format("xml").option("rowTag", "list").option("rootTag", "result").save(f"{root}/registry")
+    status = F.when(F.col("s_suppkey") % 5 == 0, "013").otherwise("000")
+    s.where("s_suppkey % 3 = 0").select(status.alias("status"), code.alias("corp_code"), F.lit("Y").alias("corp_cls"), F.col("s_name").alias("ceo_nm")).write.json(f"{root}/info")
+    found = landed.registry(spark, f"{root}/registry").select("corp_code", "corp_name", "stock_code", "modify_date")
+    return resolve.with_company_info(found, landed.company_info(spark, f"{root}/info").select("corp_code", "corp_cls", "ceo_nm"))
+
+
+def landed_filings(spark: SparkSession, sf: str) -> DataFrame:
+    """Filings landed as JSON lists, and of each customer's the newest by place in its list."""
+    root = new_folder(spark, "landed-filings")
+    o = adapter.table(spark, sf, "orders")
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("o_orderkey")).alias("n"), F.concat(F.lit("R"), "o_orderkey").alias("rcept_no"), F.col("o_orderstatus").alias("report_nm"), F.date_format("o_orderdate", "yyyyMMdd").alias("rcept_dt"))))
+    o.groupBy(F.concat(F.lit("C"), "o_custkey").alias("corp"), F.col("o_orderpriority").alias("kind")).agg(listed.alias("list")).select(F.lit("000").alias("status"), "corp", "kind", "list").write.json(root)
+    return landed.filings(spark, root, lines=True).where("pos < 2").select("corp", "kind", "pos", "rcept_no", "report_nm", "rcept_dt")
+
+
 def unit_detect(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id") % 8
     x = F.when(n == 0, "(단위: 백만원)").when(n == 1, "금액 단위 ： [천 원]").when(n == 2, "단위는 미화 기준 억원").when(n == 3, "(단위:krw)").when(n == 4, "단위 원").when(n == 5, F.col("text")).when(n == 6, "단위: 달러").otherwise("백만원")
@@ -447,7 +508,7 @@ def status_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, summary_states, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
-    amount_parse, label_normalize, row_label_normalize, unit_detect, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window, call_waits, newest_corrections, registry_as_of,
+    amount_parse, label_normalize, row_label_normalize, unit_detect, text_functions, division_choice, candidate_info, landed_accounts, landed_registry, landed_filings, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window, call_waits, newest_corrections, registry_as_of,
     section_assign, scope_infer, current_column, doc_extract, archived_extract, html_tables, html_items, cf_tables, cf_buckets, archived_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
     depreciation_signals, word_items, word_sections, word_scopes, word_cash_flow, word_candidates, word_signals, word_doc_items, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines, item_details, final_details,
 )}

@@ -28,19 +28,20 @@ def fresh(spark: SparkSession, path: str, hours: int = 24) -> DataFrame:
     return spark.read.parquet(path).where(F.col("taken_at") > F.current_timestamp() - F.expr(f"interval {int(hours)} hours")).drop("taken_at")
 
 
-def _listed(spark: SparkSession, path: str, kind: str, keys: str) -> DataFrame:
-    rows = spark.read.schema(f"status string, {keys}, list array<struct<{', '.join(c.replace(' ', ':', 1) for c in kind.split(', '))}>>").option("multiLine", True).json(path)
+def _listed(spark: SparkSession, path: str, kind: str, keys: str, lines: bool) -> DataFrame:
+    """Rows of the lists of landed responses: a file each, or (``lines``) a line each, which many tasks can share."""
+    rows = spark.read.schema(f"status string, {keys}, list array<struct<{', '.join(c.replace(' ', ':', 1) for c in kind.split(', '))}>>").option("multiLine", not lines).json(path)
     names = [k.split()[0] for k in keys.split(", ")]
     return rows.where("coalesce(status, '000') = '000'").select(*names, F.posexplode("list").alias("pos", "r")).select(*names, "pos", "r.*")
 
 
-def account_rows(spark: SparkSession, path: str) -> DataFrame:
+def account_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Account rows in the order of their response; responses that are not 000 have none."""
-    return _listed(spark, path, ACCOUNT, "corp string, year int")
+    return _listed(spark, path, ACCOUNT, "corp string, year int", lines)
 
 
-def filings(spark: SparkSession, path: str) -> DataFrame:
-    return _listed(spark, path, FILING, "corp string, kind string")
+def filings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _listed(spark, path, FILING, "corp string, kind string", lines)
 
 
 def company_info(spark: SparkSession, path: str) -> DataFrame:
