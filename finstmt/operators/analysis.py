@@ -25,8 +25,8 @@ def _complete() -> Column:
 
 @dataclass
 class Stages:
-    """What the evaluation of depreciation found on its way, settled. ``documents``: keys, fs_div, scope, n_members of
-    every filing; ``again``: the same, with the scope of the merged members, of those that were evaluated once more."""
+    """What the evaluation of depreciation found on its way, settled if there is a second pass. ``documents``: keys, fs_div, scope of every
+    filing; ``again``: the same, with the scope of the merged members, of those that were evaluated once more."""
 
     documents: DataFrame
     cash_flow: DataFrame
@@ -46,10 +46,10 @@ class Stages:
         return cf, candidates
 
 
-def _evaluated(nodes: DataFrame, divisions: DataFrame, strict: bool, name: str) -> tuple[DataFrame, DataFrame]:
-    """Cash-flow buckets and the candidates of the notes, settled."""
+def _evaluated(nodes: DataFrame, divisions: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
+    """Cash-flow buckets and the candidates of the notes."""
     cf = depreciation.cash_flow_buckets(documents.with_units(depreciation.cash_flow_tables(nodes, divisions, strict)))
-    return settle(cf, f"{name}-cash-flow"), settle(documents.with_units(depreciation.notes_candidates(nodes, divisions, strict)), f"{name}-notes")
+    return cf, documents.with_units(depreciation.notes_candidates(nodes, divisions, strict))
 
 
 def stages(nodes: DataFrame, divisions: DataFrame, strict: bool, members: DataFrame | None = None) -> Stages:
@@ -59,14 +59,15 @@ def stages(nodes: DataFrame, divisions: DataFrame, strict: bool, members: DataFr
     The first pass is settled, so that the second is planned over, and reads, only the filings that failed. What a
     document's scope is, the second pass infers anew from all members.
     """
-    cf, candidates = _evaluated(nodes, divisions.select(*KEYS, "fs_div", "scope"), strict, "first")
+    cf, candidates = _evaluated(nodes, divisions.select(*KEYS, "fs_div", "scope"), strict)
     if members is None:
-        return Stages(divisions.select(*KEYS, "fs_div", "scope", F.lit(1).alias("n_members")), cf, candidates)
+        return Stages(divisions.select(*KEYS, "fs_div", "scope"), cf, candidates)
+    cf, candidates = settle(cf, "first-cash-flow"), settle(candidates, "first-notes")
     found = cf.where(_some()).select(*KEYS).union(candidates.select(*KEYS)).distinct()
     left = settle(members.join(found, KEYS, "left_anti").select(*nodes.columns), "again-nodes")
     again = divisions.select(*KEYS, "fs_div").join(documents.division(left).select(*KEYS, "scope"), KEYS)
     again = settle(again, "again-scope")
-    return Stages(divisions.select(*KEYS, "fs_div", "scope"), cf, candidates, again, *_evaluated(left, again, strict, "again"))
+    return Stages(divisions.select(*KEYS, "fs_div", "scope"), cf, candidates, again, *(settle(d, f"again-{n}") for n, d in zip(("cash-flow", "notes"), _evaluated(left, again, strict), strict=True)))
 
 
 def depreciation_of(nodes: DataFrame, divisions: DataFrame, strict: bool, selection: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:

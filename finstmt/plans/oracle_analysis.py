@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import adapter
-from .oracle import ACCOUNTS, CATALOGUE, COMPARED, cell_amount, gone, label, trim
+from .oracle import ACCOUNTS, CATALOGUE, CHECKED, COMPARED, EBITDA, EXTRACT, MERGED, WIDE, cell_amount, gone, label, trim
 from .oracle_docs import _NUMBERS, _SAYS, BUCKETS, DIVISION, NODES, NOTES, ROWS, SECTIONS, UNITS, current
 from .oracle_docs import SQL as DOCS
 
@@ -101,3 +101,19 @@ SELECT corp, year, item, CASE WHEN same THEN value ELSE final END AS value, CASE
   CASE WHEN same THEN flags WHEN final IS NULL THEN 'final_value_removed_by_ai_comparison' ELSE 'ai_numeric_without_source' END AS flags, CASE WHEN same THEN 'dart_api' ELSE 'ai_comparison' END AS source_type,
   {', '.join(f'CASE WHEN same THEN {c} END AS {c}' for c in ('fs_div', 'statement', 'account_id', 'account_nm', 'currency', 'column_id'))}, CASE WHEN NOT same THEN 'adjudicated' END AS ai_source,
   CASE WHEN NOT same AND final IS NOT NULL THEN {_SAID} END AS disagreement, corp || '-' || year AS rcept_no, '사업보고서' AS report_nm, 'A' AS path, 'annual' AS report_type FROM j"""
+
+#: Reports of audits look at all cash-flow tables.
+_LOOSE = BUCKETS.replace("WHERE matched OR NOT any_own)", "WHERE matched OR NOT any_own OR (corp, year) IN (SELECT (corp, year) FROM facts WHERE k > 2))")
+_DIVISION = f"""{DIVISION.replace('division AS (', 'told AS (')}, division AS (SELECT corp, year, CASE WHEN k IN (0, 3) THEN 'CFS' WHEN k IN (1, 4) THEN 'OFS' ELSE fs_div END AS fs_div, scope FROM told JOIN facts USING (corp, year))"""
+SQL["analysis_run"] = f"""WITH {ACCOUNTS}, node AS ({adapter.nodes_sql(duck=True)}), {CATALOGUE}, {EXTRACT.replace('), found AS (', '), of_rows AS (')}, of_docs AS ({DOCS['doc_extract']}),
+found AS (SELECT corp, year, item, amount FROM of_rows JOIN facts USING (corp, year) WHERE k <> 2 AND k < 3 UNION ALL SELECT corp, year, item, value FROM of_docs JOIN facts USING (corp, year) WHERE k >= 2), {WIDE},
+divided AS MATERIALIZED (WITH {_DIVISION} SELECT * FROM division), buckets AS MATERIALIZED (WITH {_DIVISION}, {_LOOSE} SELECT * FROM bucket),
+dep AS (SELECT corp, year, depr AS d, rou AS r, amort AS a, combined FROM buckets WHERE coalesce(depr, rou, amort) IS NOT NULL), {MERGED}, {CHECKED},
+filed AS (SELECT corp, year, k FROM facts JOIN supplier ON s_name = corp WHERE (qty // 10000 + year) % 11 <> 0 AND s_suppkey % 10 <> 3),
+grid AS (SELECT name, y.year, st FROM (SELECT s_name AS name, CASE WHEN s_suppkey % 10 = 3 THEN 'ambiguous_corp' ELSE 'ok' END AS st FROM supplier UNION ALL SELECT 'nobody', 'no_corp') n, (SELECT DISTINCT year FROM facts) y)
+SELECT g.name, g.year, CASE WHEN st <> 'ok' THEN st WHEN r.k IS NULL THEN 'no_report' WHEN f.is_valid IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN r.k < 3 THEN 'A' WHEN r.k >= 3 THEN 'B' END AS path, CASE WHEN r.k IS NOT NULL THEN fs_div END AS fs_div,
+  CASE WHEN r.k IS NOT NULL THEN revenue END AS revenue, CASE WHEN r.k IS NOT NULL THEN op_income END AS op_income, CASE WHEN r.k IS NOT NULL THEN f.depr END AS depr, CASE WHEN r.k IS NOT NULL THEN f.rou END AS rou, CASE WHEN r.k IS NOT NULL THEN f.amort END AS amort,
+  CASE WHEN r.k IS NOT NULL THEN {EBITDA.replace('depr', 'f.depr').replace('rou', 'f.rou').replace('amort', 'f.amort')} END AS ebitda, CASE WHEN r.k IS NOT NULL THEN is_valid END AS is_valid, CASE WHEN r.k IS NOT NULL THEN array_to_string(flags, ' / ') END AS flags,
+  CASE WHEN r.k IS NULL THEN NULL WHEN f.combined THEN '감가상각비란에 ''감가상각비 및 무형자산상각비'' 합산액 기입 (원본에서 분리 불가)' WHEN r.k = 2 THEN '사업보고서 본문 파싱으로 추출 (XBRL 미등록)' END AS remarks,
+  CASE WHEN r.k IS NOT NULL AND dep.d IS NOT NULL OR r.k IS NOT NULL AND dep.r IS NOT NULL OR r.k IS NOT NULL AND dep.a IS NOT NULL THEN 'cf' END AS depr_source
+FROM grid g LEFT JOIN filed r ON r.corp = name AND r.year = g.year LEFT JOIN divided v ON v.corp = name AND v.year = g.year LEFT JOIN flagged f ON f.corp = name AND f.year = g.year LEFT JOIN dep ON dep.corp = name AND dep.year = g.year"""

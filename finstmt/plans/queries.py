@@ -391,6 +391,22 @@ def depreciation_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*KEYS, *analysis.AMOUNTS, F.coalesce("combined", F.lit(False)).alias("combined"), F.coalesce("source", F.lit("error")).alias("source"), F.when(done, 0).otherwise(F.coalesce("n", F.lit(0))).alias("n_candidates"), F.coalesce("again", F.lit(False)).alias("again"))
 
 
+def analysis_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything in one run: names to companies, years to reports, rows or documents to items, depreciation, checks. Of the
+    companies some have a namesake, some filings are missing, those of one variant have no account rows, and those of
+    two are audit reports."""
+    facts = adapter.facts(spark, sf)
+    s = adapter.table(spark, sf, "supplier").select(F.col("s_name").alias("corp_name"), F.col("s_suppkey").alias("pos"))
+    registry = s.select(F.col("corp_name").alias("corp_code"), "corp_name", "pos").unionByName(s.where("pos % 10 = 3").select(F.concat(F.lit("D"), "pos").alias("corp_code"), "corp_name", (F.col("pos") + 100000000).alias("pos")))
+    names = s.select(F.col("corp_name").alias("name")).unionByName(spark.createDataFrame([("nobody",)], "name string"))
+    kind = F.when(F.col("k") == 3, "F002").when(F.col("k") == 4, "F001").otherwise("A001")
+    title = F.concat(F.lit("보고서 ("), "year", F.lit(".12)"))
+    filed = facts.where("(qty DIV 10000 + year) % 11 <> 0").select("corp", kind.alias("kind"), F.concat("corp", F.lit("-"), "year").alias("rcept_no"), title.alias("report_nm"), F.concat(F.col("year") + 1, F.lit("0331")).alias("rcept_dt"), F.col("year").alias("pos"))
+    with_rows = adapter.accounts(spark, sf, facts.where("k <> 2"))
+    out = analysis.analyze(names, facts.select("year").distinct(), registry, filed, with_rows, adapter.nodes(spark, sf, facts), catalog.items(spark))
+    return out.select("name", "year", "status", "path", "fs_div", "revenue", "op_income", *analysis.AMOUNTS, "ebitda", "is_valid", F.array_join("flags", " / ").alias("flags"), "remarks", "depr_source")
+
+
 def trace_lines(spark: SparkSession, sf: str) -> DataFrame:
     """What the evaluation of every filing's depreciation did, line by line."""
     facts = adapter.facts(spark, sf)
@@ -510,7 +526,7 @@ QUERIES = {f.__name__: f for f in (
     ebitda, account_extract, depreciation_merge, identity_checks, summary_report, summary_states, run_metrics, company_pivot, fs_div_infer, ai_text_bundle, ai_compare, ai_outcome, golden_diff,
     amount_parse, label_normalize, row_label_normalize, unit_detect, text_functions, division_choice, candidate_info, landed_accounts, landed_registry, landed_filings, registry_search, corp_year_grid, report_choice, semi_anti, ordered_distinct, rate_window, call_waits, newest_corrections, registry_as_of,
     section_assign, scope_infer, current_column, doc_extract, archived_extract, html_tables, html_items, cf_tables, cf_buckets, archived_buckets, notes_candidates, position_verify, doc_text_bundle, notes_text_bundle,
-    depreciation_signals, word_items, word_sections, word_scopes, word_cash_flow, word_candidates, word_signals, word_doc_items, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, trace_lines, item_details, final_details,
+    depreciation_signals, word_items, word_sections, word_scopes, word_cash_flow, word_candidates, word_signals, word_doc_items, separate_pairs, disagreement_texts, reply_values, status_texts, depreciation_analysis, analysis_run, trace_lines, item_details, final_details,
 )}
 ORACLES = oracle.SQL | oracle_docs.SQL | oracle_analysis.SQL
 ORACLES |= {"archived_extract": ORACLES["doc_extract"], "archived_buckets": ORACLES["cf_buckets"]}
