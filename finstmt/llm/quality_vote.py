@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,28 @@ def shape(token: bytes) -> bytes:
     return token[:24]
 
 
+#: A byte that stands for all that shape() treats alike: upper case, lower case, what may be either, digits; \xc3 stays.
+_ALIKE = bytes(65 if 65 <= c <= 90 else c if c == 0xC3 else 0x80 if 0x80 <= c <= 0x9F else 97 if 97 <= c <= 122 or c >= 0xA0 else 57 if 48 <= c <= 57 else c for c in range(256))
+
+
 class _Terms(dict):
-    """(word term, shape term) of a token, remembered up to a bound."""
+    """(word term, shape term) of a token, remembered up to a bound; so are shapes, which many tokens share."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.shapes: dict[bytes, int] = {}
 
     def __missing__(self, token: bytes) -> tuple[int, int]:
         if len(self) > shared.REMEMBERED:
             self.clear()
         half = TERMS // 2
-        word = FIRST + xxhash.xxh32_intdigest(token.translate(shared.LOWER)) % (half - FIRST)
-        t = self[token] = (word, half + xxhash.xxh32_intdigest(shape(token)) % half)
+        alike = token.translate(_ALIKE)
+        of_shape = self.shapes.get(alike)
+        if of_shape is None:
+            if len(self.shapes) > shared.REMEMBERED:
+                self.shapes.clear()
+            of_shape = self.shapes[alike] = half + xxhash.xxh32_intdigest(shape(token)) % half
+        t = self[token] = (FIRST + xxhash.xxh32_intdigest(token.translate(shared.LOWER)) % (half - FIRST), of_shape)
         return t
 
 
@@ -60,13 +74,26 @@ def counted(texts: list[str | None], terms: _Terms) -> np.ndarray:
     for row, text in zip(out, texts, strict=True):
         ws = text.encode().split() if text else []
         if ws:
-            both = np.array([terms[w] for w in ws], np.int64)
-            row += np.bincount(both.ravel(), minlength=TERMS)
+            both = np.fromiter(chain.from_iterable(map(terms.__getitem__, ws)), np.int64, 2 * len(ws))
+            row += np.bincount(both, minlength=TERMS)
             row[AGAIN] = sum(map(bytes.__eq__, ws, ws[1:]))
             row[VARIETY + 10 * len(set(ws)) // len(ws)] = len(ws)
     return out
 
 
+def present(text: str | None, terms: _Terms) -> np.ndarray:
+    """The terms that counted() gives a text, each once: only its distinct tokens are looked up."""
+    ws = text.encode().split() if text else []
+    if not ws:
+        return np.zeros(0, np.int64)
+    distinct = set(ws)
+    there = set(chain.from_iterable(map(terms.__getitem__, distinct)))
+    there.add(VARIETY + 10 * len(distinct) // len(ws))
+    if len(distinct) < len(ws) and any(map(bytes.__eq__, ws, ws[1:])):
+        there.add(AGAIN)
+    return np.fromiter(there, np.int64, len(there))
+
+
 def _blocks(b: pa.RecordBatch, terms: _Terms) -> Iterator[tuple[int, np.ndarray]]:
     for i in range(0, b.num_rows, BLOCK):
         yield i, counted(b.column("text").slice(i, BLOCK).to_pylist(), terms)
@@ -75,9 +102,9 @@ def _blocks(b: pa.RecordBatch, terms: _Terms) -> Iterator[tuple[int, np.ndarray]
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms, df, n = _Terms(), np.zeros(TERMS, np.int64), 0
     for b in batches:
-        for _, x in _blocks(b, terms):
-            df += (x > 0).sum(axis=0)
-            n += len(x)
+        for text in b.column("text"):
+            df[present(text.as_py(), terms)] += 1
+        n += b.num_rows
     there = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array([-1, *there], pa.int64()), pa.array([n, *df[there]], pa.int64())], ["term", "n"])
 

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from finstmt.llm import decontaminate, labelled, license_scan, line_quality, near_dup, packing, pii, quality_vote, shared, token_rollup, tokens, toxicity, warc_store
@@ -881,6 +882,21 @@ def test_quality_query_against_brute_force(spark):
         assert out[i] == pytest.approx((weight * y[top]).sum() / weight.sum() if weight.sum() > 1e-9 else y.mean(), abs=5e-3), i
 
 
+def test_shapes_are_those_of_each_token():
+    r, terms = random.Random(2), quality_vote._Terms()
+    for _ in range(20_000):
+        token = "".join(r.choice("abZÉéß9x-Xñ.日ÖA0ā") for _ in range(r.randrange(1, 9))).encode()
+        half = quality_vote.TERMS // 2
+        assert terms[token][1] == half + xxhash.xxh32_intdigest(quality_vote.shape(token)) % half
+    assert len(terms.shapes) < 20_000
+
+
+def test_present_terms_are_those_with_a_count():
+    terms = quality_vote._Terms()
+    for text in [None, "", " \n", "one", "a a", "A b A c, 12 12 x9-é", prose(3, 400), prose(4, 30) + " end end"]:
+        assert sorted(quality_vote.present(text, terms)) == np.flatnonzero(quality_vote.counted([text], terms)[0]).tolist()
+
+
 def test_votes_are_exact():
     r = np.random.default_rng(2)
     m = quality_vote.Neighbours(np.ones(quality_vote.TERMS, np.float32), np.eye(quality_vote.TERMS, 8, dtype=np.float32), quality_vote._unit(r.random((60, 8))).astype(np.float32), r.integers(0, 2, 60).astype(float))
