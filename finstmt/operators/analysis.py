@@ -94,7 +94,9 @@ def analyze(names: DataFrame, years: DataFrame, registry: DataFrame, filings: Da
     whether depreciation comes from the cash flow, the notes or both.
     """
     grid = resolve.resolve(names, registry, overrides).crossJoin(F.broadcast(years)).withColumnRenamed("corp_code", "corp")
-    reports = resolve.choose_report(filings, grid.where("status = 'ok'").select(*KEYS).distinct()).withColumn("path", F.when(F.col("kind") == "A001", "A").otherwise("B"))
+    grid = settle(grid, "grid")  # what all branches below start from
+    reports = resolve.choose_report(filings, grid.where("status = 'ok'").select(*KEYS).distinct())
+    reports = settle(reports.withColumn("path", F.when(F.col("kind") == "A001", "A").otherwise("B")), "reports")
     typed = F.when(F.col("kind") == "F002", "audit_consol").when(F.col("kind") == "F001", "audit_separate")
     a_rows = rows.join(reports.where("path = 'A'").select(*KEYS), KEYS, "left_semi")
     by_rows = accounts.infer_division(a_rows).select(*KEYS, "fs_div")
