@@ -6,7 +6,7 @@
 
 Small archives share a partition up to ``splitBytes``; an archive that is larger is read by a partition for each of its
 members, found in its directory. Ranks (1: the largest file, ties by name) come from directories alone, and members are
-read one at a time, so a task holds one member, never an archive. ``maxBytes`` leaves out larger archives, broken ones
+read one at a time and handed on in batches of about 1 MB, so a task holds that or one member, never an archive. ``maxBytes`` leaves out larger archives, broken ones
 have no rows. Files are opened where the tasks run, so any file system that pyarrow knows by its URI will do.
 """
 
@@ -17,6 +17,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,6 +27,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 MEMBER = "rcept_no string, member string, size bigint, rank int, content binary"
 MOST_BYTES = 10 * 1024 * 1024
 SPLIT_BYTES = 8 * 1024 * 1024
+#: Bytes of members that go out in one batch; one that is larger goes alone.
+TOGETHER = 1024 * 1024
+#: Renames under way at once when archives are committed.
+MOVES = 16
 #: What reading a file that is no archive, or not all of one, raises; errors of the file system are not among them.
 BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, pa.ArrowInvalid)
 _ARROW = pa.schema([("rcept_no", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("rank", pa.int32()), ("content", pa.binary())])
@@ -73,6 +78,17 @@ class _Reader(DataSourceReader):
             return 0
 
     def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
+        held, rows = 0, []
+        for r in self._rows(partition):
+            rows.append(r)
+            held += len(r["content"])
+            if held >= TOGETHER:
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                held, rows = 0, []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    def _rows(self, partition: _Share) -> Iterator[dict]:
         where, _ = fs.FileSystem.from_uri(self.path)
         for path in partition.paths:
             key = path.rpartition("/")[2].removesuffix(".zip")
@@ -80,7 +96,7 @@ class _Reader(DataSourceReader):
                 with where.open_input_file(path) as f, zipfile.ZipFile(f) as z:
                     for rank, i in enumerate(_ranked(z), 1):
                         if partition.rank in (None, rank):
-                            yield pa.RecordBatch.from_pylist([{"rcept_no": key, "member": i.filename, "size": i.file_size, "rank": rank, "content": z.read(i)}], _ARROW)
+                            yield {"rcept_no": key, "member": i.filename, "size": i.file_size, "rank": rank, "content": z.read(i)}
             except BROKEN:
                 continue
 
@@ -114,8 +130,9 @@ class _Writer(DataSourceWriter):
         if len({to for _, to in files}) < len(files):
             self.abort(messages)
             raise ValueError("rows of one archive must come to one task, in a row: repartition by rcept_no and sort within partitions")
-        for name, to in files:
-            where.move(name, to)
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda f: where.move(*f), files):
+                pass
 
     def abort(self, messages: list[_Written | None]) -> None:
         where, _ = fs.FileSystem.from_uri(self.path)

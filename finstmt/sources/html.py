@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, text, units
 from . import shred
+from .settled import bounded
 
 MOST_BYTES = 10 * 1024 * 1024
 TABLE = "doc_id string, table_no int, rows array<array<string>>, prev_texts array<string>, parent_prev_texts array<string>, head_tr_texts array<string>"
@@ -45,16 +46,13 @@ def page_tables(content: bytes) -> list[dict]:
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts = pa.list_(pa.string())
     kinds = {"table_no": pa.int32(), "rows": pa.list_(texts), "prev_texts": texts, "parent_prev_texts": texts, "head_tr_texts": texts}
-    for b in batches:
-        for doc, content in zip(b.column("doc_id"), b.column("content"), strict=True):
-            found = page_tables(content.as_py() or b"")
-            yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(found), pa.string()), *(pa.array([t[k] for t in found], kind) for k, kind in kinds.items())], ["doc_id", *kinds])
+    return shred.in_rows(batches, page_tables, kinds)
 
 
 def tables(pages: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """TABLE rows of pages (doc_id string, content binary); larger pages are left out."""
     content = F.col("content").cast("binary")
-    return pages.select("doc_id", content.alias("content")).where(F.octet_length("content") <= most_bytes).mapInArrow(_tables, TABLE)
+    return bounded(pages.select("doc_id", content.alias("content")).where(F.octet_length("content") <= most_bytes)).mapInArrow(_tables, TABLE)
 
 
 def items(of: DataFrame, catalogue: DataFrame) -> DataFrame:
