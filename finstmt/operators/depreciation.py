@@ -64,13 +64,15 @@ def cash_flow_buckets(tables: DataFrame) -> DataFrame:
     label = F.col("label")
     kind = F.when(label.contains("누계"), None).when(label.contains("감가상각") & label.contains("무형자산상각"), "combined").when(text.contains_any(label, ["사용권자산상각", "사용권자산감가상각"]), "rou").when(label.contains("무형자산상각"), "amort").when(label.contains("감가상각"), "general")
     rows = labelled_rows(about).withColumn("kind", kind).where("kind is not null and value is not null").withColumn("at", F.struct("pos", "row_id"))
-    first = lambda k: f"min_by(value, at) FILTER (WHERE kind = '{k}')"
-    table_sums = rows.where("kind = 'general'").groupBy(*KEYS, "pos").agg(F.sum(F.col("value").cast("decimal(38,4)")).cast("double").alias("total"))
-    general = table_sums.groupBy(*KEYS).agg(F.min_by("total", "pos").alias("general"))
-    out = rows.groupBy(*KEYS).agg(F.expr(first("rou")).alias("rou"), F.expr(first("amort")).alias("amort"), F.expr(first("combined")).alias("both"), F.expr("min(at) FILTER (WHERE kind = 'combined')").alias("pc"), F.expr("min(at) FILTER (WHERE kind = 'general')").alias("pg"))
-    out = out.join(general, KEYS, "left")
-    combined = F.col("pc").isNotNull() & (F.col("pg").isNull() | (F.col("pc") < F.col("pg")))
-    return out.select(*KEYS, F.when(combined, F.col("both")).otherwise(F.col("general")).alias("depr"), "rou", "amort", combined.alias("combined"))
+    kinds = ("rou", "amort", "combined", "general")
+    # First by table, then by filing, so that rows are read once: (at, value) of each kind's first row, and a table's general sum.
+    first = [F.min(F.when(F.col("kind") == k, F.struct("at", "value"))).alias(k) for k in kinds]
+    total = F.sum(F.when(F.col("kind") == "general", F.col("value").cast("decimal(38,4)"))).cast("double").alias("total")
+    of_table = rows.groupBy(*KEYS, "pos").agg(*first, total)
+    out = of_table.groupBy(*KEYS).agg(*(F.min(k).alias(k) for k in kinds), F.expr("min_by(total, pos) FILTER (WHERE general IS NOT NULL)").alias("total"))
+    pc, pg = F.col("combined.at"), F.col("general.at")
+    combined = pc.isNotNull() & (pg.isNull() | (pc < pg))
+    return out.select(*KEYS, F.when(combined, F.col("combined.value")).otherwise(F.col("total")).alias("depr"), F.col("rou.value").alias("rou"), F.col("amort.value").alias("amort"), combined.alias("combined"))
 
 
 def signals(rows: Column) -> Column:
