@@ -150,6 +150,8 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n"
         total, keys = keyed.agg(F.coalesce(F.sum(n), F.lit(0)), F.count("*")).first()
         if keys <= MOST_HEAVY:
             return rows.join(F.broadcast(keyed), key, how)
+    elif total <= MOST_HEAVY:  # and so are the keys: one exchange in place of five, each of which costs the driver a thread for a minute
+        return rows.join(F.broadcast(keyed), key, how)
     limit = max(HEAVY, total // MOST_HEAVY)
     above = F.broadcast(keyed.where(F.col(n) > limit))
     light = rows.join(above.select(*key), key, "left_anti").join(keyed.where(F.col(n) <= limit), key, how)

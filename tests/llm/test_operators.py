@@ -908,3 +908,17 @@ def test_votes_are_exact():
         near = np.argsort(-sim)[: quality_vote.NEAREST]
         assert s == pytest.approx((sim[near] ** 4 * m.y[near]).sum() / (sim[near] ** 4).sum(), abs=1e-4)
     assert got[4] == pytest.approx(m.y.mean())
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_few_rows_are_joined_by_one_broadcast(spark, monkeypatch, how):
+    """Rounds of components on few links cost the driver one exchange a join, and give what the join in parts gives."""
+    rows = spark.createDataFrame([(i % 7, i) for i in range(40)], "k int, v int")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("m")).where("k < 5")
+    few = shared.join_counted(rows, keyed, ["k"], how=how, total=40)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Union" not in plan
+    want = sorted(map(tuple, few.collect()), key=repr)
+    monkeypatch.setattr(shared, "MOST_HEAVY", 10)
+    parts = shared.join_counted(rows, keyed, ["k"], how=how, total=40)
+    assert "Union" in parts._jdf.queryExecution().optimizedPlan().toString() and sorted(map(tuple, parts.collect()), key=repr) == want
