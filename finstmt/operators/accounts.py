@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import amounts, text
+from ..sources.settled import large
 
 KEYS = ["corp", "year"]
 SECTION = {"BS": "BS", "IS": "IS", "CIS": "IS", "CF": "CF", "SCE": "SCE"}
@@ -19,7 +20,7 @@ def infer_division(rows: DataFrame, requested: str = "CFS") -> DataFrame:
     most = counted.groupBy(*KEYS).agg(F.expr("min_by(div, struct(-n, first)) FILTER (WHERE div IS NOT NULL)").alias("fs_div"))
     other = F.upper(text.trim(F.coalesce("currency", F.lit("KRW"))))
     money = rows.withColumn("cur", F.when(~other.isin("KRW", ""), other)).groupBy(*KEYS).agg(F.expr("min_by(cur, pos) FILTER (WHERE cur IS NOT NULL)").alias("non_krw"))
-    return most.join(money, KEYS).select(*KEYS, F.coalesce("fs_div", F.lit(requested)).alias("fs_div"), "non_krw")
+    return most.join(large(money), KEYS).select(*KEYS, F.coalesce("fs_div", F.lit(requested)).alias("fs_div"), "non_krw")
 
 
 def choose_division(available: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.settled import settle
+from ..sources.settled import large, settle
 from . import accounts, depreciation, documents, resolve, results
 
 KEYS = ["corp", "year"]
@@ -42,14 +43,17 @@ class Stages:
         if self.again is not None:
             complete = self.cash_flow_again.where(_complete())
             cf = cf.unionByName(complete)
-            candidates = candidates.unionByName(self.candidates_again.join(complete.select(*KEYS), KEYS, "left_anti"))
+            candidates = candidates.unionByName(self.candidates_again.join(large(complete.select(*KEYS)), KEYS, "left_anti"))
         return cf, candidates
 
 
+def _cash_flow(nodes: DataFrame, divisions: DataFrame, strict: bool) -> DataFrame:
+    return depreciation.cash_flow_buckets(documents.with_units(depreciation.cash_flow_tables(nodes, divisions, strict)))
+
+
 def _evaluated(nodes: DataFrame, divisions: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
     """Cash-flow buckets and the candidates of the notes."""
-    cf = depreciation.cash_flow_buckets(documents.with_units(depreciation.cash_flow_tables(nodes, divisions, strict)))
-    return cf, documents.with_units(depreciation.notes_candidates(nodes, divisions, strict))
+    return _cash_flow(nodes, divisions, strict), documents.with_units(depreciation.notes_candidates(nodes, divisions, strict))
 
 
 def stages(nodes: DataFrame, divisions: DataFrame, strict: bool, members: DataFrame | None = None) -> Stages:
@@ -64,8 +68,8 @@ def stages(nodes: DataFrame, divisions: DataFrame, strict: bool, members: DataFr
         return Stages(divisions.select(*KEYS, "fs_div", "scope"), cf, candidates)
     cf, candidates = settle(cf, "first-cash-flow"), settle(candidates, "first-notes")
     found = cf.where(_some()).select(*KEYS).union(candidates.select(*KEYS)).distinct()
-    left = settle(members.join(found, KEYS, "left_anti").select(*nodes.columns), "again-nodes")
-    again = divisions.select(*KEYS, "fs_div").join(documents.division(left).select(*KEYS, "scope"), KEYS)
+    left = settle(members.join(large(found), KEYS, "left_anti").select(*nodes.columns), "again-nodes")
+    again = divisions.select(*KEYS, "fs_div").join(large(documents.division(left).select(*KEYS, "scope")), KEYS)
     again = settle(again, "again-scope")
     return Stages(divisions.select(*KEYS, "fs_div", "scope"), cf, candidates, again, *(settle(d, f"again-{n}") for n, d in zip(("cash-flow", "notes"), _evaluated(left, again, strict), strict=True)))
 
@@ -73,6 +77,8 @@ def stages(nodes: DataFrame, divisions: DataFrame, strict: bool, members: DataFr
 def depreciation_of(nodes: DataFrame, divisions: DataFrame, strict: bool, selection: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """keys, depr, rou, amort, combined, source (cf, notes, cf+notes, error) of filings that gave an amount or a
     candidate; see stages(). Without a selection the notes give nothing."""
+    if selection is None and members is None:  # nothing asks for the notes
+        return _cash_flow(nodes, divisions.select(*KEYS, "fs_div", "scope"), strict).where(_some()).withColumn("source", F.lit("cf"))
     return result_of(stages(nodes, divisions, strict, members), selection)
 
 
@@ -80,7 +86,7 @@ def result_of(found: Stages, selection: DataFrame | None = None) -> DataFrame:
     cf, candidates = found.accepted()
     if selection is None:
         return cf.withColumn("source", F.lit("cf"))
-    asked = selection.join(candidates.select(*KEYS).distinct(), KEYS, "left_semi")
+    asked = selection.join(large(candidates.select(*KEYS).distinct()), KEYS, "left_semi")
     return depreciation.merged(cf, depreciation.verify_selection(candidates, asked))
 
 
@@ -88,6 +94,9 @@ def analyze(names: DataFrame, years: DataFrame, registry: DataFrame, filings: Da
     """name, year, corp, status (ok, no_corp, ambiguous_corp, no_report, error), path, fs_div, the items, EBITDA,
     checks, is_valid, flags and remarks.
 
+    Each branch is settled by itself, so that no plan has the nodes of all of them: Spark plans what is left anew, and keeps
+    its text, at the end of every stage.
+
     names (name) meet every year; rows are account rows, nodes document nodes, both by corp and year. A filing
     of type A001 is path A: account rows, or, where it has none, its document; others are path B. Without a
     selection relation the notes give nothing. members: nodes of whole archives, see depreciation_of(); depr_source says
@@ -98,29 +107,30 @@ def analyze(names: DataFrame, years: DataFrame, registry: DataFrame, filings: Da
     reports = resolve.choose_report(filings, grid.where("status = 'ok'").select(*KEYS).distinct())
     reports = settle(reports.withColumn("path", F.when(F.col("kind") == "A001", "A").otherwise("B")), "reports")
     typed = F.when(F.col("kind") == "F002", "audit_consol").when(F.col("kind") == "F001", "audit_separate")
-    a_rows = rows.join(reports.where("path = 'A'").select(*KEYS), KEYS, "left_semi")
+    a_rows = rows.join(large(reports.where("path = 'A'").select(*KEYS)), KEYS, "left_semi")
     by_rows = accounts.infer_division(a_rows).select(*KEYS, "fs_div")
-    own_nodes = nodes.join(reports.select(*KEYS, typed.alias("report_type")), KEYS)
-    of_doc = documents.division(own_nodes).join(reports.select(*KEYS, typed.alias("kind_of")), KEYS)
+    own_nodes = nodes.join(large(reports.select(*KEYS, typed.alias("report_type"))), KEYS)
+    of_doc = documents.division(own_nodes).join(large(reports.select(*KEYS, typed.alias("kind_of"))), KEYS)
     said = F.when(F.col("kind_of") == "audit_consol", "CFS").when(F.col("kind_of") == "audit_separate", "OFS").otherwise(F.col("fs_div"))
     of_doc = of_doc.select(*KEYS, said.alias("doc_div"), "scope")
-    divisions = reports.select(*KEYS, "path").join(by_rows, KEYS, "left").join(of_doc, KEYS, "left").select(*KEYS, "path", F.coalesce("fs_div", "doc_div").alias("fs_div"), "scope", (F.col("fs_div").isNull() & F.col("doc_div").isNotNull()).alias("from_document"))
+    divisions = reports.select(*KEYS, "path").join(large(by_rows), KEYS, "left").join(large(of_doc), KEYS, "left").select(*KEYS, "path", F.coalesce("fs_div", "doc_div").alias("fs_div"), "scope", (F.col("fs_div").isNull() & F.col("doc_div").isNotNull()).alias("from_document"))
     divisions = settle(divisions, "divisions")
-    from_document = own_nodes.join(divisions.where("from_document").select(*KEYS), KEYS, "left_semi")
+    from_document = own_nodes.join(large(divisions.where("from_document").select(*KEYS)), KEYS, "left_semi")
     found = accounts.extract(a_rows, catalogue).select(*KEYS, "item", "value").unionByName(
         documents.extract(documents.with_units(documents.statement_tables(from_document)), catalogue).select(*KEYS, "item", "value")
     )
-    wide = results.wide(found, KEYS)
+    wide = results.wide(settle(found, "items"), KEYS)
     scoped = divisions.select(*KEYS, "fs_div", "scope")
 
     def of_path(p: str) -> DataFrame:
         mine = divisions.where(F.col("path") == p).select(*KEYS)
-        own, all_members = (None if d is None else d.join(mine, KEYS, "left_semi").select(*nodes.columns) for d in (own_nodes, members))
+        own, all_members = (None if d is None else d.join(large(mine), KEYS, "left_semi").select(*nodes.columns) for d in (own_nodes, members))
         return depreciation_of(own, scoped, p == "A", selection, all_members)
 
-    depr = of_path("A").unionByName(of_path("B"))
+    depr = settle(of_path("A").unionByName(of_path("B")), "depreciation")
     checked = results.validated(results.positive_costs(results.overlay(wide, depr, KEYS)).withColumn("ebitda", results.ebitda()))
-    out = grid.join(reports.select(*KEYS, "path", "rcept_no", "report_nm"), KEYS, "left").join(divisions.drop("path", "scope"), KEYS, "left").join(checked, KEYS, "left")
+    found = (reports.select(*KEYS, "path", "rcept_no", "report_nm"), divisions.drop("path", "scope"), checked)
+    out = functools.reduce(lambda whole, d: whole.join(large(d), KEYS, "left"), found, grid)
     status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("path").isNull(), "no_report").when(F.col("is_valid").isNull(), "error").otherwise("ok")
     fell_back = (F.col("path") == "A") & F.col("from_document")
     return out.withColumn("status", status).withColumn("remarks", F.coalesce("remarks", F.when(fell_back, FALLBACK))).drop("from_document")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import amounts, catalog, text, units
+from ..sources.settled import large
 from .documents import KEYS, with_current_column
 
 
@@ -31,7 +32,7 @@ def cash_flow_tables(nodes: DataFrame, divisions: DataFrame, strict: bool) -> Da
     """
     title, core = F.col("kind") == "title", text.title_core(F.col("title_text"))
     notes, root = core.isin(*catalog.NOTES_ROOTS), core.isin(*catalog.STATEMENT_ROOTS)
-    d = nodes.join(divisions, KEYS, "left")
+    d = nodes.join(large(divisions), KEYS, "left")
     in_notes = F.coalesce(F.last(F.when(title & notes, True).when(title & root, False), ignorenulls=True).over(_window()), F.lit(False))
     d = d.withColumn("in_notes", in_notes)
     is_cf = F.when(notes, False).when(root, core.contains("현금흐름표")).when(F.col("in_notes"), False).otherwise(text.title(F.col("title_text")).contains("현금흐름표"))
@@ -106,7 +107,7 @@ def notes_scope(nodes: DataFrame, divisions: DataFrame, strict: bool) -> DataFra
     titles are one array, its tables are not."""
     core = text.title_core(F.col("title_text"))
     titles = nodes.where("kind = 'title'").select(*KEYS, F.struct("pos", core.alias("core")).alias("t"))
-    per = titles.groupBy(*KEYS).agg(F.sort_array(F.collect_list("t")).alias("ts")).join(divisions, KEYS, "left")
+    per = titles.groupBy(*KEYS).agg(F.sort_array(F.collect_list("t")).alias("ts")).join(large(divisions), KEYS, "left")
     has = lambda words: F.exists("ts", lambda t: t["core"].isin(*words))
     con, sep = has(["연결재무제표주석", "연결주석"]), has(["별도재무제표주석", "별도주석"])
     per = per.withColumns({"con": con, "sep": sep})
@@ -127,7 +128,7 @@ def notes_scope(nodes: DataFrame, divisions: DataFrame, strict: bool) -> DataFra
     zero = F.struct(F.lit(False).alias("inside"), null.alias("scope"), F.lit(False).alias("scoped"), F.array().cast("array<struct<pos:int,inside:boolean,scope:boolean>>").alias("out"))
     done = per.select(*KEYS, F.aggregate("ts", zero, step).alias("a"))
     spread = done.select(*KEYS, F.col("a.scoped").alias("has_scoped"), F.explode("a.out").alias("o")).select(*KEYS, "has_scoped", "o.*")
-    both = nodes.join(spread.withColumnsRenamed({"inside": "_i", "scope": "_s", "has_scoped": "_h"}), [*KEYS, "pos"], "left")
+    both = nodes.join(large(spread.withColumnsRenamed({"inside": "_i", "scope": "_s", "has_scoped": "_h"})), [*KEYS, "pos"], "left")
     last = F.last(F.when(F.col("kind") == "title", F.struct("_i", "_s", "_h")), ignorenulls=True).over(_window())
     return both.withColumn("_l", last).select(*nodes.columns, F.coalesce(F.col("_l._i"), F.lit(False)).alias("in_notes"), F.col("_l._s").alias("scope_now"), F.coalesce(F.col("_l._h"), F.lit(False)).alias("has_scoped"))
 
@@ -144,7 +145,7 @@ def notes_candidates(nodes: DataFrame, divisions: DataFrame, strict: bool) -> Da
     t = t.where(F.array_join(F.flatten("rows"), " ").contains("감가상각") & ~text.contains_any(header, catalog.EXCLUDED_HEADERS) & (s["exact"] | s["combined"]) & ~text.contains_any(section_title(F.coalesce("prev_texts", F.array().cast("array<string>"))), catalog.PARTIAL_TITLES))
     if strict:
         w = Window.partitionBy(*KEYS)
-        t = t.join(divisions, KEYS, "left").withColumn("want", F.col("fs_div") == "CFS")
+        t = t.join(large(divisions), KEYS, "left").withColumn("want", F.col("fs_div") == "CFS")
         t = t.withColumns({"own": F.coalesce(F.col("scope_now") == F.col("want"), F.lit(False)), "open": F.col("scope_now").isNull()})
         t = t.withColumns({"any_own": F.bool_or("own").over(w), "any_open": F.bool_or("open").over(w)})
         same = F.coalesce(F.col("scope") == F.col("want"), F.lit(False))
@@ -173,7 +174,7 @@ def verify_selection(tables: DataFrame, selection: DataFrame) -> DataFrame:
     sums = rows.where(is_general(F.col("label"))).select(*KEYS, "table_no", (row_value(F.col("row"), F.col("cur")) * F.col("unit")).cast("decimal(38,4)").alias("v")).groupBy(*KEYS, "table_no").agg(F.sum("v").cast("double").alias("total"))
     here = F.when(F.col("cur") < F.size("row"), amounts.note_amount(F.get("row", F.col("cur")))).otherwise(F.get(F.filter(F.transform(F.slice("row", 2, F.greatest(F.size("row") - 1, F.lit(0))), amounts.note_amount), lambda v: v.isNotNull()), F.lit(0)))
     here = F.when(F.col("cur").isNull(), row_value(F.col("row"), F.lit(None).cast("int"))).otherwise(here) * F.col("unit")
-    at = selection.join(rows.select(*KEYS, "table_no", "row_no", "label", here.alias("here")), [*KEYS, "table_no", "row_no"], "left").join(sums, [*KEYS, "table_no"], "left")
+    at = selection.join(large(rows.select(*KEYS, "table_no", "row_no", "label", here.alias("here"))), [*KEYS, "table_no", "row_no"], "left").join(large(sums), [*KEYS, "table_no"], "left")
     label = F.col("label")
     both = label.contains("감가상각비") & label.contains("무형자산상각비")
     value = (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.settled import large
 
 #: Filing types in the order in which they are preferred.
 PRIORITY = {"A001": 1, "F002": 2, "F001": 3}
@@ -48,7 +49,7 @@ def search(names: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def _unmatched(names: DataFrame, registry: DataFrame) -> DataFrame:
-    return names.select("name").where("name IS NOT NULL").distinct().join(registry.select(F.col("corp_name").alias("name")), "name", "left_anti")
+    return names.select("name").where("name IS NOT NULL").distinct().join(large(registry.select(F.col("corp_name").alias("name"))), "name", "left_anti")
 
 
 def resolve(names: DataFrame, registry: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -57,11 +58,11 @@ def resolve(names: DataFrame, registry: DataFrame, overrides: DataFrame | None =
     An override (name, corp_code) wins over any search. However many rows a name finds, no task holds more than three
     of them at once for it: exact ones are counted, of similar ones each task keeps its first three before the shuffle.
     """
-    exact = registry.join(names.select(F.col("name").alias("corp_name")).distinct(), "corp_name", "left_semi").groupBy(F.col("corp_name").alias("name")).agg(F.count("*").alias("n_exact"), F.min_by("corp_code", "pos").alias("code"))
+    exact = registry.join(large(names.select(F.col("name").alias("corp_name")).distinct()), "corp_name", "left_semi").groupBy(F.col("corp_name").alias("name")).agg(F.count("*").alias("n_exact"), F.min_by("corp_code", "pos").alias("code"))
     by_place = Window.partitionBy("name").orderBy("pos", "corp_name")
     first = containing(_unmatched(names, registry), registry).withColumn("_n", F.row_number().over(by_place)).where(F.col("_n") <= HINTS)
     near = first.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("_n", "corp_name")))["corp_name"].alias("near"))
-    out = names.join(exact, "name", "left").join(near, "name", "left")
+    out = names.join(large(exact), "name", "left").join(large(near), "name", "left")
     chosen = overrides if overrides is not None else names.select("name", F.lit(None).cast("string").alias("corp_code")).limit(0)
     out = out.join(chosen.select("name", F.col("corp_code").alias("chosen")), "name", "left")
     n = F.coalesce("n_exact", F.lit(0))
@@ -87,7 +88,7 @@ def choose_report(filings: DataFrame, years: DataFrame, page: int = 10) -> DataF
     y = F.col("year").cast("string")
     due = F.col("rcept_dt").between(F.concat(y, F.lit("0101")), F.concat((F.col("year") + 2).cast("string"), F.lit("0630")))
     rank = F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv))
-    among = filings.where(F.col("kind").isin(*PRIORITY)).join(years, "corp").where(due).withColumn("priority", rank[F.col("kind")])
+    among = filings.where(F.col("kind").isin(*PRIORITY)).join(large(years), "corp").where(due).withColumn("priority", rank[F.col("kind")])
     newest = Window.partitionBy("corp", "year", "priority").orderBy(F.desc("rcept_dt"), "pos")
     titled = text.report_year(F.col("report_nm"))
     fits = among.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= page).where(titled.isNull() | (titled == F.col("year")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog
+from ..sources.settled import large
 
 # Names of the rules.
 BALANCE, GROSS, OPERATING = "회계항등식: 총자산 = 총부채 + 자본총계", "회계항등식: 매출총이익 = 매출액 - 매출원가", "논리검증: 영업이익 ≤ 매출총이익"
@@ -23,7 +24,7 @@ def overlay(items: DataFrame, depreciation: DataFrame, keys: list[str]) -> DataF
     ``source`` it is kept as depr_source.
     """
     d = depreciation.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("depr", "rou", "amort")), F.col("combined").alias("_combined"), *(F.col(c).alias("depr_source") for c in depreciation.columns if c == "source"))
-    both = items.join(d, keys, "left")
+    both = items.join(large(d), keys, "left")
     combined = F.coalesce("_combined", F.lit(False))
     put = {c: F.coalesce(f"_{c}", c) for c in ("depr", "rou", "amort")}
     put |= {c: F.when(~combined, put[c]) for c in ("rou", "amort")}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.settled import large
 from . import depreciation
 from .analysis import AMOUNTS, KEYS, Stages, result_of
 
@@ -39,13 +40,13 @@ def _event(rows: DataFrame, stage: int, tag: str, line: Column, sub: Column | in
 
 
 def _cash_flow(documents: DataFrame, cash_flow: DataFrame, stage: int) -> DataFrame:
-    both = documents.select(*KEYS).join(cash_flow, KEYS, "left").withColumn("combined", F.coalesce("combined", F.lit(False)))
+    both = documents.select(*KEYS).join(large(cash_flow), KEYS, "left").withColumn("combined", F.coalesce("combined", F.lit(False)))
     return _event(both, stage, "CF", F.concat(F.lit("Python 추출 결과: "), _amounts(), F.lit(", combined="), told(F.col("combined"))))
 
 
 def _tables(documents: DataFrame, candidates: DataFrame, stage: int, tag: str, said: str) -> DataFrame:
     """How many candidates there are, and a line for each with what it states, its section and its first labels."""
-    n = documents.select(*KEYS).join(candidates.groupBy(*KEYS).agg(F.count("*").alias("n")), KEYS, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    n = documents.select(*KEYS).join(large(candidates.groupBy(*KEYS).agg(F.count("*").alias("n"))), KEYS, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     count = _event(n, stage, tag, F.concat(F.lit(f"{said} "), F.col("n").cast("string"), F.lit("개")))
     s = depreciation.signals(F.col("rows"))
     marks = F.concat_ws("/", F.when(s["pair"], "SEPARATE_PAIR").when(s["exact"], "depr"), F.when(s["combined"], "COMBINED"))
@@ -60,26 +61,26 @@ def events(found: Stages, strict: bool, selection: DataFrame | None = None) -> D
     docs, cf = found.documents, found.cash_flow
     done = F.col("depr").isNotNull() & (F.col("amort").isNotNull() | F.coalesce("combined", F.lit(False)))
     complete = cf.where(done).select(*KEYS)
-    open_ = docs.join(complete, KEYS, "left_anti")
+    open_ = docs.join(large(complete), KEYS, "left_anti")
     out = _event(docs, START, "START", F.concat(F.lit("fs_div="), "fs_div", F.lit(f", strict_scope={strict}")))
     out = out.unionByName(_event(docs, LOAD, "LOAD", F.concat(F.lit("document_scope="), told(F.col("scope")))))
     out = out.unionByName(_cash_flow(docs, cf, CF))
-    out = out.unionByName(_tables(open_, found.candidates.join(complete, KEYS, "left_anti"), NOTES, "NOTES", "후보 테이블"))
+    out = out.unionByName(_tables(open_, found.candidates.join(large(complete), KEYS, "left_anti"), NOTES, "NOTES", "후보 테이블"))
     results = result_of(found, selection)
     again = found.again
     if again is not None:
         ended = found.cash_flow_again.where(done).select(*KEYS)
         out = out.unionByName(_event(again, RETRY, "RETRY", F.concat(F.lit("최대 파일에서 결과 없음, 병합 재시도, document_scope="), told(F.col("scope")))))
         out = out.unionByName(_cash_flow(again, found.cash_flow_again, CF_AGAIN))
-        out = out.unionByName(_tables(again.join(ended, KEYS, "left_anti"), found.candidates_again.join(ended, KEYS, "left_anti"), NOTES_AGAIN, "RETRY", "병합 파일에서 후보 테이블"))
+        out = out.unionByName(_tables(again.join(large(ended), KEYS, "left_anti"), found.candidates_again.join(large(ended), KEYS, "left_anti"), NOTES_AGAIN, "RETRY", "병합 파일에서 후보 테이블"))
     if selection is not None:
         _, candidates = found.accepted()
-        looked = selection.join(candidates.select(*KEYS).distinct().join(complete, KEYS, "left_anti"), KEYS, "left_semi")
+        looked = selection.join(large(candidates.select(*KEYS).distinct().join(large(complete), KEYS, "left_anti")), KEYS, "left_semi")
         place = F.concat("slot", F.lit("=T"), F.col("table_no").cast("string"), F.lit("/R"), F.col("row_no").cast("string"))
         order = F.array_position(F.array(*map(F.lit, AMOUNTS)), F.col("slot"))
         asked = looked.groupBy(*KEYS).agg(F.array_join(F.sort_array(F.collect_list(F.struct(order.alias("o"), place.alias("p"))))["p"], ", ").alias("p"))
         out = out.unionByName(_event(asked, CHOICE, "NOTES", F.concat(F.lit("AI 선택 결과: "), "p")))
-    end = docs.select(*KEYS).join(results, KEYS, "left").withColumns({"source": F.coalesce("source", F.lit("error")), "combined": F.coalesce("combined", F.lit(False))})
+    end = docs.select(*KEYS).join(large(results), KEYS, "left").withColumns({"source": F.coalesce("source", F.lit("error")), "combined": F.coalesce("combined", F.lit(False))})
     return out.unionByName(_event(end, FINAL, "FINAL", F.concat(F.lit("source="), "source", F.lit(", combined="), told(F.col("combined")), F.lit(", "), _amounts())))
 
 

@@ -1,7 +1,9 @@
 """What a task holds follows neither the input nor the number of cores; documents are gone through once."""
 
-from finstmt.operators import documents
-from finstmt.plans import adapter
+import re
+
+from finstmt.operators import analysis, depreciation, documents
+from finstmt.plans import adapter, queries
 
 SF = "/root/testdata/sf0.001"
 NODE = "corp string, year int, pos int, kind string, title_text string, rows array<array<string>>, prev_texts array<string>"
@@ -30,3 +32,22 @@ def test_nodes_are_gone_through_once(spark):
     assert "Join" not in plan_of(t) and "Union" not in plan_of(t)
     assert sorted((r.corp, r.pos, r.section) for r in t.collect()) == [("a", 1, "BS"), ("b", 1, "CF"), ("b", 1, "IS"), ("b", 2, "CF"), ("c", 0, "BS")]
     assert set(t.columns) == {*nodes.columns, "section"}
+
+
+def test_no_table_of_companies_is_broadcast(spark, monkeypatch):
+    """However small files or shuffles look: here all of them are below the limit for broadcasts."""
+    plans, settle = [], analysis.settle
+    monkeypatch.setattr(depreciation, "notes_candidates", None)  # nothing asks for the notes
+
+    def settled(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, name)
+
+    monkeypatch.setattr(analysis, "settle", settled)
+    out = queries.analysis_run(spark, SF)
+    assert out.count() and len(plans) == 5
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [k for p in plans for k in re.findall(r"(\w+Join) \[([^]]*)\]", p)]
+    sent = {keys for kind, keys in joins if kind.startswith("Broadcast")}
+    assert sent and not [k for k in sent if re.search("corp|name|year", k)]
+    assert [k for kind, k in joins if kind == "SortMergeJoin" and "corp" in k]
