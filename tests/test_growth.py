@@ -51,3 +51,13 @@ def test_no_table_of_companies_is_broadcast(spark, monkeypatch):
     sent = {keys for kind, keys in joins if kind.startswith("Broadcast")}
     assert sent and not [k for k in sent if re.search("corp|name|year", k)]
     assert [k for kind, k in joins if kind == "SortMergeJoin" and "corp" in k]
+
+
+def test_archives_are_spread_over_folders(spark, tmp_path, monkeypatch):
+    """No folder that the driver lists follows the input; what is read of them is all that was written."""
+    monkeypatch.setattr(adapter, "ARCHIVES_A_FOLDER", 5)
+    n = adapter.facts(spark, SF).count()
+    nodes = adapter.archived(spark, SF, f"file://{tmp_path}")
+    assert len(list(tmp_path.glob("*/*.zip"))) == n and not list(tmp_path.glob("*.zip"))
+    assert {p.name for p in tmp_path.iterdir()} <= {f"{i:05d}" for i in range(-(-n // 5))} and len(list(tmp_path.iterdir())) > 1
+    assert nodes.select("corp", "year").distinct().count() == n and nodes.count() == adapter.nodes(spark, SF).count()
